@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .quality import op6_quality
 from .sentencepiece_codec import op8_sentencepiece
 
 QUERIES = {
+    "op6_quality": op6_quality,
     "op8_sentencepiece": op8_sentencepiece,
 }
 
