@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .quality import op6_quality
 from .sentencepiece_codec import op8_sentencepiece
+from .topk import op4_topk
 
 QUERIES = {
+    "op4_topk": op4_topk,
     "op6_quality": op6_quality,
     "op8_sentencepiece": op8_sentencepiece,
 }
