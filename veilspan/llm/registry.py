@@ -5,12 +5,14 @@ from __future__ import annotations
 from .quality import op6_quality
 from .sentencepiece_codec import op8_sentencepiece
 from .simhash import op5_simhash
+from .substrings import op7_substrings
 from .topk import op4_topk
 
 QUERIES = {
     "op4_topk": op4_topk,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
+    "op7_substrings": op7_substrings,
     "op8_sentencepiece": op8_sentencepiece,
 }
 
