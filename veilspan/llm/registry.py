@@ -7,6 +7,7 @@ from .sentencepiece_codec import op8_sentencepiece
 from .simhash import op5_simhash
 from .substrings import op7_substrings
 from .topk import op4_topk
+from .warc import OP9_SQL, op9_warc_audit
 
 QUERIES = {
     "op4_topk": op4_topk,
@@ -14,6 +15,9 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_substrings": op7_substrings,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_warc_audit": op9_warc_audit,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_warc_audit": OP9_SQL,
+}
