@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
+from .language_model import op2_language_model
 from .pii import op1_pii
 from .quality import op6_quality
 from .sentencepiece_codec import op8_sentencepiece
@@ -13,6 +14,7 @@ from .warc import OP9_SQL, op9_warc_audit
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_language_model": op2_language_model,
     "op3_decontaminate": op3_decontaminate,
     "op4_topk": op4_topk,
     "op5_simhash": op5_simhash,
