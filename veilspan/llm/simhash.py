@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, materialize, table
+from .substrings import keyed
 
 BUCKET = 64
 
@@ -54,14 +55,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """Rows ``(doc_id, fp long)``, the fingerprint as a signed number of the same bits."""
+    """Rows ``(doc_id, k, th, fp long)``: row keys, and the fingerprint as a signed number of the same bits."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "k", "th")), pa.array(fp.view(np.int64))], ["doc_id", "k", "th", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return keyed(docs).mapInArrow(run, "doc_id long, k long, th long, fp long")
 
 
 def ball(x, bits: int):
@@ -107,12 +108,12 @@ def links(found: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
 
 
 def classes(prints: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """Rows ``(fp, component_id)``: for each different fingerprint, the smallest doc_id reachable."""
+    """Rows ``(fp, component, component_id)``: for each different fingerprint its group, and the smallest doc_id in it."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     grouped = components(links(distinct.select("fp"), radius, bucket)).withColumnRenamed("node", "fp")
     tagged = distinct.join(grouped, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = tagged.groupBy("component").agg(F.min("least").alias("component_id"))
-    return tagged.join(ids, "component").select("fp", "component_id")
+    return tagged.join(ids, "component").select("fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -122,5 +123,14 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+    """The row of smallest id, then smallest hash of its text, of each group of linked rows, with all columns."""
+    prints = materialize(fingerprints(docs, width))
+    tagged = prints.join(classes(prints), "fp")
+    first = tagged.groupBy("component").agg(F.min(F.struct("k", "th")).alias("x")).select(F.col("x.k").alias("_k"), F.col("x.th").alias("_th"))
+    mine = docs.withColumns({"_k": F.coalesce("doc_id", F.lit(-(2**63)).cast("long")), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return mine.join(first, ["_k", "_th"], "left_semi").dropDuplicates(["_k", "_th"]).select(*docs.columns)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
