@@ -9,6 +9,7 @@ from .quality import op6_quality
 from .sentencepiece_codec import op8_sentencepiece
 from .simhash import op5_simhash
 from .substrings import op7_substrings
+from .suffix_index import op10_suffix_index
 from .topk import op4_topk
 from .warc import OP9_SQL, op9_warc_audit
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_substrings": op7_substrings,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_warc_audit": op9_warc_audit,
+    "op10_suffix_index": op10_suffix_index,
 }
 
 ORACLE: dict[str, str] = {
