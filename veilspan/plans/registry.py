@@ -1,7 +1,10 @@
-"""Queries over the reference's own operators, and their SQL."""
+"""All queries over the reference's own operators, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-FLAGSHIP = None
+from . import span_queries
+from .base import ORACLE, QUERIES
+
+FLAGSHIP = span_queries.redacted_text
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
