@@ -17,7 +17,7 @@ def one_of(value: Column, allowed: list[str], default: str) -> Column:
 
 def clean_choices(choices: Column) -> Column:
     """Trimmed, without blanks, the first of equals kept in order."""
-    return F.array_distinct(F.filter(F.transform(choices, F.trim), lambda c: c != ""))
+    return F.array_distinct(F.filter(F.transform(choices, lambda c: F.trim(c)), lambda c: c != ""))
 
 
 def override(base: DataFrame, changes: DataFrame, hidden: DataFrame, key: str) -> DataFrame:

@@ -36,10 +36,8 @@ def nearest_year(month: Column, day: Column, anchor: Column, future_days: int =
 
 def duration(start: Column, end: Column) -> Column:
     """Whole years, months and days from start to end, as a phrase."""
-    months = F.floor(F.months_between(end, start, False)).cast("int")
-    # months_between counts a month as whole by day numbers; the rest is days from there
-    back = F.add_months(start, months)
-    fix = F.when(back > end, months - 1).otherwise(months)
+    months = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)
+    fix = F.when(F.add_months(start, months) > end, months - 1).otherwise(months)
     days = F.datediff(end, F.add_months(start, fix))
     unit = lambda n, w: F.when(n == 1, f"1 {w}").when(n > 1, F.concat(n.cast("string"), F.lit(f" {w}s")))
     parts = F.array_compact(F.array(unit(F.floor(fix / 12), "year"), unit(fix % 12, "month"), unit(days, "day")))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import span_queries
+from . import record_queries, span_queries
 from .base import ORACLE, QUERIES
 
 FLAGSHIP = span_queries.redacted_text
 
-__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "record_queries"]
