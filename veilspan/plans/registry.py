@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import record_queries, span_queries
+from . import more_queries, record_queries, span_queries
 from .base import ORACLE, QUERIES
 
 FLAGSHIP = span_queries.redacted_text
 
-__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "record_queries"]
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "more_queries", "record_queries"]
