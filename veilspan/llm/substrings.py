@@ -81,20 +81,25 @@ def _report(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, k: np.ndarray, th:
 
 
 def _repeated(reports: DataFrame) -> DataFrame:
-    """Per document ``(k, th, runs)``: what repeats, as an array of (pos, n)."""
+    """Per document ``(k, th, runs)``: what repeats, as an array of pos * 2**31 + n."""
     seen = reports.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h")))
-    found = seen.where("pos >= 0 and (n > 0 or c > 1)").select("k", "th", "pos", F.greatest("n", F.lit(1)).alias("n"))
-    return found.groupBy("k", "th").agg(F.collect_set(F.struct("pos", "n")).alias("runs"))
+    run = F.col("pos").cast("long") * F.lit(1 << 31) + F.greatest("n", F.lit(1))  # one number is half of a struct's bytes
+    found = seen.where("pos >= 0 and (n > 0 or c > 1)").select("k", "th", run.alias("run"))
+    return found.groupBy("k", "th").agg(F.collect_set("run").alias("runs"))
+
+
+def _unpacked(runs: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """First positions and lengths of packed runs."""
+    packed = np.array(runs or [], np.int64)
+    return packed >> 31, packed & ((1 << 31) - 1)
 
 
 def _marks(runs: list | None, size: int, stretch: int) -> np.ndarray:
     """Which of ``size`` positions the runs cover, each run going on for ``stretch`` more."""
     edge = np.zeros(size + 1, np.int32)
-    if runs:
-        pos = np.array([r["pos"] for r in runs], np.int64)
-        end = np.minimum(pos + np.array([r["n"] for r in runs], np.int64) + stretch, size)
-        np.add.at(edge, pos, 1)
-        np.add.at(edge, end, -1)
+    pos, n = _unpacked(runs)
+    np.add.at(edge, pos, 1)
+    np.add.at(edge, np.minimum(pos + n + stretch, size), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -118,7 +123,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
         for raw, k, th in spread(batches, "k", "th"):
             w = Words(raw)
             i = np.flatnonzero(covered[w.pos % period] & (w.count[w.doc] - w.pos >= width)) if len(w.doc) else np.zeros(0, np.int64)
-            h = Prefix(w.hash).runs(i, i + width)
+            # 48 bits: an anchor only nominates runs, which are judged on 64
+            h = Prefix(w.hash).runs(i, i + width) & np.uint64((1 << 48) - 1)
             yield _report(h, w.doc[i], w.pos[i], k.to_numpy(), th.to_numpy())
 
     def extend(batches):
@@ -126,8 +132,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
             w = Words(raw)
             has = np.zeros(len(w.doc) + 1, np.int64)
             for d, found in enumerate(runs.to_pylist()):
-                for r in found:
-                    has[w.first[d] + r["pos"] : w.first[d] + r["pos"] + r["n"]] = 1
+                has[w.first[d] : w.first[d] + w.count[d]] = _marks(found, int(w.count[d]), 0)
             upto = np.concatenate([[0], np.cumsum(has)])
             i = np.flatnonzero(w.count[w.doc] - w.pos >= length) if len(w.doc) else np.zeros(0, np.int64)
             i = i[upto[i + period] > upto[i]]
