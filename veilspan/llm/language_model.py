@@ -8,7 +8,7 @@ Weights are trained on all training documents by truncated backpropagation throu
 steps: in each of ``ROUNDS`` rounds, every task passes once over its share of the round's
 documents and the tasks' weights are averaged, weighted by tokens, in a grouped sum. Documents
 run in lanes side by side, the state carried from one window of steps to the next and reset
-where a document begins, in training as in scoring.
+where a document begins; scoring carries it through whole documents of any length.
 
 Tokens stand as 64-bit hashes of their bytes. Scoring looks up at most ``TABLE`` frequent tokens
 in a broadcast table; the rest meet their counts in a join.
@@ -32,18 +32,20 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 from .rolling import Words, blocks
 
-CLASSES, SIZE = 32, 128
+CLASSES, SIZE = 32, 64
 HIDDEN = 16
 STEPS = 16
-LANES = 256
+LANES = 512
 ROUNDS = 2
 RATE = 0.01
 #: Most tokens in the broadcast table of counts, 16 bytes each.
 TABLE = 262_144
+#: In training, a longer document is cut into stretches of so many tokens, each from a fresh state.
+STRETCH = 1024
 #: The end token's key.
 END = np.uint64(1)
 #: Text gathered before its documents are put in lanes.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 
 VOCAB = CLASSES * SIZE
 REST = VOCAB  # a token that is none of the model's words
@@ -174,7 +176,7 @@ def unflatten(flat: np.ndarray) -> Weights:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
 
 
 def lanes(sizes: np.ndarray, count: int) -> list[list[int]]:
@@ -193,7 +195,7 @@ def streams(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, count: int,
     dealt = lanes(sizes, count)
     lengths = np.array([int(sizes[lane].sum()) for lane in dealt])
     steps = int(lengths.max(initial=0))
-    place = np.full((steps, len(dealt)), -1, np.int64)
+    place = np.full((steps, len(dealt)), -1, np.int32)
     for i, lane in enumerate(dealt):
         place[: lengths[i], i] = np.concatenate([np.arange(starts[d], starts[d] + sizes[d]) for d in lane])
     first = np.zeros(len(ids), bool)
@@ -219,37 +221,37 @@ def _forward(w: Weights, gates_in: np.ndarray, reset: np.ndarray, h: np.ndarray,
     return new
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The softmax of each row, and the log-probability of its target. Overwrites ``x``."""
+    x -= x.max(1, keepdims=True)
+    hit = x[np.arange(len(x)), target]
+    np.exp(x, out=x)
+    total = x.sum(1)
+    x /= total[:, None]
+    return x, hit - np.log(total)
 
 
 def _outputs(w: Weights, hs: np.ndarray, target: np.ndarray, grads: Weights | None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log-probability of each target; with ``grads``, also the loss's slope in ``hs``."""
     cls = np.where(target == REST, CLASSES, target // SIZE)
-    rows = np.arange(len(target))
-    lc = _log_softmax(hs @ w["wc"] + w["bc"])
-    out = lc[rows, cls]
+    g, out = _softmax(hs @ w["wc"] + w["bc"], cls)
     slope = None
     if grads is not None:
-        g = np.exp(lc)
-        g[rows, cls] -= 1
+        g[np.arange(len(target)), cls] -= 1
         grads["wc"] += hs.T @ g
         grads["bc"] += g.sum(0)
         slope = g @ w["wc"].T
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
     edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
     for k in range(CLASSES):
         own = order[edge[k] : edge[k + 1]]
         if not len(own):
             continue
         x, t = hs[own], target[own] - k * SIZE
-        lw = _log_softmax(x @ w["wo"][k] + w["bo"][k])
-        r = np.arange(len(own))
-        out[own] += lw[r, t]
+        g, lp = _softmax(x @ w["wo"][k] + w["bo"][k], t)
+        out[own] += lp
         if grads is not None:
-            g = np.exp(lw)
-            g[r, t] -= 1
+            g[np.arange(len(own)), t] -= 1
             grads["wo"][k] += x.T @ g
             grads["bo"][k] += g.sum(0)
             slope[own] += g @ w["wo"][k].T
@@ -261,13 +263,16 @@ def _gradients(w: Weights, prev: list, target: list, reset: list, h0: np.ndarray
     grads = {k: np.zeros(s, np.float32) for k, s in _SHAPES.items()}
     kept: list = []
     states, h = [], h0
+    given = w["embed"][np.concatenate(prev)]
+    gates, at = given @ w["wx"] + w["b"], 0
     for p, r in zip(prev, reset, strict=True):
-        h = _forward(w, w["embed"][p] @ w["wx"] + w["b"], r, h[: len(p)], kept)
+        h = _forward(w, gates[at : at + len(p)], r, h[: len(p)], kept)
+        at += len(p)
         states.append(h)
     hs, ts = np.concatenate(states), np.concatenate(target)
     _, slope = _outputs(w, hs, ts, grads)
     assert slope is not None
-    at, back, d_gates = len(hs), np.zeros((0, HIDDEN), np.float32), []
+    back, d_gates, d_states = np.zeros((0, HIDDEN), np.float32), [], []
     for t in reversed(range(len(prev))):
         n_lanes = len(prev[t])
         dh = slope[at - n_lanes : at]
@@ -277,13 +282,14 @@ def _gradients(w: Weights, prev: list, target: list, reset: list, h0: np.ndarray
         dz, dn = dh * (h - n) * z * (1 - z), dh * (1 - z) * (1 - n * n)
         dr = dn * ah * r * (1 - r)
         da = np.concatenate([dz, dr, dn * r], 1)
-        grads["wh"] += h.T @ da
+        d_states.append(da)
         back = dh * z + da @ w["wh"].T
         back[reset[t]] = 0
         d_gates.append(np.concatenate([dz, dr, dn], 1))
     dg, p = np.concatenate(d_gates[::-1]), np.concatenate(prev)
     grads["b"] += dg.sum(0)
-    grads["wx"] += w["embed"][p].T @ dg
+    grads["wx"] += given.T @ dg
+    grads["wh"] += np.concatenate([k[0] for k in kept]).T @ np.concatenate(d_states[::-1])
     de = dg @ w["wx"].T
     order = np.argsort(p, kind="stable")
     s = p[order]
@@ -301,6 +307,10 @@ class Trainer:
         self.v = {k: np.zeros_like(v) for k, v in w.items()}
 
     def learn(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, end_id: int) -> None:
+        pieces = -(-sizes // STRETCH)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts = np.repeat(starts, pieces) + nth * STRETCH
+        sizes = np.minimum(np.repeat(sizes, pieces) - nth * STRETCH, STRETCH)
         place, ids, before, first, running = streams(ids, starts, sizes, LANES, end_id)
         h = np.zeros((place.shape[1], HIDDEN), np.float32)
         for at in range(0, len(place), STEPS):
@@ -315,7 +325,7 @@ class Trainer:
         self.seen += len(ids)
 
 
-def log_probabilities(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, end_id: int, lane_count: int = 2 * LANES) -> np.ndarray:
+def log_probabilities(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, end_id: int, lane_count: int = LANES) -> np.ndarray:
     """Natural log-probability of every token, each document from its start with the state carried through."""
     place, ids, before, first, running = streams(ids, starts, sizes, lane_count, end_id)
     gates = w["embed"] @ w["wx"] + w["b"]
@@ -351,7 +361,8 @@ def _ids(lex: Lexicon, texts: list[str | None]):
     """Per block: model ids and table places of its tokens, their keys, and the document of each."""
     for lo, _, keys, doc in tokens(texts):
         at = lex.find(keys)
-        yield np.where(at >= 0, lex.ids[at] if len(lex.ids) else REST, REST), at, keys, doc + lo
+        ids = np.where(at >= 0, lex.ids[at] if len(lex.ids) else REST, REST)
+        yield ids.astype(np.int32), at, keys, (doc + lo).astype(np.int32)
 
 
 def _end_id(lex: Lexicon) -> int:
@@ -374,9 +385,9 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Weights:
             start, lex = given.value
             trainer = Trainer(start)
             for texts, _ in _chunks(batches):
-                parts = list(_ids(lex, texts))
+                parts = [(ids, doc) for ids, _, _, doc in _ids(lex, texts)]
                 ids = np.concatenate([p[0] for p in parts])
-                sizes = np.bincount(np.concatenate([p[3] for p in parts]), minlength=len(texts))
+                sizes = np.bincount(np.concatenate([p[1] for p in parts]), minlength=len(texts))
                 trainer.learn(ids, np.cumsum(sizes) - sizes, sizes, end)
             if trainer.seen:
                 flat = flatten(trainer.w).astype(np.float64) * trainer.seen

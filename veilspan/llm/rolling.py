@@ -20,7 +20,7 @@ BLOCK_BYTES = 4 << 20
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, BLOCK_BYTES + (1 << 16)), np.uint64(base))
+        have = np.full(max(n, 1 << 20), np.uint64(base))
         have[0] = 1
         np.multiply.accumulate(have, out=have)
         _powers[base] = have

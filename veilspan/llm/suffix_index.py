@@ -36,6 +36,8 @@ LENGTH = 100
 SEED = 28
 BATCHES = 2
 CROWD = 1000
+#: Bytes of text that anchors are sought in at once; about a hundred bytes of memory each.
+BLOCK = 1 << 20
 _ENTRY = "key long, ctx int, k long, tb int, lo int, n int"
 
 
@@ -91,7 +93,7 @@ class Block:
 
 def _split(b: pa.RecordBatch, *names: str):
     raw = [(t or "").encode() for t in b.column("text").to_pylist()]
-    for lo, hi in blocks([len(t) for t in raw]):
+    for lo, hi in blocks([len(t) for t in raw], BLOCK):
         yield raw[lo:hi], *(b.column(n).slice(lo, hi - lo) for n in names)
 
 
