@@ -207,9 +207,10 @@ def streams(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, count: int,
     return place, ids, before, first, running
 
 
-def _forward(w: Weights, gates_in: np.ndarray, reset: np.ndarray, h: np.ndarray, keep: list | None) -> np.ndarray:
+def _forward(w: Weights, gates_in: np.ndarray, reset: np.ndarray | None, h: np.ndarray, keep: list | None) -> np.ndarray:
     """One step of the gated unit for the running lanes."""
-    h = np.where(reset[:, None], np.float32(0), h)
+    if reset is not None:
+        h = np.where(reset[:, None], np.float32(0), h)
     a = h @ w["wh"]
     zr = _sigmoid(gates_in[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
@@ -332,13 +333,17 @@ def log_probabilities(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np
     out = np.zeros(len(ids))
     h = np.zeros((place.shape[1], HIDDEN), np.float32)
     states, places, waiting = [], [], 0
-    for t in range(len(place)):
-        p = place[t, : running[t]]
-        h = _forward(w, gates[before[p]], first[p], h[: len(p)], None)
-        states.append(h)
-        places.append(p)
-        waiting += len(p)
-        if waiting >= 1 << 15 or t == len(place) - 1:
+    for at in range(0, len(place), STEPS):
+        some = place[at : at + STEPS, : running[at]]
+        given, fresh = gates[before[some]], first[some] & (some >= 0)
+        any_fresh = fresh.any(1)
+        for t in range(len(some)):
+            n = running[at + t]
+            h = _forward(w, given[t, :n], fresh[t, :n] if any_fresh[t] else None, h[:n], None)
+            states.append(h)
+            places.append(some[t, :n])
+            waiting += n
+        if waiting >= 1 << 15 or at + STEPS >= len(place):
             all_p = np.concatenate(places)
             out[all_p] = _outputs(w, np.concatenate(states), ids[all_p], None)[0]
             states, places, waiting = [], [], 0
@@ -417,26 +422,27 @@ def score(docs: DataFrame) -> DataFrame:
         for texts, (ids_col,) in _chunks(batches, "doc_id"):
             n = len(texts)
             known, sure, model_rest, own_rest = (np.zeros(n) for _ in range(4))
-            parts, tails, tail_counts = [], [[] for _ in range(n)], [[] for _ in range(n)]
+            parts, tails, times, tail_sizes = [], [], [], np.zeros(n, np.int64)
             for ids, at, keys, doc in _ids(lex, texts):
                 parts.append((ids, doc))
-                found = at >= 0
+                begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))  # every document has a token
+                own = doc[begin]
+                found, other = at >= 0, ids == REST
                 value = np.where(found, logs[at] if len(logs) else 0, 0)
-                known += np.bincount(doc, found, n)
-                sure += np.bincount(doc, value, n)
-                other = ids == REST
-                model_rest += np.bincount(doc, np.where(other, value, 0), n)
-                own_rest += np.bincount(doc, other, n)
+                known[own] = np.add.reduceat(found, begin, dtype=np.int64)
+                sure[own] = np.add.reduceat(value, begin)
+                model_rest[own] = np.add.reduceat(np.where(other, value, 0), begin)
+                own_rest[own] = np.add.reduceat(other, begin, dtype=np.int64)
                 lost = np.flatnonzero(~found)
-                if len(lost):
-                    d, k = doc[lost], keys[lost]
-                    order = np.lexsort((k, d))
-                    d, k = d[order], k[order]
-                    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])]))
-                    c = np.diff(np.concatenate([new, [len(d)]]))
-                    cut = np.flatnonzero(np.diff(d[new])) + 1
-                    for dd, kk, cc in zip(d[new][np.concatenate([[0], cut])], np.split(k[new], cut), np.split(c, cut), strict=True):
-                        tails[dd], tail_counts[dd] = kk.view(np.int64), cc
+                d, k = doc[lost], keys[lost]
+                order = np.lexsort((k, d))
+                d, k = d[order], k[order]
+                new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])])) if len(d) else lost
+                tails.append(k[new].view(np.int64))
+                times.append(np.diff(np.concatenate([new, [len(d)]])))
+                tail_sizes += np.bincount(d[new], minlength=n)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(tail_sizes)]).astype(np.int32))
+            listed = lambda x: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int64)))
             ids, doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             sizes = np.bincount(doc, minlength=n)
             lp = log_probabilities(w, ids, np.cumsum(sizes) - sizes, sizes, end)
@@ -445,9 +451,9 @@ def score(docs: DataFrame) -> DataFrame:
                     ids_col,
                     pa.array(sizes.astype(np.int64)),
                     *(pa.array(x.astype(np.int64)) for x in (known, own_rest)),
-                    *(pa.array(x) for x in (sure, model_rest, np.bincount(doc, lp, n) / np.log(10))),
-                    pa.array(tails, pa.list_(pa.int64())),
-                    pa.array(tail_counts, pa.list_(pa.int64())),
+                    *(pa.array(x) for x in (sure, model_rest, np.add.reduceat(lp, np.cumsum(sizes) - sizes) / np.log(10))),
+                    listed(tails),
+                    listed(times),
                 ],
                 ["doc_id", "n", "known", "n_rest", "sure", "rest", "lp", "tail", "times"],
             )
