@@ -12,8 +12,9 @@ LIBRARY = f"id string, title string, version string, description string, workups
 
 def read_workups(spark: SparkSession, path: str) -> DataFrame:
     """Workups of a folder, a file each; rows that do not parse keep their text in _corrupt_record."""
-    schema = f"{WORKUP}, _corrupt_record string"
-    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    parsed = F.from_json("value", f"{WORKUP}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return whole.select("file", parsed.alias("w")).select("w.*", "file")
 
 
 def parse_workups(rows: DataFrame, text: str) -> DataFrame:
