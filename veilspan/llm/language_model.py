@@ -42,6 +42,8 @@ RATE = 0.01
 TABLE = 262_144
 #: In training, a longer document is cut into stretches of so many tokens, each from a fresh state.
 STRETCH = 1024
+#: Bound of the softmax's inputs, so that their exponentials stay finite in 32 bits.
+CLIP = np.float32(40)
 #: The end token's key.
 END = np.uint64(1)
 #: Text gathered before its documents are put in lanes.
@@ -94,12 +96,28 @@ class Lexicon:
     total: int
     distinct: int
 
+    def __post_init__(self):
+        #: where keys of each leading bits begin; keys are hashes, so few share them
+        self.shift = np.uint64(64 - max(1, len(self.keys)).bit_length() - 2)
+        tops = np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)
+        self.begin = np.searchsorted(self.keys >> self.shift, tops).astype(np.int32)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key in the table, or -1."""
         if not len(self.keys):
             return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
+        top = (keys >> self.shift).astype(np.int32)
+        at, end = self.begin[top], self.begin[top + 1]
+        out = np.full(len(keys), -1)
+        open_ = np.flatnonzero(at < end)
+        place, end = at[open_], end[open_]
+        while len(open_):
+            hit = self.keys[place] == keys[open_]
+            out[open_[hit]] = place[hit]
+            place += 1
+            more = ~hit & (place < end)
+            open_, place, end = open_[more], place[more], end[more]
+        return out
 
     @property
     def rest(self) -> float:
@@ -223,12 +241,15 @@ def _forward(w: Weights, gates_in: np.ndarray, reset: np.ndarray | None, h: np.n
 
 
 def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The softmax of each row, and the log-probability of its target. Overwrites ``x``."""
-    x -= x.max(1, keepdims=True)
+    """The softmax of each row, and the log-probability of its target. Overwrites ``x``.
+
+    Values are held within ``CLIP``, so no row needs its greatest value taken off first.
+    """
+    np.clip(x, -CLIP, CLIP, out=x)
     hit = x[np.arange(len(x)), target]
     np.exp(x, out=x)
-    total = x.sum(1)
-    x /= total[:, None]
+    total = x @ np.ones(x.shape[1], np.float32)
+    x *= (1 / total)[:, None]
     return x, hit - np.log(total)
 
 
@@ -240,22 +261,28 @@ def _outputs(w: Weights, hs: np.ndarray, target: np.ndarray, grads: Weights | No
     if grads is not None:
         g[np.arange(len(target)), cls] -= 1
         grads["wc"] += hs.T @ g
-        grads["bc"] += g.sum(0)
+        grads["bc"] += np.ones(len(g), np.float32) @ g
         slope = g @ w["wc"].T
     order = np.argsort(cls.astype(np.uint8), kind="stable")
     edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    inner = order[: edge[CLASSES]]
+    xs, ts = hs[inner], target[inner] % SIZE
+    lps = np.empty(len(inner), np.float32)
+    back = np.empty((len(inner), HIDDEN), np.float32) if grads is not None else None
     for k in range(CLASSES):
-        own = order[edge[k] : edge[k + 1]]
-        if not len(own):
+        a, b = edge[k], edge[k + 1]
+        if a == b:
             continue
-        x, t = hs[own], target[own] - k * SIZE
-        g, lp = _softmax(x @ w["wo"][k] + w["bo"][k], t)
-        out[own] += lp
+        x, t = xs[a:b], ts[a:b]
+        g, lps[a:b] = _softmax(x @ w["wo"][k] + w["bo"][k], t)
         if grads is not None:
-            g[np.arange(len(own)), t] -= 1
+            g[np.arange(b - a), t] -= 1
             grads["wo"][k] += x.T @ g
-            grads["bo"][k] += g.sum(0)
-            slope[own] += g @ w["wo"][k].T
+            grads["bo"][k] += np.ones(b - a, np.float32) @ g
+            np.matmul(g, w["wo"][k].T, out=back[a:b])
+    out[inner] += lps
+    if grads is not None:
+        slope[inner] += back
     return out, slope
 
 
@@ -267,30 +294,38 @@ def _gradients(w: Weights, prev: list, target: list, reset: list, h0: np.ndarray
     given = w["embed"][np.concatenate(prev)]
     gates, at = given @ w["wx"] + w["b"], 0
     for p, r in zip(prev, reset, strict=True):
-        h = _forward(w, gates[at : at + len(p)], r, h[: len(p)], kept)
+        h = _forward(w, gates[at : at + len(p)], r if r.any() else None, h[: len(p)], kept)
         at += len(p)
         states.append(h)
     hs, ts = np.concatenate(states), np.concatenate(target)
     _, slope = _outputs(w, hs, ts, grads)
     assert slope is not None
-    back, d_gates, d_states = np.zeros((0, HIDDEN), np.float32), [], []
+    # what does not depend on later steps, for all steps at once
+    olds, z, r, ah, n = (np.concatenate([k[i] for k in kept]) for i in range(5))
+    to_z, to_n, to_r = (olds - n) * z * (1 - z), (1 - z) * (1 - n * n), ah * r * (1 - r)
+    da = np.empty((at, 3 * HIDDEN), np.float32)
+    dns = np.empty((at, HIDDEN), np.float32)
+    back, wh_t = np.zeros((0, HIDDEN), np.float32), np.ascontiguousarray(w["wh"].T)
     for t in reversed(range(len(prev))):
-        n_lanes = len(prev[t])
-        dh = slope[at - n_lanes : at]
+        own = slice(at - len(prev[t]), at)
+        at = own.start
+        dh = slope[own]
         dh[: len(back)] += back
-        at -= n_lanes
-        h, z, r, ah, n = kept[t]
-        dz, dn = dh * (h - n) * z * (1 - z), dh * (1 - z) * (1 - n * n)
-        dr = dn * ah * r * (1 - r)
-        da = np.concatenate([dz, dr, dn * r], 1)
-        d_states.append(da)
-        back = dh * z + da @ w["wh"].T
-        back[reset[t]] = 0
-        d_gates.append(np.concatenate([dz, dr, dn], 1))
-    dg, p = np.concatenate(d_gates[::-1]), np.concatenate(prev)
-    grads["b"] += dg.sum(0)
+        dn = np.multiply(dh, to_n[own], out=dns[own])
+        some = da[own]
+        np.multiply(dh, to_z[own], out=some[:, :HIDDEN])
+        np.multiply(dn, to_r[own], out=some[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn, r[own], out=some[:, 2 * HIDDEN :])
+        back = some @ wh_t
+        back += dh * z[own]
+        if reset[t].any():
+            back[reset[t]] = 0
+    p = np.concatenate(prev)
+    grads["wh"] += olds.T @ da
+    da[:, 2 * HIDDEN :] = dns
+    dg = da
+    grads["b"] += np.ones(len(dg), np.float32) @ dg
     grads["wx"] += given.T @ dg
-    grads["wh"] += np.concatenate([k[0] for k in kept]).T @ np.concatenate(d_states[::-1])
     de = dg @ w["wx"].T
     order = np.argsort(p, kind="stable")
     s = p[order]
