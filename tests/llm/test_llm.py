@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -36,6 +37,12 @@ TEXTS = [
 ]
 
 
+def xxhash64(text):
+    """Spark's hash of a text."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - 2**64 if h >> 63 else h
+
+
 def frame(spark, texts=TEXTS):
     return spark.createDataFrame([(d, t, None, None, None, 1, "h", None, 0.5) for d, t in texts], KIND)
 
@@ -330,6 +337,20 @@ def test_suffix_index_crowded_seeds(spark, monkeypatch):
     assert sorted((r.doc_id, bytes(r.kept)) for r in got) == expected
 
 
+@pytest.mark.parametrize("crowd", [1000, 1])
+@pytest.mark.parametrize("parts", [1, 8])
+def test_suffix_index_repeated_rows_are_one_document(spark, monkeypatch, parts, crowd):
+    monkeypatch.setattr(suffix_index, "CROWD", crowd)
+    own, shared = " ".join(words(70, 40)), " ".join(words(71, 60))
+    texts = [(1, own), (2, "a " + shared + " b"), (3, "c" + shared[5:] + "d"), (3, "e" + shared[9:]), (4, shared * 2), (None, own[:130])]
+    done = brute.byte_repeats([t for _, t in sorted(texts, key=lambda r: (r[0] or 0, xxhash64(r[1])))])
+    expected = dict(zip(sorted(texts, key=lambda r: (r[0] or 0, xxhash64(r[1]))), done))
+    rows = [r for r in texts for _ in range(2)] + texts[:2]
+    given = frame(spark, rows).coalesce(1) if parts == 1 else spark.createDataFrame(spark.sparkContext.parallelize(frame(spark, rows).collect(), len(rows)), KIND)
+    got = suffix_index.remove_repeats(given).collect()
+    assert order((r.doc_id, r.n_bytes, bytes(r.kept), r.n_spans) for r in got) == order((d, len(t), *expected[d, t]) for d, t in rows)
+
+
 # ---- 8: pieces --------------------------------------------------------------------------------
 
 

@@ -16,8 +16,8 @@ Contested contexts are read again from the texts and their windows compared by c
 seed. A seed with over ``CROWD`` contexts is compared window by window instead, so that no task
 gathers it.
 
-Defined cases: a null text is empty; rows of equal id and text count as one document and get equal
-results, rows of equal id and different text are ordered by the text's hash; a row without an id
+Defined cases: a null text is empty; rows of equal id and text count as one document, so none repeats
+another, and get equal results, rows of equal id and different text are ordered by the text's hash; a row without an id
 precedes all others; texts shorter than ``LENGTH`` keep all; strings are compared by 64-bit
 hashes; other columns are ignored; an empty table gives an empty result.
 """
@@ -97,6 +97,12 @@ def _split(b: pa.RecordBatch, *names: str):
         yield raw[lo:hi], *(b.column(n).slice(lo, hi - lo) for n in names)
 
 
+def _once(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The first of the rows of each (k, tb) in ``b``."""
+    first = {x: i for i, x in reversed(list(enumerate(zip(b.column("k").to_pylist(), b.column("tb").to_pylist(), strict=True))))}
+    return b if len(first) == len(b) else b.take(pa.array(sorted(first.values())))
+
+
 def _spread(*parts: np.ndarray) -> np.ndarray:
     """Keys of their own for rows that need not meet others."""
     h = np.zeros(len(parts[0]), np.uint64)
@@ -111,7 +117,7 @@ def suffix_array(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
 
     def run(batches):
         for b in batches:
-            for raw, k_col, tb_col in _split(b, "k", "tb"):
+            for raw, k_col, tb_col in _split(_once(b), "k", "tb"):
                 e = Block(raw, length, seed)
                 k, tb = k_col.to_numpy()[e.doc], tb_col.to_numpy()[e.doc]
                 order = np.lexsort((e.lo, tb, k, e.context, e.key))
@@ -152,10 +158,11 @@ class Family:
         for level in stored:
             merged = merged.union(level)
         seed = Window.partitionBy("key")
-        order = Window.partitionBy("key").orderBy("ctx", "n", "k", "tb", "lo")
+        # rows of equal id and text in different blocks give equal entries, which have the same rank
+        order = Window.partitionBy("key", "ctx", "n").orderBy("k", "tb", "lo")
         told = merged.select(
             "*",
-            (F.lag("ctx").over(order).eqNullSafe(F.col("ctx")) & F.lag("n").over(order).eqNullSafe(F.col("n"))).alias("again"),
+            (F.rank().over(order) > 1).alias("again"),
             ((F.min(F.struct("ctx", "n")).over(seed) != F.max(F.struct("ctx", "n")).over(seed))).alias("several"),
             (F.count(F.lit(1)).over(seed) > CROWD).alias("crowd"),
         )
@@ -181,7 +188,7 @@ def _contexts(docs: DataFrame, contested: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for raw, k_col, tb_col, wanted_col in _split(b, "k", "tb", "wanted"):
+            for raw, k_col, tb_col, wanted_col in _split(_once(b), "k", "tb", "wanted"):
                 route, k, tb, lo, n, said = [], [], [], [], [], []
                 crowded = []
                 for text, kk, tt, some in zip(raw, k_col.to_pylist(), tb_col.to_pylist(), wanted_col.to_pylist(), strict=True):
@@ -229,6 +236,8 @@ def _resolve(rows: DataFrame, length: int) -> DataFrame:
 
     def settle(table: list[tuple]) -> pa.RecordBatch:
         """Whole groups of rows (route, k, tb, lo, n, said), in order."""
+        # rows of equal id and text in different blocks say the same
+        table = table[:1] + [r for before, r in zip(table, table[1:]) if before[:4] != r[:4]]
         out = [(r[1], r[2], r[3], 1) for r in table if r[4] < 0]
         plain = [r[1:] for r in table if r[4] > 0 and len(r[5]) != 8]
         single = [r for r in table if r[4] > 0 and len(r[5]) == 8]
