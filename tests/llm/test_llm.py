@@ -351,6 +351,19 @@ def test_suffix_index_repeated_rows_are_one_document(spark, monkeypatch, parts,
     assert order((r.doc_id, r.n_bytes, bytes(r.kept), r.n_spans) for r in got) == order((d, len(t), *expected[d, t]) for d, t in rows)
 
 
+def test_suffix_index_tells_by_all_bits(spark):
+    core = b"tcctdaukloompzuwilfkqcfrsefppdugnxrejcokirpnltnrmcvhqqubpruuumspjxjs"
+    alike = [core + b"bc42c8ea910a4cb20ac0e6128e7f76e7", core + b"55aaa0e8f020a1b6c081b22ec2abfe56"]
+    e = suffix_index.Block(alike, 100, 28)
+    assert e.key[0] == e.key[1] and e.context[0] >> np.uint64(32) == e.context[1] >> np.uint64(32) and e.context[0] != e.context[1]
+    # two texts whose hashes agree in 31 bits, and only the first repeats itself
+    twins = ["no id, document number 91638, and other words." * 8, "1332 " + PASSAGE]
+    assert (xxhash64(twins[0]) ^ xxhash64(twins[1])) & 0x7FFFFFFF == 0
+    rows = [(1, alike[0].decode()), (2, alike[1].decode()), (None, twins[0]), (None, twins[1])]
+    done = {t: brute.byte_repeats([t])[0] for _, t in rows}
+    assert order((r.doc_id, bytes(r.kept)) for r in suffix_index.remove_repeats(frame(spark, rows)).collect()) == order((d, done[t][0]) for d, t in rows)
+
+
 # ---- 8: pieces --------------------------------------------------------------------------------
 
 

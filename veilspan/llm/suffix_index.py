@@ -38,16 +38,16 @@ BATCHES = 2
 CROWD = 1000
 #: Bytes of text that anchors are sought in at once; about a hundred bytes of memory each.
 BLOCK = 1 << 20
-_ENTRY = "key long, ctx int, k long, tb int, lo int, n int"
+_ENTRY = "key long, ctx long, k long, tb long, lo int, n int"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` with the order of rows: the id, then 32 bits of the text's hash."""
+    """``docs(doc_id, text)`` with the order of rows: the id, then the text's hash."""
     return docs.select(
         "doc_id",
         "text",
         F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("k"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int").alias("tb"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("tb"),
     )
 
 
@@ -129,7 +129,7 @@ def suffix_array(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key),
-                        pa.array((e.context >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                        pa.array(e.context.view(np.int64)),
                         pa.array(k),
                         pa.array(tb),
                         pa.array(e.lo.astype(np.int32)),
@@ -210,13 +210,13 @@ def _contexts(docs: DataFrame, contested: DataFrame, length: int) -> DataFrame:
                     said += [x.tobytes() for x in h]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(route, pa.int64()), pa.array(k, pa.int64()), pa.array(tb, pa.int32()),
+                        pa.array(route, pa.int64()), pa.array(k, pa.int64()), pa.array(tb, pa.int64()),
                         pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(said, pa.binary()),
                     ],
                     ["route", "k", "tb", "lo", "n", "said"],
                 )
 
-    return docs.join(wanted, ["k", "tb"]).select("doc_id", "text", "k", "tb", "wanted").mapInArrow(run, "route long, k long, tb int, lo int, n int, said binary")
+    return docs.join(wanted, ["k", "tb"]).select("doc_id", "text", "k", "tb", "wanted").mapInArrow(run, "route long, k long, tb long, lo int, n int, said binary")
 
 
 def _window_hashes(entries: list[tuple], length: int):
@@ -254,7 +254,7 @@ def _resolve(rows: DataFrame, length: int) -> DataFrame:
                 out += zip(k[i[first]].tolist(), tb[i[first]].tolist(), lo[i[first]].tolist(), size.tolist(), strict=True)
         out += [(r[1], r[2], r[3], 1) for before, r in zip(single, single[1:]) if before[0] == r[0]]
         cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["k", "tb", "lo", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["k", "tb", "lo", "n"])
 
     def run(batches):
         held: list[tuple] = []
@@ -271,7 +271,7 @@ def _resolve(rows: DataFrame, length: int) -> DataFrame:
             yield settle(held)
 
     ordered = rows.repartition("route").sortWithinPartitions("route", "k", "tb", "lo")
-    return ordered.mapInArrow(run, "k long, tb int, lo int, n int")
+    return ordered.mapInArrow(run, "k long, tb long, lo int, n int")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES) -> DataFrame:
