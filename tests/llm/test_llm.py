@@ -223,6 +223,20 @@ def test_topk(spark):
     assert topk.search(given.limit(0)).count() == 0
 
 
+def test_topk_searches_repeated_queries_once(spark, monkeypatch):
+    asked, search_block = [], topk.search_block
+    monkeypatch.setattr(topk, "search_block", lambda classes, queries, k: asked.append(len(queries)) or search_block(classes, queries, k))
+    rows = [(100, [1.0, 2.0])] * 60 + [(200, [float(i), 1.0]) for i in range(8)] + [(i, [float(i), -1.0]) for i in range(1, 12)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2, block=4).collect()
+    assert sum(asked) == 9 and max(asked) < 9
+    expected = []
+    for n, (q, a) in enumerate(rows):
+        if q % 100 == 0:
+            best = sorted((-sum(int(1024 * x) * int(1024 * y) for x, y in zip(a, b)), i) for m, (i, b) in enumerate(rows) if m != n)[:2]
+            expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert order(map(tuple, got)) == order(expected)
+
+
 # ---- 5: near duplicates -----------------------------------------------------------------------
 
 

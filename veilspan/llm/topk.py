@@ -7,8 +7,9 @@ an entry can only reach the cutoff c if one of its partial scores is at least c
 shard collects just these entries. Phase three resolves their remaining partial scores exactly.
 
 Equal vectors share their scores, so they are searched once and carry the k + 1 smallest ids,
-which is all that a query can need of them. Queries come in blocks of about ``BLOCK``, each small
-enough to broadcast; every block is searched against all rows.
+which is all that a query can need of them. Queries of equal id and vector are searched once too,
+and their results joined back to the rows. Different ones come in blocks of about ``BLOCK``, each
+small enough to broadcast; every block is searched against all rows.
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows without an
 id take no part; a vector is compared with those of its own length only, and one of length zero
@@ -159,17 +160,26 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, block: int = BLOCK
     own = quantize(vectors)
     classes = materialize(distinct_vectors(own, k))
     queries = materialize(own.where(F.col("vec_id") % every == 0))
-    n_blocks = max(1, -(-queries.count() // block))
+    different = materialize(queries.distinct())
+    n_blocks = max(1, -(-different.count() // block))
     out = None
     for i in range(n_blocks):
-        asked = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == i).orderBy("vec_id", "v").collect()
+        asked = different.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)) == i).orderBy("vec_id", "v").collect()
         rows = [(r.vec_id, r.v) for r in asked]
         order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
         best = search_block(classes, rows, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         ids = queries.sparkSession.createDataFrame(
-            pa.table({"q": pa.array(range(len(rows)), pa.int64()), "query_id": pa.array([r[0] for r in rows], pa.int64())})
+            pa.table(
+                {
+                    "q": pa.array(range(len(rows)), pa.int64()),
+                    "query_id": pa.array([r[0] for r in rows], pa.int64()),
+                    "v": pa.array([r[1] for r in rows], pa.list_(pa.int64())),
+                }
+            )
         )
-        found = best.join(F.broadcast(ids), "q").select("query_id", "rank", "vec_id", "score")  # ids of one block
+        lists = best.groupBy("q").agg(F.collect_list(F.struct("rank", "vec_id", "score")).alias("best")).join(F.broadcast(ids), "q")  # of one block
+        each = queries.withColumnRenamed("vec_id", "query_id").join(F.broadcast(lists), ["query_id", "v"])
+        found = each.select("query_id", F.inline("best"))
         out = found if out is None else out.union(materialize(found) if n_blocks > 1 else found)
     return out
 
