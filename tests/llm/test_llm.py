@@ -164,6 +164,21 @@ def test_gradients_match_differences():
         assert abs((loss(up) - loss(down)) / (2 * step) - (grads[k] * way).sum()) < 2e-3 * max(1, abs((grads[k] * way).sum())), k
 
 
+def test_training_carries_state_through_a_long_document(monkeypatch):
+    seen, gradients = [], language_model._gradients
+
+    def told(w, before, ids, first, h):
+        seen.extend(zip(before, ids, first, strict=True))
+        return gradients(w, before, ids, first, h)
+
+    monkeypatch.setattr(language_model, "_gradients", told)
+    lex = lexicon()
+    ids = np.random.default_rng(8).integers(0, language_model.VOCAB, 5000).astype(np.int32)
+    language_model.Trainer(language_model.initial(lex)).learn(ids, np.array([0]), np.array([5000]), 0)
+    before, target, first = (np.concatenate(x) for x in zip(*seen))
+    assert target.tolist() == ids.tolist() and before.tolist() == [0, *ids[:-1]] and first.tolist() == [True] + [False] * 4999
+
+
 def test_language_model_beats_frequencies_on_held_out(spark):
     got = language_model.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     r = got.where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()

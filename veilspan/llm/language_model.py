@@ -40,8 +40,6 @@ ROUNDS = 2
 RATE = 0.01
 #: Most tokens in the broadcast table of counts, 16 bytes each.
 TABLE = 262_144
-#: In training, a longer document is cut into stretches of so many tokens, each from a fresh state.
-STRETCH = 1024
 #: Bound of the softmax's inputs, so that their exponentials stay finite in 32 bits.
 CLIP = np.float32(40)
 #: The end token's key.
@@ -343,10 +341,6 @@ class Trainer:
         self.v = {k: np.zeros_like(v) for k, v in w.items()}
 
     def learn(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, end_id: int) -> None:
-        pieces = -(-sizes // STRETCH)
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = np.repeat(starts, pieces) + nth * STRETCH
-        sizes = np.minimum(np.repeat(sizes, pieces) - nth * STRETCH, STRETCH)
         place, ids, before, first, running = streams(ids, starts, sizes, LANES, end_id)
         h = np.zeros((place.shape[1], HIDDEN), np.float32)
         for at in range(0, len(place), STEPS):
