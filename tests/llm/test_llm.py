@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
 from veilspan.llm import (
-    common, decontaminate, language_model, pii, quality, registry, sentencepiece_codec, simhash, substrings, suffix_index, topk, warc,
+    common, decontaminate, language_model, pii, quality, registry, rolling, sentencepiece_codec, simhash, substrings, suffix_index, topk, warc,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -347,7 +347,32 @@ def test_substrings_real(real):
     assert sorted(got) == sorted(expected)
 
 
-@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_words_of_two_letters_do_not_collide(spark):
+    word = "a"
+    while len(word) < 2048:  # each half is the other with the letters exchanged, which beats hashes modulo 2**64
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [" ".join([*(f"w{i}" for i in range(17)), x, *(f"v{i}" for i in range(17))]) for x in (word, other)]
+    got = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.n_removed for r in got.collect()} == {0}
+    got = suffix_index.remove_repeats(spark.createDataFrame([(0, word[:1024]), (1, other[:1024] + "c")], "doc_id long, text string"))
+    want = brute.byte_repeats([word[:1024], other[:1024] + "c"])
+    assert {(r.doc_id, r.kept) for r in got.collect()} == {(i, k) for i, (k, _) in enumerate(want)}
+
+
+def test_products_modulo_the_prime():
+    p = rolling._P
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, p, 1000, dtype=np.uint64) for _ in range(2))
+    a[:3], b[:3] = [p - 1, p - 1, 0], [p - 1, 1, 5]
+    assert [int(x) * int(y) % p for x, y in zip(a, b)] == rolling.multiply(a, b).tolist()
+    raw, sums = rng.integers(0, 256, 20000).astype(np.uint8), [0]
+    for i, c in enumerate(raw):
+        sums.append((sums[-1] + int(rolling._SYMBOL[c]) * pow(rolling._BASE, i, p)) % p)
+    assert rolling.byte_prefix(raw).sums.tolist() == sums
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5, None])
 def test_suffix_index(spark, real, batches):
     odd = {d: t for d, t in TEXTS if d is not None}
     rows = [(1000 + d, t) for d, t in odd.items()] + [(d, t[:3000] if t else t) for d, t in pairs(real)]
@@ -382,7 +407,7 @@ def test_suffix_index_repeated_rows_are_one_document(spark, monkeypatch, parts,
 
 def test_suffix_index_tells_by_all_bits(spark):
     core = b"tcctdaukloompzuwilfkqcfrsefppdugnxrejcokirpnltnrmcvhqqubpruuumspjxjs"
-    alike = [core + b"bc42c8ea910a4cb20ac0e6128e7f76e7", core + b"55aaa0e8f020a1b6c081b22ec2abfe56"]
+    alike = [core + b"82a13916af44e178cfdbc0c90b62af53", core + b"9ae084d82a9b97cd727f1f54014e5dc9"]
     e = suffix_index.Block(alike, 100, 28)
     assert e.key[0] == e.key[1] and e.context[0] >> np.uint64(32) == e.context[1] >> np.uint64(32) and e.context[0] != e.context[1]
     # two texts whose hashes agree in 31 bits, and only the first repeats itself

@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 #: Whitespace of the word contracts: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``taken`` has it, whatever its case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
-    Only where the session has none (local runs and tests) a temporary folder is made and set.
+    Only on a local master that has none (as in tests) a temporary folder is made and set; on a
+    cluster its executors could not read each other's, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -31,11 +44,17 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back, which cuts its lineage.
 
-    The files survive the loss of any executor; the folder is the cluster's to clean.
+    The files survive the loss of any executor; the folder is the cluster's to clean. The job's
+    own shuffle files are removed when it ends, since nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

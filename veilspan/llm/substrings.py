@@ -6,13 +6,17 @@ occurrences of a run of ``LENGTH`` words share an anchor, a window of LENGTH - P
 that starts at a covered position of both. Anchors that occur once are dropped; a run that holds a
 shared anchor extends to its full length and is judged on the hash of all its words.
 
-Both rounds, of anchors and of runs, find which hashes occur more than once without gathering a
-frequent hash anywhere: each block of texts settles those that repeat within it and announces
-such a hash to the others in a single row.
+Both rounds, of anchors and of runs, find which hashes occur more than once: each block of texts
+settles those that repeat within it and announces such a hash to the others in a single row. So a
+window over one hash sees at most a row for each block, which it spills where they are many.
+
+Anchors only nominate, by 48 bits. A run is judged by two independent hashes modulo 2**61 - 1 of
+its words' hashes, 122 bits, so that no run falls to chance even where positions are counted in
+trillions.
 
 Defined cases: a null text has no words; texts of fewer words than a run keep all; repeated rows,
-whether of one id or several, repeat each other's runs; null ids are kept; words are compared by
-64-bit hashes of their bytes; other columns are ignored; an empty table gives an empty result.
+whether of one id or several, repeat each other's runs; null ids are kept; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 from .rolling import Prefix, Words, blocks
 
 LENGTH = 35
 PERIOD = 21
 #: A perfect difference set: its differences give each remainder modulo 21.
 COVER = (0, 1, 4, 14, 16)
-_ROWS = "h long, k long, th long, pos int, n int"
+_ROWS = "h long, g long, k long, th long, pos int, n int"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -44,20 +48,20 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _report(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, k: np.ndarray, th: np.ndarray) -> pa.RecordBatch:
-    """Rows for hashes ``h`` at ``pos`` of ``doc``, which are in document and position order.
+def _report(h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, k: np.ndarray, th: np.ndarray) -> pa.RecordBatch:
+    """Rows for hashes ``h`` and ``g`` at ``pos`` of ``doc``, which are in document and position order.
 
     n = 0: occurs once here, to be counted; n > 0: the n positions from pos on are known to
     repeat; pos = -1: announces a hash that repeats here.
     """
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    edge = np.concatenate([[True], s[1:] != s[:-1], [True]]) if len(s) else np.array([True])
+    order = np.lexsort((g, h))
+    s, t = h[order], g[order]
+    edge = np.concatenate([[True], (s[1:] != s[:-1]) | (t[1:] != t[:-1]), [True]]) if len(s) else np.array([True])
     at = np.flatnonzero(edge)
     size = np.diff(at)
     many = np.zeros(len(h), bool)
     many[order] = np.repeat(size > 1, size)
-    once, told = np.flatnonzero(~many), s[at[:-1][size > 1]]
+    once, told = np.flatnonzero(~many), order[at[:-1][size > 1]]
     own = np.flatnonzero(many)
     if len(own):
         new = np.concatenate([[True], (pos[own][1:] != pos[own][:-1] + 1) | (doc[own][1:] != doc[own][:-1])])
@@ -70,19 +74,20 @@ def _report(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, k: np.ndarray, th:
     spread = (th[doc[runs]].astype(np.uint64) + pos[runs].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([h[once].view(np.int64), spread, told.view(np.int64)])),
+            pa.array(np.concatenate([h[once].view(np.int64), spread, h[told].view(np.int64)])),
+            pa.array(np.concatenate([g[once], np.zeros(len(runs), np.uint64), g[told]]).view(np.int64)),
             pa.array(np.concatenate([k[doc[once]], k[doc[runs]], none])),
             pa.array(np.concatenate([th[doc[once]], th[doc[runs]], none])),
             pa.array(np.concatenate([pos[once], pos[runs], none - 1]).astype(np.int32)),
             pa.array(np.concatenate([np.zeros(len(once)), lengths, none]).astype(np.int32)),
         ],
-        ["h", "k", "th", "pos", "n"],
+        ["h", "g", "k", "th", "pos", "n"],
     )
 
 
 def _repeated(reports: DataFrame) -> DataFrame:
     """Per document ``(k, th, runs)``: what repeats, as an array of pos * 2**31 + n."""
-    seen = reports.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h")))
+    seen = reports.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h", "g")))
     run = F.col("pos").cast("long") * F.lit(1 << 31) + F.greatest("n", F.lit(1))  # one number is half of a struct's bytes
     found = seen.where("pos >= 0 and (n > 0 or c > 1)").select("k", "th", run.alias("run"))
     return found.groupBy("k", "th").agg(F.collect_set("run").alias("runs"))
@@ -123,9 +128,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
         for raw, k, th in spread(batches, "k", "th"):
             w = Words(raw)
             i = np.flatnonzero(covered[w.pos % period] & (w.count[w.doc] - w.pos >= width)) if len(w.doc) else np.zeros(0, np.int64)
-            # 48 bits: an anchor only nominates runs, which are judged on 64
             h = Prefix(w.hash).runs(i, i + width) & np.uint64((1 << 48) - 1)
-            yield _report(h, w.doc[i], w.pos[i], k.to_numpy(), th.to_numpy())
+            yield _report(h, np.zeros(len(h), np.uint64), w.doc[i], w.pos[i], k.to_numpy(), th.to_numpy())
 
     def extend(batches):
         for raw, k, th, runs in spread(batches, "k", "th", "runs"):
@@ -136,7 +140,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
             upto = np.concatenate([[0], np.cumsum(has)])
             i = np.flatnonzero(w.count[w.doc] - w.pos >= length) if len(w.doc) else np.zeros(0, np.int64)
             i = i[upto[i + period] > upto[i]]
-            yield _report(Prefix(w.hash).runs(i, i + length), w.doc[i], w.pos[i], k.to_numpy(), th.to_numpy())
+            h, g = (Prefix(w.hash, second).runs(i, i + length) for second in (False, True))
+            yield _report(h, g, w.doc[i], w.pos[i], k.to_numpy(), th.to_numpy())
 
     def cut(batches):
         for raw, ids, runs in spread(batches, "doc_id", "runs"):
@@ -155,10 +160,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
             )
 
     own = keyed(docs)
-    shared = _repeated(own.mapInArrow(anchors, _ROWS))
+    shared = materialize(_repeated(own.mapInArrow(anchors, _ROWS)))
     # a whole row that repeats settles itself: its runs are counted once for each of the rows
     candidates = own.join(shared, ["k", "th"]).select("doc_id", "text", "k", "th", "runs")
-    repeats = _repeated(candidates.mapInArrow(extend, _ROWS))
+    repeats = materialize(_repeated(candidates.mapInArrow(extend, _ROWS)))
     joined = own.join(repeats, ["k", "th"], "left").select("doc_id", "text", "k", "th", "runs")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
 

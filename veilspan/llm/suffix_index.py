@@ -7,10 +7,11 @@ around it. An entry is an anchor with the context that its windows span. A batch
 its entries in the order of the seed's hash and the context's hash, then of document and place,
 so equal suffixes stand together and the earliest comes first.
 
-Batches come in document order. Each new array is merge-scanned, in that order, with the levels
-that exist: an entry whose context stands earlier is a repeat with all its windows; different
-contexts of one seed are contested. A level keeps the first entry of each context; levels of equal
-rank merge into one of the next, so there are at most as many as the logarithm of the batches.
+Batches come in document order, ``FEWEST`` of them and one more each time that the corpus doubles
+from ``BATCH_BYTES`` on. Each new array is merge-scanned, in that order, with the levels that exist:
+an entry whose context stands earlier is a repeat with all its windows; different contexts of one
+seed are contested. A level keeps the first entry of each context; levels of equal rank merge into
+one of the next, so there are at most as many as the logarithm of the batches.
 
 Contested contexts are read again from the texts and their windows compared by content, seed by
 seed. A seed with over ``CROWD`` contexts is compared window by window instead, so that no task
@@ -18,8 +19,8 @@ gathers it.
 
 Defined cases: a null text is empty; rows of equal id and text count as one document, so none repeats
 another, and get equal results, rows of equal id and different text are ordered by the text's hash; a row without an id
-precedes all others; texts shorter than ``LENGTH`` keep all; strings are compared by 64-bit
-hashes; other columns are ignored; an empty table gives an empty result.
+precedes all others; texts shorter than ``LENGTH`` keep all; contexts of one seed are told apart by
+hashes modulo 2**61 - 1; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,14 +31,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .rolling import blocks, byte_prefix
+from .rolling import Prefix, _SYMBOL, blocks, byte_prefix
 
 LENGTH = 100
 SEED = 28
-BATCHES = 2
+FEWEST = 4
+BATCH_BYTES = 1 << 30
 CROWD = 1000
 #: Bytes of text that anchors are sought in at once; about a hundred bytes of memory each.
 BLOCK = 1 << 20
+
+
+def batch_count(size: int) -> int:
+    """Batches for a corpus of ``size`` bytes."""
+    return FEWEST + max(0, int(np.log2(max(1, size) / BATCH_BYTES)))
+
+
 _ENTRY = "key long, ctx long, k long, tb long, lo int, n int"
 
 
@@ -179,9 +188,9 @@ class Family:
 
 
 def _contexts(docs: DataFrame, contested: DataFrame, length: int) -> DataFrame:
-    """Rows ``(route, k, tb, lo, n, said)``: contested contexts by seed, or single windows of crowded ones by their hash.
+    """Rows ``(route, k, tb, lo, n, single, said)``: contested contexts by seed, or single windows of crowded ones by their hash.
 
-    ``said`` holds a context's bytes or a window's hash; rows with n < 0 repeat another of their block.
+    ``said`` holds a context's bytes or a window's second hash; rows with n < 0 repeat another of their block.
     """
     packed = F.struct("key", "lo", "n", "crowd")
     wanted = contested.groupBy("k", "tb").agg(F.collect_list(packed).alias("wanted"))
@@ -189,7 +198,7 @@ def _contexts(docs: DataFrame, contested: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for raw, k_col, tb_col, wanted_col in _split(_once(b), "k", "tb", "wanted"):
-                route, k, tb, lo, n, said = [], [], [], [], [], []
+                route, k, tb, lo, n, single, said = [], [], [], [], [], [], []
                 crowded = []
                 for text, kk, tt, some in zip(raw, k_col.to_pylist(), tb_col.to_pylist(), wanted_col.to_pylist(), strict=True):
                     for e in some:
@@ -197,50 +206,49 @@ def _contexts(docs: DataFrame, contested: DataFrame, length: int) -> DataFrame:
                         if e["crowd"]:
                             crowded.append((kk, tt, e["lo"], e["n"], piece))
                             continue
-                        route.append(e["key"]), k.append(kk), tb.append(tt), lo.append(e["lo"]), n.append(e["n"]), said.append(piece)
+                        route.append(e["key"]), k.append(kk), tb.append(tt), lo.append(e["lo"]), n.append(e["n"]), single.append(False), said.append(piece)
                 if crowded:
                     crowded.sort()
-                    ck, ct, cl, h = _window_hashes(crowded, length)
-                    order = np.lexsort((np.arange(len(h)), h))
+                    ck, ct, cl, h, g = _window_hashes(crowded, length, True)
+                    order = np.lexsort((np.arange(len(h)), g, h))
                     later = np.zeros(len(h), bool)
-                    later[order[1:]] = h[order][1:] == h[order][:-1]
+                    later[order[1:]] = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1])
                     route += np.where(later, _spread(ck, ct, cl), h.view(np.int64)).tolist()
                     k, tb, lo = k + ck.tolist(), tb + ct.tolist(), lo + cl.tolist()
                     n += np.where(later, -1, 1).tolist()
-                    said += [x.tobytes() for x in h]
+                    single += [True] * len(h)
+                    said += [x.tobytes() for x in g]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(route, pa.int64()), pa.array(k, pa.int64()), pa.array(tb, pa.int64()),
-                        pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(said, pa.binary()),
+                        pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(single, pa.bool_()), pa.array(said, pa.binary()),
                     ],
-                    ["route", "k", "tb", "lo", "n", "said"],
+                    ["route", "k", "tb", "lo", "n", "single", "said"],
                 )
 
-    return docs.join(wanted, ["k", "tb"]).select("doc_id", "text", "k", "tb", "wanted").mapInArrow(run, "route long, k long, tb long, lo int, n int, said binary")
+    return docs.join(wanted, ["k", "tb"]).select("doc_id", "text", "k", "tb", "wanted").mapInArrow(run, "route long, k long, tb long, lo int, n int, single boolean, said binary")
 
 
-def _window_hashes(entries: list[tuple], length: int):
-    """Document, place and hash of every window of contexts (k, tb, lo, n, bytes)."""
-    prefix = byte_prefix(np.frombuffer(b"".join(e[4] for e in entries), np.uint8))
+def _window_hashes(entries: list[tuple], length: int, second: bool = False):
+    """Document, place and hash of every window of contexts (k, tb, lo, n, bytes); with ``second`` another hash too."""
+    symbols = _SYMBOL[np.frombuffer(b"".join(e[4] for e in entries), np.uint8)]
     n = np.array([e[3] for e in entries], np.int64)
     base = np.cumsum(n + length - 1) - (n + length - 1)
     own = np.repeat(np.arange(len(entries)), n)
     step = np.arange(len(own)) - (np.cumsum(n) - n)[own]
     at = base[own] + step
     k, tb, lo = (np.array([e[i] for e in entries], np.int64) for i in range(3))
-    return k[own], tb[own], lo[own] + step, prefix.runs(at, at + length)
+    return k[own], tb[own], lo[own] + step, *(Prefix(symbols, other).runs(at, at + length) for other in (False, True)[: 1 + second])
 
 
 def _resolve(rows: DataFrame, length: int) -> DataFrame:
     """Runs ``(k, tb, lo, n)`` of contested windows that stand earlier under the same route."""
 
     def settle(table: list[tuple]) -> pa.RecordBatch:
-        """Whole groups of rows (route, k, tb, lo, n, said), in order."""
+        """Whole groups of rows (route, k, tb, lo, n, said) of contexts, in order."""
         # rows of equal id and text in different blocks say the same
         table = table[:1] + [r for before, r in zip(table, table[1:]) if before[:4] != r[:4]]
-        out = [(r[1], r[2], r[3], 1) for r in table if r[4] < 0]
-        plain = [r[1:] for r in table if r[4] > 0 and len(r[5]) != 8]
-        single = [r for r in table if r[4] > 0 and len(r[5]) == 8]
+        out, plain = [], [r[1:] for r in table]
         if plain:
             k, tb, lo, h = _window_hashes(plain, length)
             order = np.lexsort((np.arange(len(h)), h))
@@ -252,7 +260,6 @@ def _resolve(rows: DataFrame, length: int) -> DataFrame:
                 first = np.flatnonzero(new)
                 size = np.diff(np.concatenate([first, [len(i)]]))
                 out += zip(k[i[first]].tolist(), tb[i[first]].tolist(), lo[i[first]].tolist(), size.tolist(), strict=True)
-        out += [(r[1], r[2], r[3], 1) for before, r in zip(single, single[1:]) if before[0] == r[0]]
         cols = list(zip(*out, strict=True)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["k", "tb", "lo", "n"])
 
@@ -270,22 +277,28 @@ def _resolve(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield settle(held)
 
-    ordered = rows.repartition("route").sortWithinPartitions("route", "k", "tb", "lo")
-    return ordered.mapInArrow(run, "k long, tb long, lo int, n int")
+    ordered = rows.where("not single").drop("single").repartition("route").sortWithinPartitions("route", "k", "tb", "lo")
+    # of equal single windows all but the first; rows of equal id and text have one rank
+    rank = F.rank().over(Window.partitionBy("route", "said").orderBy("k", "tb", "lo"))
+    single = rows.where("single").select("k", "tb", "lo", "n", rank.alias("rank")).where("n < 0 or rank > 1")
+    return ordered.mapInArrow(run, "k long, tb long, lo int, n int").union(single.select("k", "tb", "lo", F.lit(1).alias("n")))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batches: int | None = None) -> DataFrame:
     """Rows ``(doc_id, n_bytes, n_removed, n_spans, kept)`` for every row of ``docs``."""
     own = keyed(docs)
     family, scans = Family(), []
-    bounds = docs.where("doc_id is not null").stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001) if batches > 1 else []
-    edges = [None, *bounds, None]
+    if batches is None:
+        batches = batch_count(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    inner = [i / batches for i in range(1, batches)]
+    bounds = docs.where("doc_id is not null").stat.approxQuantile("doc_id", inner, 0.001) if inner else []
+    edges = [None, *sorted({int(x) for x in bounds}), None]
     for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        part = own
+        part = own  # filters on the id itself, which reach the files
         if lo is not None:
-            part = part.where(F.col("k") >= int(lo))
+            part = part.where(F.col("doc_id") >= lo)
         if hi is not None:
-            part = part.where(F.col("k") < int(hi))
+            part = part.where((F.col("doc_id") < hi) if lo is not None else F.col("doc_id").isNull() | (F.col("doc_id") < hi))
         scans.append(family.add(suffix_array(part.select("text", "k", "tb"), length, seed), last=i == len(edges) - 2))
     found = scans[0]
     for s in scans[1:]:
@@ -294,7 +307,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batc
     # a seed that is crowded for one scan is so for all
     crowds = found.where("what = 2 and crowd").select("key").distinct().withColumn("all", F.lit(True))
     contested = contested.join(crowds, "key", "left").select("key", "k", "tb", "lo", "n", F.coalesce("all", F.lit(False)).alias("crowd"))
-    resolved = _resolve(_contexts(own, contested, length), length)
+    resolved = _resolve(materialize(_contexts(own, contested, length)), length)
     runs = found.where("what = 1").select("k", "tb", "lo", F.abs("n").alias("n")).union(resolved)
     packed = F.col("lo").cast("long") * F.lit(1 << 31) + F.col("n")
     gone = runs.groupBy("k", "tb").agg(F.collect_set(packed).alias("gone"))
