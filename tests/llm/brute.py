@@ -8,6 +8,7 @@ import regex
 import xxhash
 
 from veilspan.llm import decontaminate as D
+from veilspan.llm.common import GIVEN_NAMES
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = {
@@ -103,20 +104,26 @@ def byte_repeats(texts, length=100):
 # ---- templates --------------------------------------------------------------------------------
 
 
+# written apart from the operator's own patterns; only the word lists are its parameters
+NAME = r"(?:(?<=[\p{Ll}0-9,;] )\p{Lu}\p{Ll}+)|(?<![\w])(?:" + "|".join(GIVEN_NAMES) + r")(?![\w])"
+NUMBER = r"(?:(?<=^|[\s(\[\"'])[$€£+-]+|(?<=^|[\s(\[\"']))[0-9](?:[0-9.,:/]*[0-9])?"
+UNIT = r"(?:(?<=<num>)|(?<=<num> ))(?:" + "|".join(sorted(D.UNITS, key=len, reverse=True)) + r"|%)(?![\p{L}0-9])"
+
+
 def _pattern(p):
-    return regex.compile(p.replace(r"\d", "0-9"))
+    return regex.compile(p)
 
 
 def template(text):
-    named = _pattern(D._NAME).sub("<name>", text).lower()
-    unit = regex.compile(D._UNIT.replace(r"\d", "0-9"))
-    counted = unit.sub("<unit>", regex.compile(D._NUMBER).sub("<num>", named))
-    return regex.compile(D._TAIL).sub("", counted)
+    named = _pattern(NAME).sub("<name>", text).lower()
+    unit = regex.compile(UNIT)
+    counted = unit.sub("<unit>", regex.compile(NUMBER).sub("<num>", named))
+    return regex.compile(r"(?<=[\p{L}\p{N}>])[.,;:!?\"')]+(?=\s|$)").sub("", counted)
 
 
 def windows(text, width):
     text = (text or "").strip(" ")
-    t, r = regex.split(D._BLANK, template(text)), regex.split(D._BLANK, text)
+    t, r = regex.split("[ \t-\r]+", template(text)), regex.split("[ \t-\r]+", text)
     if len(t) < width:
         t, r = t + [None] * (width - len(t)), r + [None] * (width - len(r))
     return [(tuple(t[i : i + width]), tuple(r[i : i + width])) for i in range(len(t) - width + 1)]
@@ -141,9 +148,13 @@ def leaks(docs, items, width=5, coverage=0.8):
         for item, n, ws in asked:
             by_shift = {}
             for i, t, r in ws:
-                for j, here in at.get(t, []):
-                    pairs = [(k, bare(a), bare(b)) for k, a, b in zip(t, r, here) if k and slot(k)]
-                    by_shift.setdefault(j - i, []).append((t, pairs))
+                forms = [t]
+                if i == 0 and not slot(t[0]) and regex.match(r"\p{Lu}\p{Ll}+[.,;:!?\"')]*$", r[0]):
+                    forms.append(("<name>", *t[1:]))
+                for form in forms:
+                    for j, here in at.get(form, []):
+                        pairs = [(k, bare(a), bare(b)) for k, a, b in zip(form, r, here) if k and slot(k)]
+                        by_shift.setdefault(j - i, []).append((t, pairs))
             good = set()
             for found in by_shift.values():
                 said, heard = {}, {}

@@ -95,6 +95,32 @@ def test_pii_finds_more_than_patterns_and_redacts(docs):
     assert said[7] == PASSAGE and said[1] is None and said[2] == ""
 
 
+def test_pii_recall_of_what_the_method_adds(spark):
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"))
+    digit = lambda n: "".join(map(str, rng.integers(1, 10, n)))
+    secret = lambda: "sk-" + "".join(rng.choice(letters, 14)) + digit(6)
+    made = {
+        "secret": [f"the key: {secret()} was used" for _ in range(60)],
+        "person_id": [f"her ssn {rng.integers(100, 665)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)} is on file" for _ in range(30)]
+        + [f"pay to iban DE{digit(20)} soon" for _ in range(30)],
+        "name": [f"signed by Dr. {common.GIVEN_NAMES[i % 50]} {'ABCDEFGH'[i % 8]}olster today" for i in range(60)],
+    }
+    clean = [f"the part number {digit(3)}-{digit(2)} is in stock and costs {digit(4)} euros" for _ in range(60)]
+    rows, want = [], []
+    for kind, texts in made.items():
+        for t in texts:
+            want.append((len(rows), kind))
+            rows.append((len(rows), t))
+    first = len(rows)
+    rows += [(first + i, t) for i, t in enumerate(clean)]
+    got = {(r.doc_id, s.split(":")[0]) for r in pii.report(frame(spark, rows)).collect() for s in r.spans.split(",") if s}
+    for kind in made:
+        mine = [w for w in want if w[1] == kind]
+        assert sum(w in got for w in mine) >= 0.9 * len(mine), kind
+    assert not {d for d, _ in got if d >= first}
+
+
 def test_reliabilities_follow_agreement():
     rows = [{"kind": "secret", "v0": a, "v1": a, "v2": a, "n": 50} for a in (1, -1)] + [{"kind": "secret", "v0": 1, "v1": -1, "v2": -1, "n": 5}]
     post = pii.reliabilities(rows)
@@ -218,6 +244,28 @@ def test_decontaminate_real(spark, real):
     assert got == brute.leaks(pairs(real), [(r.item_id, r.text) for r in items.collect()]) and got
 
 
+def test_decontaminate_finds_reparameterised_items(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    plain = lambda t: common.GIVEN_NAMES[0] + " paid 12 dollars. " + t + " It cost 7 euros and " + common.GIVEN_NAMES[1] + " left."
+    bench = spark.createDataFrame([(i, plain(t)) for i, t in items], "item_id long, text string")
+    changed = []
+    for i, t in items:
+        other = plain(t).replace(" 12 ", f" {30 + i} ").replace(" 7 ", f" {90 + i} ")
+        for a, b in ((common.GIVEN_NAMES[0], common.GIVEN_NAMES[5 + i % 9]), (common.GIVEN_NAMES[1], common.GIVEN_NAMES[20 + i % 9])):
+            other = other.replace(a, b)
+        changed.append((i, "some words come first here. " + other + " and more words follow"))
+    clean = [(1000 + i, " ".join(words(900 + i, 60))) for i in range(20)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, changed + clean), bench).collect()}
+    assert sum((i, i) in got for i, _ in items) >= 0.9 * len(items)
+    assert not {d for d, _ in got} & {i for i, _ in clean}
+
+
+def test_decontaminate_short_item_after_lower_case(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?")], "item_id long, text string")
+    got = decontaminate.leaks(frame(spark, [(5, "now answer this, What is the capital of France?"), (6, "What is the price of bread then")]), bench)
+    assert [(r.doc_id, r.n_matched) for r in got.collect()] == [(5, 2)]
+
+
 # ---- 4: top-k ---------------------------------------------------------------------------------
 
 
@@ -435,6 +483,67 @@ def test_sentencepiece(which, request):
     assert order(map(tuple, sentencepiece_codec.digest(given).collect())) == order(expected)
 
 
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def character_map(pairs):
+    """A compiled map of source to normal forms: a double array over the bytes, then the strings."""
+    trie, strings = {}, b""
+    for source, normal in pairs.items():
+        node = trie
+        for byte in source.encode():
+            node = node.setdefault(byte, {})
+        node[0], strings = len(strings), strings + normal.encode() + b"\0"
+    units, todo = {0: 0}, [(0, trie)]
+    while todo:
+        at, node = todo.pop()
+        base = next(b for b in range(1, 1 << 20) if all(b ^ label not in units for label in node))
+        units[at] |= (base ^ at) << 10 | (0 in node) << 8
+        for label, below in node.items():
+            units[base ^ label] = (1 << 31 | below) if label == 0 else label
+            if label:
+                todo.append((base ^ label, below))
+    size = (max(units) | 255) + 1
+    return (4 * size).to_bytes(4, "little") + np.array([units.get(i, 0) for i in range(size)], "<u4").tobytes() + strings
+
+
+@pytest.mark.parametrize("trim", [True, False])
+@pytest.mark.parametrize("dummy", [True, False])
+def test_character_map_normalises_as_the_library(spark, tmp_path, trim, dummy):
+    blob = character_map({"\ufb01": "fi", "\uff21": "A", "\u3000": " ", "e\u0301": "\u00e9", "\u2026": "...", "\u200b": "", "abc": "x  y"})
+    raw, at, kept = Path(sentencepiece_codec.default_model()).read_bytes(), 0, b""
+    while at < len(raw):
+        key, i = sentencepiece_codec._varint(raw, at)
+        size, i = sentencepiece_codec._varint(raw, i)
+        if key >> 3 != 3:
+            kept += raw[at : i + size]
+        at = i + size
+    spec = b"\x12" + varint(len(blob)) + blob + bytes([0x18, dummy, 0x20, trim, 0x28, 1])
+    path = tmp_path / "own.model"
+    path.write_bytes(kept + b"\x1a" + varint(len(spec)) + spec)
+    codec = sentencepiece_codec.Codec(str(path))
+    texts = ["\ufb01ne \uff21\u3000 b", "  cafe\u0301 \u2026 ", "", " ", "\u200b", "abc abcabc \u200bd", "\u3000\u3000x", "plain words", "\U0001f600 z\u200b "]
+    for t in texts:
+        normal, starts = codec.normalize(t.encode())
+        assert normal.decode().replace("\u2581", " ") == codec.sp.normalize(t).replace("\u2581", " "), t
+        assert len(starts) == len(normal) + 1 and (np.diff(starts) >= 0).all()
+        ids = codec.sp.encode(t, add_bos=True, add_eos=True)
+        spans = codec.spans(t.encode(), ids)
+        assert spans[0, 0] == spans[0, 1] and (spans[1:, 0] == spans[:-1, 1]).all()
+    source = "x \ufb01 y".encode()
+    ids = codec.sp.encode("x \ufb01 y")
+    covered = {source[a:b] for a, b in codec.spans(source, ids).tolist()}
+    assert any("\ufb01".encode() in c for c in covered)
+    got = sentencepiece_codec.digest(frame(spark, list(enumerate(texts))), str(path)).collect()
+    assert {r.n_tokens for r in got if r.doc_id == 2} == {2}
+    with pytest.raises(ValueError):
+        codec.spans(b"one two", codec.sp.encode("one two three"))
+
+
 def test_pieces_stand_where_their_spans_say(spark):
     text = "Grüße, 東京 and 😀  two spaces\nline"
     r = sentencepiece_codec.encode(frame(spark, [(1, text)])).first()
@@ -462,6 +571,21 @@ def test_audit(spark):
     assert warc.audit(spark.createDataFrame([], kind), spark.createDataFrame([], kind)).count() == 0
 
 
+def test_audit_of_one_hot_id_and_rows_without(spark):
+    rows = [(7, f"u{i}", f"page {i}") for i in range(300)] + [(None, f"n{i}", f"odd {i}") for i in range(300)] + [(-1, "m", "minus"), (8, "x", "y" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    copy = spark.createDataFrame([r for r in rows if r[1] not in ("u5", "n9")] + [(None, "new", "more")], "page_id long, url string, html string")
+    got = warc.audit(pages, copy).collect()
+    state = {(r.page_id, r.sha256): r.state for r in got}
+    assert len(got) == len(rows) + 1
+    assert sorted(r.state for r in got if r.page_id == 7) == ["intact"] * 299 + ["missing"]
+    assert sorted(r.state for r in got if r.page_id is None) == ["extra"] + ["intact"] * 299 + ["missing"]
+    assert {v for (p, _), v in state.items() if p in (-1, 8)} == {"intact"}
+    own = sorted((r.start, r.end) for r in got if r.page_id in (7, 8))
+    assert own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+    assert warc.audit(pages.where("page_id is null"), copy.where("page_id is null")).count() == 301
+
+
 def test_audit_sql(spark):
     import duckdb
 
@@ -488,6 +612,39 @@ def test_empty_tables(spark):
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.decontaminate(frame(spark), items).count() == len(TEXTS)
 
 
+def test_stages_keep_clashing_columns_and_odd_rows(spark, tmp_path):
+    texts = [(1, "write to a.b@mail.example.org"), (1, "write to a.b@mail.example.org"), (2, None), (None, "call +1 (202) 555-0143 now"), (3, ""), (4, LONG)]
+    names = "_k _th k th _pk _pth _cuts cuts _bk _bh h".split()
+    kind = "doc_id long, text string, " + ", ".join(f"{c} int" for c in names)
+    given = spark.createDataFrame([(d, t, *range(len(names))) for d, t in texts], kind)
+    bench = spark.createDataFrame([(1, LONG[:400])], "item_id long, text string")
+    safe = {t: t for _, t in texts} | {texts[0][1]: "write to <email>", texts[3][1]: "call <phone> now"}
+    for found, want in (
+        (simhash.keep_one(given), [texts[0], texts[2], texts[3], texts[5]]),
+        (pii.redact(given), [(d, safe[t]) for d, t in texts]),
+        (decontaminate.decontaminate(given, bench), texts[:5]),
+    ):
+        assert found.columns == given.columns
+        rows = found.collect()
+        assert {tuple(r)[2:] for r in rows} == {tuple(range(len(names)))}
+        assert order((r.doc_id, r.text) for r in rows if r.doc_id not in (2, 3)) == order(r for r in want if r[0] not in (2, 3))
+    none = given.where("false")
+    for found in (simhash.keep_one(none), pii.redact(none), decontaminate.decontaminate(none, bench)):
+        assert found.columns == given.columns and found.count() == 0
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    for name, rows in (("odd", TEXTS), ("none", [])):
+        frame(spark, rows).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(0, 1, 0), (7, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        spark.createDataFrame([(1, None), (2, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        sys.path.insert(0, str(Path(__file__).parents[2]))
+        import corpus_pipeline
+
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert len(got) <= len(rows)
+
+
 def test_pipeline(spark, real):
     import corpus_pipeline
 

@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 #: Whitespace of the word contracts: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Given names, a default gazetteer; operators take another as a parameter.
+GIVEN_NAMES = (
+    "Alice Anna Ben Bob Carlos Charlie Clara Daniel David Diana Emily Emma Eva Frank George Grace Hannah Henry Jack James Jane John "
+    "Julia Kate Laura Leo Liam Linda Lisa Lucas Maria Mark Mary Michael Mike Nina Noah Olivia Paul Peter Rachel Robert Sam Sara Sarah "
+    "Sofia Sophie Susan Thomas Tim Tom William"
+).split()
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -18,11 +18,13 @@ text; null ids are kept; repeated items each report; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .substrings import keyed
+from .common import GIVEN_NAMES, materialize, table
+from .substrings import keyed, with_keys
 
 WIDTH = 5
 COVERAGE = 0.8
@@ -33,38 +35,40 @@ UNITS = (
     "hours hour hrs h minutes minute min seconds second s days day weeks week months month years year "
     "dollars dollar cents euros euro pounds pound percent degrees degree mph kmh"
 ).split()
-GIVEN_NAMES = (
-    "Alice Anna Ben Bob Carlos Charlie Clara Daniel David Diana Emily Emma Eva Frank George Grace Hannah Henry Jack James Jane John "
-    "Julia Kate Laura Leo Liam Linda Lisa Lucas Maria Mark Mary Michael Mike Nina Noah Olivia Paul Peter Rachel Robert Sam Sara Sarah "
-    "Sofia Sophie Susan Thomas Tim Tom William"
-).split()
-_NAME = rf"(?=\p{{Lu}})(?:(?<=[\p{{Ll}}\d,;] )\p{{Lu}}\p{{Ll}}+|\b(?:{'|'.join(GIVEN_NAMES)})\b)"
 _NUMBER = r"(?<![^\s(\[\"'])[$€£+-]*[0-9](?:[0-9.,:/]*[0-9])?"
-_UNIT = rf"(?<=<num> |<num>)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))}|%)(?![\p{{L}}\d])"
 _TAIL = r"(?<=[\p{L}\p{N}>])[.,;:!?\"')]+(?=\s|$)"
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
-def template(text: Column) -> Column:
+def name_pattern(names: Sequence[str]) -> str:
+    """A given name of the gazetteer, or any capitalised word in the middle of a sentence."""
+    return rf"(?=\p{{Lu}})(?:(?<=[\p{{Ll}}\d,;] )\p{{Lu}}\p{{Ll}}+|\b(?:{'|'.join(names)})\b)"
+
+
+def unit_pattern(units: Sequence[str]) -> str:
+    return rf"(?<=<num> |<num>)(?:{'|'.join(sorted(units, key=len, reverse=True))}|%)(?![\p{{L}}\d])"
+
+
+def template(text: Column, names: Sequence[str] = GIVEN_NAMES, units: Sequence[str] = UNITS) -> Column:
     """The text with typed placeholders, lower-cased, without closing punctuation; white space is kept."""
-    named = F.lower(F.regexp_replace(text, _NAME, "<name>"))
-    counted = F.regexp_replace(F.regexp_replace(named, _NUMBER, "<num>"), _UNIT, "<unit>")
+    named = F.lower(F.regexp_replace(text, name_pattern(names), "<name>"))
+    counted = F.regexp_replace(F.regexp_replace(named, _NUMBER, "<num>"), unit_pattern(units), "<unit>")
     return F.regexp_replace(counted, _TAIL, "")
 
 
-def windows(rows: DataFrame, width: int) -> DataFrame:
+def windows(rows: DataFrame, width: int, names: Sequence[str] = GIVEN_NAMES, units: Sequence[str] = UNITS) -> DataFrame:
     """Each window of ``rows(..., text)``: h, its position, its template words t0.. and raw words r0..
 
     A text of fewer words yields one window, padded with nulls.
     """
-    words = rows.withColumn("_t", F.split(template(F.trim("text")), _BLANK)).withColumn("_r", F.split(F.trim("text"), _BLANK))
+    words = rows.withColumn("_t", F.split(template(F.trim("text"), names, units), _BLANK)).withColumn("_r", F.split(F.trim("text"), _BLANK))
     n = F.greatest(F.size("_t") - (width - 1), F.lit(1))
     parts = [F.slice("_t", i + 1, n) for i in range(width)] + [F.slice("_r", i + 1, n) for i in range(width)]
-    names = [f"t{i}" for i in range(width)] + [f"r{i}" for i in range(width)]
+    columns = [f"t{i}" for i in range(width)] + [f"r{i}" for i in range(width)]
     zipped = F.arrays_zip(*parts)
     keep = [c for c in rows.columns if c != "text"]
     each = words.where("text is not null").select(*keep, F.posexplode(zipped).alias("pos", "w"))
-    out = each.select(*keep, "pos", *[F.col("w").getField(str(i)).alias(x) for i, x in enumerate(names)])
+    out = each.select(*keep, "pos", *[F.col("w").getField(str(i)).alias(x) for i, x in enumerate(columns)])
     return out.withColumn("h", F.xxhash64(*[F.col(f"t{i}") for i in range(width)]))
 
 
@@ -72,18 +76,28 @@ def _is_slot(x: Column) -> Column:
     return x.contains("<num>") | x.contains("<name>") | x.contains("<unit>")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows ``(doc_id, th, item_id, n_windows, n_matched)``: documents, by id and hash of the text, and the items they leak."""
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, broadcast_rows: int = BROADCAST_ROWS,
+    names: Sequence[str] = GIVEN_NAMES, units: Sequence[str] = UNITS,
+) -> DataFrame:
+    """Rows ``(doc_id, th, item_id, n_windows, n_matched)``: documents, by id and hash of the text, and the items they leak.
+
+    A capitalised first word of an item stands as it is where the item opens a sentence, and as a
+    name where it follows other words; its window is asked for both ways and counts once.
+    """
     words = [f"t{i}" for i in range(width)]
     literal = sum((F.when(F.col(t).isNotNull() & ~_is_slot(F.col(t)) & (F.col(t) != ""), 1).otherwise(0) for t in words), F.lit(0))
-    asked = windows(benchmark.select("item_id", F.xxhash64("text").alias("ih"), "text"), width).where(literal > 0)
+    asked = windows(benchmark.select("item_id", F.xxhash64("text").alias("ih"), "text"), width, names, units).where(literal > 0)
     ik = F.coalesce("item_id", F.lit(-(2**63)).cast("long")).alias("ik")
-    asked = asked.select("item_id", ik, "ih", F.col("pos").alias("at"), "h", *[F.col(f"r{i}").alias(f"b{i}") for i in range(width)])
+    opens = (F.col("pos") == 0) & F.col("r0").rlike(r"^\p{Lu}\p{Ll}+[.,;:!?\"')]*$") & ~_is_slot(F.col("t0"))
+    as_name = F.when(opens, F.xxhash64(F.lit("<name>"), *[F.col(t) for t in words[1:]]))
+    forms = F.array_compact(F.array(F.col("h"), as_name))
+    asked = asked.select("item_id", ik, "ih", F.col("pos").alias("at"), F.col("h").alias("own"), F.explode(forms).alias("h"), *[F.col(f"r{i}").alias(f"b{i}") for i in range(width)])
     # equal windows of an item count once: a document's one passage covers them all
-    sizes = asked.groupBy("ik", "ih").agg(F.count_distinct("h").alias("n_windows"))
+    sizes = asked.groupBy("ik", "ih").agg(F.count_distinct("own").alias("n_windows"))
     if asked.limit(broadcast_rows + 1).count() <= broadcast_rows:
         asked = F.broadcast(asked)
-    found = windows(keyed(docs).select("doc_id", "k", "th", "text"), width).join(asked, "h")
+    found = windows(keyed(docs).select("doc_id", "k", "th", "text"), width, names, units).join(asked, "h")
     pairs = F.filter(
         F.array(
             *[
@@ -96,7 +110,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: f
     group = ["k", "th", "ik", "ih", "shift"]
     bare = lambda x: F.regexp_replace(x, r"^[\"'(\[]+|[.,;:!?\"')\]]+$", "")
     matched = found.select(
-        "doc_id", "k", "th", "item_id", "ik", "ih", (F.col("pos") - F.col("at")).alias("shift"), "at", "h",
+        "doc_id", "k", "th", "item_id", "ik", "ih", (F.col("pos") - F.col("at")).alias("shift"), "at", "own",
         F.transform(pairs, lambda p: F.struct(p.kind.alias("kind"), bare(p.said).alias("said"), bare(p.here).alias("here"))).alias("slots"),
     ).distinct()
     matched = materialize(matched)  # few rows; the texts are read once
@@ -115,7 +129,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: f
     )
     good = checked.where(F.col("wrong").isNull() | ~breaks)
     hits = good.groupBy("k", "th", "ik", "ih").agg(
-        F.count_distinct("h").alias("n_matched"), F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id")
+        F.count_distinct("own").alias("n_matched"), F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id")
     )
     joined = hits.join(sizes, ["ik", "ih"])
     return joined.where(F.col("n_matched") >= coverage * F.col("n_windows")).select("doc_id", "k", "th", "item_id", "n_windows", "n_matched")
@@ -123,9 +137,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: f
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that leak no item, with their columns."""
-    bad = leaks(docs, benchmark, **params).select(F.col("k").alias("_bk"), F.col("th").alias("_bh")).distinct()
-    mine = F.coalesce(docs["doc_id"], F.lit(-(2**63)).cast("long"))
-    return docs.join(bad, (mine == F.col("_bk")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_bh")), "left_anti")
+    mine, k, th = with_keys(docs)
+    bad = leaks(docs, benchmark, **params).select(F.col("k").alias(k), F.col("th").alias(th))
+    return mine.join(bad, [k, th], "left_anti").drop(k, th)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

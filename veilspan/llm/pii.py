@@ -19,13 +19,13 @@ candidates the classifier accepts none; other columns are ignored or, in :func:`
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .substrings import keyed
+from .common import GIVEN_NAMES, free_name, materialize, table
+from .substrings import keyed, with_keys
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "person_id", "name")
@@ -47,11 +47,11 @@ _NEEDS = {"email": "@", "phone": "+"}
 _DIGIT = r"[0-9]"
 
 SECRET_PREFIXES = "sk-|ghp_|gho_|AKIA|xox[abp]-|eyJ"
-NAMES = (
-    "Alice|Anna|Ben|Bob|Carlos|Charlie|Clara|Daniel|David|Diana|Emily|Emma|Eva|Frank|George|Grace|Hannah|Henry|Jack|James|Jane|John|"
-    "Julia|Kate|Laura|Leo|Liam|Linda|Lisa|Lucas|Maria|Mark|Mary|Michael|Mike|Nina|Noah|Olivia|Paul|Peter|Rachel|Robert|Sam|Sara|Sarah|"
-    "Sofia|Sophie|Susan|Thomas|Tim|Tom|William"
-)
+#: Countries whose account numbers begin with their code.
+ACCOUNT_COUNTRIES = (
+    "AD AE AL AT AZ BA BE BG BH BR CH CR CY CZ DE DK DO EE ES FI FO FR GB GE GI GL GR GT HR HU IE IL IS IT KW KZ LB LI LT LU LV MC MD "
+    "ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SE SI SK SM TN TR UA VG XK"
+).split()
 _CUES = {
     "secret": r"(?i)\b(?:token|key|secret|passwor[dt]|passwd|pwd|bearer|credential)s?\W{0,6}$",
     "person_id": r"(?i)\b(?:ssn|social security|iban|account|passport|id|number|no)\W{0,6}$",
@@ -102,7 +102,7 @@ def _valid_base(kind: Column, m: Column) -> Column:
     )
 
 
-def _votes(kind: Column, m: Column, tail: Column) -> list[Column]:
+def _votes(kind: Column, m: Column, tail: Column, names: Sequence[str]) -> list[Column]:
     """The votes of the strict pattern, the gazetteer and the context: 1 for, -1 against, 0 none."""
     digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
     strict = (
@@ -112,7 +112,8 @@ def _votes(kind: Column, m: Column, tail: Column) -> list[Column]:
     )
     known = (
         F.when(kind == "secret", F.when(m.rlike(f"^(?:{SECRET_PREFIXES})"), 1).when(m.rlike("^[0-9/_+-]+$"), -1).otherwise(0))
-        .when(kind == "name", F.when(m.rlike(rf"\b(?:{NAMES})\b"), 1).otherwise(0))
+        .when(kind == "person_id", F.when(m.rlike("^[0-9]"), 0).when(F.substr(m, F.lit(1), F.lit(2)).isin(*ACCOUNT_COUNTRIES), 1).otherwise(-1))
+        .when(kind == "name", F.when(F.exists(F.split(m, "[ .]+"), lambda w: w.isin(*names)), 1).otherwise(0))
         .otherwise(0)
     )
     cue = F.lit(False)
@@ -124,7 +125,7 @@ def _votes(kind: Column, m: Column, tail: Column) -> list[Column]:
 _FEATURES = ["kind", "v0", "v1", "v2", "long", "digits"]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, names: Sequence[str] = GIVEN_NAMES) -> DataFrame:
     """Rows ``(k, th, kind, start, end, base, v0, v1, v2, long, digits)``: base spans and candidates of different texts."""
     raw = keyed(docs).select("k", "th", _found(F.coalesce("text", F.lit(""))).alias("found")).where(F.size("found") > 0)
     once = materialize(raw.dropDuplicates(["k", "th"]))
@@ -135,7 +136,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     share = F.length(F.regexp_replace(m, "[^0-9]", "")) / F.length(m)
     marked = placed.withColumn("base", _valid_base(kind, m)).where(F.col("base") | kind.isin(*EXTRA))
     return marked.select(
-        "k", "th", "kind", "start", "end", "base", *_votes(kind, m, F.col("tail")),
+        "k", "th", "kind", "start", "end", "base", *_votes(kind, m, F.col("tail"), names),
         F.least(F.floor(F.length("m") / 8), F.lit(6)).cast("int").alias("long"), F.floor(share * 4).cast("int").alias("digits"),
     )
 
@@ -213,9 +214,9 @@ def _score(weights: dict[str, float]) -> Column:
     return out
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, names: Sequence[str] = GIVEN_NAMES) -> DataFrame:
     """Rows ``(k, th, kind, start, end, base)`` that stand: base spans, and candidates that the classifier accepts."""
-    found = materialize(candidates(docs))
+    found = materialize(candidates(docs, names))
     patterns = [r.asDict() for r in found.where("not base").groupBy(*_FEATURES).agg(F.count(F.lit(1)).alias("n")).orderBy(*_FEATURES).collect()]
     accepted = F.col("base") | (_score(classifier(patterns)) > 0) if patterns else F.col("base")
     return found.where(accepted).select("k", "th", "kind", "start", "end", "base")
@@ -248,15 +249,13 @@ def redact(docs: DataFrame) -> DataFrame:
     merged = fresh.withColumn("g", F.sum("new").over(order)).groupBy("k", "th", "g").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", _rank(F.col("kind")))).alias("kind")
     )
-    cuts = merged.groupBy(F.col("k").alias("_pk"), F.col("th").alias("_pth")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts")
-    )
-    names, text = docs.columns, docs["text"]
-    k = F.coalesce(docs["doc_id"], F.lit(-(2**63)).cast("long"))
-    joined = docs.join(cuts, (k == F.col("_pk")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_pth")), "left")
+    mine, k, th = with_keys(docs)
+    found, text = free_name(mine.columns, "cuts"), F.col("text")
+    cuts = merged.groupBy(F.col("k").alias(k), F.col("th").alias(th)).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias(found))
+    joined = mine.join(cuts, [k, th], "left")
     at0 = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     spliced = F.aggregate(
-        "_cuts",
+        found,
         at0,
         lambda acc, c: F.struct(
             c.end.alias("at"),
@@ -266,7 +265,7 @@ def redact(docs: DataFrame) -> DataFrame:
         ),
         lambda acc: F.concat(F.array_join(acc.out, ""), F.substr(text, (acc["at"] + 1).cast("int"), F.length(text))),
     )
-    return joined.select(*[F.when(F.col("_cuts").isNull(), text).otherwise(spliced).alias(c) if c == "text" else docs[c] for c in names])
+    return joined.withColumn("text", F.when(F.col(found).isNull(), text).otherwise(spliced)).drop(k, th, found)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ hash of their id. Everything else runs over all documents.
 
 Defined cases: null and empty texts have all statistics zero and are scored like any other; label
 rows without a quality or without a document are ignored; several labels of one document count
-as their mean; repeated documents are scored once each; without a usable label of both kinds
+as their mean, and of several texts of one id the fit sees that of the least hash; repeated documents are scored once each; without a usable label of both kinds
 every score is 0.5; other columns are ignored and may have any name.
 """
 
@@ -171,6 +171,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN)
             yield pa.RecordBatch.from_arrays([pa.array([statistics(t) for t in texts], pa.list_(pa.float64())), y], ["x", "y"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` small rows
+    # one text of each id, so that repeated ids keep within the limit
+    joined = joined.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("y").alias("y"))
     rows = joined.select("text", "y").mapInArrow(run, "x array<double>, y double").toArrow()
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = rows.column("y").to_numpy()

@@ -3,7 +3,9 @@
 Normalisation walks the text with the longest prefix that the model's compiled character map
 knows and records, for each normalised byte, the source byte it stems from. Ids come from the
 sentencepiece library; each piece covers a run of normalised bytes, which the recorded alignment
-projects to a half-open span of UTF-8 bytes of the original text.
+projects to a half-open span of UTF-8 bytes of the original text. The pieces must cover the
+normalised text to the byte; anything else is an error, so a wrong alignment cannot pass. A model
+without a character map, as the default one, maps every character to itself.
 
 Defined cases: a null text counts as empty; an empty text yields only begin and end ids; repeated
 rows stay repeated; texts of any length are encoded whole; other columns of the input are ignored.
@@ -118,32 +120,61 @@ class Codec:
             np.int64,
         )
 
-    def align(self, source: bytes) -> np.ndarray:
-        """For each normalised byte boundary, the source byte offset where its unit starts; the end last."""
-        if self.trim or not self.escape:
-            raise ValueError("models that trim or keep spaces have no recorded alignment here")
-        space, head = len(_SPACE), len(_SPACE) if self.dummy and source else 0
-        if not self.map.units:  # nothing is replaced: each byte stands for itself, a space for its mark
-            raw = np.frombuffer(source, np.uint8)
-            starts = np.repeat(np.arange(len(raw)), np.where(raw == 32, space, 1))
-            return np.concatenate([np.zeros(head, np.int64), starts, [len(raw)]])
-        out, at = [0] * head, 0
+    def normalize(self, source: bytes) -> tuple[bytes, np.ndarray]:
+        """The normalised bytes, and for each boundary between them the source byte where its unit starts; the end last."""
+        space = _SPACE if self.escape else b" "
+        if not self.map.units and not self.trim:  # nothing is replaced: each byte stands for itself, a space for its mark
+            raw, head = np.frombuffer(source, np.uint8), len(space) if self.dummy and source else 0
+            starts = np.repeat(np.arange(len(raw)), np.where(raw == 32, len(space), 1))
+            return space[:head] + source.replace(b" ", space), np.concatenate([np.zeros(head, np.int64), starts, [len(raw)]])
+        at = 0
+        while self.trim and at < len(source):
+            n, put = self._unit(source, at)
+            if put != b" ":
+                break
+            at += n
+        if at == len(source):
+            return b"", np.array([at], np.int64)
+        out, starts = bytearray(space if self.dummy else b""), [at] * (len(space) if self.dummy else 0)
+        after_space = self.trim
         while at < len(source):
-            found = self.map.longest(source, at)
-            if found is None:
-                lead = source[at]
-                n = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                found = n, source[at : at + n]
-            n, put = found
-            out += [at] * len(put.replace(b" ", _SPACE))
+            n, put = self._unit(source, at)
+            if after_space:
+                put = put.lstrip(b" ")
+            if put:
+                after_space = self.trim and put.endswith(b" ")
+                put = put.replace(b" ", space)
+                out += put
+                starts += [at] * len(put)
             at += n
-        return np.array([*out, len(source)], np.int64)
+        end = at
+        while self.trim and out.endswith(space):
+            end = starts[-len(space)]
+            del out[-len(space) :], starts[-len(space) :]
+        return bytes(out), np.array([*starts, end], np.int64)
+
+    def _unit(self, source: bytes, at: int) -> tuple[int, bytes]:
+        """Length and normal form of the longest known prefix at a place, or of the character there."""
+        found = self.map.longest(source, at)
+        if found is None:
+            lead = source[at]
+            n = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            found = n, source[at : at + n]
+        return found
 
     def spans(self, source: bytes, ids: list[int]) -> np.ndarray:
         """Start and end byte in ``source`` of every id, as rows of a two-column array."""
-        align = self.align(source)
-        ends = np.minimum(np.cumsum(self.width[np.asarray(ids, np.int64)]), len(align) - 1)
-        edge = align[np.concatenate([[0], ends])]
+        normal, starts = self.normalize(source)
+        width = self.width[np.asarray(ids, np.int64)]
+        unknown = np.asarray(ids) == self.sp.unk_id()
+        if unknown.any():  # as wide as what it stands for
+            said = self.sp.encode(source.decode(), out_type="immutable_proto").pieces
+            own = [len(p.piece.encode()) for p in said if p.id == self.sp.unk_id()]
+            width[unknown] = own
+        ends = np.cumsum(width)
+        if (ends[-1] if len(ends) else 0) != len(normal):
+            raise ValueError("pieces and normalised text differ")
+        edge = starts[np.concatenate([[0], ends]).astype(np.int64)]
         return np.stack([edge[:-1], edge[1:]], 1)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, materialize, table
-from .substrings import keyed
+from .substrings import keyed, with_keys
 
 BUCKET = 64
 
@@ -127,9 +127,9 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     """The row of smallest id, then smallest hash of its text, of each group of linked rows, with all columns."""
     prints = materialize(fingerprints(docs, width))
     tagged = prints.join(classes(prints), "fp")
-    first = tagged.groupBy("component").agg(F.min(F.struct("k", "th")).alias("x")).select(F.col("x.k").alias("_k"), F.col("x.th").alias("_th"))
-    mine = docs.withColumns({"_k": F.coalesce("doc_id", F.lit(-(2**63)).cast("long")), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return mine.join(first, ["_k", "_th"], "left_semi").dropDuplicates(["_k", "_th"]).select(*docs.columns)
+    first = tagged.groupBy("component").agg(F.min(F.struct("k", "th")).alias("x"))
+    mine, k, th = with_keys(docs)
+    return mine.join(first.select(F.col("x.k").alias(k), F.col("x.th").alias(th)), [k, th], "left_semi").dropDuplicates([k, th]).drop(k, th)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import free_name, materialize, table
 from .rolling import Prefix, Words, blocks
 
 LENGTH = 35
@@ -38,14 +38,21 @@ COVER = (0, 1, 4, 14, 16)
 _ROWS = "h long, g long, k long, th long, pos int, n int"
 
 
+def _keys() -> tuple:
+    """The id, and a hash of the text."""
+    return F.coalesce("doc_id", F.lit(-(2**63)).cast("long")), F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` with a key that tells different rows apart: the id, and a hash of the text."""
-    return docs.select(
-        "doc_id",
-        "text",
-        F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("k"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"),
-    )
+    k, th = _keys()
+    return docs.select("doc_id", "text", k.alias("k"), th.alias("th"))
+
+
+def with_keys(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with all its columns and the key of :func:`keyed`, and the key's names, which no column of ``docs`` has."""
+    names = [free_name(docs.columns, c) for c in ("k", "th")]
+    return docs.withColumns(dict(zip(names, _keys(), strict=True))), *names
 
 
 def _report(h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, k: np.ndarray, th: np.ndarray) -> pa.RecordBatch:

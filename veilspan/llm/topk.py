@@ -1,10 +1,12 @@
 """Exact top-k inner-product search in three phases with a uniform threshold.
 
 The components of a vector are split into ``PARTS`` lists; a vector's score is the sum of its
-partial scores in the lists. Phase one gathers, from each shard of the data, the best entries of
-each list and their scores: the k-th best of them all is a safe cutoff. Phase two broadcasts it;
-an entry can only reach the cutoff c if one of its partial scores is at least c / PARTS, so each
-shard collects just these entries. Phase three resolves their remaining partial scores exactly.
+partial scores in the lists. Phase one gathers, from the first ``FIRST`` rows of each shard, the
+best entries of each list and resolves just their scores: the k-th best of any rows is a safe
+cutoff for all. Phase two broadcasts it; an entry can only reach the cutoff c if one of its
+partial scores is at least c / PARTS, so each shard goes through the lists of all its rows and
+collects just these entries. Phase three resolves them: it adds up their partial scores exactly.
+So every list of every row is worked out once, and totals only of the entries collected.
 
 Equal vectors share their scores, so they are searched once and carry the k + 1 smallest ids,
 which is all that a query can need of them. Queries of equal id and vector are searched once too,
@@ -28,6 +30,8 @@ from .common import materialize, table
 
 PARTS = 4
 BLOCK = 4096
+#: Rows of a shard that the cutoff is drawn from; any number gives the same results.
+FIRST = 1024
 
 
 def quantize(vectors: DataFrame, scale: float = 1024.0) -> DataFrame:
@@ -45,21 +49,34 @@ def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def _matrix(rows: list, parts: int) -> list[np.ndarray]:
-    """Vectors of one length as a matrix for each list of components."""
-    m = np.array(rows, np.int64).reshape(len(rows), -1)
-    return np.array_split(m, parts, axis=1)
+def _lists(m: np.ndarray) -> list[np.ndarray]:
+    """A matrix of vectors as a matrix for each list of components."""
+    return np.array_split(m, PARTS, axis=1)
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T of integers: doubles while they hold every sum, else integers."""
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    """Exact a @ b.T of integers: as doubles or 64-bit integers while these hold the sums of all lists, else as Python's."""
+    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1]) * PARTS
     if bound < 2**52:
-        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+        return a.astype(np.float64) @ b.T.astype(np.float64)
     if bound < 2**62:
         return a @ b.T
-    exact = a.astype(object) @ b.T.astype(object)
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    return a.astype(object) @ b.T.astype(object)
+
+
+class _Shard:
+    """Rows of a batch: vectors by length, and their ids."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        v, ids = batch.column("v"), batch.column("ids")
+        at, values = v.offsets.to_numpy() - v.offsets[0].as_py(), v.flatten().to_numpy()
+        self.id_at, self.ids = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten().to_numpy()
+        size = np.diff(at)
+        self.by_length = {int(n): np.flatnonzero(size == n) for n in np.unique(size)}
+        self.vectors = {n: values[at[rows][:, None] + np.arange(n)] for n, rows in self.by_length.items()}
+
+    def members(self, row: int) -> list[int]:
+        return self.ids[self.id_at[row] : self.id_at[row + 1]].tolist()
 
 
 class _Block:
@@ -67,45 +84,41 @@ class _Block:
 
     def __init__(self, queries: list[tuple[int, list[int]]]):
         self.ids = np.array([q for q, _ in queries], np.int64)
-        self.by_length: dict[int, np.ndarray] = {}
+        by_length: dict[int, list[int]] = {}
         for i, (_, v) in enumerate(queries):
-            self.by_length.setdefault(len(v), []).append(i)  # type: ignore[arg-type]
-        self.vectors = {n: [queries[i][1] for i in own] for n, own in self.by_length.items()}
-
-    def pieces(self, batch: pa.RecordBatch, step: int = 4096):
-        """For each length and slice of a shard: query rows, member ids, partial scores by list."""
-        vs, members = batch.column("v").to_pylist(), batch.column("ids").to_pylist()
-        groups: dict[int, list[int]] = {}
-        for i, v in enumerate(vs):
-            if len(v) in self.by_length:
-                groups.setdefault(len(v), []).append(i)
-        for n, rows in groups.items():
-            whole = _matrix(self.vectors[n], PARTS)
-            own = np.array(self.by_length[n])
+            by_length.setdefault(len(v), []).append(i)
+        self.by_length = {n: np.array(own) for n, own in by_length.items()}
+        self.vectors = {n: np.array([queries[i][1] for i in own], np.int64).reshape(len(own), n) for n, own in by_length.items()}
+
+    def pieces(self, shard: _Shard, step: int = 4096):
+        """For each length and slice of a shard: queries, rows of the shard, partial scores by list."""
+        for n, rows in shard.by_length.items():
+            if n not in self.by_length:
+                continue
+            own, asked = self.by_length[n], _lists(self.vectors[n])
             for at in range(0, len(rows), step):
-                some = rows[at : at + step]
-                mine = _matrix([vs[i] for i in some], PARTS)
+                mine = _lists(shard.vectors[n][at : at + step])
                 for q in range(0, len(own), 256):
-                    yield own[q : q + 256], [members[i] for i in some], [_product(w[q : q + 256], m) for w, m in zip(whole, mine, strict=True)]
+                    yield own[q : q + 256], rows[at : at + step], [_product(w[q : q + 256], m) for w, m in zip(asked, mine, strict=True)]
 
 
-def _best(row: np.ndarray, entries: np.ndarray, k: int) -> np.ndarray:
-    """Of ``entries``, those whose score in ``row`` reaches the k-th best: k of them, and ties."""
-    if len(entries) <= k:
-        return entries
-    s = row[entries]
-    return entries[s >= np.partition(s, -k)[-k]]
+def _total(partial: list[np.ndarray], i: int, entries: np.ndarray) -> np.ndarray:
+    """The scores of some entries of query ``i``, within 64 bits."""
+    total = sum(p[i][entries] for p in partial)
+    return np.clip(total, -(2**63), 2**63 - 1).astype(np.int64) if total.dtype == object else total.astype(np.int64)
 
 
-def _expand(query: int, entries: np.ndarray, row: np.ndarray, members: list, k: int) -> list[tuple[int, int]]:
-    """The k best (-score, id) of the members of ``entries``, without the query's own row."""
+def _expand(query: int, scores: np.ndarray, rows: np.ndarray, shard: _Shard, k: int) -> list[tuple[int, int]]:
+    """The k best (-score, id) of the members of ``rows``, without the query's own row."""
+    if len(rows) > k + 1:  # k + 1 rows, and ties: one may be the query's own
+        good = scores >= np.partition(scores, -k - 1)[-k - 1]
+        scores, rows = scores[good], rows[good]
     found = []
-    for e in entries:
-        ids = members[e]
+    for s, row in zip(scores.tolist(), rows.tolist(), strict=True):
+        ids = shard.members(row)
         if query in ids:
-            ids = list(ids)
             ids.remove(query)
-        found += [(-int(row[e]), i) for i in ids]
+        found += [(-s, i) for i in ids]
     return sorted(found)[:k]
 
 
@@ -119,36 +132,38 @@ def search_block(classes: DataFrame, queries: list[tuple[int, list[int]]], k: in
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["q", "vec_id", "score"])
 
     def gather(batches):
-        b = block.value
+        b, left = block.value, FIRST
         for batch in batches:
-            out = []
-            for own, members, partial in b.pieces(batch):
-                total = sum(partial)
+            shard, out = _Shard(batch.slice(0, left)), []
+            left -= min(left, len(batch))
+            for own, rows, partial in b.pieces(shard):
+                few = min(k + 1, len(rows))
+                tops = [np.argpartition(p, -few, axis=1)[:, -few:] for p in partial]
                 for i, q in enumerate(own):
-                    listed = [p[i] for p in partial]
-                    tops = np.unique(np.concatenate([np.argpartition(p, -min(k + 1, len(p)))[-(k + 1) :] for p in listed]))
-                    out += [(q, i2, -s) for s, i2 in _expand(int(b.ids[q]), tops, total[i], members, k)]
+                    entries = np.unique(np.concatenate([t[i] for t in tops]))
+                    out += [(q, i2, -s) for s, i2 in _expand(int(b.ids[q]), _total(partial, i, entries), rows[entries], shard, k)]
             yield emit(out)
+            if not left:
+                return
 
     def resolve(batches):
         b, cut = block.value, cutoff.value
         for batch in batches:
-            out = []
-            for own, members, partial in b.pieces(batch):
-                total = sum(partial)
-                share = cut[own][:, None] / PARTS
+            shard, out = _Shard(batch), []
+            for own, rows, partial in b.pieces(shard):
+                share = (cut[own] // PARTS + (cut[own] % PARTS != 0))[:, None]
                 enough = np.logical_or.reduce([p >= share for p in partial])
                 for i, q in enumerate(own):
                     entries = np.flatnonzero(enough[i])
-                    entries = entries[total[i][entries] >= cut[q]]
-                    # k + 1 entries: one may be the query's own
-                    out += [(q, i2, -s) for s, i2 in _expand(int(b.ids[q]), _best(total[i], entries, k + 1), total[i], members, k)]
+                    scores = _total(partial, i, entries)
+                    good = scores >= cut[q]
+                    out += [(q, i2, -s) for s, i2 in _expand(int(b.ids[q]), scores[good], rows[entries[good]], shard, k)]
             yield emit(out)
 
     kind = "q long, vec_id long, score long"
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     lists = classes.mapInArrow(gather, kind).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    cut = np.full(len(queries), -(2.0**63))
+    cut = np.full(len(queries), -(2**63), np.int64)
     for row in lists.where(F.col("n") == k).select("q", "score").collect():  # one row for each query of the block
         cut[row.q] = row.score
     cutoff = spark.sparkContext.broadcast(cut)

@@ -5,13 +5,16 @@ ordered offset ranges. A tree node hashes its children's ranges and hashes, ``FA
 most; above the files' roots further nodes join files up to one root. Two replicas are compared
 from the root down, and only children of mismatching nodes are read further, down to records.
 
-Identical rows of a page count as copies of one record entry, so that no id gathers more than its
-different records. Within a file nothing is collected but the children of one node.
-
-Defined cases: a null url or html counts as empty; rows without an id are in a file of their own;
-repeated rows are one entry with its number of copies; an entry that a replica lacks is missing,
-one that only the replica has is extra, two different ones of the same id are altered; other
-columns are ignored; empty tables give an empty result.
+Identical rows of a page count as copies of one record entry. The entries are sorted by range over
+all tasks and numbered within each range; the ranges' totals, of which a file has one for each
+range that it reaches into, then give the places within files. So a file of any size, also one of
+an id that repeats in a third of the rows, is spread over many tasks; what is gathered is the
+children of one node.
+
+Defined cases: a null url or html counts as empty; rows without an id are spread over ``ODD_FILES``
+files of their own, by hash; repeated rows are one entry with its number of copies; an entry that a replica lacks is missing,
+one that only the replica has is extra, two different ones of the same id are altered (without an
+id they are missing and extra); other columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ from .common import materialize, table
 
 FILE_IDS = 4096
 FANOUT = 16
-_NO_FILE = -1
+#: Files of rows without an id, and the number of the first, below those of all ids.
+ODD_FILES = 1024
+_NO_FILE = -(2**53)
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -47,15 +52,21 @@ def entries(pages: DataFrame, name: str) -> DataFrame:
     rec = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("r"))
     each = rec.select("page_id", "url", F.sha2("r", 256).alias("hash"), F.octet_length("r").cast("long").alias("size"))
     one = each.groupBy("page_id", "url", "hash", "size").agg(F.count(F.lit(1)).alias("copies"))
-    file = F.coalesce(F.floor(F.col("page_id") / FILE_IDS), F.lit(_NO_FILE).cast("long"))
-    order = Window.partitionBy("file").orderBy("page_id", "url", "hash")
-    end = F.sum(F.col("size") * F.col("copies")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        one.withColumn("file", file)
-        .withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
-        .withColumn("end", end)
-        .select(F.lit(name).alias("replica"), "file", "idx", "page_id", "hash", (F.col("end") - F.col("size") * F.col("copies")).alias("start"), "end", "copies")
-    )
+    odd = F.lit(_NO_FILE).cast("long") + F.pmod(F.xxhash64("url", "hash"), F.lit(ODD_FILES))
+    placed = one.withColumn("file", F.coalesce(F.floor(F.col("page_id") / FILE_IDS), odd))
+    order = ["file", "page_id", "url", "hash"]
+    ranged = materialize(placed.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    bytes_ = F.col("size") * F.col("copies")
+    within = Window.partitionBy("file", "part").orderBy(*order)
+    local = ranged.withColumns({"i": F.row_number().over(within), "upto": F.sum(bytes_).over(within.rowsBetween(Window.unboundedPreceding, 0))})
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("file", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(bytes_).alias("s"))
+    starts = totals.select("file", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"))
+    end = F.col("s0") + F.col("upto")
+    return local.join(starts, ["file", "part"]).select(
+        F.lit(name).alias("replica"), "file", (F.col("n0") + F.col("i") - 1).cast("long").alias("idx"), "page_id", "hash",
+        (end - bytes_).alias("start"), end.alias("end"), "copies",
+    )
 
 
 def _parents(level: DataFrame, file: Column, idx: Column) -> DataFrame:
@@ -70,7 +81,7 @@ def _parents(level: DataFrame, file: Column, idx: Column) -> DataFrame:
 def _steps(leaves: DataFrame) -> list[tuple[Column, Column]]:
     """For each level above the leaves, a node's parent: first within files, then of files."""
     top = leaves.agg(F.max("idx"), F.max("file")).first()
-    steps, most, files = [], top[0] or 0, top[1] or 0
+    steps, most, files = [], top[0] or 0, max(0, top[1] or 0)
     while most > 0:
         steps.append((F.col("file"), F.floor(F.col("idx") / FANOUT)))
         most //= FANOUT
@@ -115,16 +126,20 @@ def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
     leaves = materialize(entries(pages, "a").union(entries(replica, "b")))
     odd = materialize(descend(*build(leaves)))
     # shifted entries are equal but for their place: what is left after they cancel out is damage
-    kept = odd.groupBy(F.coalesce("page_id", F.lit(_NO_FILE)).alias("id"), "hash").agg(
-        F.sum(F.when(F.col("replica") == "a", F.col("copies")).otherwise(-F.col("copies"))).alias("surplus")
-    )
+    ident = [F.coalesce("page_id", F.lit(0)).alias("id"), F.col("page_id").isNull().alias("no_id")]
+    kept = odd.groupBy(*ident, "hash").agg(F.sum(F.when(F.col("replica") == "a", F.col("copies")).otherwise(-F.col("copies"))).alias("surplus"))
     damaged = kept.where("surplus <> 0")
-    sides = damaged.groupBy("id").agg(F.max(F.col("surplus") > 0).alias("lost"), F.max(F.col("surplus") < 0).alias("found"))
-    state = F.when(F.col("lost") & F.col("found"), "altered").when(F.col("lost"), "missing").otherwise("extra")
-    marked = damaged.join(sides, "id").select("id", "hash", "surplus", state.alias("state"))
-    own = leaves.withColumn("id", F.coalesce("page_id", F.lit(_NO_FILE))).join(marked, ["id", "hash"], "left")
+    sides = damaged.where("not no_id").groupBy("id", "no_id").agg(F.max(F.col("surplus") > 0).alias("lost"), F.max(F.col("surplus") < 0).alias("found"))
+    state = (
+        F.when(F.col("no_id"), F.when(F.col("surplus") > 0, "missing").otherwise("extra"))
+        .when(F.col("lost") & F.col("found"), "altered")
+        .when(F.col("lost"), "missing")
+        .otherwise("extra")
+    )
+    marked = damaged.join(sides, ["id", "no_id"], "left").select("id", "no_id", "hash", "surplus", state.alias("state"))
+    own = leaves.select("*", *ident).join(marked, ["id", "no_id", "hash"], "left")
     shown = own.where("replica = 'a' or (state = 'extra' and surplus < 0)").withColumn(
-        "n", F.row_number().over(Window.partitionBy("id", "hash").orderBy("replica"))
+        "n", F.row_number().over(Window.partitionBy("id", "no_id", "hash").orderBy("replica"))
     )
     return shown.where("n = 1").select(
         "page_id", "file", "start", "end", F.col("hash").alias("sha256"), "copies", F.coalesce("state", F.lit("intact")).alias("state")
