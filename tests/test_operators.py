@@ -26,9 +26,51 @@ def test_field_rule_spans_the_value_only(spark):
     assert ("MRN", "12345") in found and ("PATIENT NAME", "Avery Archer") in found
 
 
-def test_merge_takes_the_label_of_priority(spark):
-    s = spark.createDataFrame([(1, 0, 5, "DATE"), (1, 3, 9, "DOB"), (1, 9, 12, "IP"), (2, 0, 1, "odd")], "doc_id long, start int, end int, label string")
-    assert rows(spans.merge(s).select("doc_id", "start", "end", "label", "members")) == [(1, 0, 9, "DOB", 2), (1, 9, 12, "IP", 1), (2, 0, 1, "odd", 1)]
+def test_merge(spark):
+    kind = "doc_id long, start int, end int, label string, source string"
+    s = spark.createDataFrame(
+        [
+            (1, 0, 5, "DATE", "structured"), (1, 3, 9, "DOB", "structured"), (1, 9, 12, "IP", "structured"),  # a union, and one beside it
+            (2, 0, 9, "DATE", "structured"), (2, 2, 4, "DOB", "structured"), (2, 5, 5, "ID", "structured"),  # inside: the outer label stays
+            (3, 0, 4, "NAME", "model"), (3, 2, 8, "ID", "structured"), (3, 5, 9, "NAME", "model"),  # the rule's span replaces, then holds
+            (4, 0, 9, "NAME", "pattern"), (4, 1, 3, "MRN", "alias"),  # only the inner one is structured
+            (5, 0, 2, "NAME", "model"), (5, 4, 6, "NAME", "model"), (None, 1, 2, "odd", "structured"),
+        ],
+        kind,
+    )
+    docs = spark.createDataFrame([(1, "x" * 20), (2, "x" * 20), (3, "x" * 20), (4, "x" * 20), (5, "Al - Bo"), (None, "xx")], DOCS)
+    got = rows(spans.merge(s).select("doc_id", "start", "end", "label", "members"))
+    assert got == [
+        (1, 0, 9, "DOB", 2), (1, 9, 12, "IP", 1), (2, 0, 9, "DATE", 2), (3, 2, 8, "ID", 1), (4, 1, 3, "MRN", 2),
+        (5, 0, 2, "NAME", 1), (5, 4, 6, "NAME", 1), (None, 1, 2, "odd", 1),
+    ]
+    with_texts = rows(spans.merge(s, docs.where("doc_id = 5")).select("doc_id", "start", "end", "members"))
+    assert with_texts == [(5, 0, 6, 2)]
+
+
+def test_redaction_needs_no_key(spark):
+    docs = spark.createDataFrame([(None, "write to a.b@mail.org now"), (1, "some a@b.co text"), (1, "much longer here zz@other.net end"), (2, None), (3, "")], DOCS)
+    safe = spans.redact(docs, [DIRECT_RULES[0]])
+    assert sorted((r.text or "") for r in safe.collect()) == ["", "", "much longer here [EMAIL] end", "some [EMAIL] text", "write to [EMAIL] now"]
+    many = spark.createDataFrame([(1, "a@b.co " * 1000)], DOCS)
+    assert spans.redact(many, [DIRECT_RULES[0]]).first().text == "[EMAIL] " * 1000
+    assert [r.start for r in spans.detect(many, [DIRECT_RULES[0]]).collect()] == list(range(0, 7000, 7))
+
+
+def test_rules_find_all_of_the_corpus(spark):
+    from veilspan.sources import corpus
+
+    ids = spark.range(100)
+    t = F.col("text")
+    made = corpus.cases(ids).withColumn("found", spans.merged(spans.sourced(spans.find(t, FIELD_RULES + DIRECT_RULES)), t)).withColumn("output", spans.splice(t, F.col("found")))
+    made = made.cache()
+    truth = made.select("doc_id", F.inline("truth"))
+    state = evaluate.grade(truth, made.select("doc_id", F.inline("found"))).groupBy(F.col("state").isin("exact", "mislabelled").alias("found")).count().collect()
+    assert [r.found for r in state] == [True] and state[0]["count"] > 6000
+    assert made.where(F.exists("truth", lambda x: F.contains("output", x.value))).count() == 0
+    assert made.where(F.exists("protected", lambda x: ~F.contains("output", x.value))).count() == 0
+    assert made.agg(F.min(F.length("text"))).first()[0] >= 10_000
+    made.unpersist()
 
 
 def test_overlaps_across_bins_once(spark):
@@ -41,6 +83,22 @@ def test_render(spark):
     docs = spark.createDataFrame([(1, "call 555 now"), (2, "none"), (3, None)], DOCS)
     s = spark.createDataFrame([(1, 5, 8, "PHONE")], "doc_id long, start int, end int, label string")
     assert rows(spans.render(docs, s)) == [(1, "call [PHONE] now"), (2, "none"), (3, None)]
+    odd = spark.createDataFrame([(None, "call 555 now"), (1, "call 555 now"), (1, "no 555")], DOCS)
+    null = spark.createDataFrame([(None, 5, 8, "PHONE")], "doc_id long, start int, end int, label string")
+    assert rows(spans.render(odd.where("doc_id is null"), null)) == [(None, "call [PHONE] now")]
+    with pytest.raises(Exception, match="several rows of one key"):
+        spans.render(odd, s).collect()
+
+
+def test_slugs_are_unique(spark):
+    df = spark.createDataFrame([(1, "foo"), (2, "foo"), (3, "foo-2"), (4, "Foo"), (5, "foo-2"), (6, "bar-02")], "n int, name string")
+    got = {r.n: r.token for r in text.unique_slugs(df, "name", "n").collect()}
+    assert got == {1: "foo", 2: "foo-3", 4: "foo-4", 3: "foo-2", 5: "foo-2-2", 6: "bar-02"}
+
+
+def test_near_names(spark):
+    df = spark.createDataFrame([(1, "Archer", 0), (2, "Arcer", 0), (3, "Archerr", 0), (4, "Brchar", 0), (5, "Archer", 1), (6, None, 0), (7, "", 0), (8, "A", 0)], "id int, name string, g int")
+    assert rows(names.near(df, "id", "name", "g")) == [(1, 2), (1, 3), (7, 8)]
 
 
 def test_zones(spark):

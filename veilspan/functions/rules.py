@@ -23,6 +23,8 @@ class Rule:
     pattern: str
     field: bool = False
     severity: str = "high"
+    #: What a text must hold for the rule to match at all.
+    needs: str = ""
 
 
 def _line(name: str, label: str, field: str, value: str) -> Rule:
@@ -78,8 +80,8 @@ FIELD_RULES = [
 
 _STREET = "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Place|Pl"
 DIRECT_RULES = [
-    Rule("email", "EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    Rule("url", "URL", r"https?://[^\s\"'<>)]+"),
+    Rule("email", "EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", needs="@"),
+    Rule("url", "URL", r"https?://[^\s\"'<>)]+", needs="://"),
     Rule("ipv4", "IP", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"),
     Rule("ipv6", "IP", r"\b[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}\b"),
     Rule("device_tag", "ID", r"\b(?:SN|DEV|UDI)-[A-Z0-9]*[0-9][A-Z0-9]*\b"),
@@ -116,8 +118,8 @@ RESIDUAL_RULES = [
     Rule("left_employer", "employer", r"(?i:\bemployer)[ \t]*:[ \t]*[A-Za-z]"),
     Rule("left_occupation", "occupation", r"(?i:\boccupation)[ \t]*:[ \t]*[A-Za-z]"),
     Rule("left_admit_time", "admission time", r"(?i:\badmission time)[ \t]*:[ \t]*[0-9]"),
-    Rule("left_email", "email", DIRECT_RULES[0].pattern),
-    Rule("left_url", "URL", DIRECT_RULES[1].pattern),
+    Rule("left_email", "email", DIRECT_RULES[0].pattern, needs="@"),
+    Rule("left_url", "URL", DIRECT_RULES[1].pattern, needs="://"),
     Rule("left_ip", "IP address", DIRECT_RULES[2].pattern),
     Rule("left_ssn", "SSN", DIRECT_RULES[6].pattern),
     Rule("left_phone", "phone or fax", DIRECT_RULES[14].pattern),

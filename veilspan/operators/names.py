@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import settled
+
 THRESHOLD = 4
 HONORIFICS = ("mr", "mrs", "ms", "dr", "prof")
 FIELDS = ("patient", "name", "contact", "provider")
@@ -43,20 +45,53 @@ def aliases(names: DataFrame, key: str = "doc_id", name: str = "name") -> DataFr
 
 
 def repeats(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, alias, times)``: how often each alias stands as a whole word in its own text."""
-    joined = found.join(docs.select(key, text), key)
-    pattern = F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), F.col("alias"), F.lit(r"\E(?![A-Za-z0-9_])"))
-    return joined.select(key, "alias", F.regexp_count(text, pattern).cast("long").alias("times")).where("times > 0")
+    """``(key, alias, times)``: how often each alias stands as a whole word in its own text.
+
+    The aliases of a key meet its text once, as a set. Keys that are null have no aliases.
+    """
+    each = found.groupBy(key).agg(F.collect_set("alias").alias("_aliases"))
+    pattern = lambda a: F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), a, F.lit(r"\E(?![A-Za-z0-9_])"))
+    counted = F.transform("_aliases", lambda a: F.struct(a.alias("alias"), F.regexp_count(text, pattern(a)).cast("long").alias("times")))
+    return docs.select(key, text).join(each, key).select(key, F.inline(counted)).where("times > 0")
+
+
+def near(rows: DataFrame, id_: str, name: str, group: str) -> DataFrame:
+    """Pairs ``(a, b)`` of ids of a group whose names are at most one edit apart, the smaller first.
+
+    Names that are one edit apart share the name or a form of it that lacks one letter, so rows meet
+    by group and form; no group is compared pair by pair.
+    """
+    n = F.col(name)
+    lacking = F.transform(F.sequence(F.lit(1), F.length(n)), lambda i: F.concat(F.substr(n, F.lit(1), i - 1), F.substr(n, i + 1)))
+    forms = F.array_distinct(F.concat(F.array(n), F.when(F.length(n) > 0, lacking).otherwise(F.array().cast("array<string>"))))
+    each = rows.where(n.isNotNull()).select(F.col(group).alias("_g"), F.col(id_).alias("_id"), n.alias("_name"), F.explode(forms).alias("_form"))
+    a, b = (each.select("_g", "_form", F.col("_id").alias(x), F.col("_name").alias(f"{x}_name")) for x in "ab")
+    met = a.join(b, ["_g", "_form"]).where("a < b").where(F.levenshtein("a_name", "b_name", 1) >= 0)
+    return met.select("a", "b").distinct()
 
 
 def fixpoint(docs: DataFrame, seeds: DataFrame, grow, rounds: int = 3, key: str = "doc_id") -> DataFrame:
-    """Names that ``grow(docs, names)`` adds to the seeds, until a round adds none, at most ``rounds`` times."""
-    names = seeds.select(key, "name").distinct()
+    """Names that ``grow(docs, names)`` adds to the seeds, until a round adds none, at most ``rounds`` times.
+
+    Each round is written to the shared folder, so that the next one does not run it again. A last
+    round that still adds names is an error: raise ``rounds``, or bound what ``grow`` adds.
+    """
+    names = settled(seeds.select(key, "name").distinct())
     have = names.count()
     for _ in range(rounds):
-        names = names.union(grow(docs, names).select(key, "name")).distinct()
+        names = settled(names.union(grow(docs, names).select(key, "name")).distinct())
         now = names.count()
         if now == have:
-            break
+            return names
         have = now
+    if names.union(grow(docs, names).select(key, "name")).distinct().count() != have:
+        raise RuntimeError(f"names have not settled in {rounds} rounds")
     return names
+
+
+def same_surname(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, name)``: capitalised pairs of words of a text whose second word is the surname of a name already found there."""
+    pairs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"), F.lit(0)))
+    surnames = found.groupBy(key).agg(F.collect_set(F.element_at(F.split("name", " "), -1)).alias("_s"))
+    each = docs.select(key, pairs.alias("_p")).join(surnames, key)
+    return each.select(key, F.explode(F.filter("_p", lambda p: F.array_contains("_s", F.substring_index(p, " ", -1)))).alias("name"))

@@ -1,8 +1,17 @@
-"""Detection, algebra and rendering of half-open code-point spans, in DataFrame functions."""
+"""Detection, algebra and rendering of half-open code-point spans, in DataFrame functions.
+
+Finding, merging and splicing work inside the row, on arrays: no key is needed, nothing is shuffled,
+and rows without an id or of one id keep their own spans. The functions of tables (:func:`detect`,
+:func:`overlaps`, :func:`containing`) explode these arrays where spans meet other tables.
+
+Defined cases: a null text has no spans and stays null; rules report in their order, matches of one
+rule do not overlap; spans that end where they start, or have a null end, are dropped by merging; a
+null key names a row like any other in :func:`detect`, and joins nothing in the joins of tables.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,39 +20,70 @@ from ..functions.rules import PRIORITY, Rule
 
 #: Width of the bins that spans are cut into for overlap joins.
 BIN = 4096
+#: Steps of a fold after which what it gathered is set aside, so that long arrays are not copied again and again.
+_STRETCH = 256
+_SPAN = "struct<rule:string,label:string,severity:string,start:bigint,end:bigint,value:string>"
+
+
+def fold(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The rows of type ``kind`` that a fold emits: ``step(state, item)`` gives the next state and an array of rows.
+
+    Stretches of the items are folded one after another, so that the time is about linear in them.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        following, out = step(acc.s, x)
+        return F.struct(following.alias("s"), F.concat(acc.out, out).alias("out"))
 
+    def stretch(acc: Column, at: Column) -> Column:
+        part = F.aggregate(F.slice(items, at, F.lit(_STRETCH)), F.struct(acc.s.alias("s"), none.alias("out")), one)
+        return F.transform(F.array(part), lambda p: F.struct(p.s.alias("s"), F.concat(acc.all, F.array(p.out)).alias("all")))[0]
 
-def _matches(text: Column, rule: Rule) -> Column:
-    group = 0
-    m = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group))
-    lead = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(1)) if rule.field else m
-    value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(2)) if rule.field else m
-    zipped = F.arrays_zip(F.split(text, F.lit(rule.pattern), -1).alias("g"), m.alias("m"), lead.alias("l"), value.alias("v"))
-    return F.transform(F.filter(zipped, lambda x: x.m.isNotNull()), _struct(rule))
+    start = F.struct(state.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("all"))
+    steps = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(_STRETCH))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.aggregate(steps, start, stretch, lambda acc: acc.all))
 
 
-def _struct(rule: Rule):
-    def make(x: Column, i: Column) -> Column:
-        lead = F.length(x.l) if rule.field else F.lit(0)
-        return F.struct(
-            F.lit(rule.name).alias("rule"), F.lit(rule.label).alias("label"), F.lit(rule.severity).alias("severity"),
-            i.alias("i"), F.length(x.g).alias("gap"), F.length(x.m).alias("width"), lead.alias("lead"), x.v.alias("value"),
+def _hits(text: Column, rule: Rule) -> Column:
+    """Matches of a rule with what lies between them; a text without a match is searched once."""
+    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    if rule.needs:
+        found = F.when(text.contains(rule.needs), found)
+
+    def placed(m: Column) -> Column:
+        value = (lambda x: F.regexp_extract(x, rule.pattern, 2)) if rule.field else (lambda x: x)
+        return F.zip_with(
+            m,
+            F.slice(F.split(text, F.lit(rule.pattern), -1), F.lit(1), F.size(m)),
+            lambda x, g: F.struct(
+                F.lit(rule.name).alias("rule"), F.lit(rule.label).alias("label"), F.lit(rule.severity).alias("severity"),
+                F.length(g).cast("long").alias("gap"), F.length(x).cast("long").alias("width"), value(x).alias("value"),
+            ),
         )
 
-    return make
+    return F.flatten(F.transform(F.filter(F.array(found), lambda m: F.size(m) > 0), placed))
 
 
-def detect(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Spans of all rules: ``(key, rule, label, severity, start, end, value)``.
+def find(text: Column, rules: Sequence[Rule]) -> Column:
+    """Spans of all rules in a text: an array of (rule, label, severity, start, end, value)."""
+    t = F.coalesce(text, F.lit(""))
+    hits = F.concat(*[_hits(t, r) for r in rules])
 
-    One pass over the texts; only the matches are shuffled, to add up the lengths before them.
-    """
-    found = F.concat(*[_matches(F.coalesce(F.col(text), F.lit("")), r) for r in rules])
-    each = docs.select(key, F.explode(found).alias("s")).select(key, "s.*")
-    upto = Window.partitionBy(key, "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.col("width")).over(upto)
-    placed = each.withColumn("start", end - F.col("width") + F.col("lead"))
-    return placed.select(key, "rule", "label", "severity", "start", (F.col("start") + F.length("value")).alias("end"), "value")
+    def place(state: Column, x: Column) -> tuple[Column, Column]:
+        begin = F.when(x.rule == state.rule, state["at"]).otherwise(0) + x.gap
+        end = begin + x.width  # the value is what a field's match ends with
+        row = F.struct(x.rule, x.label, x.severity, (end - F.length(x.value)).alias("start"), end.alias("end"), x.value)
+        return F.struct(x.rule.alias("rule"), end.alias("at")), F.array(row)
+
+    begin = F.struct(F.lit("").alias("rule"), F.lit(0).cast("long").alias("at"))
+    # bound once: the fold names its items more than once
+    return F.flatten(F.transform(F.array(hits), lambda h: fold(h, begin, _SPAN, place)))
+
+
+def detect(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Spans of all rules: ``(key, rule, label, severity, start, end, value)``, a row for each, without a shuffle."""
+    return docs.select(key, F.inline(find(F.col(text), rules)))
 
 
 def priority(label: Column) -> Column:
@@ -51,17 +91,108 @@ def priority(label: Column) -> Column:
     return F.when(at > 0, at).otherwise(len(PRIORITY) + 1)
 
 
-def merge(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Overlapping spans as one: ``(key, start, end, label, members)``, with the label of highest priority."""
-    order = Window.partitionBy(key).orderBy("start", F.desc("end"))
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.coalesce(reach, F.lit(-1)) <= F.col("start"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        spans.withColumn("_g", island)
-        .groupBy(key, "_g")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("label", priority(F.col("label"))).alias("label"), F.count(F.lit(1)).alias("members"))
-        .drop("_g")
-    )
+def _sources(have: Column, more: Column) -> Column:
+    return F.when(have.contains(more), have).otherwise(F.concat_ws("+", have, more))
+
+
+_MERGED = "struct<start:bigint,end:bigint,label:string,source:string,members:bigint>"
+
+
+def merged(found: Column, text: Column) -> Column:
+    """The spans of one text as disjoint ones: an array of (start, end, label, source, members), by start.
+
+    ``found`` holds (start, end, label, source). A source that says structured, alias or residual is
+    structured; ``model`` alone is a bare model's. In the order of start, and longest first, each span
+    meets the last one kept:
+
+    - overlapping, the last structured and the new bare model: the new goes;
+    - overlapping, the last bare model and the new structured: the new replaces it;
+    - inside the last, neither of a model: the last keeps range and label, unless only the new is structured;
+    - overlapping otherwise, or of one label and a model with at most four blanks, dots, quotes or
+      dashes between: their union, with the label of higher priority;
+    - else it is kept apart.
+
+    A span that an earlier rule's span covers lies inside what that has become, so it needs no check of its own.
+    """
+    long = lambda c: c.cast("long")
+    numbered = F.transform(F.filter(found, lambda x: x.end > x.start), lambda x, i: F.struct(x.start.alias("a"), (-x.end).alias("z"), i.alias("i"), x.alias("x")))
+    items = F.transform(F.sort_array(numbered), lambda y: y.x)
+
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        over = (last.start < x.end) & (x.start < last.end)
+        model, bare = lambda e: e.source.contains("model"), lambda e: e.source == "model"
+        firm = lambda e: e.source.rlike("structured|alias|residual")
+        between = F.substr(text, (last.end + 1).cast("int"), F.greatest(x.start - last.end, F.lit(0)).cast("int"))
+        goes_on = (x.start >= last.end) & (x.start - last.end <= 4) & (last.label == x.label) & (model(last) | model(x)) & F.coalesce(between.rlike(r"^[ \t.'-]*$"), F.lit(False))
+        inside = over & (x.end <= last.end) & (x.start >= last.start) & ~model(last) & ~model(x)
+        make = lambda a, z, label, source, n: F.struct(long(a).alias("start"), long(z).alias("end"), label.alias("label"), source.alias("source"), long(n).alias("members"))
+        alone = make(x.start, x.end, x.label, x.source, F.lit(1))
+        label = F.when(priority(x.label) < priority(last.label), x.label).otherwise(last.label)
+        union = make(F.least(last.start, x.start), F.greatest(last.end, x.end), label, _sources(last.source, x.source), last.members + 1)
+        apart = last.end.isNull() | ~(over | goes_on)
+        following = (
+            F.when(apart, alone)
+            .when(over & firm(last) & bare(x), last)
+            .when(over & bare(last) & firm(x), alone)
+            .when(inside & firm(x) & ~firm(last), make(x.start, x.end, x.label, _sources(x.source, last.source), last.members + 1))
+            .when(inside, make(last.start, last.end, last.label, _sources(last.source, x.source), last.members + 1))
+            .otherwise(union)
+        )
+        return following, F.when(apart & last.end.isNotNull(), F.array(last)).otherwise(F.array().cast(f"array<{_MERGED}>"))
+
+    # a null at the end puts out the last span
+    nothing = F.lit(None).cast(_MERGED)
+    far = F.transform(F.filter(F.array(items), lambda a: F.size(a) > 0), lambda a: F.concat(a, F.array(_beyond(a))))
+    return F.flatten(F.transform(far, lambda a: fold(a, nothing, _MERGED, step)))
+
+
+def _beyond(items: Column) -> Column:
+    """A span after all others, which closes the last of them."""
+    last = F.array_max(F.transform(items, lambda x: x.end))
+    return F.transform(F.slice(items, 1, 1), lambda x: x.withField("start", (last + 9).cast("bigint")).withField("end", (last + 10).cast("bigint")))[0]
+
+
+def sourced(found: Column, source: str = "structured") -> Column:
+    """Spans of :func:`find` as those that :func:`merged` takes."""
+    return F.transform(found, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.label.alias("label"), F.lit(source).alias("source")))
+
+
+def splice(text: Column, spans: Column) -> Column:
+    """The text with each of the disjoint spans, in order, replaced by its label in brackets."""
+
+    def step(at: Column, c: Column) -> tuple[Column, Column]:
+        before = F.substr(text, (at + 1).cast("int"), (c.start - at).cast("int"))
+        return c.end.cast("long"), F.array(before, F.concat(F.lit("["), c.label, F.lit("]")))
+
+    parts = F.transform(F.array(spans), lambda s: fold(s, F.lit(0).cast("long"), "string", step))[0]
+    tail = F.substr(text, (F.coalesce(F.element_at(spans, -1).end, F.lit(0)) + 1).cast("int"), F.length(text))
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) == 0, text).otherwise(F.concat(F.array_join(parts, ""), tail))
+
+
+def redact(docs: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
+    """``docs`` with the spans of all rules replaced by their labels; each row by itself."""
+    t = F.col(text)
+    found = F.transform(F.array(merged(sourced(find(t, rules)), t)), lambda s: splice(t, s))[0]
+    return docs.withColumn(text, F.when(t.isNotNull(), found))
+
+
+def merge(spans: DataFrame, docs: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The spans of each key as disjoint ones: ``(key, start, end, label, source, members)``, see :func:`merged`.
+
+    Without a column ``source`` all are structured. Spans of a model go on across short gaps only
+    where ``docs`` gives the texts.
+    """
+    given = spans if "source" in spans.columns else spans.withColumn("source", F.lit("structured"))
+    each = given.groupBy(key).agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("start", "end")], "label", "source")).alias("s"))
+    if docs is None:
+        return each.select(key, F.inline(merged(F.col("s"), F.lit(None).cast("string"))))
+    return each.join(docs.select(key, text), key).select(key, F.inline(merged(F.col("s"), F.col(text))))
+
+
+def merge_found(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, start, end, label, source, members)`` of the rules' spans, merged in the row."""
+    t = F.col(text)
+    return docs.select(key, F.inline(merged(sourced(find(t, rules)), t)))
 
 
 def overlaps(a: DataFrame, b: DataFrame, key: str = "doc_id", width: int = BIN) -> DataFrame:
@@ -86,22 +217,41 @@ def containing(inner: DataFrame, outer: DataFrame, key: str = "doc_id") -> DataF
 
 
 def render(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, text)`` with each of the disjoint spans replaced by its label in brackets."""
-    cuts = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("_c"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    t = F.col(text)
-    spliced = F.aggregate(
-        "_c",
-        zero,
-        lambda acc, c: F.struct(
-            c.end.cast("long").alias("at"),
-            F.concat(acc.out, F.array(F.substr(t, (acc["at"] + 1).cast("int"), (c.start - acc["at"]).cast("int")), F.concat(F.lit("["), c.label, F.lit("]")))).alias("out"),
-        ),
-        lambda acc: F.concat(F.array_join(acc.out, ""), F.substr(t, (acc["at"] + 1).cast("int"), F.length(t))),
-    )
-    return docs.join(cuts, key, "left").select(key, F.when(F.col("_c").isNull(), t).otherwise(spliced).alias(text))
+    """``(key, text)`` with each of the disjoint spans of a table replaced by its label in brackets.
+
+    For spans that come from elsewhere; rules are applied in the row by :func:`redact`. A null key
+    meets null keys. Keys must tell the rows of ``docs`` apart: a key of several rows that has spans is an error.
+    """
+    cuts = spans.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label"))).alias("_c"))
+    counted = docs.select(key, text, F.count(F.lit(1)).over(Window.partitionBy(key)).alias("_n"))
+    joined = counted.join(cuts, F.col(key).eqNullSafe(F.col("_key")), "left")
+    safe = F.when(F.col("_c").isNull(), F.col(text)).when(F.col("_n") > 1, F.raise_error("several rows of one key").cast("string")).otherwise(splice(F.col(text), F.col("_c")))
+    return joined.select(key, safe.alias(text))
 
 
 def occurrences(text: Column, literal: str) -> Column:
     """How often a literal occurs, without overlaps."""
     return F.size(F.split(text, F.lit("\\Q" + literal + "\\E"), -1)) - 1
+
+
+def inside_bracket(text: Column, found: Column) -> Column:
+    """The spans with a flag ``inside``: whether an opening bracket before is closed after it, with none in between."""
+    brackets = find(text, [Rule("bracket", "", r"\[[^\[\]]*\]", needs="[")])
+    test = lambda b: F.transform(found, lambda s: s.withField("inside", F.exists(b, lambda x: (x.start < s.start) & (x.end > s.end))))
+    return F.transform(F.array(brackets), test)[0]
+
+
+def to_token_edges(text: Column, found: Column, look: int = 256) -> Column:
+    """The spans with ``grown_start`` and ``grown_end``: moved outwards over the letters and digits that touch them."""
+
+    def run(window: Column, whole: Column, pattern: str) -> Column:
+        n = F.length(F.regexp_extract(window, pattern, 0))
+        return F.when(n < look, n).otherwise(F.length(F.regexp_extract(whole, pattern, 0)))  # the whole only for very long runs
+
+    def grown(s: Column) -> Column:
+        near = F.greatest(s.start - look, F.lit(0))
+        back = run(F.substr(text, (near + 1).cast("int"), (s.start - near).cast("int")), F.substr(text, F.lit(1), s.start.cast("int")), "[A-Za-z0-9]*$")
+        on = run(F.substr(text, (s.end + 1).cast("int"), F.lit(look)), F.substr(text, (s.end + 1).cast("int")), "^[A-Za-z0-9]*")
+        return s.withField("grown_start", s.start - back).withField("grown_end", s.end + on)
+
+    return F.transform(found, grown)

@@ -25,10 +25,22 @@ def slug(text: Column) -> Column:
 
 
 def unique_slugs(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Adds token: the slug, with -2, -3 and so on for later rows of the same slug."""
+    """Adds slug and token. The first row of a slug has it as its token, later ones the slug with the next of
+    -2, -3 and so on that is not itself the slug of some row; so tokens are unique."""
     base = rows.withColumn("slug", slug(F.col(name)))
-    n = F.row_number().over(Window.partitionBy("slug").orderBy(order))
-    return base.withColumn("n", n).withColumn("token", F.when(F.col("n") > 1, F.concat_ws("-", "slug", "n")).otherwise(F.col("slug"))).drop("n")
+    numbered = base.withColumn("_n", F.row_number().over(Window.partitionBy("slug").orderBy(order)))
+    tail = r"^(.*)-([1-9][0-9]*)$"
+    taken = (
+        base.where(F.col("slug").rlike(tail))
+        .groupBy(F.regexp_extract("slug", tail, 1).alias("_base"))
+        .agg(F.sort_array(F.collect_set(F.try_to_number(F.regexp_extract("slug", tail, 2), F.lit("9999999999")).cast("long"))).alias("_taken"))
+    )
+    joined = numbered.join(taken, F.col("slug") == F.col("_base"), "left")
+    # the r-th free number from 2 on: each taken one with fewer than r free ones before it moves it on
+    r = F.col("_n") - 1
+    before = F.size(F.filter(F.coalesce("_taken", F.array().cast("array<bigint>")), lambda t, i: (t >= 2) & (t - i - 2 < r)))
+    free = r + 1 + before
+    return joined.withColumn("token", F.when(F.col("_n") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", free))).drop("_n", "_base", "_taken")
 
 
 def generalise_ages(text: Column) -> Column:

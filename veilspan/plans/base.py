@@ -51,3 +51,28 @@ def spans_sql(rules: Sequence[Rule], source: str, key: str = "doc_id", text: str
         f"SELECT {key}, rule, label, severity, start, CAST(start + length(value) AS BIGINT) AS \"end\", value FROM ("
         f"SELECT {key}, rule, label, severity, {start} AS start, coalesce(v[i], m[i]) AS value FROM ({each}))"
     )
+
+
+def merged_sql(found: str, rules: Sequence[Rule], priority: Sequence[str], source: str = "'structured'", key: str = "doc_id") -> str:
+    """SQL for :func:`veilspan.operators.spans.merged` over spans ``found``: a recursion from span to span."""
+    names = ", ".join(f"'{r.name}'" for r in rules)
+    rank = lambda label: f"coalesce(list_position([{', '.join(repr(x) for x in priority)}], {label}), 99)"
+    over = '(l."start" < o."end" AND o."start" < l."end")'
+    firm = lambda e: f"regexp_matches({e}.source, 'structured|alias|residual')"
+    model = lambda e: f"contains({e}.source, 'model')"
+    joined = lambda a, b: f"CASE WHEN contains({a}.source, {b}.source) THEN {a}.source ELSE {a}.source || '+' || {b}.source END"
+    state = f"""CASE WHEN NOT {over} THEN 'apart' WHEN {firm('l')} AND o.source = 'model' THEN 'drop' WHEN l.source = 'model' AND {firm('o')} THEN 'swap'
+      WHEN o."end" <= l."end" AND o."start" >= l."start" AND NOT {model('l')} AND NOT {model('o')} THEN CASE WHEN {firm('o')} AND NOT {firm('l')} THEN 'inner' ELSE 'outer' END ELSE 'union' END"""
+    pick = lambda new, inner, outer, union: f"CASE c WHEN 'apart' THEN {new} WHEN 'swap' THEN {new} WHEN 'inner' THEN {inner} WHEN 'union' THEN {union} ELSE {outer} END"
+    return f"""
+    WITH RECURSIVE o AS (SELECT {key}, "start", "end", label, {source} AS source, row_number() OVER (PARTITION BY {key} ORDER BY "start", "end" DESC, list_position([{names}], rule), "start") AS n
+      FROM ({found}) WHERE "end" > "start"),
+    f AS (SELECT {key}, n, 1 AS g, "start", "end", label, source, CAST(1 AS BIGINT) AS members FROM o WHERE n = 1
+      UNION ALL
+      SELECT {key}, n, g + CASE WHEN c = 'apart' THEN 1 ELSE 0 END, {pick('os', 'os', 'ls', 'least(ls, os)')}, {pick('oe', 'oe', 'le', 'greatest(le, oe)')},
+        {pick('ol', 'ol', 'll', f"CASE WHEN {rank('ol')} < {rank('ll')} THEN ol ELSE ll END")}, {pick('osrc', 'jn', 'CASE WHEN c = ' + "'drop'" + ' THEN lsrc ELSE jo END', 'jo')},
+        {pick('CAST(1 AS BIGINT)', 'm + 1', "CASE WHEN c = 'drop' THEN m ELSE m + 1 END", 'm + 1')}
+      FROM (SELECT o.{key}, o.n, l.g, l.members AS m, o."start" AS os, o."end" AS oe, o.label AS ol, o.source AS osrc, l."start" AS ls, l."end" AS le, l.label AS ll, l.source AS lsrc,
+        {joined('o', 'l')} AS jn, {joined('l', 'o')} AS jo, {state} AS c FROM f l JOIN o ON o.{key} = l.{key} AND o.n = l.n + 1))
+    SELECT {key}, arg_max("start", n) AS "start", arg_max("end", n) AS "end", arg_max(label, n) AS label, arg_max(source, n) AS source, arg_max(members, n) AS members FROM f GROUP BY {key}, g
+    """

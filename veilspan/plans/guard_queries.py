@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rules import DIRECT_RULES, PRIORITY
+from ..functions.rules import DIRECT_RULES, FIELD_RULES, PRIORITY
 from ..operators import guards, lines, records, spans
 from ..sources.notes import FIRST, LAST, notes
 from .base import query, spans_sql, table
-from .span_queries import _GRADE_SQL, _LIST, _REDACTED, LONG_DIGITS, NOTES_SQL, _graded, _lines_sql, _redacted, _truth
+from .span_queries import _GRADE_SQL, _LIST, _REDACTED, LONG_DIGITS, NOTES_SQL, _SAFE_RULES, _graded, _lines_sql, _truth
 
 def _k():
     return F.col("c_custkey")
@@ -60,7 +60,7 @@ _KNOWN = ["EMAIL", "IP", "PHONE", "MRN"]
       SELECT doc_id, unnest(regexp_extract_all({_REDACTED}, '{guards.PLACEHOLDER}', 1)) AS label FROM documents) GROUP BY ALL""",
 )
 def placeholder_scan(spark, sf_dir):
-    return guards.placeholders(_redacted(spark, sf_dir), _KNOWN).select("doc_id", "label", "known", "times")
+    return guards.placeholders(spans.redact(table(spark, sf_dir, "documents"), _SAFE_RULES), _KNOWN).select("doc_id", "label", "known", "times")
 
 
 _TITLES, _ENDS = ["Dr. ", "", "Ms ", "Prof. "], [", MD", "", " Jr.", " III"]
@@ -112,10 +112,9 @@ _EMAIL = next(r for r in DIRECT_RULES if r.name == "email")
 )
 def line_context(spark, sf_dir):
     corpus = notes(table(spark, sf_dir, "customer"))
-    each = lines.split_lines(corpus).select(F.col("doc_id").alias("d"), F.col("start").alias("at"), F.col("end").alias("upto"), "line")
-    found = spans.detect(corpus, [_EMAIL])
-    met = found.join(each, (F.col("doc_id") == F.col("d")) & (F.col("start") >= F.col("at")) & (F.col("start") < F.col("upto")))
-    return met.select("doc_id", "start", "line", F.substr("line", F.lit(1), (F.col("start") - F.col("at")).cast("int")).alias("before"))
+    each = lines.split_lines(corpus).select("doc_id", "start", (F.col("end") + 1).alias("end"), "line")
+    met = spans.overlaps(spans.detect(corpus, [_EMAIL]).select("doc_id", "start", "end"), each).where("start_b <= start_a and start_a < end_b - 1")
+    return met.select("doc_id", F.col("start_a").alias("start"), F.col("line_b").alias("line"), F.substr("line_b", F.lit(1), (F.col("start_a") - F.col("start_b")).cast("int")).alias("before"))
 
 
 @query(
@@ -204,8 +203,8 @@ def caret_token(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.regexp_extract(upto, r"\{\{([A-Za-z0-9# _-]*)$", 1).alias("token"))
 
 
-@query("label_priority", f"SELECT label, CAST(coalesce(list_position({_LIST(PRIORITY)}, label), 99) AS INTEGER) AS rank FROM (SELECT unnest(['MRN', 'DATE', 'nothing', 'PATIENT NAME']) AS label)")
+@query("label_priority", f"SELECT DISTINCT label, CAST(coalesce(list_position({_LIST(PRIORITY)}, label), {len(PRIORITY) + 1}) AS INTEGER) AS rank FROM (SELECT upper(p_type) AS label FROM part UNION ALL SELECT label FROM ({spans_sql(FIELD_RULES, f'({NOTES_SQL})')}))")
 def label_priority(spark, sf_dir):
-    rows = spark.createDataFrame([("MRN",), ("DATE",), ("nothing",), ("PATIENT NAME",)], "label string")
-    at = F.array_position(F.array(*[F.lit(p) for p in PRIORITY]), F.col("label"))
-    return rows.select("label", F.when(at > 0, at).otherwise(99).cast("int").alias("rank"))
+    found = spans.detect(notes(table(spark, sf_dir, "customer")), FIELD_RULES).select("label")
+    labels = table(spark, sf_dir, "part").select(F.upper("p_type").alias("label")).union(found).distinct()
+    return labels.select("label", spans.priority(F.col("label")).cast("int").alias("rank"))

@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import sql
-from ..functions.rules import DIRECT_RULES, FIELD_RULES, Rule
+from ..functions.rules import DIRECT_RULES, FIELD_RULES, PRIORITY, Rule
 from ..operators import model, names, spans
 from ..sources import vault
 from ..sources.notes import FIRST, LAST, notes
+from ..scratch import new_folder
 from ..streaming import events
-from .base import query, spans_sql, table
-from .span_queries import _LIST, _PRIO, NOTES_SQL
+from .base import merged_sql, query, spans_sql, table
+from .span_queries import _LIST, NOTES_SQL
 
 _ALL = FIELD_RULES + DIRECT_RULES
 _NOTE_SPANS = spans_sql(_ALL, f"({NOTES_SQL})")
-_NOTE_MERGED = f"""
-SELECT doc_id, min(start) AS start, max("end") AS "end", arg_min(label, {_PRIO}) AS label FROM (
-  SELECT *, sum(CASE WHEN coalesce(reach, -1) <= start THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, "end" DESC ROWS UNBOUNDED PRECEDING) AS g FROM (
-    SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ({_NOTE_SPANS})))
-GROUP BY doc_id, g
-"""
+_NOTE_MERGED = merged_sql(_NOTE_SPANS, _ALL, PRIORITY)
 
 
 @query("deid_summary", f"SELECT label, count(*) AS spans, count(DISTINCT doc_id) AS docs FROM ({_NOTE_MERGED}) GROUP BY 1")
 def deid_summary(spark, sf_dir):
-    merged = spans.merge(spans.detect(notes(table(spark, sf_dir, "customer")), _ALL))
+    merged = spans.merge_found(notes(table(spark, sf_dir, "customer")), _ALL)
     return merged.groupBy("label").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("doc_id").alias("docs"))
 
 
@@ -38,7 +31,7 @@ def deid_summary(spark, sf_dir):
 )
 def deid_text_length(spark, sf_dir):
     corpus = notes(table(spark, sf_dir, "customer"))
-    safe = spans.render(corpus, spans.merge(spans.detect(corpus, _ALL)))
+    safe = spans.redact(corpus, _ALL)
     return safe.select("doc_id", F.length("text").cast("long").alias("chars"))
 
 
@@ -71,10 +64,20 @@ def alias_repeats(spark, sf_dir):
     return names.repeats(corpus, names.aliases(found))
 
 
-@query("alias_fixpoint", f"SELECT DISTINCT doc_id, name FROM ({_RECALL})")
+_SEEN = f"(SELECT doc_id, text || chr(10) || 'Seen with ' || 'Robin ' || string_split(name, ' ')[2] || ' and Kim Other.' AS text, name FROM ({NOTES_SQL}))"
+_SEED = f"(SELECT doc_id, name FROM ({_RECALL}) WHERE n < 5)"
+
+
+@query(
+    "alias_fixpoint",
+    f"""SELECT doc_id, name FROM {_SEED} UNION SELECT s.doc_id, pair FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b')) AS pair FROM {_SEEN}) s
+    JOIN {_SEED} d ON d.doc_id = s.doc_id AND string_split(d.name, ' ')[2] = string_split(pair, ' ')[2]""",
+)
 def alias_fixpoint(spark, sf_dir):
     corpus, found = _recalled(spark, sf_dir)
-    return names.fixpoint(corpus, found.where("n < 5"), lambda docs, have: found)
+    surname = F.element_at(F.split(F.col("truth")[0]["key"], " "), -1)
+    seen = corpus.withColumn("text", F.concat("text", F.lit("\nSeen with Robin "), surname, F.lit(" and Kim Other.")))
+    return names.fixpoint(seen, found.where("n < 5"), names.same_surname)
 
 
 def _capital_pairs():
@@ -90,12 +93,16 @@ def model_hook(spark, sf_dir):
     return found.select("doc_id", "label", "start", "end")
 
 
-@query("deid_modes", f"""SELECT 'structured' AS mode, count(*) AS spans FROM ({_NOTE_SPANS}) UNION ALL SELECT 'model', count(*) FROM ({spans_sql([Rule("m", "NAME", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b")], f"({NOTES_SQL})")})""")
+_MODEL_SPANS = spans_sql([Rule("m", "NAME", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b")], f"({NOTES_SQL})")
+
+
+@query("deid_modes", f"""WITH s AS (SELECT count(*) AS n FROM ({_NOTE_SPANS})), m AS (SELECT count(*) AS n FROM ({_MODEL_SPANS}))
+    SELECT 'structured' AS mode, n AS spans FROM s UNION ALL SELECT 'model', n FROM m UNION ALL SELECT 'hybrid', s.n + m.n FROM s, m""")
 def deid_modes(spark, sf_dir):
     corpus = notes(table(spark, sf_dir, "customer")).select("doc_id", "text")
     own, theirs = spans.detect(corpus, _ALL), model.predict(corpus, _capital_pairs)
     counted = lambda mode: model.combine(own, theirs, mode).agg(F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("spans"))
-    return counted("structured").union(counted("model"))
+    return counted("structured").union(counted("model")).union(counted("hybrid"))
 
 
 @query("sealed_records", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
@@ -105,18 +112,13 @@ def sealed_records(spark, sf_dir):
     return vault.decrypt(vault.encrypt(rows, key), key, rows.schema)
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
-@query("stream_tumbling", "SELECT event_type, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM events GROUP BY ALL")
+@query("stream_tumbling", "SELECT * FROM (SELECT event_type, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def stream_tumbling(spark, sf_dir):
     read = events.read(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema)
     stamped = read.withColumn("ts", F.col("ts").cast("timestamp"))
     counted = events.tumbling(stamped, "ts", "1 day", "1 hour", "event_type")
-    at = _folder(spark)
-    out = events.run_available(counted.select("event_type", F.col("w.start").alias("start"), "n"), f"{at}/out", f"{at}/state", "complete")
+    at = new_folder(spark, "stream")
+    out = events.run_available(counted.select("event_type", F.col("w.start").alias("start"), "n"), f"{at}/out", f"{at}/state")  # windows that the watermark has closed
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
@@ -124,8 +126,8 @@ def stream_tumbling(spark, sf_dir):
 def stream_once(spark, sf_dir):
     read = events.read(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
     doubled = read.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    at = _folder(spark)
-    kept = events.run_available(events.once(doubled, "event_id", "ts", "3650 days").select("user_id", "event_id"), f"{at}/out", f"{at}/state")
+    at = new_folder(spark, "stream")
+    kept = events.run_available(events.once(doubled, "event_id", "ts", "1 day").select("user_id", "event_id"), f"{at}/out", f"{at}/state")
     return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 

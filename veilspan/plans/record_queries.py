@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import records, text, timeline
+from ..operators import names, records, text, timeline
 from .base import query, table
 
 L = lambda c: c.cast("long")
@@ -36,12 +36,20 @@ def plain_prompt(spark, sf_dir):
 _SLUG = "regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
+_SLUGGED = f"SELECT p_partkey, slug, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS n FROM (SELECT p_partkey, regexp_replace({_SLUG}, '-[a-z]+$', CASE WHEN p_partkey % 9 = 0 THEN '-2' ELSE '' END) AS slug FROM part)"
+
+
 @query(
     "unique_slugs",
-    f"SELECT p_partkey, slug, CASE WHEN n > 1 THEN slug || '-' || n ELSE slug END AS token FROM (SELECT p_partkey, {_SLUG} AS slug, row_number() OVER (PARTITION BY {_SLUG} ORDER BY p_partkey) AS n FROM part)",
+    f"""WITH s AS ({_SLUGGED}), t AS (SELECT regexp_extract(slug, '^(.*)-([1-9][0-9]*)$', 1) AS base, list(DISTINCT CAST(regexp_extract(slug, '^(.*)-([1-9][0-9]*)$', 2) AS BIGINT)) AS taken
+      FROM s WHERE regexp_matches(slug, '^.*-[1-9][0-9]*$') GROUP BY 1)
+    SELECT p_partkey, slug, CASE WHEN n = 1 THEN slug ELSE slug || '-' || (list_filter(range(2, n + coalesce(len(taken), 0) + 2), lambda x: NOT list_contains(coalesce(taken, []), x)))[n - 1] END AS token
+    FROM s LEFT JOIN t ON t.base = s.slug""",
 )
 def unique_slugs(spark, sf_dir):
-    return text.unique_slugs(table(spark, sf_dir, "part"), "p_name", "p_partkey").select("p_partkey", "slug", "token")
+    short = F.regexp_replace(text.slug(F.col("p_name")), "-[a-z]+$", "")
+    rows = table(spark, sf_dir, "part").withColumn("title", F.when(F.col("p_partkey") % 9 == 0, F.concat(short, F.lit("-2"))).otherwise(short))
+    return text.unique_slugs(rows, "title", "p_partkey").select("p_partkey", "slug", "token")
 
 
 @query(
@@ -276,10 +284,8 @@ def workup_validate(spark, sf_dir):
 
 @query("checklist_items", "SELECT l_orderkey || ':' || l_linenumber AS id, o_orderpriority AS system, CAST(l_linenumber AS BIGINT) AS ord FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def checklist_items(spark, sf_dir):
-    nested = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("items"))
-    joined = nested.join(table(spark, sf_dir, "orders"), nested.l_orderkey == F.col("o_orderkey"))
-    each = joined.select("l_orderkey", F.col("o_orderpriority").alias("system"), F.explode("items").alias("ord"))
-    return each.select(F.concat_ws(":", "l_orderkey", "ord").alias("id"), "system", L(F.col("ord")).alias("ord"))
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), F.col("o_orderpriority").alias("system"), L(F.col("l_linenumber")).alias("ord"))
 
 
 @query("group_by_system", "SELECT o_orderpriority AS system, min(o_orderkey) AS first, count(*) AS items FROM orders GROUP BY 1")
@@ -385,9 +391,7 @@ def incremental_plan(spark, sf_dir):
 
 @query("fuzzy_names", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND levenshtein(a.s_name, b.s_name) <= 1")
 def fuzzy_names(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    a, b = (s.select("s_nationkey", F.col("s_suppkey").alias(x), F.col("s_name").alias(f"{x}_name")) for x in "ab")
-    return a.join(b, "s_nationkey").where("a < b").where(F.levenshtein("a_name", "b_name", 1) >= 0).select("a", "b")
+    return names.near(table(spark, sf_dir, "supplier"), "s_suppkey", "s_name", "s_nationkey")
 
 
 @query("compact_codes", "SELECT o_orderkey, rtrim(translate(to_base64(encode('[' || o_custkey || ',\"' || o_orderstatus || '\"]')), '+/', '-_'), '=') AS code FROM orders")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import DIRECT_RULES, FIELD_RULES, PRIORITY, RESIDUAL_RULES, Rule
 from ..operators import evaluate, lines, spans
 from ..sources.notes import FIRST, LAST, notes
-from .base import query, spans_sql, table
+from .base import _ungrouped, merged_sql, query, spans_sql, table
 
 BY_NAME = {r.name: r for r in DIRECT_RULES}
 CORE = [BY_NAME["email"], BY_NAME["ipv4"], BY_NAME["us_phone"], BY_NAME["card"]]
@@ -51,18 +51,22 @@ def span_union_counts(spark, sf_dir):
     return found.groupBy("label").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("doc_id").alias("docs"))
 
 
-_PRIO = f"coalesce(list_position({_LIST(PRIORITY)}, label), 99)"
-_MERGE_SQL = f"""
-SELECT doc_id, min(start) AS start, max("end") AS "end", arg_min(label, {_PRIO}) AS label, count(*) AS members FROM (
-  SELECT *, sum(CASE WHEN coalesce(reach, -1) <= start THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, "end" DESC ROWS UNBOUNDED PRECEDING) AS g FROM (
-    SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ({_CORE_SQL})))
-GROUP BY doc_id, g
-"""
+_CORE_RULES = CORE + [LONG_DIGITS]
 
 
-@query("span_merge", _MERGE_SQL)
+@query("span_merge", f'SELECT doc_id, "start", "end", label, members FROM ({merged_sql(_CORE_SQL, _CORE_RULES, PRIORITY)})')
 def span_merge(spark, sf_dir):
-    return spans.merge(spans.detect(table(spark, sf_dir, "documents"), CORE + [LONG_DIGITS]))
+    return spans.merge_found(table(spark, sf_dir, "documents"), _CORE_RULES).drop("source")
+
+
+_MIXED = f"(SELECT *, CASE WHEN rule = 'digits' THEN 'model' WHEN rule = 'card' THEN 'pattern' ELSE 'structured' END AS source FROM ({_CORE_SQL}))"
+
+
+@query("span_merge_sources", merged_sql(_MIXED, _CORE_RULES, PRIORITY, "source"))
+def span_merge_sources(spark, sf_dir):
+    found = spans.detect(table(spark, sf_dir, "documents"), _CORE_RULES)
+    source = F.when(F.col("rule") == "digits", "model").when(F.col("rule") == "card", "pattern").otherwise("structured")
+    return spans.merge(found.withColumn("source", source))
 
 
 @query(
@@ -97,15 +101,12 @@ def span_sort(spark, sf_dir):
 _REDACTED = f"regexp_replace(regexp_replace(text, '{BY_NAME['email'].pattern}', '[EMAIL]', 'g'), '{BY_NAME['ipv4'].pattern}', '[IP]', 'g')"
 
 
-def _redacted(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    found = spans.detect(docs, [BY_NAME["email"], BY_NAME["ipv4"]])
-    return spans.render(docs, spans.merge(found))
+_SAFE_RULES = [BY_NAME["email"], BY_NAME["ipv4"]]
 
 
 @query("redacted_text", f"SELECT doc_id, sha256({_REDACTED}) AS sha, CAST(length({_REDACTED}) AS BIGINT) AS chars FROM documents")
 def redacted_text(spark, sf_dir):
-    return _redacted(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("chars"))
+    return spans.redact(table(spark, sf_dir, "documents"), _SAFE_RULES).select("doc_id", F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("chars"))
 
 
 @query(
@@ -113,7 +114,7 @@ def redacted_text(spark, sf_dir):
     f"SELECT rule, severity, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM ({spans_sql(RESIDUAL_RULES, f'(SELECT doc_id, {_REDACTED} AS text FROM documents)')}) GROUP BY ALL",
 )
 def residual_scan(spark, sf_dir):
-    found = spans.detect(_redacted(spark, sf_dir), RESIDUAL_RULES)
+    found = spans.detect(spans.redact(table(spark, sf_dir, "documents"), _SAFE_RULES), RESIDUAL_RULES)
     return found.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("docs"))
 
 
@@ -231,9 +232,10 @@ SELECT doc_id, category, key, CAST(instr(text, lead || key) - 1 + length(lead) A
 _GRADED_RULES = [r for r in FIELD_RULES if r.name in ("line_patient", "line_dob", "line_phone")] + [Rule("digits", "ID", r"\b[0-9]{7}\b"), BY_NAME["email"]]
 _GRADE_SQL = f"""
 WITH t AS ({_TRUTH_SQL}), f AS ({spans_sql(_GRADED_RULES, f'({NOTES_SQL})')}),
-g AS (SELECT t.doc_id, t.category, t.key, t.start, t."end", bool_or(f.start <= t.start AND f."end" >= t."end") AS covered, bool_or(f.label = t.category) AS same
+g AS (SELECT t.doc_id, t.category, t.key, t.start, t."end", count(f.start) AS touched,
+    arg_min(f.label, (f.start, f."end", f.label)) FILTER (f.start <= t.start AND f."end" >= t."end") AS label
   FROM t LEFT JOIN f ON f.doc_id = t.doc_id AND f.start < t."end" AND t.start < f."end" GROUP BY ALL)
-SELECT *, CASE WHEN covered IS NULL THEN 'missed' WHEN NOT covered THEN 'partial' WHEN NOT same THEN 'mislabelled' ELSE 'exact' END AS state FROM g
+SELECT *, CASE WHEN touched = 0 THEN 'missed' WHEN label IS NULL THEN 'partial' WHEN replace(label, ' ', '_') <> replace(category, ' ', '_') THEN 'mislabelled' ELSE 'exact' END AS state FROM g
 """
 
 
@@ -254,29 +256,13 @@ def truth_spans(spark, sf_dir):
 
 @query(
     "grade_metrics",
-    f"""SELECT category, count(*) AS truth, count(*) FILTER (state <> 'missed') AS detected, count(*) FILTER (state = 'exact') AS exact,
-    round(count(*) FILTER (state <> 'missed') / count(*), 6) AS recall, round(count(*) FILTER (state = 'exact') / nullif(count(*) FILTER (state <> 'missed'), 0), 6) AS accuracy FROM ({_GRADE_SQL}) GROUP BY category""",
+    f"""SELECT category, count(*) AS truth, count(*) FILTER (label IS NOT NULL) AS detected, count(*) FILTER (state = 'exact') AS exact,
+    round(count(*) FILTER (label IS NOT NULL) / count(*), 6) AS recall, round(count(*) FILTER (state = 'exact') / nullif(count(*) FILTER (label IS NOT NULL), 0), 6) AS accuracy FROM ({_GRADE_SQL}) GROUP BY category""",
 )
 def grade_metrics(spark, sf_dir):
     return evaluate.metrics(_graded(spark, sf_dir))
 
 
-@query("failure_clusters", f"SELECT state, category, count(*) AS occurrences, count(DISTINCT doc_id) AS cases, min(doc_id) AS first_case FROM ({_GRADE_SQL}) WHERE state <> 'exact' GROUP BY ALL")
-def failure_clusters(spark, sf_dir):
-    return evaluate.failure_clusters(_graded(spark, sf_dir))
-
-
-@query(
-    "surviving_values",
-    f"SELECT key, count(*) AS occurrences, count(DISTINCT doc_id) AS cases FROM ({_TRUTH_SQL}) t JOIN (SELECT doc_id AS d, {_REDACTED} AS out FROM ({NOTES_SQL})) o ON o.d = t.doc_id AND contains(o.out, t.key) GROUP BY key",
-)
-def surviving_values(spark, sf_dir):
-    corpus, truth = _truth(spark, sf_dir)
-    safe = spans.render(corpus, spans.merge(spans.detect(corpus, [BY_NAME["email"], BY_NAME["ipv4"]]))).withColumnRenamed("text", "out")
-    left = truth.join(safe, "doc_id").where(F.col("out").contains(F.col("key")))
-    return left.groupBy("key").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("doc_id").alias("cases"))
-
-
 @query(
     "corpus_eligibility",
     "SELECT count(*) AS cases, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(min(length(text)) AS BIGINT) AS shortest, count(*) FILTER (length(text) >= 10000) AS eligible, count(*) - count(DISTINCT doc_id) AS repeated FROM documents",
@@ -294,15 +280,19 @@ def corpus_eligibility(spark, sf_dir):
 _SLASH = r"\b([0-9]{1,3})/([0-9]{1,3})\b"
 
 
+_SLASH_SQL = _ungrouped(_SLASH)
+
+
 @query(
     "guard_slash_values",
-    f"""SELECT doc_id, regexp_extract(text, '{_SLASH}', 0) AS value, CASE WHEN TRY_CAST(regexp_extract(text, '{_SLASH}', 2) AS INTEGER) <= 10 THEN 'score' ELSE 'ratio' END AS verdict
-    FROM ({NOTES_SQL}) WHERE regexp_matches(text, '{_SLASH}')""",
+    f"""SELECT doc_id, value, CASE WHEN TRY_CAST(split_part(value, '/', 2) AS INTEGER) <= 10 THEN 'score' ELSE 'ratio' END AS verdict
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_SLASH_SQL}')) AS value FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM ({NOTES_SQL})))""",
 )
 def guard_slash_values(spark, sf_dir):
-    found = notes(table(spark, sf_dir, "customer")).where(F.col("text").rlike(_SLASH))
-    below = F.regexp_extract("text", _SLASH, 2).cast("int")
-    return found.select("doc_id", F.regexp_extract("text", _SLASH, 0).alias("value"), F.when(below <= 10, "score").otherwise("ratio").alias("verdict"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").union(notes(table(spark, sf_dir, "customer")).select("doc_id", "text"))
+    found = texts.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_SLASH), F.lit(0))).alias("value"))
+    below = F.substring_index("value", "/", -1).cast("int")
+    return found.select("doc_id", "value", F.when(below <= 10, "score").otherwise("ratio").alias("verdict"))
 
 
 _RESULT = r"^[A-Za-z][A-Za-z ]*[:\t ]+[0-9.]+ ?(?:mmol/L|mg/dL|\(|%)"
@@ -320,10 +310,9 @@ def result_lines(spark, sf_dir):
     FROM ({spans_sql([LONG_DIGITS], "(SELECT doc_id, replace(text, '.', ']') AS text FROM documents)")}) s JOIN (SELECT doc_id AS d, replace(text, '.', ']') AS t FROM documents) x ON x.d = s.doc_id""",
 )
 def inside_bracket(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("."), F.lit("]")).alias("text"))
-    found = spans.detect(docs, [LONG_DIGITS]).join(docs, "doc_id")
-    before, after = F.substr("text", F.lit(1), F.col("start").cast("int")), F.substr("text", (F.col("end") + 1).cast("int"))
-    return found.select("doc_id", "start", (before.rlike(r"\[[^\]]*$") & after.rlike(r"^[^\[]*\]")).alias("inside"))
+    t = F.replace("text", F.lit("."), F.lit("]"))
+    found = spans.inside_bracket(t, spans.find(t, [LONG_DIGITS]))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(found)).select("doc_id", "start", "inside")
 
 
 @query(
@@ -333,8 +322,5 @@ def inside_bracket(spark, sf_dir):
     FROM ({spans_sql([Rule('mid', 'ID', '[0-9]{4}')], 'documents')}) JOIN (SELECT doc_id AS d, text FROM documents) ON d = doc_id""",
 )
 def token_boundary(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = spans.detect(docs, [Rule("mid", "ID", "[0-9]{4}")]).join(docs, "doc_id")
-    before = F.regexp_extract(F.substr("text", F.lit(1), F.col("start").cast("int")), "[A-Za-z0-9]*$", 0)
-    after = F.regexp_extract(F.substr("text", (F.col("end") + 1).cast("int")), "^[A-Za-z0-9]*", 0)
-    return found.select("doc_id", "start", (F.col("start") - F.length(before)).alias("grown_start"), (F.col("end") + F.length(after)).alias("grown_end"))
+    found = spans.to_token_edges(F.col("text"), spans.find(F.col("text"), [Rule("mid", "ID", "[0-9]{4}")]))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(found)).select("doc_id", "start", "grown_start", "grown_end")
