@@ -70,7 +70,7 @@ def hue(token: Column) -> Column:
 
 def url_code(text: Column) -> Column:
     """URL-safe base64 without padding."""
-    return F.rtrim(F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_"), F.lit("="))
+    return F.rtrim(F.translate(F.base64(F.encode(text, "UTF-8")), "+/\r\n", "-_"), F.lit("="))  # of one line
 
 
 def url_decode(code: Column) -> Column:

@@ -155,14 +155,6 @@ def normalise_labels(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_type").distinct().select("event_type", F.coalesce(known[up], F.replace(up, F.lit("_"), F.lit(" "))).alias("label"))
 
 
-@query("catalog_search", "SELECT p_partkey, round(score, 6) AS score FROM (SELECT p_partkey, 0.55 * CASE WHEN contains(lower(p_name), 'ring') THEN 1 ELSE 0 END + 0.3 * CASE WHEN contains(lower(p_type), 'ring') THEN 1 ELSE 0 END + 0.15 * CASE WHEN contains(lower(p_brand), 'ring') THEN 1 ELSE 0 END AS score FROM part) WHERE score >= 0.25")
-def catalog_search(spark, sf_dir):
-    term = "ring"
-    hit = lambda c, w: F.lit(w) * F.lower(c).contains(term).cast("int")
-    scored = table(spark, sf_dir, "part").select("p_partkey", (hit("p_name", 0.55) + hit("p_type", 0.3) + hit("p_brand", 0.15)).alias("score"))
-    return scored.where("score >= 0.25").select("p_partkey", F.round("score", 6).alias("score"))
-
-
 @query("guideline_query", "SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_type), 'a') AND contains(lower(p_name || ' ' || p_type), 'g ')")
 def guideline_query(spark, sf_dir):
     have = F.lower(F.concat_ws(" ", "p_name", "p_type"))
