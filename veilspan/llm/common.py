@@ -65,6 +65,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a side that :func:`sized` broadcasts; each is two numbers and, at most, a short list.
+SMALL_ROWS = 500_000
+
+
+def sized(df: DataFrame, size=None) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``SMALL_ROWS`` rows, or that sum of ``size``; else joined by a shuffle."""
+    n = df.agg(F.count(F.lit(1)) if size is None else F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= SMALL_ROWS else df
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: rows ``(node, component)``.
 

@@ -8,7 +8,7 @@ way round, else the windows that hold it do not count. A document leaks an item
 ``COVERAGE`` of the item's windows are found in it.
 
 The benchmark's windows are broadcast if there are at most ``BROADCAST_ROWS``; beyond that both
-sides are shuffled by the hash.
+sides are shuffled by the hash. So are, by their keys, the documents that leak when they are taken out.
 
 Defined cases: null and empty texts leak nothing; an item of fewer words than a window is one
 window of all its words and is compared with whole documents of as many words; an item without a
@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GIVEN_NAMES, materialize, table
+from .common import GIVEN_NAMES, materialize, sized, table
 from .substrings import keyed, with_keys
 
 WIDTH = 5
@@ -138,8 +138,8 @@ def leaks(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that leak no item, with their columns."""
     mine, k, th = with_keys(docs)
-    bad = leaks(docs, benchmark, **params).select(F.col("k").alias(k), F.col("th").alias(th))
-    return mine.join(bad, [k, th], "left_anti").drop(k, th)
+    bad = materialize(leaks(docs, benchmark, **params).select(F.col("k").alias(k), F.col("th").alias(th)).distinct())
+    return mine.join(sized(bad), [k, th], "left_anti").drop(k, th)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GIVEN_NAMES, free_name, materialize, table
+from .common import GIVEN_NAMES, free_name, materialize, sized, table
 from .substrings import keyed, with_keys
 
 BASE = ("email", "ip", "card", "phone")
@@ -252,7 +252,7 @@ def redact(docs: DataFrame) -> DataFrame:
     mine, k, th = with_keys(docs)
     found, text = free_name(mine.columns, "cuts"), F.col("text")
     cuts = merged.groupBy(F.col("k").alias(k), F.col("th").alias(th)).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias(found))
-    joined = mine.join(cuts, [k, th], "left")
+    joined = mine.join(sized(materialize(cuts), F.size(found)), [k, th], "left")  # few texts hold any
     at0 = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     spliced = F.aggregate(
         found,
