@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import clinical_queries, corpus_queries, date_queries, guard_queries, more_queries, packet_queries, record_queries, span_queries
+from . import clinical_queries, corpus_queries, date_queries, guard_queries, more_queries, packet_queries, people_queries, record_queries, span_queries
 from .base import ORACLE, QUERIES
 
 FLAGSHIP = span_queries.redacted_text
 
-__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "clinical_queries", "corpus_queries", "date_queries", "guard_queries", "more_queries", "packet_queries", "record_queries"]
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "clinical_queries", "corpus_queries", "date_queries", "guard_queries", "more_queries", "packet_queries", "people_queries", "record_queries"]
