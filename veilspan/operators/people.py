@@ -32,7 +32,7 @@ def contextual(text: Column) -> Column:
     def inside(name: str, label: str, pattern: str):
         def one(s: Column) -> Column:
             value = F.regexp_extract(s.value, pattern, 1)
-            start = s.start + F.length(F.substring_index(s.value, value, 1))
+            start = s.start + F.position(value, s.value) - 1
             return F.struct(F.lit(name).alias("rule"), F.lit(label).alias("label"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
 
         return one

@@ -91,3 +91,88 @@ def chunks(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", text:
     each = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("t"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
     start = F.col("chunk_no") * step
     return each.select(key, "chunk_no", start.alias("start"), F.substr("t", start + 1, F.lit(size)).alias("chunk"))
+
+
+def model_chunks(text: Column, size: int = 700, overlap: int = 80, least: float = 0.55) -> Column:
+    """Windows of a text for a model: an array of (offset, chunk). A window ends after its last line end past ``least`` of it, and the next begins ``overlap`` before that."""
+    from .spans import fold
+
+    n = F.length(text)
+    turns = F.ceil(n / max(1, int(size * least) - overlap)).cast("int") + 1
+    kind = "struct<offset:bigint,chunk:string>"
+
+    def step(at: Column, _: Column) -> tuple[Column, Column]:
+        window = F.substr(text, (at + 1).cast("int"), F.lit(size + 1))
+        back = F.instr(F.reverse(window), "\n")
+        line = at + F.length(window) - back
+        cut = F.when((at + size < n) & (back > 0) & (line > at + int(size * least)), line + 1).otherwise(F.least(at + size, n))
+        following = F.when(cut >= n, F.lit(None)).otherwise(F.when(cut - overlap <= at, cut).otherwise(cut - overlap)).cast("long")
+        out = F.struct(at.cast("long").alias("offset"), F.substr(text, (at + 1).cast("int"), (cut - at).cast("int")).alias("chunk"))
+        return following, F.when(at.isNotNull(), F.array(out)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return F.when(text.isNotNull(), fold(F.sequence(F.lit(1), turns), F.lit(0).cast("long"), kind, step))
+
+
+def halves(chunk: Column, edge: int = 80) -> Column:
+    """A chunk that was too long for the model as two: at the blank nearest to its middle, not within ``edge`` of an end."""
+    n = F.length(chunk)
+    middle = F.floor(n / 2).cast("int")
+    left = middle - F.instr(F.reverse(F.substr(chunk, F.lit(1), middle + 1)), " ") + 1
+    right = middle + F.instr(F.substr(chunk, middle + 1), " ") - 1
+    fits = lambda x: F.when((x > edge) & (x < n - edge) & (F.substr(chunk, x + 1, F.lit(1)) == " "), x)
+    l_, r = fits(left), fits(right)
+    at = F.coalesce(F.when(r.isNull() | (middle - l_ <= r - middle), l_), r, middle - 1) + 1
+    return F.array(F.substr(chunk, F.lit(1), at.cast("int")), F.substr(chunk, (at + 1).cast("int")))
+
+
+def hsl_hex(hue_: Column, saturation: float = 0.6, light: float = 0.5) -> Column:
+    """A hue in degrees, with saturation and lightness from 0 to 1, as #rrggbb."""
+    a = saturation * min(light, 1 - light)
+
+    def part(n: int) -> Column:
+        k = (F.lit(float(n)) + hue_ / 30.0) % 12.0
+        value = F.lit(light) - a * F.greatest(F.lit(-1.0), F.least(k - 3.0, 9.0 - k, F.lit(1.0)))
+        return F.lpad(F.lower(F.hex(F.round(value * 255).cast("int"))), 2, "0")
+
+    return F.concat(F.lit("#"), part(0), part(8), part(4))
+
+
+def segments(template: Column) -> Column:
+    """A template as what a preview shows: an array of (token, text), where token says that the text is a token's name."""
+    marks = r"\{\{[A-Za-z0-9_.-]+\}\}"
+    plain, found = F.split(template, marks, -1), F.regexp_extract_all(template, F.lit(marks), F.lit(0))
+    text = lambda x: F.struct(F.lit(False).alias("token"), x.alias("text"))
+    name = lambda x: F.struct(F.lit(True).alias("token"), F.regexp_replace(x, r"[{}]", "").alias("text"))
+    both = F.zip_with(plain, found, lambda p, m: F.array(text(p), F.when(m.isNotNull(), name(m))))
+    return F.filter(F.flatten(both), lambda x: x.isNotNull() & (x.text != ""))
+
+
+def restored(text: Column, placeholder: Column, n: Column, original: Column) -> Column:
+    """The text with the n-th of a placeholder, from 1, replaced by what it stood for; as it is if there are fewer."""
+    gaps = F.split(text, F.concat(F.lit("\\Q"), placeholder, F.lit("\\E")), -1)
+    before = F.array_join(F.slice(gaps, F.lit(1), n), "\x00")
+    after = F.array_join(F.slice(gaps, n + 1, F.greatest(F.size(gaps) - n, F.lit(0))), "\x00")
+    put = lambda x: F.replace(x, F.lit("\x00"), placeholder)
+    return F.when(F.size(gaps) > n, F.concat(put(before), original, put(after))).otherwise(text)
+
+
+def rendered(text: Column, spans: Column) -> Column:
+    """What became of each span: an array of (start, end, original, replacement, output_start), where spans are disjoint and in order."""
+    from .spans import fold
+
+    kind = "struct<start:bigint,end:bigint,original:string,replacement:string,output_start:bigint>"
+
+    def step(shift: Column, s: Column) -> tuple[Column, Column]:
+        label = F.concat(F.lit("["), s.label, F.lit("]"))
+        row = F.struct(s.start.alias("start"), s.end.alias("end"), F.substr(text, (s.start + 1).cast("int"), (s.end - s.start).cast("int")).alias("original"), label.alias("replacement"), (s.start + shift).alias("output_start"))
+        return shift + F.length(label) - (s.end - s.start), F.array(row)
+
+    return F.transform(F.array(spans), lambda x: fold(x, F.lit(0).cast("long"), kind, step))[0]
+
+
+#: Errors of a model that mean its input was too long; other errors are not tried again in halves.
+TOO_LONG = r"(?i)\b(?:sequence|input|token)s?\b.*\b(?:too long|exceeds?|longer than|maximum|limit)\b|out of (?:range|bounds)"
+
+
+def too_long(error: Column) -> Column:
+    return F.coalesce(error.rlike(TOO_LONG), F.lit(False))

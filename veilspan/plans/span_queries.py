@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import DIRECT_RULES, FIELD_RULES, PRIORITY, RESIDUAL_RULES, Rule
 from ..operators import evaluate, lines, spans
 from ..sources.notes import FIRST, LAST, notes
-from .base import _ungrouped, merged_sql, query, spans_sql, table
+from .base import _ungrouped, merged_sql, query, spans_sql, spread, table
 
 BY_NAME = {r.name: r for r in DIRECT_RULES}
 CORE = [BY_NAME["email"], BY_NAME["ipv4"], BY_NAME["us_phone"], BY_NAME["card"]]
@@ -56,7 +56,7 @@ _CORE_RULES = CORE + [LONG_DIGITS]
 
 @query("span_merge", f'SELECT doc_id, "start", "end", label, members FROM ({merged_sql(_CORE_SQL, _CORE_RULES, PRIORITY)})')
 def span_merge(spark, sf_dir):
-    return spans.merge_found(table(spark, sf_dir, "documents"), _CORE_RULES).drop("source")
+    return spans.merge_found(spread(table(spark, sf_dir, "documents")), _CORE_RULES).drop("source")
 
 
 _MIXED = f"(SELECT *, CASE WHEN rule = 'digits' THEN 'model' WHEN rule = 'card' THEN 'pattern' ELSE 'structured' END AS source FROM ({_CORE_SQL}))"
@@ -106,7 +106,7 @@ _SAFE_RULES = [BY_NAME["email"], BY_NAME["ipv4"]]
 
 @query("redacted_text", f"SELECT doc_id, sha256({_REDACTED}) AS sha, CAST(length({_REDACTED}) AS BIGINT) AS chars FROM documents")
 def redacted_text(spark, sf_dir):
-    return spans.redact(table(spark, sf_dir, "documents"), _SAFE_RULES).select("doc_id", F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("chars"))
+    return spans.redact(spread(table(spark, sf_dir, "documents")), _SAFE_RULES).select("doc_id", F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("chars"))
 
 
 @query(
@@ -114,7 +114,7 @@ def redacted_text(spark, sf_dir):
     f"SELECT rule, severity, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM ({spans_sql(RESIDUAL_RULES, f'(SELECT doc_id, {_REDACTED} AS text FROM documents)')}) GROUP BY ALL",
 )
 def residual_scan(spark, sf_dir):
-    found = spans.detect(spans.redact(table(spark, sf_dir, "documents"), _SAFE_RULES), RESIDUAL_RULES)
+    found = spans.detect(spans.redact(spread(table(spark, sf_dir, "documents")), _SAFE_RULES), RESIDUAL_RULES)
     return found.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("docs"))
 
 
