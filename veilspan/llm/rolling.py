@@ -1,14 +1,17 @@
 """Polynomial hashes of words and windows over blocks of texts, in numpy.
 
-The hashes are polynomials modulo the prime 2**61 - 1 at a fixed point, so two different strings of
-``n`` symbols have equal hashes for at most ``n`` of the 2**61 points, whatever they are made of.
+Words have their 64-bit XXH64. Windows have polynomials modulo the prime 2**61 - 1 at a fixed point,
+so two different strings of ``n`` symbols have equal hashes for at most ``n`` of the 2**61 points,
+whatever they are made of.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import xxhash
 
 #: The modulus, a prime.
 _P = (1 << 61) - 1
@@ -145,5 +148,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = byte_prefix(np.frombuffer(self.raw, np.uint8)).runs(self.start, self.end)
+            n, step = len(self.start), 1 << 16
+            parts = (self.raw[self.start[i] : self.end[min(i + step, n) - 1]].split() for i in range(0, n, step))
+            self._hash = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(parts)), np.uint64, n)
         return self._hash

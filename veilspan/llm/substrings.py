@@ -11,7 +11,7 @@ settles those that repeat within it and announces such a hash to the others in a
 window over one hash sees at most a row for each block, which it spills where they are many.
 
 Anchors only nominate, by 48 bits. A run is judged by two independent hashes modulo 2**61 - 1 of
-its words' hashes, 122 bits, so that no run falls to chance even where positions are counted in
+its words' XXH64, 122 bits, so that no run falls to chance even where positions are counted in
 trillions.
 
 Defined cases: a null text has no words; texts of fewer words than a run keep all; repeated rows,
