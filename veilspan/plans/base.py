@@ -31,7 +31,7 @@ def spread(df: DataFrame) -> DataFrame:
     """A small table over all cores. A file of one row group is read by one task; past one split's bytes there are tasks enough."""
     spark = df.sparkSession
     limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(spark.sparkContext.defaultParallelism) if size <= int(limit.rstrip("bB")) else df
 
 
