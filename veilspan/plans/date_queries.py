@@ -70,18 +70,18 @@ def date_spans(spark, sf_dir):
     return dated_notes(spark, sf_dir).select("doc_id", F.inline(dates.find(F.col("text"))))
 
 
-_DAY = F.lit(_REF).cast("date")
+_DAY = lambda: F.lit(_REF).cast("date")
 
 
 @query("date_values", f'{_DATES} SELECT doc_id, "start", CAST(said AS VARCHAR) AS said, CAST(date AS VARCHAR) AS date FROM dated')
 def date_values(spark, sf_dir):
-    found = dated_notes(spark, sf_dir).select("doc_id", F.inline(dates.timed(F.col("text"), _DAY)))
+    found = dated_notes(spark, sf_dir).select("doc_id", F.inline(dates.timed(F.col("text"), _DAY())))
     return found.select("doc_id", "start", F.col("said").cast("string").alias("said"), F.col("date").cast("string").alias("date"))
 
 
 @query("date_anchor", f"{_ANCHORED} SELECT doc_id, CAST(anchor AS VARCHAR) AS anchor FROM anchors")
 def date_anchor(spark, sf_dir):
-    found = dated_notes(spark, sf_dir).select("doc_id", dates.anchor(dates.timed(F.col("text"), _DAY), F.lit(None).cast("date")).alias("anchor"))
+    found = dated_notes(spark, sf_dir).select("doc_id", dates.anchor(dates.timed(F.col("text"), _DAY()), F.lit(None).cast("date")).alias("anchor"))
     return found.select("doc_id", F.col("anchor").cast("string").alias("anchor"))
 
 
@@ -92,14 +92,14 @@ def date_anchor(spark, sf_dir):
     FROM dated d JOIN anchors a ON a.doc_id = d.doc_id""",
 )
 def date_places(spark, sf_dir):
-    found = dated_notes(spark, sf_dir).select("doc_id", F.inline(dates.timed(F.col("text"), _DAY)))
+    found = dated_notes(spark, sf_dir).select("doc_id", F.inline(dates.timed(F.col("text"), _DAY())))
     return found.select("doc_id", "start", F.when(F.col("label").endswith("prior to hospital admission"), "before").otherwise(F.col("label")).alias("label"))
 
 
 @query("timeline_text", f"""SELECT doc_id, regexp_extract_all(text, 'pain 3/10, BP 120/80')[1] AS kept, true AS named FROM ({_NOTES}) WHERE doc_id % 3 < 2 UNION ALL SELECT doc_id, 'pain 3/10, BP 120/80', false FROM ({_NOTES}) WHERE doc_id % 3 = 2""")
 def timeline_text(spark, sf_dir):
     t = F.col("text")
-    done = dated_notes(spark, sf_dir).select("doc_id", dates.renamed_fields(spans.splice(t, dates.timed(t, _DAY))).alias("out"))
+    done = dated_notes(spark, sf_dir).select("doc_id", dates.renamed_fields(spans.splice(t, dates.timed(t, _DAY()))).alias("out"))
     return done.select("doc_id", F.regexp_extract("out", "pain 3/10, BP 120/80", 0).alias("kept"), F.col("out").startswith("Timeline: [").alias("named"))
 
 
