@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
 from .language_model import op2_language_model
+from .phrases import OP11_SQL, op11_phrases
 from .pii import op1_pii
 from .quality import op6_quality
 from .sentencepiece_codec import op8_sentencepiece
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_warc_audit": op9_warc_audit,
     "op10_suffix_index": op10_suffix_index,
+    "op11_phrases": op11_phrases,
 }
 
 ORACLE: dict[str, str] = {
     "op9_warc_audit": OP9_SQL,
+    "op11_phrases": OP11_SQL,
 }
