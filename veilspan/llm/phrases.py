@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from .common import materialize, sized, table
 from .rolling import mix
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 #: Bits of the bitmap of frequent phrases that tasks get: 16 MB at most.
 FILTER_BITS = 1 << 27
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: A phrase lies in a longer one that has this many hundredths of its occurrences.
 COVERED = 80
 #: Blocks of bitmaps that one batch of first words starts with.
-BATCH = 1 << 19
+BATCH = 1 << 18
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_SEPARATORS + b"\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * len(_SEPARATORS) + b" abcdefghijklmnopqrstuvwxyz")
@@ -175,10 +175,12 @@ def shards(batches, limit: int = CHUNK_BYTES) -> Iterator[Shard]:
 _COUNTED = "lang string, phrase string, c long"
 
 
-def _rows(shard: Shard, words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _rows(shard: Shard, words: np.ndarray, n: np.ndarray, step: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     said = pa.array(shard.words, pa.binary()).cast(pa.string())
-    phrase = pc.binary_join_element_wise(*(said.take(pa.array(words[:, j])) for j in range(words.shape[1])), " ")
-    return pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(n)), phrase, pa.array(n)], ["lang", "phrase", "c"])
+    for at in range(0, len(n), step):
+        some, c = words[at : at + step], pa.array(n[at : at + step])
+        phrase = pc.binary_join_element_wise(*(said.take(pa.array(some[:, j])) for j in range(some.shape[1])), " ")
+        yield pa.RecordBatch.from_arrays([pa.repeat(shard.lang, len(c)), phrase, c], ["lang", "phrase", "c"])
 
 
 def _summed(docs: DataFrame, run) -> DataFrame:
@@ -223,7 +225,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits:
 
     def count_words(batches):
         for s in shards(batches, chunk):
-            yield _rows(s, np.arange(len(s.words))[:, None], s.counts().astype(np.int64))
+            yield from _rows(s, np.arange(len(s.words))[:, None], s.counts().astype(np.int64))
 
     words = materialize(_summed(given, count_words))
     totals = words.groupBy("lang").agg(F.sum("c").alias("n"))
@@ -237,7 +239,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits:
                 h = s.hashes()
                 s.bitmaps(keep(pair_hash(h[:, None])))
                 for found, n in s.grow(h, 2):
-                    yield _rows(s, found, n)
+                    yield from _rows(s, found, n)
 
         parts.append(materialize(_summed(given, count_pairs).where(F.col("c") >= least)))
     if longest > 2:
@@ -250,7 +252,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits:
                 s.bitmaps(keep(pair_hash(h[:, None])))
                 for found, n in s.grow(h, longest, follow):
                     if found.shape[1] > 2:
-                        yield _rows(s, found, n)
+                        yield from _rows(s, found, n)
 
         parts.append(materialize(_summed(given, count_longer).where(F.col("c") >= least)))
     out = parts[0]
