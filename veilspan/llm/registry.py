@@ -12,6 +12,7 @@ from .simhash import op5_simhash
 from .substrings import op7_substrings
 from .suffix_index import op10_suffix_index
 from .topk import op4_topk
+from .trie import OP12_SQL, op12_trie
 from .warc import OP9_SQL, op9_warc_audit
 
 QUERIES = {
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_warc_audit": op9_warc_audit,
     "op10_suffix_index": op10_suffix_index,
     "op11_phrases": op11_phrases,
+    "op12_trie": op12_trie,
 }
 
 ORACLE: dict[str, str] = {
     "op9_warc_audit": OP9_SQL,
     "op11_phrases": OP11_SQL,
+    "op12_trie": OP12_SQL,
 }
