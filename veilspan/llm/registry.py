@@ -12,6 +12,7 @@ from .simhash import op5_simhash
 from .substrings import op7_substrings
 from .suffix_index import op10_suffix_index
 from .topk import op4_topk
+from .toxicity import op13_toxicity
 from .trie import OP12_SQL, op12_trie
 from .warc import OP9_SQL, op9_warc_audit
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_suffix_index": op10_suffix_index,
     "op11_phrases": op11_phrases,
     "op12_trie": op12_trie,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE: dict[str, str] = {
