@@ -1,7 +1,8 @@
 """The rule table of span detectors: label, pattern, and whether a field name leads the value.
 
 Patterns are valid for Java and for RE2: no look-around, no back-references. A field rule has two
-groups, the field with its separator and the value; a direct rule has none and spans its match.
+groups, the field with its separator and the value, and may have a third, what has to follow; a direct
+rule has none and spans its match.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}(?:/[0-9]{2,4})?"
 _PHONE = r"(?:\+?1[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}"
 _CODE = r"[A-Za-z0-9][A-Za-z0-9-]{3,}"
 _REST = r"[^\n|;]+"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_LOOSE = r"[ \t]*[:=#]?[ \t]*"
 
 
 @dataclass(frozen=True)
@@ -25,6 +28,8 @@ class Rule:
     severity: str = "high"
     #: What a text must hold for the rule to match at all.
     needs: str = ""
+    #: Whether a field rule has a third group, which is no part of the value.
+    tail: bool = False
 
 
 def _line(name: str, label: str, field: str, value: str) -> Rule:
@@ -61,7 +66,7 @@ FIELD_RULES = [
     _line("line_employer", "ORGANIZATION", "employer", _REST),
     _line("line_occupation", "OCCUPATION", "occupation|job", _REST),
     _line("line_pharmacy", "ORGANIZATION", "(?:preferred )?pharmacy", _REST),
-    _inline("inline_dob", "DOB", "dob|date of birth|born", _DATE),
+    Rule("inline_dob", "DOB", rf"((?i:\b(?:dob|date of birth|born(?: on)?)){_LOOSE})({_DATE})", True),
     _inline("inline_patient", "PATIENT NAME", "patient name", _NAME),
     _inline("inline_patient_caps", "PATIENT NAME", "patient", r"[A-Z]{2,}(?: [A-Z]{2,})+"),
     _inline("inline_preferred", "PATIENT NAME", "preferred name", _NAME),
@@ -82,7 +87,7 @@ _STREET = "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct
 DIRECT_RULES = [
     Rule("email", "EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", needs="@"),
     Rule("url", "URL", r"https?://[^\s\"'<>)]+", needs="://"),
-    Rule("ipv4", "IP", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"),
+    Rule("ipv4", "IP", rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b"),
     Rule("ipv6", "IP", r"\b[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}\b"),
     Rule("device_tag", "ID", r"\b(?:SN|DEV|UDI)-[A-Z0-9]*[0-9][A-Z0-9]*\b"),
     Rule("iso_timestamp", "DATE", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(?::[0-9]{2})?(?:Z|[+-][0-9]{2}:?[0-9]{2})"),

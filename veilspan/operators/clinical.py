@@ -1,44 +1,26 @@
-"""Guards that keep clinical wording from being taken for personal data, as tables of tests.
+"""Guards that keep clinical wording from being taken for personal data.
 
-A guard is a list of cases, a case a list of tests that must all hold; the guard holds if any case
-does. Tests look at the fields that :func:`context` adds to a span. As they are data, the same guard
-becomes a Column here and SQL in a test. A field that is null counts as empty.
+A span is looked at once: :func:`context_expr` cuts what stands around it out of the text, :func:`signals_expr`
+makes named facts of that and of a compiled vocabulary, and :func:`verdict_expr` decides from the facts
+alone. Each fact is worked out once for a span, and neither a plan nor a row grows with the
+vocabulary. Facts that are made of others, and the cases of a verdict, are
+stated as conditions.
+
+Defined cases: a field that is null counts as empty; a span of no words is in no vocabulary.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-LOOK = 80
-
-
-@dataclass(frozen=True)
-class Test:
-    """``field`` matches ``pattern`` somewhere; or is one of the ``words``; or all its words are (``every``)."""
-
-    field: str
-    pattern: str = ""
-    words: tuple[str, ...] = ()
-    every: bool = False
-    negate: bool = False
-
+import re
 
-Guard = list[list[Test]]
-
-
-def matches(field: str, pattern: str) -> Test:
-    return Test(field, pattern)
-
-
-def lacks(field: str, pattern: str) -> Test:
-    return Test(field, pattern, negate=True)
+from ..functions.expr import let, literal, struct
+from . import lines
+from .vocabulary import has_expr, kinds_expr, normal_expr, words_expr
 
+LOOK, WIDE = 80, 400
+NAME_LABELS = ("NAME", "PATIENT NAME", "PROVIDER NAME", "CONTACT NAME")
 
-# ---- word lists -------------------------------------------------------------------------------
+# ---- a small vocabulary; callers give their own ------------------------------------------------
 
 CLINICAL_WORDS = tuple(
     "abdomen abdominal acute anemia angina aspirin assessment atrial bilateral biopsy bladder blood bone bowel brain breath cancer cardiac "
@@ -49,224 +31,226 @@ CLINICAL_WORDS = tuple(
     "rhythm right sepsis sign skin sodium soft spine stable stance stroke surgical symptoms syndrome systolic tachycardia temperature tests "
     "therapy thyroid trauma troponin ulcer urine vein vital vitals vomiting weakness wound".split()
 )
-#: Words that make a phrase clinical; a phrase of clinical words needs one of them.
-ANCHORS = tuple("anemia angina cancer diabetes disease edema failure fever fibrillation hypertension infection pneumonia sepsis sign stroke syndrome ulcer".split())
-EPONYMS = tuple("addison alzheimer babinski crohn cushing foley graves hodgkin kawasaki marfan parkinson raynaud romberg wilson".split())
-COMPANIONS = r"(?:disease|syndrome|sign|stance|catheter|criteria|lymphoma|phenomenon|test|reflex)"
-HEADINGS = tuple(
-    "assessment and plan|chief complaint|course block|discharge planning|family history|heart sounds|history of present illness|hospital course|"
-    "interval events|medication changes|past medical history|physical exam|review of systems|social history|vital signs".split("|")
-)
-SERVICES = tuple("cardiology dermatology endocrinology gastroenterology hematology nephrology neurology oncology orthopedics pediatrics psychiatry pulmonology radiology surgery urology".split())
-MEDICATIONS = tuple("amlodipine apixaban aspirin atorvastatin furosemide gabapentin heparin insulin lisinopril metformin metoprolol ondansetron oxycodone pantoprazole prednisone vancomycin warfarin".split())
-MEDICATION_STEM = r"(?:olol|pril|statin|cillin|mycin|azole|sartan|oxacin|prazole|dipine|triptan)$"
-BROAD_PLACES = tuple("bedside clinic department emergency department floor home hospital icu intensive care unit north outpatient south unit ward".split())
-INSTRUCTIONS = r"^(?:call|continue|discontinue|follow|give|hold|increase|monitor|order|recheck|repeat|return|start|stop|take|wean)\b"
-FACILITY_ENDS = tuple(
-    "associates association care center clinic department facility foundation group healthcare hospice hospital institute lab labs medical "
-    "medicine network partners pavilion pharmacy physicians practice services specialists surgery system".split()
-)
-PERSON_CONTEXT = (
-    r"\b(?:patient name|patient|provider|doctor|physician|attending|resident|fellow|consultant|surgeon|pcp|emergency contact|mother|father|spouse|"
-    r"daughter|son|guardian|caregiver|follow up with|spoke with|called|contact|reports|reported|states|stated|says|said|denies|presents|presented)\b"
-)
-AGE_OR_SEX = r"\b(?:[0-9]{1,3} ?(?:y\.?o\.?|yo)|[0-9]{1,3}[- ]year[- ]old|female|male|woman|man|adult)\b"
-NAME_LABELS = ("NAME", "PATIENT NAME", "PROVIDER NAME", "CONTACT NAME")
-RESULT = (
-    r"^[ \t]*[A-Za-z][A-Za-z0-9 ()/%-]{0,100}(?:: |\t)[ \t]*(?:[<>]?[0-9]|not detected|detected|positive|negative|reactive|nonreactive|indeterminate|none seen|normal|abnormal|clear|trace|present|absent)"
-)
-DEMOGRAPHIC = (
-    r"^[^:\t]*\b(?:patient|name|dob|date of birth|date|time|mrn|medical record|account|member|group|insurance|employer|occupation|phone|fax|email|address|room|bed|unit|provider|"
-    r"attending|contact|mother|father|spouse|daughter|son|guardian)\b[^:\t]*(?::|\t)"
-)
-
-# ---- guards -----------------------------------------------------------------------------------
-
-STRONG_NAME_CONTEXT: Guard = [
-    [matches("span", r"(?i)^(?:dr|doctor|mr|mrs|ms|miss)\.? ")],
-    [matches("line", "(?i)" + PERSON_CONTEXT)],
-    [matches("after", r"(?i)^ *(?:has|had|is|was|became|developed|started|continued|remains|took|received)\b")],
-    [matches("line", "(?i)" + AGE_OR_SEX)],
-]
-RESULT_LINE: Guard = [[matches("line", "(?i)" + RESULT), lacks("line", "(?i)" + DEMOGRAPHIC)]]
-CLINICAL_PHRASE: Guard = [
-    [Test("norm", words=HEADINGS)],
-    [Test("norm", words=CLINICAL_WORDS, every=True), matches("norm", r"\b(?:" + "|".join(ANCHORS) + r")\b")],
-    [matches("norm", INSTRUCTIONS), Test("norm", words=CLINICAL_WORDS + MEDICATIONS + tuple("continue follow give hold monitor order recheck repeat return start stop take wean".split()), every=True)],
-]
-MEDICATION_PHRASE: Guard = [[Test("norm", words=MEDICATIONS)], [matches("norm", "^[a-z]*" + MEDICATION_STEM)]]
-EPONYM: Guard = [[matches("norm", r"\b(?:" + "|".join(EPONYMS) + r")\b"), matches("after", "(?i)^(?:'s)? " + COMPANIONS + r"\b")], [matches("norm", r"^(?:" + "|".join(EPONYMS) + r") " + COMPANIONS + r"\b")]]
-HEADING: Guard = [
-    [Test("norm", words=HEADINGS)],
-    [matches("before", r"(?:^|\n)[ \t]*(?:#|[-*]|[0-9]+\.)?[ \t]*$"), matches("after", r"^:?[ \t]*(?:\n|$)"), Test("norm", words=CLINICAL_WORDS, every=True)],
-    [matches("after", r"^ ?:"), Test("norm", words=CLINICAL_WORDS + SERVICES, every=True)],
-]
-SERVICE: Guard = [[Test("norm", words=SERVICES)], [matches("norm", r"^(?:" + "|".join(SERVICES) + r") (?:service|team|clinic|consult)$")]]
-NON_NAME: Guard = [
-    *EPONYM, *HEADING, *SERVICE, *CLINICAL_PHRASE, *MEDICATION_PHRASE,
-    [matches("span", r"[0-9]"), lacks("span", r"^(?i:dr|doctor|mr|mrs|ms)\.? ")],
-    [matches("span", r"[a-z]\. +[A-Z]"), lacks("span", r"(?i)\b(?:dr|mr|mrs|ms|prof)\. ")],
-    [Test("norm", words=CLINICAL_WORDS, every=True)],
-    [matches("after", r"(?i)^ (?:criteria|phenomenon|maneuver|score|scale)\b")],
-    [matches("before", r"(?i)\b(?:on|with|given|taking|started) $"), matches("norm", "^[a-z]*" + MEDICATION_STEM)],
-    [matches("span", r"^[A-Z]{2,5}$"), lacks("line", "(?i)" + PERSON_CONTEXT)],
-]
-MICROBIOLOGY: Guard = [
-    [matches("around", r"(?i)\bsusceptibility\b"), matches("line", r"(?i)^ *[A-Za-z][A-Za-z0-9+/'() .-]{1,90} +[<>]?[0-9]+(?:\.[0-9]+)?(?: ?/ ?[<>]?[0-9]+(?:\.[0-9]+)?)? +(?:sensitive|resistant|intermediate)\b")],
-    [matches("line", r"(?i)^lab method ?:"), matches("line", r"(?i)\b(?:broth|microdilution|vitek|microscan|maldi)\b")],
-]
-EXPLICIT: Guard = [[matches("prefix", r"(?i)\b(?:mrn|account|phone|fax|email|address|dob|patient(?: name)?|name|alias|provider|contact|employer|room)[ \t]*[:=#][ \t]*$")]]
-PROTECTED: Guard = [
-    *MICROBIOLOGY,
-    [Test("label", words=("LOCATION", "ORGANIZATION", "FACILITY")), Test("norm", words=BROAD_PLACES)],
-    [Test("label", words=NAME_LABELS), *[Test(t.field, t.pattern, t.words, t.every, not t.negate) for t in EXPLICIT[0]], matches("line", r"(?i)\b(?:ecg|ekg|strip|criteria|physical exam)\b"), matches("after", r"(?i)^ (?:phenomenon|criteria|sign)")],
-]
-LOCATION_FALSE: Guard = [
-    [Test("norm", words=BROAD_PLACES)],
-    [matches("span", r"(?i)^hospital (?:course|problems?|day|stay|medicine|admission)\b")],
-    [matches("span", r"^[a-z]"), lacks("span", r"(?i)\b(?:clinic|medical center|health system|room|unit|floor|ward)\b")],
-]
-ORGANIZATION_FALSE: Guard = [
-    [Test("norm", words=BROAD_PLACES)], *MICROBIOLOGY, *CLINICAL_PHRASE, *HEADING,
-    [matches("line", r"(?i)\b(?:xr|xray|ct|mri|us|echo|ekg|eeg)\b"), matches("line", r"(?i)\b(?:report|views?|with|without|image|screening)\b")],
-    [matches("span", r"(?i)\bhospital$"), matches("after", r"(?i)^ (?:course|stay|problems?|day|progress note)\b")],
-]
-ADDRESS_FALSE: Guard = [
-    [matches("span", r"(?i)\b(?:creatinine|glucose|sodium|potassium|chloride|calcium|magnesium|bun|egfr|labs?|vitals?|mmhg|mg|mcg|per dr)\b")],
-    [matches("span", r"\bDr\. +[A-Z]")],
-    [lacks("line", r"(?i)\baddress\b"), matches("line", r"(?i)\bV[0-9](?:-V[0-9]+)?\b|\b(?:ST|T[- ]wave) (?:segment )?(?:depressions?|elevations?)\b")],
-]
-IDENTIFIER_FALSE: Guard = RESULT_LINE
-FACILITY_PHRASE: Guard = [[matches("norm", r" (?:" + "|".join(FACILITY_ENDS) + r")$")]]
-PROVIDER: Guard = [
-    [matches("span", r"(?i)^(?:dr|doctor)\.? ")],
-    [matches("after", r"^ *,? *(?:MD|DO|NP|PA|RN|PharmD|PhD)\b")],
-    [matches("prefix", r"(?i)(?:signed by|dictated by|prepared by|read by|verified by|performed by|seen by) *$")],
-    [matches("prefix", r"(?i)\b(?:provider|doctor|physician|attending|resident|fellow|consultant|surgeon|pcp)\b[^.]*$")],
-]
-CONTACT: Guard = [[matches("prefix", r"(?i)(?:daughter|son|mother|father|spouse|guardian|caregiver) *$")], [matches("prefix", r"(?i)\b(?:emergency contact|caregiver) *[:#] *$")], [matches("span", r"(?i)^(?:daughter|son|mother|father) ")]]
-PATIENT: Guard = [[matches("line", r"(?i)\b(?:patient name|patient|subjective|admitted)\b")], [matches("line", "(?i)" + AGE_OR_SEX)]]
-GUARDS = {
-    "clinical_phrase": CLINICAL_PHRASE, "medication": MEDICATION_PHRASE, "eponym": EPONYM, "heading": HEADING, "service": SERVICE, "non_name": NON_NAME,
-    "microbiology": MICROBIOLOGY, "explicit": EXPLICIT, "protected": PROTECTED, "location": LOCATION_FALSE, "organization": ORGANIZATION_FALSE, "address": ADDRESS_FALSE,
-    "identifier": IDENTIFIER_FALSE, "facility": FACILITY_PHRASE, "strong_name": STRONG_NAME_CONTEXT, "result_line": RESULT_LINE,
-}
-
-
-# ---- use --------------------------------------------------------------------------------------
-
-
-def holds(guard: Guard, fields: Callable[[str], Column]) -> Column:
-    """Whether a guard holds, as a Column."""
-
-    def one(t: Test) -> Column:
-        x = F.coalesce(fields(t.field), F.lit(""))
-        words = F.split(F.lit("|".join(sorted(set(t.words)))), "[|]")  # one literal, which the optimiser splits once
-        if t.every:
-            found = (x != "") & F.forall(F.split(x, " "), lambda w: F.array_contains(words, w))
-        else:
-            found = F.array_contains(words, x) if t.words else x.rlike(t.pattern)
-        return ~found if t.negate else found
-
-    out = F.lit(False)
-    for case in guard:
-        every = F.lit(True)
-        for t in case:
-            every = every & one(t)
-        out = out | every
-    return out
-
-
-def normal(text: Column) -> Column:
-    """Lower case, letters and digits only, words one space apart."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
-
-
+EPONYMS = tuple("addison alzheimer babinski crohn cushing foley glasgow graves hodgkin kawasaki marfan parkinson raynaud romberg wells whipple wilson allen".split())
+BASE = {
+    "clinical": CLINICAL_WORDS,
+    "anchor": "anemia angina cancer diabetes disease edema failure fever fibrillation hypertension infection pneumonia sepsis sign stroke syndrome ulcer".split(),
+    "eponym": EPONYMS,
+    "companion": "catheter coma criteria disease lymphoma phenomenon procedure reflex scale score sign stance syndrome test".split(),
+    "heading": ["assessment and plan", "chief complaint", "discharge planning", "family history", "hospital course", "interval events", "physical exam", "social history", "vital signs"],
+    "service": "cardiology dermatology endocrinology gastroenterology hematology nephrology neurology oncology orthopedics pediatrics psychiatry radiology surgery urology".split(),
+    "medication": "amlodipine apixaban aspirin atorvastatin furosemide gabapentin heparin insulin lisinopril metformin metoprolol oxycodone prednisone vancomycin warfarin".split(),
+    "place": "bedside clinic home hospital icu outpatient unit ward".split(),
+    "facility": "center clinic hospice hospital institute laboratory pavilion pharmacy practice surgery".split(),
+    "relation": "brother daughter father husband mother neighbor partner sister son spouse wife".split(),
+    "title": "dr doctor miss mr mrs ms prof".split(),
+    "field": "account address alias contact dob email employer fax member mrn name occupation patient phone policy provider room".split(),
+    "analyte": "bun calcium chloride creatinine egfr glucose magnesium potassium sodium troponin".split(),
+}
+
+#: Endings of generic drug names by class (fixed values of the public nomenclature).
+STEM = r"(?:olol|pril|statin|cillin|mycin|azole|sartan|oxacin|dipine|triptan)$"
+
+# ---- what stands around a span -----------------------------------------------------------------
+
+_BLANKS = literal(r"\s+")
 FIELDS = ("span", "norm", "before", "after", "prefix", "line", "around")
 
 
-def context(text: Column, found: Column, look: int = LOOK, wide: int = 400) -> Column:
-    """The spans with the fields that guards look at: what they say, and what stands around them.
+def context_expr(text: str, s: str, keep: dict[str, str], look: int = LOOK, wide: int = WIDE) -> str:
+    """A struct of ``keep`` and of what guards look at: what span ``s`` says, and what stands around it.
 
     ``before`` and ``after`` reach ``look`` characters; ``prefix`` and ``line`` end at line ends and
-    reach ``wide`` characters, as ``around`` does; so no span drags a whole text along.
+    reach ``wide`` characters, as ``around`` does. A text is walked once for each span.
     """
-
-    def add(s: Column) -> Column:
-        span = F.trim(F.regexp_replace(F.substr(text, (s.start + 1).cast("int"), (s.end - s.start).cast("int")), r"\s+", " "))
-        left = lambda n: F.substr(text, (F.greatest(s.start - n, F.lit(0)) + 1).cast("int"), F.least(s.start, F.lit(n)).cast("int"))
-        right = lambda n: F.substr(text, (s.end + 1).cast("int"), F.lit(n))
-        prefix = F.substring_index(left(wide), "\n", -1)
-        inner = F.substr(text, (s.start + 1).cast("int"), (s.end - s.start).cast("int"))
-        made = {
-            "span": span, "norm": normal(span), "before": left(look), "after": right(look), "prefix": prefix,
-            "line": F.concat(prefix, F.substring_index(inner, "\n", 1), F.substring_index(right(wide), "\n", 1)), "around": F.concat(left(wide), inner, right(wide)),
-        }
-        for name, value in made.items():
-            s = s.withField(name, value)
-        return s
-
-    return F.transform(found, add)
-
-
-def verdict(fields: Callable[[str], Column], date_false: Column) -> Column:
-    """What becomes of a span: ``keep``, ``drop``, or the label it gets instead.
-
-    ``fields`` also knows label, source and zone. The order of the cases counts.
-    """
-    label, source = fields("label"), fields("source")
-    name, model = label.isin(*NAME_LABELS), F.coalesce(source, F.lit("")).contains("model")
-    h = lambda g: holds(g, fields)
-    explicit_patient = (label == "PATIENT NAME") & ~model & h(EXPLICIT)
-    dose = r"(?i)\b[0-9]+(?:\.[0-9]+)? ?(?:mg|mcg|ml|units?|tabs?)\b|\b(?:po|iv|bid|tid|prn|daily)\b"
-    dosed = fields("before").rlike(dose) | fields("after").rlike(dose)
-    person = fields("span").rlike(r"^(?:(?:Dr|Mr|Mrs|Ms)\.? )?[A-Z][A-Za-z'-]+(?:,? [A-Z][A-Za-z'.-]*){0,3}$")
-    return (
-        F.when((label == "ROOM") & h(FACILITY_PHRASE) & fields("norm").rlike(" .* "), "FACILITY")
-        .when(label == "AGE", F.when(F.coalesce(F.regexp_extract(fields("span"), "[0-9]{1,3}", 0).try_cast("int"), F.lit(0)) >= 90, "keep").otherwise("drop"))
-        .when(h(PROTECTED) & ~h(EXPLICIT), "drop")
-        .when(name & ~explicit_patient & h(NON_NAME), "drop")
-        .when(name & dosed & h(MEDICATION_PHRASE), "drop")
-        .when(name & (F.length(fields("span")) <= 2), "drop")
-        .when(model & (name | (label == "LOCATION")) & fields("zone").isin("lab", "vitals", "meds", "imaging") & ~h(STRONG_NAME_CONTEXT), "drop")
-        .when(model & name & h(FACILITY_PHRASE), "ORGANIZATION")
-        .when(model & name & ~person & ~h(STRONG_NAME_CONTEXT), "drop")
-        .when((label == "DATE") & date_false, "drop")
-        .when((label == "ADDRESS") & h(ADDRESS_FALSE), "drop")
-        .when((label == "ID") & ~fields("span").rlike(r"(?i)^dev(?:ice)?[:#=]") & h(IDENTIFIER_FALSE), "drop")
-        .when((label == "LOCATION") & (h(LOCATION_FALSE) | h(CLINICAL_PHRASE)), "drop")
-        .when(label.isin("ORGANIZATION", "FACILITY") & h(ORGANIZATION_FALSE), "drop")
-        .otherwise("keep")
-    )
-
-
-def refined(fields: Callable[[str], Column]) -> Column:
-    """The label of a name by what stands around it: an organisation, a contact, a provider, the patient, or what it was."""
-    h = lambda g: holds(g, fields)
-    label = fields("label")
-    named = F.when(h(SERVICE), label).when(h(FACILITY_PHRASE), "ORGANIZATION").when(h(CONTACT), "CONTACT NAME").when((label == "NAME") & h(PROVIDER), "PROVIDER NAME").when((label == "NAME") & h(PATIENT), "PATIENT NAME")
-    return F.when(label.isin(*NAME_LABELS), F.coalesce(named, label)).otherwise(label)
-
-
-def trimmed(value: Column) -> Column:
+    lead, size = f"cast(least({s}.start, {wide}) as int)", f"cast({s}.end - {s}.start as int)"
+    window = f"substr({text}, cast({s}.start - least({s}.start, {wide}) + 1 as int), {lead} + {size} + {wide})"
+    parts = struct(left="substr(cw, 1, cl)", inner="substr(cw, cl + 1, cn)", right="substr(cw, cl + cn + 1)", lead="cl", around="cw")
+    said = let("cs", f"trim(regexp_replace(cp.inner, {_BLANKS}, ' '))", let("cx", "substring_index(cp.left, '\\n', -1)", struct(
+        **keep, span="cs", norm=normal_expr("cs"), before=f"substr(cp.left, greatest(cp.lead - {look}, 0) + 1)", after=f"substr(cp.right, 1, {look})", prefix="cx",
+        line="concat(cx, substring_index(cp.inner, '\\n', 1), substring_index(cp.right, '\\n', 1))", around="cp.around",
+    )))
+    return let("cl", lead, let("cn", size, let("cw", window, let("cp", parts, said))))
+
+
+# ---- facts -------------------------------------------------------------------------------------
+
+#: Facts that a pattern tells, of one field. The patterns are valid for Java and RE2.
+PATTERNS = {
+    "labelled": ("prefix", r"[A-Za-z][A-Za-z ]{1,30}[ \t]*[:=#][ \t*_]*$"),
+    "dosed_before": ("before", r"(?i)[0-9] ?(?:mg|mcg|ml|g|units?|tablets?) (?:of )?$"),
+    "dosed_after": ("after", r"(?i)^ *[0-9.]+ ?(?:mg|mcg|ml|g|units?|tablets?)\b|^ *(?:daily|twice daily|nightly|as needed)\b"),
+    "measured": ("line", r"[:\t][ \t]*[<>]?[0-9][0-9.,]*[ \t]*(?:%|mmHg\b|m?mol|m?Eq|[munp]?g/[dm]?L|K/uL|\([0-9])"),
+    "cultured": ("around", r"(?i)\b(?:isolates?|susceptib[a-z]*|antibiogram)\b"),
+    "graded": ("line", r"(?i)[0-9] +(?:S|I|R|susceptible|nonsusceptible)[ \t]*$"),
+    "traced": ("line", r"\b(?:E[CK]G|QRS|QTc?|leads?)\b"),
+    "addressed": ("line", r"(?i)\baddress\b"),
+    "imaged": ("line", r"(?i)\b(?:CT|MRI|X-?ray|ultrasound|echo)\b.*\b(?:views?|contrast|image)"),
+    "alone_before": ("before", r"(?:^|\n)[ \t]*(?:[#*-]|[0-9]+[.)])?[ \t]*$"),
+    "alone_after": ("after", r"^:?[ \t]*(?:\n|$)"),
+    "colon_after": ("after", r"^ ?:"),
+    "digits": ("span", r"[0-9]"),
+    "sentences": ("span", r"[a-z]{3}\. +[A-Z]"),
+    "capitals": ("span", r"^[A-Z]{2,5}$"),
+    "titled": ("span", r"(?i)^(?:dr|doctor|mr|mrs|ms|miss|prof)\.? "),
+    "stem": ("norm", STEM),
+    "person_shape": ("span", r"^(?:(?:Dr|Mr|Mrs|Ms|Prof)\.? )?[A-Z][A-Za-z'-]+(?:,? [A-Z][A-Za-z'.-]*){0,3}$"),
+    "aged": ("after", r"(?i)^,? (?:is |was )?(?:an? )?[0-9]{1,3}[ -]?(?:year|yo\b|y/o)"),
+    "spoken": ("before", r"(?i)\b(?:spoke (?:with|to)|called|phoned|met with|updated) (?:the |her |his )?$"),
+    "acted": ("after", r"(?i)^ (?:is|was|has|had|says|said|reports|denies)\b"),
+    "signed": ("before", r"(?i)\b(?:signed|read|seen|reviewed|dictated) by:? $"),
+    "credential": ("after", r"^ ?,? ?(?:MD|DO|NP|PA|RN|PhD)\b"),
+    "lower_start": ("span", r"^[a-z]"),
+    "stay": ("after", r"(?i)^ (?:course|day|stay|admission)\b"),
+    "stay_inside": ("span", r"(?i)^hospital (?:course|day|stay|admission)\b"),
+    "street_doctor": ("span", r"\bDr\. +[A-Z]"),
+    "device": ("span", r"(?i)^(?:sn|dev|udi)[-:#=]"),
+    "no_day": ("span", r"(?i)^(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?|[0-9]{1,2}:[0-9]{2}|aged? [0-9]{1,3})$"),
+    "short_range": ("span", r"^[0-9]{1,2}[-.][0-9]{1,2}$"),
+    "dated_before": ("before", r"(?i)\b(?:on|dated|since|from|until|seen|admitted)[: ]+$"),
+}
+#: Facts that the vocabulary tells: of the whole span (``p``), its words (``w``), the word before (``b``) and after (``a``).
+_ALL, _ANY, _LAST = "all", "any", "last"
+WORDS = {
+    "heading": ("p", "", ("heading",)),
+    "service": ("w", _ALL, ("service", "place")),
+    "service_any": ("w", _ANY, ("service",)),
+    "medication": ("p", "", ("medication",)),
+    "place": ("p", "", ("place",)),
+    "clinical": ("w", _ALL, ("clinical", "medication", "analyte")),
+    "anchored": ("w", _ANY, ("anchor",)),
+    "eponym": ("w", _ANY, ("eponym",)),
+    "companion_in": ("w", _LAST, ("companion",)),
+    "companion_after": ("a", "", ("companion",)),
+    "facility": ("w", _LAST, ("facility",)),
+    "analyte": ("w", _ANY, ("analyte",)),
+    "relation_before": ("b", "", ("relation",)),
+    "title_before": ("b", "", ("title",)),
+    "field_before": ("b", "", ("field",)),
+}
+#: Facts made of others, in SQL and in Columns alike; they may name those above them.
+DERIVED = {
+    "explicit": "labelled OR field_before",
+    "dosed": "dosed_before OR dosed_after",
+    "eponymous": "eponym AND (companion_in OR companion_after)",
+    "title_line": "heading OR (clinical AND (colon_after OR (alone_before AND alone_after)))",
+    "guarded": "clinical AND anchored",
+    "culture": "cultured AND graded",
+    "drug": "medication OR stem",
+    "strong_name": "titled OR title_before OR relation_before OR field_before OR spoken OR signed OR aged",
+    "non_name": "eponymous OR title_line OR (service AND service_any) OR guarded OR clinical OR (digits AND NOT titled) OR (sentences AND NOT titled) OR companion_after OR (capitals AND NOT strong_name)",
+    "protected": "culture OR (in_place AND place)",
+    "result_line": "measured AND NOT field_before",
+    "date_false": "no_day OR (short_range AND NOT dated_before)",
+    "address_false": "analyte OR street_doctor OR (traced AND NOT addressed)",
+    "location_false": "place OR stay_inside OR guarded OR lower_start",
+    "organization_false": "place OR culture OR guarded OR title_line OR imaged OR stay",
+    "provider": "titled OR title_before OR signed OR credential",
+    "contact": "relation_before OR spoken",
+    "patient": "field_before OR aged",
+}
+#: What becomes of a span, and why; the order counts. ``model`` spans come from a model alone or together with rules.
+CASES = [
+    ("room", "FACILITY", "label = 'ROOM' AND facility AND many_words"),
+    ("age", "drop", "label = 'AGE' AND young"),
+    ("protected", "drop", "protected AND NOT explicit"),
+    ("non_name", "drop", "is_name AND NOT (label = 'PATIENT NAME' AND NOT model AND explicit) AND non_name"),
+    ("dosed", "drop", "is_name AND dosed AND drug"),
+    ("short", "drop", "is_name AND tiny"),
+    ("zone", "drop", "model AND (is_name OR label = 'LOCATION') AND zoned AND NOT strong_name"),
+    ("organisation", "ORGANIZATION", "model AND is_name AND facility"),
+    ("shapeless", "drop", "model AND is_name AND NOT person_shape AND NOT strong_name"),
+    ("no_date", "drop", "label = 'DATE' AND date_false"),
+    ("no_address", "drop", "label = 'ADDRESS' AND address_false"),
+    ("result", "drop", "label = 'ID' AND NOT device AND result_line"),
+    ("no_place", "drop", "label = 'LOCATION' AND location_false"),
+    ("no_organisation", "drop", "label IN ('ORGANIZATION', 'FACILITY') AND organization_false AND NOT explicit"),
+]
+#: The label of a name by what stands around it.
+LABELS = [
+    ("PROVIDER NAME", "label = 'NAME' AND provider"),
+    ("CONTACT NAME", "label IN ('NAME', 'PATIENT NAME') AND contact AND NOT provider"),
+    ("PATIENT NAME", "label = 'NAME' AND patient"),
+]
+FACTS = ["is_name", "model", "in_place", "many_words", "young", "tiny", "zoned", *PATTERNS, *WORDS, *DERIVED]
+
+
+_OWN = literal("^'s")
+
+
+def signals_expr(s: str, table: str) -> str:
+    """All facts of a span with its :func:`context_expr`, label and source, as a struct of booleans."""
+    near = lambda t, at: f"coalesce(try_element_at({words_expr(normal_expr(t))}, {at}), '')"
+    looked = struct(
+        p=kinds_expr(table, f"{s}.norm"), w=f"transform({words_expr(f'{s}.norm')}, w -> {kinds_expr(table, 'w')})",
+        b=let("nb", near(f"substring_index({s}.before, '\\n', -1)", -1), kinds_expr(table, "nb")), a=let("na", near(f"regexp_replace({s}.after, {_OWN}, '')", 1), kinds_expr(table, "na")),
+    )
+    made = {
+        "is_name": f"{s}.label in ({', '.join(map(literal, NAME_LABELS))})",
+        "model": f"contains(coalesce({s}.source, ''), 'model')",
+        "in_place": f"{s}.label in ('LOCATION', 'ORGANIZATION', 'FACILITY')",
+        "many_words": "size(k.w) > 2",
+        "young": f"{s}.label = 'AGE' and coalesce(try_cast(regexp_extract({s}.span, '[0-9]{{1,3}}', 0) as int), 0) < 90",
+        "tiny": f"length({s}.span) <= 2",
+        "zoned": f"{lines.kind_expr(f'{s}.line')} in ('lab', 'vitals', 'meds', 'imaging')",
+    }
+    made |= {name: f"{s}.{field} rlike {literal(p)}" for name, (field, p) in PATTERNS.items()}
+    for name, (of, how, which) in WORDS.items():
+        test = f"x -> {has_expr('x', *which)}"
+        made[name] = {_ALL: f"size(k.w) > 0 and forall(k.w, {test})", _ANY: f"exists(k.w, {test})", _LAST: has_expr("coalesce(try_element_at(k.w, -1), 0)", *which)}.get(how) or has_expr(f"k.{of}", *which)
+    # facts made of others, in groups of which each sees those before it
+    facts, known, group = let("k", looked, struct(**made)), list(made), {}
+    for name, expression in [*DERIVED.items(), ("", "")]:
+        if not name or set(re.findall(r"\w+", expression)) & set(group):
+            facts = let("fact", facts, struct(**{n: f"fact.{n}" for n in known}, **group))
+            known, group = [*known, *group], {}
+        group[name] = named_in(expression, "fact", "")
+    return facts
+
+
+def named_in(expression: str, facts: str, label: str) -> str:
+    """An expression over facts, with each fact as a field of ``facts`` and ``label`` as given."""
+    word = lambda m: m[0] if m[0] in ("NOT", "AND", "OR", "IN") or m[0].startswith("'") else label if m[0] == "label" else f"{facts}.{m[0]}"
+    return re.sub(r"'[^']*'|[A-Za-z_]+", word, expression)
+
+
+def verdict_expr(facts: str, label: str) -> str:
+    """(reason, label): why a span goes or changes, and the label that it has then, null if it goes; the reason ``keep`` leaves it or names it anew."""
+    reason = "case " + " ".join(f"when {named_in(test, facts, label)} then '{name}'" for name, _, test in CASES) + " else 'keep' end"
+    named = "case " + " ".join(f"when {named_in(test, facts, label)} then '{becomes}'" for becomes, test in LABELS) + f" else {label} end"
+    changed = " ".join(f"when '{name}' then '{becomes}'" for name, becomes, _ in CASES if becomes != "drop")
+    return let("why", reason, struct(reason="why", label=f"case why {changed} when 'keep' then {named} else null end"))
+
+
+def judged_expr(text: str, found: str, table: str) -> str:
+    """The spans with their context, facts and verdict."""
+    own = {c: f"js.{c}" for c in ("start", "end", "label", "source")}
+    fields = {c: f"jc.{c}" for c in (*own, *FIELDS)}
+    row = let("jf", signals_expr("jc", table), struct(**fields, facts="jf", verdict=verdict_expr("jf", "jc.label")))
+    return f"transform({found}, js -> {let('jc', context_expr(text, 'js', own), row)})"
+
+
+def kept_expr(text: str, found: str, table: str) -> str:
+    """The spans that stay, as (start, end, label, source), names with the label that fits them."""
+    own = {c: f"js.{c}" for c in ("start", "end", "label", "source")}
+    row = let("jf", signals_expr("jc", table), struct(start="jc.start", end="jc.end", label=f"{verdict_expr('jf', 'jc.label')}.label", source="jc.source"))
+    return f"filter(transform({found}, js -> {let('jc', context_expr(text, 'js', own), row)}), s -> s.label is not null)"
+
+
+# ---- values ------------------------------------------------------------------------------------
+
+#: What a field's value loses: (where it ends, pattern); see :func:`trimmed_expr`.
+LEAD = r"(?i)^[ \t]*(?:(?:patient|provider|contact|name|attending|pcp)[ \t]*[:#=][ \t]*)?"
+DOTTED = r"\b(Dr|Mr|Mrs|Ms|Prof|[A-Z])\."
+END = r"(?s)(?:\. +[A-Z].*|[ \t]+(?:DOB|MRN|Phone|Fax|Sex|Age|Room|Account|Email|Address)\b.*|,? +(?:MD|DO|RN|NP|PA|PhD)\b.*|[ \t]+Per\b.*)$"
+POINTS_OFF = r"[\s,;:.-]+$"
+
+
+def trimmed_expr(value: str) -> str:
     """(lead, kept): how many characters a pattern's span loses in front, and what stays of it.
 
     A field's label in front goes; then all from a sentence's end, a header, credentials, or "Per" on; then punctuation.
     """
-    lead = F.regexp_extract(value, r"(?i)^[ \t]*(?:(?:patient|provider|contact|name|attending|pcp)[ \t]*[:#=][ \t]*)?", 0)
-    rest = F.substr(value, F.length(lead) + 1)
-    masked = F.regexp_replace(rest, r"\b(Dr|Mr|Mrs|Ms|Prof|[A-Z])\.", "$1~")  # a title's or an initial's dot ends no sentence
-    cut = F.regexp_replace(masked, r"(?s)(?:\. +[A-Z].*|[ \t]+(?:DOB|MRN|Phone|Sex|Age|Room)\b.*|,? +(?:MD|DO|RN|NP|PA|PhD)\b.*|[ \t]+Per\b.*)$", "")
-    kept = F.regexp_replace(F.substr(rest, F.lit(1), F.length(cut)), r"[\s,;:.-]+$", "")
-    return F.struct(F.length(lead).cast("long").alias("lead"), kept.alias("kept"))
-
-
-def kept_spans(found: Column, verdict_of: Callable[[Column], Column]) -> Column:
-    """Spans that are not dropped, relabelled where the verdict says so."""
-    judged = F.transform(found, lambda s: s.withField("verdict", verdict_of(s)))
-    stay = F.filter(judged, lambda s: s.verdict != "drop")
-    return F.transform(stay, lambda s: s.withField("label", F.when(s.verdict == "keep", s.label).otherwise(s.verdict)).dropFields("verdict"))
-
-
-def guard_names() -> Sequence[str]:
-    return sorted(GUARDS)
+    masked = f"regexp_replace(tr, {literal(DOTTED)}, '$1~')"  # a title's or an initial's dot ends no sentence
+    kept = f"regexp_replace(substr(tr, 1, length(regexp_replace({masked}, {literal(END)}, ''))), {literal(POINTS_OFF)}, '')"
+    return let("tl", f"length(regexp_extract({value}, {literal(LEAD)}, 0))", let("tr", f"substr({value}, tl + 1)", struct(lead="cast(tl as bigint)", kept=kept)))

@@ -8,6 +8,8 @@ place on the timeline. A null text has no dates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ CURRENT = r"(?i)\b(?:seen(?: on)?|today|now|examined(?: on)?|rounds(?: on)?)[: ]
 NEAR = 48
 
 
+def using(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def direction(before: Column) -> Column:
     """What the words before a date make of it: birth, source, admission, future, past, current or neutral."""
     out = F.lit("neutral")
@@ -58,8 +65,9 @@ def suppressed(kind: Column, value: Column, before: Column, after: Column) -> Co
     return ((kind == "md") & (before.rlike(SCORE) | after.rlike(UNIT) | (value == "2/2"))) | ((kind == "ago") & before.rlike(DURATION))
 
 
-def find(text: Column) -> Column:
-    """Dates of a text: an array of (start, end, kind, value, context), by place."""
+def find(name: str) -> Column:
+    """Dates of a text: an array of (start, end, kind, value, context), by place. ``name`` is a column's name, or SQL."""
+    text = F.expr(name)
 
     def add(s: Column) -> Column:
         near = F.greatest(s.start - NEAR, F.lit(0))
@@ -68,7 +76,7 @@ def find(text: Column) -> Column:
             F.substring_index(F.substr(text, (near + 1).cast("int"), (s.start - near).cast("int")), "\n", -1).alias("before"), F.substr(text, (s.end + 1).cast("int"), F.lit(24)).alias("after"),
         )
 
-    each = F.transform(spans.merged(spans.sourced(spans.find(text, RULES)), text), add)
+    each = F.transform(spans.merged(name, RULES), add)
     good = F.filter(each, lambda d: ~suppressed(d.kind, d.value, d.before, d.after))
     return F.transform(good, lambda d: F.struct(d.start, d.end, d.kind, d.value, direction(d.before).alias("context")))
 
@@ -86,24 +94,22 @@ def parts(kind: Column, value: Column) -> Column:
     return F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
 
 
-def explicit(kind: Column, value: Column) -> Column:
-    """The date of a value that says its year; null if it says none, or no such day is."""
-    p = parts(kind, value)
+def explicit(p: Column) -> Column:
+    """The date of :func:`parts` that say a year; null if they say none, or no such day is."""
     return F.when(p.y.isNotNull(), F.try_to_date(F.concat_ws("-", p.y, p.m, p.d), "yyyy-M-d"))
 
 
-def resolve(kind: Column, value: Column, context: Column, reference: Column) -> Column:
-    """The date of any value: explicit, else the nearest year's, else counted from the reference day.
+def resolve(kind: Column, value: Column, context: Column, reference: Column, p: Column, said: Column) -> Column:
+    """The date of any value: what it says, else the nearest year's, else counted from the reference day.
 
     Without a year, a day over thirty days ahead is of the year before, unless the words before speak of the future.
     """
-    p = parts(kind, value)
     n, unit = F.regexp_extract(value, "^[0-9]+", 0).try_cast("int"), F.lower(F.regexp_extract(value, "(?i)day|week|month|year", 0))
     sign = F.when(F.lower(value).endswith("ago"), -1).otherwise(1)
     moved = F.when(unit == "day", F.date_add(reference, sign * n)).when(unit == "week", F.date_add(reference, sign * n * 7)).when(unit == "month", F.add_months(reference, sign * n)).when(unit == "year", F.add_months(reference, sign * n * 12))
     casual = F.date_add(reference, F.when(F.lower(value) == "yesterday", -1).when(F.lower(value) == "tomorrow", 1).otherwise(0))
-    near = F.when(context == "future", timeline.nearest_year(p.m, p.d, reference, 366)).otherwise(timeline.nearest_year(p.m, p.d, reference))
-    return F.when(kind == "ago", moved).when(kind == "casual", casual).when(kind.isin("mon_d", "md"), near).otherwise(explicit(kind, value))
+    near = timeline.nearest_year(p.m, p.d, reference, F.when(context == "future", 366).otherwise(30))
+    return F.when(kind == "ago", moved).when(kind == "casual", casual).when(kind.isin("mon_d", "md"), near).otherwise(said)
 
 
 def anchor(dates: Column, supplied: Column) -> Column:
@@ -141,12 +147,13 @@ def place(kind: Column, context: Column, date: Column, start: Column) -> Column:
     )
 
 
-def timed(text: Column, reference: Column, supplied: Column | None = None) -> Column:
+def timed(text: str, reference: Column, supplied: Column | None = None) -> Column:
     """Dates of a text with their day and label: an array of (start, end, kind, value, context, said, date, label)."""
     none = F.lit(None).cast("date")
 
     def dated(d: Column) -> Column:
-        return F.struct(d.start, d.end, d.kind, d.value, d.context, explicit(d.kind, d.value).alias("said"), resolve(d.kind, d.value, d.context, reference).alias("date"))
+        made = lambda p, said: F.struct(d.start, d.end, d.kind, d.value, d.context, said.alias("said"), resolve(d.kind, d.value, d.context, reference, p, said).alias("date"))
+        return using(parts(d.kind, d.value), lambda p: using(explicit(p), lambda said: made(p, said)))
 
     def labelled(all_: Column) -> Column:
         return F.transform(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import literal
+
 VITALS = r"(?i)\b(?:bp|hr|rr|spo2|temp)[ :]+[0-9]"
 MEDS = r"(?i)\b[0-9.]+ ?(?:mg|mcg|units|ml)\b.*\b(?:daily|bid|tid|qid|prn|qhs|weekly)\b"
 LAB = r"(?i)^[ \t]*[A-Za-z][A-Za-z0-9 ]{0,30}[: \t]+[0-9]+(?:\.[0-9]+)?[ \t]*(?:\(|[A-Za-z/%^0-9]*[ \t]*$)"
@@ -36,6 +38,12 @@ def kind(line: Column) -> Column:
     )
 
 
+def kind_expr(line: str) -> str:
+    """:func:`kind` as SQL text."""
+    tests = (("narrative", NARRATIVE), ("imaging", IMAGING), ("vitals", VITALS), ("meds", MEDS), ("lab", LAB), ("lab_header", LAB_HEADER))
+    return f"case when trim({line}) = '' then 'blank' " + " ".join(f"when {line} rlike {literal(p)} then '{k}'" for k, p in tests) + " else 'narrative' end"
+
+
 def density(line: Column) -> Column:
     """The share of digits in a line."""
     digits = F.length(F.regexp_replace(line, "[^0-9]", ""))

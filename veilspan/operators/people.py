@@ -11,33 +11,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import empty, fold, let, literal, struct
 from ..functions.rules import Rule
-from . import clinical, spans
+from . import clinical, spans, vocabulary
 
 _PART = r"[A-Z][a-z]+(?:['-][A-Z][a-z]+)*"
 _FULL = rf"{_PART}(?: [A-Z]\.)? {_PART}"
-_AGE = r"(?:is|was|presents|presented|reports|states|has) (?:an? )?(?:[0-9]{1,3} ?(?:y\.?o\.?|yo)|[0-9]{1,3}[- ]year[- ]old|female|male|woman|man|adult|patient)\b"
-#: Names by what stands around them; the name is the group, what stands around it is matched but no part of it.
+_AGED = r",? (?:who )?(?:is|was)? ?(?:an? )?[0-9]{1,3}(?:[- ]years?[- ]old|[ -]?y/?o)\b"
+_RELATIVE = "mother|father|sister|brother|daughter|son|wife|husband|partner|neighbor"
+#: Names by what stands before and after them.
 CONTEXT_RULES = [
-    ("honorific_age", "PATIENT NAME", rf"\b((?:Mr|Mrs|Ms|Miss)\.? {_PART}(?: {_PART})?) {_AGE}"),
-    ("name_age", "PATIENT NAME", rf"\b({_FULL}) {_AGE}"),
-    ("summary", "PATIENT NAME", rf"\b(?:One-line summary|Overall assessment|Subjective|HPI): ((?:(?:Mr|Mrs|Ms)\.? )?{_FULL}) (?:is|was|presents|reports|states|has)\b"),
-    ("provider_verb", "PROVIDER NAME", rf"\b(?:[Ff]ollow[ -]?up with|[Aa]ppointment with|[Cc]onsulted|[Ss]een by|[Ss]taffed with|[Ss]igned by|[Pp]er) ((?:Dr|Doctor)\.? {_PART}(?: {_PART})?)"),
-    ("contact_verb", "CONTACT NAME", rf"\b(?:[Ss]poke with|[Cc]alled|[Cc]all|[Uu]pdated) ({_FULL})(?: (?:at|about|regarding|for|if)\b|[,.;])"),
+    Rule(name, label, rf"({before})({value})({after})", field=True, tail=True)
+    for name, label, before, value, after in (
+        ("honorific_age", "PATIENT NAME", r"\b", rf"(?:Mr|Mrs|Ms|Miss)\.? {_PART}(?: {_PART})?", _AGED),
+        ("name_age", "PATIENT NAME", r"\b", _FULL, _AGED),
+        ("summary", "PATIENT NAME", r"\b(?:Summary|Impression|Subjective|History|HPI):[ \t]+", rf"(?:(?:Mr|Mrs|Ms)\.? )?{_FULL}", r" [a-z]+s\b"),
+        ("provider_verb", "PROVIDER NAME", r"\b(?i:referred to|follow[- ]?up with|appointment with|discussed with|seen by|signed by|read by|per) ", rf"(?:Dr|Doctor)\.? {_PART}(?: {_PART})?", r""),
+        ("contact_verb", "CONTACT NAME", r"\b(?i:spoke with|spoke to|called|phoned|updated|met with) ", _FULL, r"\b"),
+        ("relative", "CONTACT NAME", rf"\b(?i:{_RELATIVE}) \(?", rf"{_PART}(?: {_PART})?", r"\b"),
+    )
 ]
 
 
-def contextual(text: Column) -> Column:
-    """Names that their surroundings give away: an array of (rule, label, start, end, value)."""
-    def inside(name: str, label: str, pattern: str):
-        def one(s: Column) -> Column:
-            value = F.regexp_extract(s.value, pattern, 1)
-            start = s.start + F.position(value, s.value) - 1
-            return F.struct(F.lit(name).alias("rule"), F.lit(label).alias("label"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
-
-        return one
-
-    return F.concat(*[F.transform(spans.find(text, [Rule(*r)]), inside(*r)) for r in CONTEXT_RULES])
+def contextual(text: str) -> Column:
+    """Names that their surroundings give away: an array of (rule, label, severity, start, end, value)."""
+    return spans.find(text, CONTEXT_RULES)
 
 
 # ---- parsing ----------------------------------------------------------------------------------
@@ -82,63 +80,66 @@ LONGEST = 4
 _RUN = "struct<start:bigint,end:bigint,tokens:array<string>,comma:boolean>"
 
 
-def runs(text: Column) -> Column:
+def runs_expr(text: str) -> str:
     """Runs of capitalised words that blanks or one comma join, of at most four: an array of (start, end, tokens, comma), by place."""
-    words = F.filter(spans.find(text, [WORD]), lambda w: w.value.rlike("^[A-Z]"))
-    empty = F.lit(None).cast(_RUN)
-
-    def step(run: Column, w: Column) -> tuple[Column, Column]:
-        gap = F.substr(text, (run.end + 1).cast("int"), F.greatest(w.start - run.end, F.lit(0)).cast("int"))
-        near = w.start - run.end <= 4
-        joins = run.end.isNotNull() & near & (F.size(run.tokens) < LONGEST) & (gap.rlike(r"^(?:[ \t]+|\.[ \t]+)$") | (gap.rlike(r"^,[ \t]+$") & ~run.comma))
-        joins = F.coalesce(joins, F.lit(False))
-        longer = F.struct(run.start.alias("start"), w.end.alias("end"), F.concat(run.tokens, F.array(w.value)).alias("tokens"), (run.comma | gap.contains(",")).alias("comma"))
-        alone = F.struct(w.start.alias("start"), w.end.alias("end"), F.array(w.value).alias("tokens"), F.lit(False).alias("comma"))
-        out = F.when(~joins & run.end.isNotNull(), F.array(run)).otherwise(F.array().cast(f"array<{_RUN}>"))
-        return F.when(joins, longer).otherwise(alone), out
-
-    def closed(w: Column) -> Column:
-        last = F.element_at(w, -1)
-        far = last.withField("start", last.end + 99).withField("end", last.end + 100)  # puts out the last run
-        return spans.fold(F.concat(w, F.array(far)), empty, _RUN, step)
-
-    return F.flatten(F.transform(F.filter(F.array(words), lambda w: F.size(w) > 0), closed))
-
-
-#: Points of evidence (fixed values).
-POINTS = {
-    "token": 2, "full": 2, "comma": 2, "capitals": 1, "honorific": 4, "relation": 4, "field": 4, "provider": 4, "said": 3, "verb": 2, "age": 2, "possessive": 1,
-    "clinical": -4, "eponym": -5, "uncapitalised": -2, "lone": -2, "zone": -3,
-}
+
+    def step(run: str, w: str) -> tuple[str, str]:
+        gap = f"substr({text}, cast({run}.end + 1 as int), cast(greatest({w}.start - {run}.end, 0) as int))"
+        blank, comma = literal(r"^(?:[ \t]+|\.[ \t]+)$"), literal(r"^,[ \t]+$")
+        near = f"{run}.end is not null and {w}.start - {run}.end <= 4 and size({run}.tokens) < {LONGEST}"
+        joins = f"coalesce({near} and (rg rlike {blank} or (rg rlike {comma} and not {run}.comma)), false)"
+        longer = struct(start=f"{run}.start", end=f"{w}.end", tokens=f"concat({run}.tokens, array({w}.value))", comma=f"({run}.comma or contains(rg, ','))")
+        alone = struct(start=f"{w}.start", end=f"{w}.end", tokens=f"array({w}.value)", comma="false")
+        return let("rg", gap, f"if({joins}, {longer}, {alone})"), let("rg", gap, f"if(not {joins} and {run}.end is not null, array({run}), {empty(_RUN)})")
+
+    words = f"filter({spans.find_expr(text, [WORD])}, w -> w.value rlike '^[A-Z]')"
+    far = let("rl", "element_at(rw, -1)", "named_struct('rule', '', 'label', '', 'severity', '', 'start', rl.end + 99, 'end', rl.end + 100, 'value', '')")  # puts out the last run
+    items = let("rw", words, f"if(size(rw) > 0, concat(rw, array({far})), rw)")
+    return fold(items, f"cast(null as {_RUN})", _RUN, step, "run")
+
+
+#: Points of evidence (fixed values), and what they are given for, in the facts of :mod:`clinical` and those of :func:`evidence_expr`.
+POINTS = [
+    (2, "full_name"), (2, "turned AND cased"), (1, "cased"), (4, "title_before OR titled"), (4, "relation_before"), (4, "explicit"), (4, "signed OR credential"), (3, "spoken"),
+    (2, "acted"), (2, "aged"), (1, "possessive"), (-5, "companion_after AND NOT said_who"), (-2, "NOT vouched AND NOT cased"), (-2, "lone AND NOT vouched"), (-3, "zoned AND NOT vouched"),
+]
+#: Points of each word that a dictionary of names has, and of each clinical word where no title or field stands before.
+PER_NAME, PER_CLINICAL = 2, -4
 LEAST = 4
-HONORIFIC, RELATION = r"(?i)\b(?:mr|mrs|ms|miss|dr|doctor|prof)\.? $", r"(?i)\b(?:mother|father|daughter|son|wife|husband|spouse|sister|brother|guardian|caregiver),? $"
-FIELD, SAID = r"(?i)\b(?:patient|name|contact|provider|alias)[ \t]*[:#=][ \t]*$", r"(?i)\b(?:spoke with|called|call|updated|discussed with|met with) $"
-PROVIDER_BEFORE, CREDENTIAL_AFTER = r"(?i)\b(?:attending|surgeon|physician|resident|nurse|seen by|signed by) $", r"^ *,? *(?:MD|DO|NP|PA|RN|PhD)\b"
-VERB_AFTER, AGE_AFTER = r"^ (?:is|was|has|had|reports|reported|states|stated|denies|presented|said)\b", r"(?i)^,? (?:an? )?(?:[0-9]{1,3} ?(?:yo|y\.o\.)|[0-9]{1,3}[- ]year[- ]old)"
-COMPANION_AFTER = r"(?i)^(?:'s)? " + clinical.COMPANIONS + r"\b"
-
-
-def evidence(fields, tokens: Column, comma: Column, zone: Column, given: Sequence[str], surnames: Sequence[str], ambiguous: Sequence[str]) -> Column:
-    """The points of a run of words: what the dictionaries and the words around it say of a name."""
-    low = F.transform(tokens, lambda w: F.lower(w))
-    lit = lambda v: F.array(*[F.lit(x) for x in v]) if v else F.array().cast("array<string>")
-    known = lambda w: (F.array_contains(lit(given), w) | F.array_contains(lit(surnames), w)) & ~F.array_contains(lit(ambiguous), w)
-    n = F.size(F.filter(low, known))
-    full = (F.size(tokens) >= 2) & F.array_contains(lit(given), F.get(low, 0)) & F.array_contains(lit(surnames), F.try_element_at(low, F.lit(-1)))
-    capitals = F.forall(tokens, lambda w: w.rlike("^[A-Z]")) & ~F.exists(tokens, lambda w: w.rlike("^[A-Z]{2,}$"))
-    before, after = fields("before"), fields("after")
-    honorific, relation, field = before.rlike(HONORIFIC), before.rlike(RELATION), before.rlike(FIELD)
-    provider = before.rlike(PROVIDER_BEFORE) | after.rlike(CREDENTIAL_AFTER)
-    said = before.rlike(SAID)
-    strong = honorific | relation | field | provider | said
-    clinical_n = F.size(F.filter(low, lambda w: F.array_contains(lit(clinical.CLINICAL_WORDS), w)))
-    p = lambda name, test: F.when(test, POINTS[name]).otherwise(0)
-    return (
-        n * POINTS["token"] + p("full", full) + p("comma", comma & capitals) + p("capitals", capitals) + p("honorific", honorific) + p("relation", relation) + p("field", field) + p("provider", provider)
-        + p("said", said) + p("verb", after.rlike(VERB_AFTER)) + p("age", after.rlike(AGE_AFTER)) + p("possessive", after.rlike("^'s\\b"))
-        + F.when(~honorific & ~field, clinical_n * POINTS["clinical"]).otherwise(0) + p("eponym", after.rlike(COMPANION_AFTER) & ~(honorific | relation | field))
-        + p("uncapitalised", ~strong & ~capitals) + p("lone", (F.size(tokens) == 1) & (n == 0) & ~strong) + p("zone", zone.isin("lab", "vitals", "meds", "imaging") & ~strong)
-    )
+_POSSESSIVE = r"^'s\b"
+#: Facts that the points need besides; they may name those above them.
+GROUNDS = {
+    "titled_or_labelled": "title_before OR titled OR explicit",
+    "said_who": "titled_or_labelled OR relation_before",
+    "vouched": "said_who OR signed OR credential OR spoken",
+}
+
+
+def evidence_expr(text: str, table: str, least_known: int = 0) -> str:
+    """Runs of :func:`runs_expr` with ``least_known`` known names or more, as (start, end, name, known, score): how many words a compiled vocabulary has as names only, and
+    the points that it and the words around give."""
+    known = f"filter(ew, k -> {vocabulary.has_expr('k', 'given', 'surname')} and not {vocabulary.has_expr('k', 'common')})"
+    own = {
+        "full_name": f"size(ew) >= 2 and {vocabulary.has_expr('ew[0]', 'given')} and {vocabulary.has_expr('element_at(ew, -1)', 'surname')}",
+        "turned": "ec.comma",
+        "cased": "forall(ec.tokens, t -> t rlike '^[A-Z][a-z]')",
+        "possessive": f"ec.after rlike {literal(_POSSESSIVE)}",
+        "lone": "size(ew) = 1 and size(en) = 0",
+    }
+    facts = struct(**own, **{n: f"ef.{n}" for n in clinical.FACTS})
+    names = [*own, *clinical.FACTS]
+    for n, expression in GROUNDS.items():
+        facts = let("eo", facts, struct(**{m: f"eo.{m}" for m in names}, **{n: clinical.named_in(expression, "eo", "")}))
+        names.append(n)
+    medical = f"if(eg.titled_or_labelled, 0, size(filter(ew, k -> {vocabulary.has_expr('k', 'clinical')})) * {PER_CLINICAL})"
+    points = " + ".join([f"size(en) * {PER_NAME}", medical, *(f"if({clinical.named_in(e, 'eg', '')}, {n}, 0)" for n, e in POINTS)])
+    scored = let("eg", facts, struct(start="ec.start", end="ec.end", name="array_join(ec.tokens, ' ')", known="size(en)", score=points))
+    looked = f"transform({runs_expr(text)}, r -> {struct(start='r.start', end='r.end', tokens='r.tokens', comma='r.comma', bits='transform(r.tokens, w -> ' + let('lw', 'lower(w)', vocabulary.kinds_expr(table, 'lw')) + ')')})"
+    if least_known:
+        looked = f"filter({looked}, r -> size({known.replace('ew', 'r.bits')}) >= {least_known})"
+    body = let("ew", "ec.bits", let("en", known, let("ef", clinical.signals_expr("ec", table), scored)))
+    keep = {"start": "er.start", "end": "er.end", "tokens": "er.tokens", "comma": "er.comma", "bits": "er.bits", "label": "'NAME'", "source": "'dictionary'"}
+    return f"transform({looked}, er -> {let('ec', clinical.context_expr(text, 'er', keep), body)})"
 
 
 # ---- what is left over ------------------------------------------------------------------------
@@ -169,7 +170,7 @@ def dictionary(counts: DataFrame, clinical_words: Sequence[str], common: DataFra
     return kept.join(everyday, "token", "left").select("token", "n", odd.alias("ambiguous"))
 
 
-def vocabulary(sources: Sequence[DataFrame], banned: Sequence[str], least: int = 2, most: int = 40) -> DataFrame:
+def vocabulary_of(sources: Sequence[DataFrame], banned: Sequence[str], least: int = 2, most: int = 40) -> DataFrame:
     """``(token, sources)``: the words of all ``sources(name)``, of a fit length, without banned ones, and how many sources have them."""
     out = None
     for i, rows in enumerate(sources):

@@ -11,79 +11,55 @@ null key names a row like any other in :func:`detect`, and joins nothing in the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import empty, fold, let, literal, struct
 from ..functions.rules import PRIORITY, Rule
 
 #: Width of the bins that spans are cut into for overlap joins.
 BIN = 4096
-#: Steps of a fold after which what it gathered is set aside, so that long arrays are not copied again and again.
-_STRETCH = 256
-_SPAN = "struct<rule:string,label:string,severity:string,start:bigint,end:bigint,value:string>"
+FOUND = "struct<rule:string,label:string,severity:string,start:bigint,end:bigint,value:string>"
 
 
-def fold(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
-    """The rows of type ``kind`` that a fold emits: ``step(state, item)`` gives the next state and an array of rows.
+def hits_expr(text: str, rules: Sequence[Rule]) -> str:
+    """Matches of rules with what lies between them; a text without a match of a rule is searched once."""
 
-    Stretches of the items are folded one after another, so that the time is about linear in them.
-    """
-    none = F.array().cast(f"array<{kind}>")
-
-    def one(acc: Column, x: Column) -> Column:
-        following, out = step(acc.s, x)
-        return F.struct(following.alias("s"), F.concat(acc.out, out).alias("out"))
-
-    def stretch(acc: Column, at: Column) -> Column:
-        part = F.aggregate(F.slice(items, at, F.lit(_STRETCH)), F.struct(acc.s.alias("s"), none.alias("out")), one)
-        return F.transform(F.array(part), lambda p: F.struct(p.s.alias("s"), F.concat(acc.all, F.array(p.out)).alias("all")))[0]
-
-    start = F.struct(state.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("all"))
-    steps = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(_STRETCH))).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.aggregate(steps, start, stretch, lambda acc: acc.all))
-
-
-def _hits(text: Column, rule: Rule) -> Column:
-    """Matches of a rule with what lies between them; a text without a match is searched once."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    if rule.needs:
-        found = F.when(text.contains(rule.needs), found)
-
-    def placed(m: Column) -> Column:
-        value = (lambda x: F.regexp_extract(x, rule.pattern, 2)) if rule.field else (lambda x: x)
-        return F.zip_with(
-            m,
-            F.slice(F.split(text, F.lit(rule.pattern), -1), F.lit(1), F.size(m)),
-            lambda x, g: F.struct(
-                F.lit(rule.name).alias("rule"), F.lit(rule.label).alias("label"), F.lit(rule.severity).alias("severity"),
-                F.length(g).cast("long").alias("gap"), F.length(x).cast("long").alias("width"), value(x).alias("value"),
-            ),
+    def one(r: Rule) -> str:
+        p = literal(r.pattern)
+        found = f"regexp_extract_all(t, {p}, 0)"
+        found = f"if(contains(t, {literal(r.needs)}), {found}, null)" if r.needs else found
+        row = struct(
+            rule=literal(r.name), label=literal(r.label), severity=literal(r.severity), gap="cast(length(g) as bigint)", width="cast(length(x) as bigint)",
+            value=f"regexp_extract(x, {p}, 2)" if r.field else "x", back=f"cast({f'length(regexp_extract(x, {p}, 3))' if r.tail else '0'} as bigint)",
         )
+        return f"transform(filter(array({found}), m -> size(m) > 0), m -> zip_with(m, slice(split(t, {p}, -1), 1, size(m)), (x, g) -> {row}))"
+
+    return let("t", f"coalesce({text}, '')", f"flatten(concat({', '.join(map(one, rules))}))")
+
 
-    return F.flatten(F.transform(F.filter(F.array(found), lambda m: F.size(m) > 0), placed))
+def find_expr(text: str, rules: Sequence[Rule]) -> str:
+    """Spans of all rules in a text, as SQL text: an array of (rule, label, severity, start, end, value)."""
 
+    def place(state: str, x: str) -> tuple[str, str]:
+        end = f"if({x}.rule = {state}.rule, {state}.at, 0) + {x}.gap + {x}.width"
+        # the value is what a field's match ends with, but for its tail
+        row = struct(rule=f"{x}.rule", label=f"{x}.label", severity=f"{x}.severity", start=f"e - {x}.back - length({x}.value)", end=f"e - {x}.back", value=f"{x}.value")
+        return struct(rule=f"{x}.rule", at=end), f"array({let('e', end, row)})"
 
-def find(text: Column, rules: Sequence[Rule]) -> Column:
-    """Spans of all rules in a text: an array of (rule, label, severity, start, end, value)."""
-    t = F.coalesce(text, F.lit(""))
-    hits = F.concat(*[_hits(t, r) for r in rules])
+    return fold(hits_expr(text, rules), struct(rule="''", at="cast(0 as bigint)"), FOUND, place, "find")
 
-    def place(state: Column, x: Column) -> tuple[Column, Column]:
-        begin = F.when(x.rule == state.rule, state["at"]).otherwise(0) + x.gap
-        end = begin + x.width  # the value is what a field's match ends with
-        row = F.struct(x.rule, x.label, x.severity, (end - F.length(x.value)).alias("start"), end.alias("end"), x.value)
-        return F.struct(x.rule.alias("rule"), end.alias("at")), F.array(row)
 
-    begin = F.struct(F.lit("").alias("rule"), F.lit(0).cast("long").alias("at"))
-    # bound once: the fold names its items more than once
-    return F.flatten(F.transform(F.array(hits), lambda h: fold(h, begin, _SPAN, place)))
+def find(text: str, rules: Sequence[Rule]) -> Column:
+    """:func:`find_expr` as a Column. ``text`` is a column's name, or SQL."""
+    return F.expr(find_expr(text, rules))
 
 
 def detect(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Spans of all rules: ``(key, rule, label, severity, start, end, value)``, a row for each, without a shuffle."""
-    return docs.select(key, F.inline(find(F.col(text), rules)))
+    return docs.select(key, F.inline(find(text, rules)))
 
 
 def priority(label: Column) -> Column:
@@ -91,14 +67,14 @@ def priority(label: Column) -> Column:
     return F.when(at > 0, at).otherwise(len(PRIORITY) + 1)
 
 
-def _sources(have: Column, more: Column) -> Column:
-    return F.when(have.contains(more), have).otherwise(F.concat_ws("+", have, more))
+def priority_expr(label: str) -> str:
+    return f"coalesce(nullif(array_position(array({', '.join(map(literal, PRIORITY))}), {label}), 0), {len(PRIORITY) + 1})"
 
 
-_MERGED = "struct<start:bigint,end:bigint,label:string,source:string,members:bigint>"
+MERGED = "struct<start:bigint,end:bigint,label:string,source:string,members:bigint>"
 
 
-def merged(found: Column, text: Column) -> Column:
+def merged_expr(found: str, text: str) -> str:
     """The spans of one text as disjoint ones: an array of (start, end, label, source, members), by start.
 
     ``found`` holds (start, end, label, source). A source that says structured, alias or residual is
@@ -114,70 +90,65 @@ def merged(found: Column, text: Column) -> Column:
 
     A span that an earlier rule's span covers lies inside what that has become, so it needs no check of its own.
     """
-    long = lambda c: c.cast("long")
-    numbered = F.transform(F.filter(found, lambda x: x.end > x.start), lambda x, i: F.struct(x.start.alias("a"), (-x.end).alias("z"), i.alias("i"), x.alias("x")))
-    items = F.transform(F.sort_array(numbered), lambda y: y.x)
-
-    def step(last: Column, x: Column) -> tuple[Column, Column]:
-        over = (last.start < x.end) & (x.start < last.end)
-        model, bare = lambda e: e.source.contains("model"), lambda e: e.source == "model"
-        firm = lambda e: e.source.rlike("structured|alias|residual")
-        between = F.substr(text, (last.end + 1).cast("int"), F.greatest(x.start - last.end, F.lit(0)).cast("int"))
-        goes_on = (x.start >= last.end) & (x.start - last.end <= 4) & (last.label == x.label) & (model(last) | model(x)) & F.coalesce(between.rlike(r"^[ \t.'-]*$"), F.lit(False))
-        inside = over & (x.end <= last.end) & (x.start >= last.start) & ~model(last) & ~model(x)
-        make = lambda a, z, label, source, n: F.struct(long(a).alias("start"), long(z).alias("end"), label.alias("label"), source.alias("source"), long(n).alias("members"))
-        alone = make(x.start, x.end, x.label, x.source, F.lit(1))
-        label = F.when(priority(x.label) < priority(last.label), x.label).otherwise(last.label)
-        union = make(F.least(last.start, x.start), F.greatest(last.end, x.end), label, _sources(last.source, x.source), last.members + 1)
-        apart = last.end.isNull() | ~(over | goes_on)
-        following = (
-            F.when(apart, alone)
-            .when(over & firm(last) & bare(x), last)
-            .when(over & bare(last) & firm(x), alone)
-            .when(inside & firm(x) & ~firm(last), make(x.start, x.end, x.label, _sources(x.source, last.source), last.members + 1))
-            .when(inside, make(last.start, last.end, last.label, _sources(last.source, x.source), last.members + 1))
-            .otherwise(union)
-        )
-        return following, F.when(apart & last.end.isNotNull(), F.array(last)).otherwise(F.array().cast(f"array<{_MERGED}>"))
-
-    # a null at the end puts out the last span
-    nothing = F.lit(None).cast(_MERGED)
-    far = F.transform(F.filter(F.array(items), lambda a: F.size(a) > 0), lambda a: F.concat(a, F.array(_beyond(a))))
-    return F.flatten(F.transform(far, lambda a: fold(a, nothing, _MERGED, step)))
-
-
-def _beyond(items: Column) -> Column:
-    """A span after all others, which closes the last of them."""
-    last = F.array_max(F.transform(items, lambda x: x.end))
-    return F.transform(F.slice(items, 1, 1), lambda x: x.withField("start", (last + 9).cast("bigint")).withField("end", (last + 10).cast("bigint")))[0]
-
-
-def sourced(found: Column, source: str = "structured") -> Column:
-    """Spans of :func:`find` as those that :func:`merged` takes."""
-    return F.transform(found, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.label.alias("label"), F.lit(source).alias("source")))
-
-
-def splice(text: Column, spans: Column) -> Column:
+    row = "named_struct('a', x.start, 'z', -x.end, 'i', i, 'x', named_struct('start', x.start, 'end', x.end, 'label', x.label, 'source', x.source))"
+    ranked = f"transform(sort_array(transform(filter({found}, x -> x.end > x.start), (x, i) -> {row})), y -> y.x)"
+    # one beyond all others at the end puts out the last span
+    beyond = "named_struct('start', mx + 9, 'end', mx + 10, 'label', '', 'source', '')"
+    items = let("ms", ranked, f"if(size(ms) > 0, {let('mx', 'array_max(transform(ms, y -> y.end))', f'concat(ms, array({beyond}))')}, ms)")
+
+    def step(l: str, x: str) -> tuple[str, str]:  # noqa: E741
+        model, bare, firm = (lambda e: f"contains({e}.source, 'model')"), (lambda e: f"{e}.source = 'model'"), (lambda e: f"{e}.source rlike 'structured|alias|residual'")
+        over = f"({l}.start < {x}.end and {x}.start < {l}.end)"
+        between = f"substr({text}, cast({l}.end + 1 as int), cast(greatest({x}.start - {l}.end, 0) as int))"
+        gap = literal(r"^[ \t.'-]*$")
+        goes_on = f"({x}.start >= {l}.end and {x}.start - {l}.end <= 4 and {l}.label = {x}.label and ({model(l)} or {model(x)}) and coalesce({between} rlike {gap}, false))"
+        inside = f"({over} and {x}.end <= {l}.end and {x}.start >= {l}.start and not {model(l)} and not {model(x)})"
+        make = lambda a, z, label, source, n: struct(start=f"cast({a} as bigint)", end=f"cast({z} as bigint)", label=label, source=source, members=f"cast({n} as bigint)")
+        both = lambda p, q: f"if(contains({p}.source, {q}.source), {p}.source, concat({p}.source, '+', {q}.source))"
+        more = f"{l}.members + 1"
+        label = f"if({priority_expr(f'{x}.label')} < {priority_expr(f'{l}.label')}, {x}.label, {l}.label)"
+        case = f"case when {l}.end is null or not ({over} or {goes_on}) then 'apart' when {over} and {firm(l)} and {bare(x)} then 'goes' when {over} and {bare(l)} and {firm(x)} then 'instead' when {inside} and {firm(x)} and not {firm(l)} then 'inner' when {inside} then 'outer' else 'union' end"
+        alone = make(f"{x}.start", f"{x}.end", f"{x}.label", f"{x}.source", "1")
+        following = f"""case mc when 'apart' then {alone} when 'goes' then {l} when 'instead' then {alone} when 'inner' then {make(f"{x}.start", f"{x}.end", f"{x}.label", both(x, l), more)}
+          when 'outer' then {make(f"{l}.start", f"{l}.end", f"{l}.label", both(l, x), more)} else {make(f"least({l}.start, {x}.start)", f"greatest({l}.end, {x}.end)", label, both(l, x), more)} end"""
+        return let("mc", case, following), let("mc", case, f"if(mc = 'apart' and {l}.end is not null, array({l}), {empty(MERGED)})")
+
+    return fold(items, f"cast(null as {MERGED})", MERGED, step, "merge")
+
+
+def sourced_expr(found: str, source: str = "structured") -> str:
+    """Spans of :func:`find_expr` as those that :func:`merged_expr` takes."""
+    return f"transform({found}, s -> {struct(start='s.start', end='s.end', label='s.label', source=literal(source))})"
+
+
+def merged(text: str, rules: Sequence[Rule]) -> Column:
+    """The merged spans of rules in a text."""
+    return F.expr(merged_expr(sourced_expr(find_expr(text, rules)), text))
+
+
+def splice_expr(text: str, spans: str) -> str:
     """The text with each of the disjoint spans, in order, replaced by its label in brackets."""
 
-    def step(at: Column, c: Column) -> tuple[Column, Column]:
-        before = F.substr(text, (at + 1).cast("int"), (c.start - at).cast("int"))
-        return c.end.cast("long"), F.array(before, F.concat(F.lit("["), c.label, F.lit("]")))
+    def step(at: str, c: str) -> tuple[str, str]:
+        return f"cast({c}.end as bigint)", f"array(substr({text}, cast({at} + 1 as int), cast({c}.start - {at} as int)), concat('[', {c}.label, ']'))"
+
+    parts = fold("sp", "cast(0 as bigint)", "string", step, "splice")
+    tail = f"substr({text}, cast(coalesce(try_element_at(sp, -1).end, 0) + 1 as int))"
+    return let("sp", spans, f"if(coalesce(size(sp), 0) <= 0, {text}, concat(array_join({parts}, ''), {tail}))")
+
 
-    parts = F.transform(F.array(spans), lambda s: fold(s, F.lit(0).cast("long"), "string", step))[0]
-    tail = F.substr(text, (F.coalesce(F.element_at(spans, -1).end, F.lit(0)) + 1).cast("int"), F.length(text))
-    return F.when(F.coalesce(F.size(spans), F.lit(0)) == 0, text).otherwise(F.concat(F.array_join(parts, ""), tail))
+def splice(text: str, spans: str) -> Column:
+    return F.expr(splice_expr(text, spans))
 
 
 def redact(docs: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
     """``docs`` with the spans of all rules replaced by their labels; each row by itself."""
-    t = F.col(text)
-    found = F.transform(F.array(merged(sourced(find(t, rules)), t)), lambda s: splice(t, s))[0]
-    return docs.withColumn(text, F.when(t.isNotNull(), found))
+    safe = splice_expr(text, merged_expr(sourced_expr(find_expr(text, rules)), text))
+    return docs.withColumn(text, F.expr(f"if({text} is not null, {safe}, null)"))
 
 
 def merge(spans: DataFrame, docs: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The spans of each key as disjoint ones: ``(key, start, end, label, source, members)``, see :func:`merged`.
+    """The spans of each key as disjoint ones: ``(key, start, end, label, source, members)``, see :func:`merged_expr`.
 
     Without a column ``source`` all are structured. Spans of a model go on across short gaps only
     where ``docs`` gives the texts.
@@ -185,14 +156,13 @@ def merge(spans: DataFrame, docs: DataFrame | None = None, key: str = "doc_id",
     given = spans if "source" in spans.columns else spans.withColumn("source", F.lit("structured"))
     each = given.groupBy(key).agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("start", "end")], "label", "source")).alias("s"))
     if docs is None:
-        return each.select(key, F.inline(merged(F.col("s"), F.lit(None).cast("string"))))
-    return each.join(docs.select(key, text), key).select(key, F.inline(merged(F.col("s"), F.col(text))))
+        return each.select(key, F.inline(F.expr(merged_expr("s", "cast(null as string)"))))
+    return each.join(docs.select(key, text), key).select(key, F.inline(F.expr(merged_expr("s", text))))
 
 
 def merge_found(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, start, end, label, source, members)`` of the rules' spans, merged in the row."""
-    t = F.col(text)
-    return docs.select(key, F.inline(merged(sourced(find(t, rules)), t)))
+    return docs.select(key, F.inline(merged(text, rules)))
 
 
 def overlaps(a: DataFrame, b: DataFrame, key: str = "doc_id", width: int = BIN) -> DataFrame:
@@ -225,7 +195,7 @@ def render(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "
     cuts = spans.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label"))).alias("_c"))
     counted = docs.select(key, text, F.count(F.lit(1)).over(Window.partitionBy(key)).alias("_n"))
     joined = counted.join(cuts, F.col(key).eqNullSafe(F.col("_key")), "left")
-    safe = F.when(F.col("_c").isNull(), F.col(text)).when(F.col("_n") > 1, F.raise_error("several rows of one key").cast("string")).otherwise(splice(F.col(text), F.col("_c")))
+    safe = F.when(F.col("_c").isNull(), F.col(text)).when(F.col("_n") > 1, F.raise_error("several rows of one key").cast("string")).otherwise(splice(text, "_c"))
     return joined.select(key, safe.alias(text))
 
 
@@ -234,7 +204,7 @@ def occurrences(text: Column, literal: str) -> Column:
     return F.size(F.split(text, F.lit("\\Q" + literal + "\\E"), -1)) - 1
 
 
-def inside_bracket(text: Column, found: Column) -> Column:
+def inside_bracket(text: str, found: Column) -> Column:
     """The spans with a flag ``inside``: whether an opening bracket before is closed after it, with none in between."""
     brackets = find(text, [Rule("bracket", "", r"\[[^\[\]]*\]", needs="[")])
     test = lambda b: F.transform(found, lambda s: s.withField("inside", F.exists(b, lambda x: (x.start < s.start) & (x.end > s.end))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import fold, struct
+
 
 def cleanup(text: Column) -> Column:
     """Without control characters and trailing blanks, four line ends or more as three, trimmed."""
@@ -156,18 +158,16 @@ def restored(text: Column, placeholder: Column, n: Column, original: Column) ->
     return F.when(F.size(gaps) > n, F.concat(put(before), original, put(after))).otherwise(text)
 
 
-def rendered(text: Column, spans: Column) -> Column:
+def rendered(text: str, spans: str) -> Column:
     """What became of each span: an array of (start, end, original, replacement, output_start), where spans are disjoint and in order."""
-    from .spans import fold
-
     kind = "struct<start:bigint,end:bigint,original:string,replacement:string,output_start:bigint>"
 
-    def step(shift: Column, s: Column) -> tuple[Column, Column]:
-        label = F.concat(F.lit("["), s.label, F.lit("]"))
-        row = F.struct(s.start.alias("start"), s.end.alias("end"), F.substr(text, (s.start + 1).cast("int"), (s.end - s.start).cast("int")).alias("original"), label.alias("replacement"), (s.start + shift).alias("output_start"))
-        return shift + F.length(label) - (s.end - s.start), F.array(row)
+    def step(shift: str, s: str) -> tuple[str, str]:
+        original = f"substr({text}, cast({s}.start + 1 as int), cast({s}.end - {s}.start as int))"
+        row = struct(start=f"{s}.start", end=f"{s}.end", original=original, replacement=f"concat('[', {s}.label, ']')", output_start=f"{s}.start + {shift}")
+        return f"{shift} + length({s}.label) + 2 - ({s}.end - {s}.start)", f"array({row})"
 
-    return F.transform(F.array(spans), lambda x: fold(x, F.lit(0).cast("long"), kind, step))[0]
+    return F.expr(fold(spans, "cast(0 as bigint)", kind, step, "shown"))
 
 
 #: Errors of a model that mean its input was too long; other errors are not tried again in halves.

@@ -26,7 +26,7 @@ def parse_clock(text: Column) -> Column:
     )
 
 
-def nearest_year(month: Column, day: Column, anchor: Column, future_days: int = 30) -> Column:
+def nearest_year(month: Column, day: Column, anchor: Column, future_days: Column | int = 30) -> Column:
     """The date of month and day nearest to the anchor: of the year before, the same, and the next; not over ``future_days`` after it; the earlier of two as near."""
     years = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.try_to_date(F.concat_ws("-", F.year(anchor) + d, month, day), "yyyy-M-d"))
     allowed = F.filter(years, lambda d: d.isNotNull() & (F.datediff(d, anchor) <= future_days))

@@ -61,7 +61,24 @@ def spans_sql(rules: Sequence[Rule], source: str, key: str = "doc_id", text: str
     )
 
 
-def merged_sql(found: str, rules: Sequence[Rule], priority: Sequence[str], source: str = "'structured'", key: str = "doc_id") -> str:
+def tailed_sql(rules: Sequence[Rule], source: str, key: str = "doc_id", text: str = "text") -> str:
+    """:func:`spans_sql` for field rules that have a third group."""
+    parts = []
+    for r in rules:
+        p, whole = r.pattern.replace("'", "''"), _ungrouped(r.pattern).replace("'", "''")
+        groups = ", ".join(f"regexp_extract_all({text}, '{p}', {i}) AS g{i}" for i in (1, 2, 3))
+        parts.append(
+            f"SELECT {key}, '{r.name}' AS rule, '{r.label}' AS label, '{r.severity}' AS severity, *, unnest(generate_series(1, len(m))) AS i FROM ("
+            f"SELECT {key}, regexp_extract_all({text}, '{whole}') AS m, string_split_regex({text}, '{whole}') AS g, {groups} FROM {source})"
+        )
+    upto = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) + length(g1[i])"
+    return (
+        f'SELECT {key}, rule, label, severity, start, CAST(start + length(value) AS BIGINT) AS "end", value FROM ('
+        f"SELECT {key}, rule, label, severity, CAST({upto} AS BIGINT) AS start, g2[i] AS value FROM ({' UNION ALL '.join(parts)}))"
+    )
+
+
+def merged_sql(found: str, rules: Sequence[Rule], priority: Sequence[str], source: str = "'structured'", key: str = "doc_id", order: str = "") -> str:
     """SQL for :func:`veilspan.operators.spans.merged` over spans ``found``: a recursion from span to span."""
     names = ", ".join(f"'{r.name}'" for r in rules)
     rank = lambda label: f"coalesce(list_position([{', '.join(repr(x) for x in priority)}], {label}), 99)"
@@ -73,7 +90,7 @@ def merged_sql(found: str, rules: Sequence[Rule], priority: Sequence[str], sourc
       WHEN o."end" <= l."end" AND o."start" >= l."start" AND NOT {model('l')} AND NOT {model('o')} THEN CASE WHEN {firm('o')} AND NOT {firm('l')} THEN 'inner' ELSE 'outer' END ELSE 'union' END"""
     pick = lambda new, inner, outer, union: f"CASE c WHEN 'apart' THEN {new} WHEN 'swap' THEN {new} WHEN 'inner' THEN {inner} WHEN 'union' THEN {union} ELSE {outer} END"
     return f"""
-    WITH RECURSIVE o AS (SELECT {key}, "start", "end", label, {source} AS source, row_number() OVER (PARTITION BY {key} ORDER BY "start", "end" DESC, list_position([{names}], rule), "start") AS n
+    WITH RECURSIVE o AS (SELECT {key}, "start", "end", label, {source} AS source, row_number() OVER (PARTITION BY {key} ORDER BY "start", "end" DESC, {order or f"list_position([{names}], rule), start"}) AS n
       FROM ({found}) WHERE "end" > "start"),
     f AS (SELECT {key}, n, 1 AS g, "start", "end", label, source, CAST(1 AS BIGINT) AS members FROM o WHERE n = 1
       UNION ALL

@@ -1,144 +1,141 @@
-"""Queries over the guards: what they say of the measuring corpus, what becomes of its spans, and their labels."""
+"""Queries over the guards: facts of spans, what becomes of them and why, and labels of names."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.rules import DIRECT_RULES, FIELD_RULES, PRIORITY, Rule
-from ..operators import clinical, guards, lines, spans
-from ..operators.clinical import GUARDS, Guard, Test
-from .base import merged_sql, query, spans_sql
+from ..operators import clinical, spans, vocabulary
+from .base import merged_sql, query, spans_sql, table
 from .corpus_queries import _CASES, cases
-from .span_queries import _kind_sql
+from .guard_sql import KEPT, NAMED_VOCABULARY, TRIMMED, facts_sql, judged_sql, named_vocabulary, text
 
 #: What a model would offer: runs of capitalised words. One that the rules found too is theirs.
 OFFERED = Rule("offered", "NAME", r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b")
 _ALL = [*FIELD_RULES, *DIRECT_RULES, OFFERED]
 
+#: Offered spans, one for each way that a verdict can go and some that stay: (label, source, before, value, after).
+OFFERS = [
+    ("ROOM", "model", "moved to ", "{n} Heart Hospital", " today"),
+    ("ROOM", "structured", "in ", "Room {i}", " now"),
+    ("AGE", "structured", "age ", "9{i}", "."),
+    ("AGE", "structured", "age ", "4{i}", "."),
+    ("ORGANIZATION", "structured", "Isolates grew.\n", "Ostrow Lab", " 2 S\nsusceptibility"),
+    ("LOCATION", "model", "rests at ", "home", " again"),
+    ("PATIENT NAME", "structured", "Patient: ", "{n}", "\nslept"),
+    ("NAME", "model", "has ", "Graves", " disease today"),
+    ("NAME", "model", "\n", "Physical Exam", ":\nclear"),
+    ("NAME", "model", "ref to ", "Cardiology Clinic", " soon"),
+    ("NAME", "model", "shows ", "Heart Failure", " now"),
+    ("NAME", "model", "item ", "Kit{i} Box", " left"),
+    ("NAME", "model", "took ", "Lisinopril", " 10 mg daily"),
+    ("NAME", "model", "took ", "Zemopril", " 10 mg daily"),
+    ("NAME", "model", "by ", "Xu", " alone"),
+    ("NAME", "model", "Sodium: 13{i} mmol/L per ", "{n}", ""),
+    ("NAME", "model", "sent to ", "{l} Hospice", " then"),
+    ("NAME", "model", "wrote ", "some of it", " then"),
+    ("DATE", "structured", "in ", "May", " or so"),
+    ("DATE", "structured", "range ", "3-5", " of it"),
+    ("DATE", "structured", "seen on ", "3-5", " of it"),
+    ("ADDRESS", "structured", "", "12 glucose Rd", " x"),
+    ("ADDRESS", "structured", "ECG lead ", "12 Elm St", " x"),
+    ("ADDRESS", "structured", "Address: ", "12 Elm St", " x"),
+    ("ID", "structured", "Serum value: 4.{i} mg/dL ", "AB{i}99", ""),
+    ("ID", "structured", "Serum value: 4.{i} mg/dL ", "SN-{i}99", ""),
+    ("LOCATION", "structured", "in ", "hospital stay", " two"),
+    ("ORGANIZATION", "structured", "on ", "CT chest", " with contrast image"),
+    ("FACILITY", "structured", "the ", "{l} Hospital", " course was short"),
+    ("NAME", "model", "Dr. ", "{n}", ", MD"),
+    ("NAME", "structured", "mother ", "{n}", " called"),
+    ("NAME", "structured", "", "{n}", ", 44 year old, slept"),
+    ("NAME", "model", "met ", "{n}", " there"),
+]
+_I = "c_custkey"
+
+
+def _fill(x: str) -> str:
+    from ..sources.corpus import FIRST, LAST
+
+    pick = lambda v, by: f"[{', '.join(map(text, v))}][CAST({by} % {len(v)} + 1 AS BIGINT)]"
+    first, last = pick(FIRST, _I), pick(LAST, f"({_I} // 7)")
+    return f"replace(replace(replace({text(x).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}, '{{n}}', {first} || ' ' || {last}), '{{l}}', {last}), '{{i}}', CAST({_I} % 10 AS VARCHAR))"
+
+
+_OFFERS_SQL = " UNION ALL ".join(
+    f"SELECT {_I} AS doc_id, {k} AS k, '{label}' AS label, '{source}' AS source, {_fill(b)} AS b, {_fill(v)} AS v, {_fill(a)} AS a FROM customer WHERE {_I} % {len(OFFERS)} = {k}" for k, (label, source, b, v, a) in enumerate(OFFERS)
+)
+_FIXTURE = f"""WITH RECURSIVE made AS MATERIALIZED ({_OFFERS_SQL}), docs AS MATERIALIZED (SELECT doc_id, b || v || a AS text FROM made), vocab AS MATERIALIZED ({NAMED_VOCABULARY}),
+spans_ AS MATERIALIZED (SELECT doc_id, k, CAST(length(b) AS BIGINT) AS "start", CAST(length(b) + length(v) AS BIGINT) AS "end", label, source FROM made)"""
 
-def _text(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
-def holds_sql(guard: Guard) -> str:
-    def one(t: Test) -> str:
-        x = f"coalesce({t.field}, '')"
-        words = "[" + ", ".join(map(_text, sorted(set(t.words)))) + "]"
-        if t.every:
-            said = f"({x} <> '' AND len(list_filter(string_split({x}, ' '), lambda w: NOT list_contains({words}, w))) = 0)"
-        else:
-            said = f"list_contains({words}, {x})" if t.words else f"regexp_matches({x}, {_text(t.pattern)})"
-        return f"NOT {said}" if t.negate else said
-
-    return "(" + " OR ".join("(" + " AND ".join(map(one, case)) + ")" for case in guard) + ")"
 
+def offers(spark, sf_dir):
+    """``(doc_id, k, text, found)``: a text for each customer, and a span that something offers in it."""
+    from ..sources.corpus import FIRST, LAST
 
-_NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
-_BASE_SQL = merged_sql(spans_sql(_ALL, "cases"), _ALL, PRIORITY, "CASE WHEN rule = 'offered' THEN 'model' ELSE 'structured' END")
-_LEFT = lambda n: f"substr(text, CAST(greatest(\"start\" - {n}, 0) + 1 AS INTEGER), CAST(least(\"start\", {n}) AS INTEGER))"
-_RIGHT = lambda n: f"substr(text, CAST(\"end\" + 1 AS INTEGER), {n})"
-_INNER = 'substr(text, CAST("start" + 1 AS INTEGER), CAST("end" - "start" AS INTEGER))'
-_CONTEXT_SQL = f"""
-WITH RECURSIVE cases AS MATERIALIZED ({_CASES}), merged AS ({_BASE_SQL}),
-ctx AS MATERIALIZED (SELECT *, {_NORM.format('span')} AS norm, prefix || string_split("inner", chr(10))[1] || string_split(r400, chr(10))[1] AS line FROM (
-  SELECT m.doc_id, m."start", m."end", m.label, m.source, trim(regexp_replace({_INNER}, '\\s+', ' ', 'g')) AS span, {_INNER} AS "inner", {_LEFT(80)} AS before, {_RIGHT(80)} AS after, {_RIGHT(400)} AS r400,
-    string_split({_LEFT(400)}, chr(10))[-1] AS prefix, {_LEFT(400)} || {_INNER} || {_RIGHT(400)} AS around
-  FROM merged m JOIN cases c ON c.doc_id = m.doc_id))
-"""
-_KEPT = "doc_id, \"start\", \"end\", label, source, span, norm, before, after, prefix, line, around"
+    i = F.col(_I)
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
+    given = spark.createDataFrame([(k, *o) for k, o in enumerate(OFFERS)], "k long, label string, source string, b string, v string, a string")
+    rows = table(spark, sf_dir, "customer").select(i, (i % len(OFFERS)).alias("k"), pick(FIRST, i).alias("f"), pick(LAST, F.floor(i / 7)).alias("l")).join(F.broadcast(given), "k")
+    fill = lambda c: F.replace(F.replace(F.replace(c, F.lit("{n}"), F.concat_ws(" ", "f", "l")), F.lit("{l}"), F.col("l")), F.lit("{i}"), (i % 10).cast("string"))
+    rows = rows.withColumns({c: fill(F.col(c)) for c in "bva"})
+    n = F.length("b").cast("long")
+    span = F.struct(n.alias("start"), (n + F.length("v")).alias("end"), "label", "source")
+    return rows.select(i.alias("doc_id"), "k", F.concat("b", "v", "a").alias("text"), F.array(span).alias("found"))
 
 
-def _contexts(spark, sf_dir):
-    t = F.col("text")
-    found = F.transform(
-        spans.find(t, _ALL),
-        lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.label.alias("label"), F.when(s.rule == "offered", "model").otherwise("structured").alias("source")),
-    )
-    return cases(spark, sf_dir).withColumn("found", clinical.context(t, spans.merged(found, t)))
+def _judged(docs, spark):
+    return vocabulary.looked_up(docs, named_vocabulary(spark), "judged", lambda voc: clinical.judged_expr("text", "found", voc))
 
 
-def _rows(spark, sf_dir):
-    return _contexts(spark, sf_dir).select("doc_id", F.inline("found")).withColumn("zone", lines.kind(F.col("line")))
+_COUNTED = ", ".join(f"count(*) FILTER (f_{n}) AS {n}" for n in clinical.FACTS)
 
 
-_EACH = ", ".join(f"count(*) FILTER ({holds_sql(g)}) AS {name}" for name, g in sorted(GUARDS.items()))
+@query("guard_table", f"{_FIXTURE} SELECT k, count(*) AS spans, {_COUNTED} FROM ({facts_sql('spans_', 'docs', 'vocab')}) GROUP BY k")
+def guard_table(spark, sf_dir):
+    rows = _judged(offers(spark, sf_dir), spark).select("k", F.inline_outer("judged")).where("start is not null")
+    return rows.groupBy("k").agg(F.count(F.lit(1)).alias("spans"), *[F.count_if(F.col("facts")[n]).alias(n) for n in clinical.FACTS])
 
 
-@query("guard_table", f"{_CONTEXT_SQL} SELECT label, norm, count(*) AS spans, {_EACH} FROM ctx GROUP BY label, norm")
-def guard_table(spark, sf_dir):
-    each = [F.count_if(clinical.holds(g, F.col)).alias(name) for name, g in sorted(GUARDS.items())]
-    return _rows(spark, sf_dir).groupBy("label", "norm").agg(F.count(F.lit(1)).alias("spans"), *each)
-
-
-_NAMES = "label IN (" + ", ".join(map(_text, clinical.NAME_LABELS)) + ")"
-_H = {name: holds_sql(g) for name, g in GUARDS.items()}
-_DOSE = r"'(?i)\b[0-9]+(?:\.[0-9]+)? ?(?:mg|mcg|ml|units?|tabs?)\b|\b(?:po|iv|bid|tid|prn|daily)\b'"
-_DATE_FALSE = f"(regexp_matches(span, {_text(guards.NO_DAY)}) OR (regexp_matches(span, {_text(guards.RANGE)}) AND NOT regexp_matches(before, {_text(guards.DATE_CONTEXT)})))"
-_VERDICT_SQL = f"""CASE WHEN label = 'ROOM' AND {_H['facility']} AND regexp_matches(norm, ' .* ') THEN 'FACILITY'
-  WHEN label = 'AGE' THEN CASE WHEN coalesce(TRY_CAST(regexp_extract(span, '[0-9]{{1,3}}') AS INTEGER), 0) >= 90 THEN 'keep' ELSE 'drop' END
-  WHEN {_H['protected']} AND NOT {_H['explicit']} THEN 'drop'
-  WHEN {_NAMES} AND NOT (label = 'PATIENT NAME' AND NOT contains(source, 'model') AND {_H['explicit']}) AND {_H['non_name']} THEN 'drop'
-  WHEN {_NAMES} AND (regexp_matches(before, {_DOSE}) OR regexp_matches(after, {_DOSE})) AND {_H['medication']} THEN 'drop'
-  WHEN {_NAMES} AND length(span) <= 2 THEN 'drop'
-  WHEN contains(source, 'model') AND ({_NAMES} OR label = 'LOCATION') AND {_kind_sql('line')} IN ('lab', 'vitals', 'meds', 'imaging') AND NOT {_H['strong_name']} THEN 'drop'
-  WHEN contains(source, 'model') AND {_NAMES} AND {_H['facility']} THEN 'ORGANIZATION'
-  WHEN contains(source, 'model') AND {_NAMES} AND NOT regexp_matches(span, '^(?:(?:Dr|Mr|Mrs|Ms)\\.? )?[A-Z][A-Za-z''-]+(?:,? [A-Z][A-Za-z''.-]*){{0,3}}$') AND NOT {_H['strong_name']} THEN 'drop'
-  WHEN label = 'DATE' AND {_DATE_FALSE} THEN 'drop'
-  WHEN label = 'ADDRESS' AND {_H['address']} THEN 'drop'
-  WHEN label = 'ID' AND NOT regexp_matches(span, '(?i)^dev(?:ice)?[:#=]') AND {_H['identifier']} THEN 'drop'
-  WHEN label = 'LOCATION' AND ({_H['location']} OR {_H['clinical_phrase']}) THEN 'drop'
-  WHEN label IN ('ORGANIZATION', 'FACILITY') AND {_H['organization']} THEN 'drop'
-  ELSE 'keep' END"""
-
-
-@query("span_verdicts", f"{_CONTEXT_SQL} SELECT label, source, {_VERDICT_SQL} AS verdict, count(*) AS spans, count(DISTINCT norm) AS phrases FROM ctx GROUP BY 1, 2, 3")
+@query("span_verdicts", f"{_FIXTURE} SELECT k, label, source, reason, becomes, count(*) AS spans FROM ({judged_sql('spans_', 'docs', 'vocab')}) GROUP BY ALL")
 def span_verdicts(spark, sf_dir):
-    judged = _rows(spark, sf_dir).withColumn("verdict", clinical.verdict(F.col, guards.date_false_positive(F.col("span"), F.col("before"))))
-    return judged.groupBy("label", "source", "verdict").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("norm").alias("phrases"))
+    rows = _judged(offers(spark, sf_dir), spark).select("k", F.inline_outer("judged")).where("start is not null")
+    return rows.groupBy("k", "label", "source", F.col("verdict.reason").alias("reason"), F.col("verdict.label").alias("becomes")).agg(F.count(F.lit(1)).alias("spans"))
 
 
-_REFINED = f"""CASE WHEN {_NAMES} THEN CASE WHEN {_H['service']} THEN label WHEN {_H['facility']} THEN 'ORGANIZATION' WHEN {holds_sql(clinical.CONTACT)} THEN 'CONTACT NAME'
-  WHEN label = 'NAME' AND {holds_sql(clinical.PROVIDER)} THEN 'PROVIDER NAME' WHEN label = 'NAME' AND {holds_sql(clinical.PATIENT)} THEN 'PATIENT NAME' ELSE label END ELSE label END"""
+@query("name_labels", f"{_FIXTURE} SELECT label, becomes AS refined, norm, count(*) AS spans FROM ({judged_sql('spans_', 'docs', 'vocab')}) WHERE contains(label, 'NAME') AND reason = 'keep' GROUP BY ALL")
+def name_labels(spark, sf_dir):
+    rows = _judged(offers(spark, sf_dir), spark).select(F.inline_outer("judged")).where(F.col("label").contains("NAME") & (F.col("verdict.reason") == "keep"))
+    return rows.groupBy("label", F.col("verdict.label").alias("refined"), "norm").agg(F.count(F.lit(1)).alias("spans"))
 
 
-@query("name_labels", f"{_CONTEXT_SQL} SELECT label, {_REFINED} AS refined, norm, count(*) AS spans FROM ctx GROUP BY 1, 2, 3")
-def name_labels(spark, sf_dir):
-    named = _rows(spark, sf_dir).withColumn("refined", clinical.refined(F.col))
-    return named.groupBy("label", "refined", "norm").agg(F.count(F.lit(1)).alias("spans"))
+_BASE_SQL = merged_sql(spans_sql(_ALL, "docs"), _ALL, PRIORITY, "CASE WHEN rule = 'offered' THEN 'model' ELSE 'structured' END")
 
 
 @query(
     "guarded_spans",
-    f"""{_CONTEXT_SQL} SELECT doc_id, count(*) AS kept, CAST(sum("end" - "start") AS BIGINT) AS chars FROM ctx WHERE {_VERDICT_SQL} <> 'drop' GROUP BY doc_id""",
+    f"""WITH RECURSIVE docs AS MATERIALIZED ({_CASES}), spans_ AS MATERIALIZED ({_BASE_SQL}), vocab AS MATERIALIZED ({NAMED_VOCABULARY})
+    SELECT doc_id, count(*) AS kept, CAST(sum("end" - "start") AS BIGINT) AS chars FROM ({judged_sql('spans_', 'docs', 'vocab')}) WHERE becomes IS NOT NULL GROUP BY doc_id""",
 )
 def guarded_spans(spark, sf_dir):
-    def judge(s):
-        fields = lambda f: lines.kind(s.line) if f == "zone" else s[f]
-        return clinical.verdict(fields, guards.date_false_positive(s.span, s.before))
-
-    kept = _contexts(spark, sf_dir).select("doc_id", F.inline(clinical.kept_spans(F.col("found"), judge)))
+    """Spans of the measuring corpus that stay, with a model that offers all capitalised runs."""
+    ruled = spans.sourced_expr(spans.find_expr("text", [*FIELD_RULES, *DIRECT_RULES]))
+    found = F.expr(spans.merged_expr(f"concat({ruled}, {spans.sourced_expr(spans.find_expr('text', [OFFERED]), 'model')})", "text"))
+    docs = cases(spark, sf_dir).withColumn("found", found)
+    kept = vocabulary.looked_up(docs, named_vocabulary(spark), "kept", lambda voc: clinical.kept_expr("text", "found", voc)).select("doc_id", F.inline_outer("kept")).where("start is not null")
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
 _VALUES = (
     "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Patient: ' || c_mktsegment || ' Grant, MD' WHEN 1 THEN 'Avery Archer. Seen again today' WHEN 2 THEN 'Dr. A. Brooks DOB 1/2/1990' "
-    "WHEN 3 THEN 'Casey Ellis Per nursing' ELSE c_name || ' ; ' END AS v FROM customer"
+    "WHEN 3 THEN 'Casey Ellis Per nursing' ELSE c_name || ' ; ' END AS value FROM customer"
 )
-_LEAD = r"'(?i)^[ \t]*(?:(?:patient|provider|contact|name|attending|pcp)[ \t]*[:#=][ \t]*)?'"
 
 
-@query(
-    "trimmed_values",
-    f"""SELECT c_custkey, CAST(length(l) AS BIGINT) AS lead, regexp_replace(substr(rest, 1, length(regexp_replace(regexp_replace(rest, '\\b(Dr|Mr|Mrs|Ms|Prof|[A-Z])\\.', '\\1~', 'g'),
-      '(?s)(?:\\. +[A-Z].*|[ \\t]+(?:DOB|MRN|Phone|Sex|Age|Room)\\b.*|,? +(?:MD|DO|RN|NP|PA|PhD)\\b.*|[ \\t]+Per\\b.*)$', ''))), '[\\s,;:.-]+$', '') AS kept
-    FROM (SELECT *, regexp_extract(v, {_LEAD}) AS l, substr(v, length(regexp_extract(v, {_LEAD})) + 1) AS rest FROM ({_VALUES}))""",
-)
+@query("trimmed_values", f"SELECT c_custkey, CAST(lead AS BIGINT) AS lead, {KEPT} AS kept FROM ({TRIMMED} ({_VALUES}))")
 def trimmed_values(spark, sf_dir):
-    from .base import table
-
     c = F.col("c_custkey") % 5
-    v = (
+    value = (
         F.when(c == 0, F.concat(F.lit("Patient: "), "c_mktsegment", F.lit(" Grant, MD"))).when(c == 1, "Avery Archer. Seen again today").when(c == 2, "Dr. A. Brooks DOB 1/2/1990")
         .when(c == 3, "Casey Ellis Per nursing").otherwise(F.concat("c_name", F.lit(" ; ")))
     )
-    return table(spark, sf_dir, "customer").select("c_custkey", clinical.trimmed(v).alias("t")).select("c_custkey", "t.*")
+    return table(spark, sf_dir, "customer").select("c_custkey", value.alias("v")).select("c_custkey", F.expr(clinical.trimmed_expr("v")).alias("t")).select("c_custkey", "t.*")

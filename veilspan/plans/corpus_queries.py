@@ -87,9 +87,8 @@ def cases(spark, sf_dir):
 
 def found(spark, sf_dir):
     """``(doc_id, text, truth, protected, found, output)``: each case with its merged spans and its safe text, in the row."""
-    t = F.col("text")
-    merged = cases(spark, sf_dir).withColumn("found", spans.merged(spans.sourced(spans.find(t, _ALL)), t))
-    return merged.withColumn("output", spans.splice(t, F.col("found")))
+    merged = cases(spark, sf_dir).withColumn("found", spans.merged("text", _ALL))
+    return merged.withColumn("output", spans.splice("text", "found"))
 
 
 @query("corpus_cases", f"WITH cases AS ({_CASES}) SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, sha256(text) AS sha FROM cases")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dates, spans
 from .base import merged_sql, query, spans_sql, table
+from .record_queries import _duration_sql
 
 _MON = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 _REF = "2026-06-15"
@@ -43,8 +44,9 @@ _N = "regexp_extract_all(value, '[0-9]+')"
 _FULL = lambda x: f"CASE WHEN length({x}) = 2 THEN '20' || {x} ELSE {x} END"
 _MPOS = "CAST(list_position([" + ", ".join(f"'{m}'" for m in dates.MONTHS) + "], lower(regexp_extract(value, '[A-Za-z]{3}'))) AS VARCHAR)"
 _NEAREST = lambda ahead: f"""(SELECT arg_min(x, (abs(x - ref), x)) FROM (SELECT TRY_CAST((year(ref) + k) || '-' || m || '-' || d AS DATE) AS x FROM (SELECT unnest([-1, 0, 1]) AS k)) WHERE x IS NOT NULL AND x - ref <= {ahead})"""
-_DATES = f"""
-WITH RECURSIVE notes AS MATERIALIZED ({_NOTES}), merged AS ({merged_sql(spans_sql(dates.RULES, 'notes'), dates.RULES, [])}),
+def dates_sql(notes: str) -> str:
+    return f"""
+WITH RECURSIVE notes AS MATERIALIZED ({notes}), merged AS ({merged_sql(spans_sql(dates.RULES, 'notes'), dates.RULES, [])}),
 near AS (SELECT m.doc_id, m."start", m."end", m.label AS kind, substr(text, CAST("start" + 1 AS INTEGER), CAST("end" - "start" AS INTEGER)) AS value,
   string_split(substr(text, CAST(greatest("start" - 48, 0) + 1 AS INTEGER), CAST(least("start", 48) AS INTEGER)), chr(10))[-1] AS before, substr(text, CAST("end" + 1 AS INTEGER), 24) AS after
   FROM merged m JOIN notes n ON n.doc_id = m.doc_id),
@@ -58,16 +60,32 @@ dated AS MATERIALIZED (SELECT *, TRY_CAST(y || '-' || m || '-' || d AS DATE) AS
   WHEN kind = 'casual' THEN ref + CASE lower(value) WHEN 'yesterday' THEN -1 WHEN 'tomorrow' THEN 1 ELSE 0 END
   WHEN kind IN ('mon_d', 'md') THEN CASE WHEN context = 'future' THEN {_NEAREST(366)} ELSE {_NEAREST(30)} END ELSE TRY_CAST(y || '-' || m || '-' || d AS DATE) END AS DATE) AS date FROM p)
 """
+
+
+_DATES = dates_sql(_NOTES)
 _OWN = "FILTER (context <> 'birth' AND date IS NOT NULL AND {})"
-_ANCHORED = f"""{_DATES}, last AS (SELECT doc_id, max(date) {_OWN.format("said IS NOT NULL AND kind NOT IN ('mon_y', 'm_y')")} AS latest FROM dated GROUP BY doc_id),
+def anchored_sql(notes: str) -> str:
+    return f"""{dates_sql(notes)}, last AS (SELECT doc_id, max(date) {_OWN.format("said IS NOT NULL AND kind NOT IN ('mon_y', 'm_y')")} AS latest FROM dated GROUP BY doc_id),
 anchors AS (SELECT x.doc_id, coalesce(max(date) {_OWN.format("context = 'source' AND said IS NOT NULL")}, min(date) {_OWN.format("context = 'admission'")}, max(date) {_OWN.format("context = 'current'")},
     CASE WHEN any_value(latest) IS NULL THEN arg_max(date, "start") {_OWN.format('true')} END, min(date) {_OWN.format("said IS NOT NULL AND kind NOT IN ('mon_y', 'm_y') AND latest - date <= 14")}) AS anchor
   FROM dated x JOIN last l ON l.doc_id = x.doc_id GROUP BY x.doc_id)"""
 
 
+_ANCHORED = anchored_sql(_NOTES)
+
+
+def placed_sql(notes: str) -> str:
+    """``(doc_id, start, end, context, label)``: each date's label on its text's timeline."""
+    each = 'SELECT d.*, d.doc_id || chr(58) || d."start" AS k, anchor, date - anchor + 1 AS n FROM dated d JOIN anchors a ON a.doc_id = d.doc_id'
+    return f"""{anchored_sql(notes)}, each AS MATERIALIZED ({each}), lasted AS ({_duration_sql("date", "anchor", "(SELECT * FROM each WHERE date < anchor)", "k")})
+    SELECT doc_id, "start", "end", context, CASE WHEN context = 'birth' THEN 'DOB' WHEN date IS NULL THEN 'Historical date' WHEN kind IN ('mon_y', 'm_y') THEN 'Historical: ' || year(date) WHEN anchor IS NULL THEN 'Historical date'
+      WHEN n >= 1 AND context <> 'past' THEN 'Hospital Day ' || n WHEN n >= 1 THEN 'Historical date' ELSE phrase || ' prior to hospital admission' END AS label
+    FROM each LEFT JOIN lasted USING (k)"""
+
+
 @query("date_spans", f'{_DATES} SELECT doc_id, "start", "end", kind, value, context FROM dated')
 def date_spans(spark, sf_dir):
-    return dated_notes(spark, sf_dir).select("doc_id", F.inline(dates.find(F.col("text"))))
+    return dated_notes(spark, sf_dir).select("doc_id", F.inline(dates.find("text")))
 
 
 _DAY = lambda: F.lit(_REF).cast("date")
@@ -75,31 +93,25 @@ _DAY = lambda: F.lit(_REF).cast("date")
 
 @query("date_values", f'{_DATES} SELECT doc_id, "start", CAST(said AS VARCHAR) AS said, CAST(date AS VARCHAR) AS date FROM dated')
 def date_values(spark, sf_dir):
-    found = dated_notes(spark, sf_dir).select("doc_id", F.inline(dates.timed(F.col("text"), _DAY())))
+    found = dated_notes(spark, sf_dir).select("doc_id", F.inline(dates.timed("text", _DAY())))
     return found.select("doc_id", "start", F.col("said").cast("string").alias("said"), F.col("date").cast("string").alias("date"))
 
 
 @query("date_anchor", f"{_ANCHORED} SELECT doc_id, CAST(anchor AS VARCHAR) AS anchor FROM anchors")
 def date_anchor(spark, sf_dir):
-    found = dated_notes(spark, sf_dir).select("doc_id", dates.anchor(dates.timed(F.col("text"), _DAY()), F.lit(None).cast("date")).alias("anchor"))
+    found = dated_notes(spark, sf_dir).select("doc_id", dates.anchor(dates.timed("text", _DAY()), F.lit(None).cast("date")).alias("anchor"))
     return found.select("doc_id", F.col("anchor").cast("string").alias("anchor"))
 
 
-@query(
-    "date_places",
-    f"""{_ANCHORED} SELECT d.doc_id, "start", CASE WHEN context = 'birth' THEN 'DOB' WHEN date IS NULL THEN 'Historical date' WHEN kind IN ('mon_y', 'm_y') THEN 'Historical: ' || year(date)
-      WHEN anchor IS NULL THEN 'Historical date' WHEN date - anchor + 1 >= 1 AND context <> 'past' THEN 'Hospital Day ' || (date - anchor + 1) WHEN date - anchor + 1 >= 1 THEN 'Historical date' ELSE 'before' END AS label
-    FROM dated d JOIN anchors a ON a.doc_id = d.doc_id""",
-)
+@query("date_places", f'SELECT doc_id, "start", label FROM ({placed_sql(_NOTES)})')
 def date_places(spark, sf_dir):
-    found = dated_notes(spark, sf_dir).select("doc_id", F.inline(dates.timed(F.col("text"), _DAY())))
-    return found.select("doc_id", "start", F.when(F.col("label").endswith("prior to hospital admission"), "before").otherwise(F.col("label")).alias("label"))
+    return dated_notes(spark, sf_dir).select("doc_id", F.inline(dates.timed("text", _DAY()))).select("doc_id", "start", "label")
 
 
 @query("timeline_text", f"""SELECT doc_id, regexp_extract_all(text, 'pain 3/10, BP 120/80')[1] AS kept, true AS named FROM ({_NOTES}) WHERE doc_id % 3 < 2 UNION ALL SELECT doc_id, 'pain 3/10, BP 120/80', false FROM ({_NOTES}) WHERE doc_id % 3 = 2""")
 def timeline_text(spark, sf_dir):
-    t = F.col("text")
-    done = dated_notes(spark, sf_dir).select("doc_id", dates.renamed_fields(spans.splice(t, dates.timed(t, _DAY()))).alias("out"))
+    timed = dated_notes(spark, sf_dir).withColumn("timed", dates.timed("text", _DAY()))
+    done = timed.select("doc_id", dates.renamed_fields(F.expr(spans.splice_expr("text", "timed"))).alias("out"))
     return done.select("doc_id", F.regexp_extract("out", "pain 3/10, BP 120/80", 0).alias("kept"), F.col("out").startswith("Timeline: [").alias("named"))
 
 

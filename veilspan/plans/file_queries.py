@@ -140,9 +140,8 @@ _MAIL = spans_sql([BY_NAME["email"]], "documents")
     f"""SELECT doc_id, start, value AS original, '[EMAIL]' AS replacement, CAST(start + coalesce(sum(7 - length(value)) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS output_start FROM ({_MAIL})""",
 )
 def review_rows(spark, sf_dir):
-    t = F.col("text")
-    found = text.rendered(t, spans.merged(spans.sourced(spans.find(t, [BY_NAME["email"]])), t))
-    return table(spark, sf_dir, "documents").select("doc_id", F.inline(found)).select("doc_id", "start", "original", "replacement", "output_start")
+    found = text.rendered("text", "found")
+    return table(spark, sf_dir, "documents").withColumn("found", spans.merged("text", [BY_NAME["email"]])).select("doc_id", F.inline(found)).select("doc_id", "start", "original", "replacement", "output_start")
 
 
 @query("model_errors", "SELECT event_id, event_id % 4 < 2 AS again FROM events")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rules import Rule
-from ..operators import clinical, lines, people
+from ..operators import clinical, people
+from ..operators.vocabulary import looked_up
 from ..sources.corpus import FIRST, LAST
-from .base import query, spans_sql, table
-from .span_queries import _kind_sql
+from .base import query, spans_sql, table, tailed_sql
+from .guard_sql import NAMED_VOCABULARY, evidence_sql, named_vocabulary
 
 _STORIES = [
     "Spoke with {n} about the plan. Ms. {m} is a 44 year old woman.", "Follow up with Dr. {m}, MD. Graves disease and Babinski sign.", "HPI: {n} presents with Chest Pain.",
@@ -34,18 +34,12 @@ def stories(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(i.alias("doc_id"), text.alias("text"))
 
 
-def _contextual_sql():
-    each = []
-    for name, label, pattern in people.CONTEXT_RULES:
-        found = spans_sql([Rule(name, label, pattern)], f"({STORIES_SQL})")
-        q = pattern.replace("'", "''")
-        each.append(f"SELECT doc_id, rule, label, start + CAST(instr(value, regexp_extract(value, '{q}', 1)) - 1 AS BIGINT) AS start, regexp_extract(value, '{q}', 1) AS value FROM ({found})")
-    return " UNION ALL ".join(each)
+CONTEXT_SQL = lambda source: tailed_sql(people.CONTEXT_RULES, source)
 
 
-@query("contextual_names", f'SELECT doc_id, rule, label, start, CAST(start + length(value) AS BIGINT) AS "end", value FROM ({_contextual_sql()})')
+@query("contextual_names", f'SELECT doc_id, rule, label, start, "end", value FROM ({CONTEXT_SQL(f"({STORIES_SQL})")})')
 def contextual_names(spark, sf_dir):
-    return stories(spark, sf_dir).select("doc_id", F.inline(people.contextual(F.col("text"))))
+    return stories(spark, sf_dir).select("doc_id", F.inline(people.contextual("text"))).drop("severity")
 
 
 _NAMED = f"""SELECT i AS id, CASE i % 5 WHEN 0 THEN 'Dr. ' || {_N} || ', MD' WHEN 1 THEN {_C} WHEN 2 THEN '  ' || {_F('i')} || ' Q. ' || {_G('i // 7')} || ' Jr.' WHEN 3 THEN 'Zoë Müller' ELSE {_G('i')} END AS name FROM (SELECT c_custkey AS i FROM customer)"""
@@ -72,53 +66,36 @@ def parsed_names(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(i.alias("id"), people.parsed(name).alias("p")).select("id", "p.*")
 
 
-_RUNS = f"""
-WITH RECURSIVE stories AS MATERIALIZED ({STORIES_SQL}),
-w AS MATERIALIZED (SELECT s.doc_id, s.start, s."end", s.value, t.text, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.start) AS n FROM ({spans_sql([people.WORD], f"({STORIES_SQL})")}) s
-  JOIN stories t ON t.doc_id = s.doc_id WHERE regexp_matches(value, '^[A-Z]')),
+def runs_sql(docs: str) -> str:
+    """CTEs up to ``runs(doc_id, start, end, tokens, comma)``: capitalised words that blanks or one comma join."""
+    return f"""w AS MATERIALIZED (SELECT s.doc_id, s.start, s."end", s.value, t.text, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.start) AS n FROM ({spans_sql([people.WORD], docs)}) s
+  JOIN {docs} t ON t.doc_id = s.doc_id WHERE regexp_matches(value, '^[A-Z]')),
 r AS (SELECT doc_id, n, 1 AS g, start, "end", [value] AS tokens, false AS comma FROM w WHERE n = 1
   UNION ALL SELECT doc_id, n, CASE WHEN j THEN g ELSE g + 1 END, CASE WHEN j THEN rs ELSE ws END, we, CASE WHEN j THEN list_append(tokens, value) ELSE [value] END, j AND (comma OR contains(gap, ','))
   FROM (SELECT *, ws - re <= 4 AND len(tokens) < {people.LONGEST} AND (regexp_matches(gap, '^(?:[ \\t]+|\\.[ \\t]+)$') OR (regexp_matches(gap, '^,[ \\t]+$') AND NOT comma)) AS j
     FROM (SELECT w.doc_id, w.n, r.g, r.start AS rs, r."end" AS re, w.start AS ws, w."end" AS we, r.tokens, r.comma, w.value, substr(w.text, CAST(r."end" + 1 AS INTEGER), CAST(w.start - r."end" AS INTEGER)) AS gap
       FROM r JOIN w ON w.doc_id = r.doc_id AND w.n = r.n + 1))),
-runs AS MATERIALIZED (SELECT doc_id, min(start) AS start, max("end") AS "end", arg_max(tokens, n) AS tokens, bool_or(comma) AS comma FROM r GROUP BY doc_id, g)
-"""
+runs AS MATERIALIZED (SELECT doc_id, min(start) AS start, max("end") AS "end", arg_max(tokens, n) AS tokens, bool_or(comma) AS comma FROM r GROUP BY doc_id, g)"""
+
+
+_RUNS = f"WITH RECURSIVE stories AS MATERIALIZED ({STORIES_SQL}), {runs_sql('stories')}"
 
 
 @query("name_runs", f"""{_RUNS} SELECT doc_id, start, "end", array_to_string(tokens, ' ') AS name, comma FROM runs""")
 def name_runs(spark, sf_dir):
-    found = stories(spark, sf_dir).select("doc_id", F.inline(people.runs(F.col("text"))))
+    found = stories(spark, sf_dir).select("doc_id", F.inline(F.expr(people.runs_expr("text"))))
     return found.select("doc_id", "start", "end", F.array_join("tokens", " ").alias("name"), "comma")
 
 
-GIVEN, SURNAMES, AMBIGUOUS = [x.lower() for x in FIRST], [x.lower() for x in LAST], ["grant"]
-_P = people.POINTS
-_IF = lambda name, test: f"CASE WHEN {test} THEN {_P[name]} ELSE 0 END"
-_RM = lambda field, pattern: "regexp_matches(" + field + ", '" + pattern.replace("'", "''") + "')"
-_STRONG = "(honorific OR relation OR field OR provider OR said)"
-_EVIDENCE = " + ".join([
-    f"known * {_P['token']}", _IF("full", f"len(tokens) >= 2 AND list_contains({_LIST(GIVEN)}, low[1]) AND list_contains({_LIST(SURNAMES)}, low[-1])"), _IF("comma", "comma AND capitals"), _IF("capitals", "capitals"),
-    *[_IF(x, x) for x in ("honorific", "relation", "field", "provider", "said")], _IF("verb", _RM("after", people.VERB_AFTER)), _IF("age", _RM("after", people.AGE_AFTER)), _IF("possessive", _RM("after", "^'s\\b")),
-    f"CASE WHEN NOT honorific AND NOT field THEN clinical * {_P['clinical']} ELSE 0 END", _IF("eponym", f"{_RM('after', people.COMPANION_AFTER)} AND NOT (honorific OR relation OR field)"),
-    _IF("uncapitalised", f"NOT {_STRONG} AND NOT capitals"), _IF("lone", f"len(tokens) = 1 AND known = 0 AND NOT {_STRONG}"), _IF("zone", f"{_kind_sql('line')} IN ('lab', 'vitals', 'meds', 'imaging') AND NOT {_STRONG}"),
-])
-
-
 @query(
     "name_evidence",
-    f"""{_RUNS} SELECT doc_id, start, name, CAST({_EVIDENCE} AS INTEGER) AS score FROM (SELECT *, {_RM('before', people.HONORIFIC)} AS honorific, {_RM('before', people.RELATION)} AS relation, {_RM('before', people.FIELD)} AS field,
-      {_RM('before', people.PROVIDER_BEFORE)} OR {_RM('after', people.CREDENTIAL_AFTER)} AS provider, {_RM('before', people.SAID)} AS said,
-      len(list_filter(low, lambda x: (list_contains({_LIST(GIVEN)}, x) OR list_contains({_LIST(SURNAMES)}, x)) AND NOT list_contains({_LIST(AMBIGUOUS)}, x))) AS known,
-      len(list_filter(low, lambda x: list_contains({_LIST(clinical.CLINICAL_WORDS)}, x))) AS clinical
-    FROM (SELECT r.doc_id, start, array_to_string(tokens, ' ') AS name, tokens, comma, list_transform(tokens, lambda x: lower(x)) AS low, text AS line,
-        len(list_filter(tokens, lambda x: regexp_matches(x, '^[A-Z]{{2,}}$'))) = 0 AS capitals, substr(text, CAST(greatest(start - 80, 0) + 1 AS INTEGER), CAST(least(start, 80) AS INTEGER)) AS before, substr(text, CAST("end" + 1 AS INTEGER), 80) AS after
-      FROM runs r JOIN stories s ON s.doc_id = r.doc_id))""",
+    f"""{_RUNS}, vocab AS ({NAMED_VOCABULARY}), spans_ AS (SELECT doc_id, start, "end", 'NAME' AS label, 'dictionary' AS source, tokens, comma FROM runs), {evidence_sql("spans_", "stories", "vocab")}
+    SELECT doc_id, start, array_to_string(tokens, ' ') AS name, CAST(known AS INTEGER) AS known, CAST(score AS INTEGER) AS score FROM scored""",
 )
 def name_evidence(spark, sf_dir):
-    t = F.col("text")
-    found = stories(spark, sf_dir).select("doc_id", F.inline(clinical.context(t, people.runs(t))))
-    points = people.evidence(F.col, F.col("tokens"), F.col("comma"), lines.kind(F.col("line")), GIVEN, SURNAMES, AMBIGUOUS)
-    return found.select("doc_id", "start", F.array_join("tokens", " ").alias("name"), points.cast("int").alias("score"))
+    words = named_vocabulary(spark)
+    found = looked_up(stories(spark, sf_dir), words, "found", lambda voc: people.evidence_expr("text", voc))
+    return found.select("doc_id", F.inline_outer("found")).where("start is not null").select("doc_id", "start", "name", "known", "score")
 
 
 @query(
@@ -158,7 +135,7 @@ _VOCAB = " UNION ALL ".join(f"SELECT unnest(regexp_split_to_array(lower({c}), '[
 @query("clinical_vocabulary", f"SELECT token, count(DISTINCT i) AS sources FROM ({_VOCAB}) WHERE length(token) BETWEEN 2 AND 40 AND NOT list_contains({_LIST(_BANNED)}, token) AND NOT regexp_matches(token, '^[0-9]+$') GROUP BY token")
 def clinical_vocabulary(spark, sf_dir):
     part, customer = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
-    return people.vocabulary([part.select(F.col("p_name").alias("name")), part.select(F.col("p_type").alias("name")), customer.select(F.col("c_mktsegment").alias("name"))], _BANNED)
+    return people.vocabulary_of([part.select(F.col("p_name").alias("name")), part.select(F.col("p_type").alias("name")), customer.select(F.col("c_mktsegment").alias("name"))], _BANNED)
 
 
 @query("vocabulary_anchors", "SELECT DISTINCT token, regexp_matches(token, '(?:itis|osis|emia|oma|pathy|ectomy|ing|et)$') AS strong FROM (SELECT unnest(string_split(p_name, ' ')) AS token FROM part) WHERE token NOT IN ('old', 'new')")

@@ -310,7 +310,7 @@ def result_lines(spark, sf_dir):
     FROM ({spans_sql([LONG_DIGITS], "(SELECT doc_id, replace(text, '.', ']') AS text FROM documents)")}) s JOIN (SELECT doc_id AS d, replace(text, '.', ']') AS t FROM documents) x ON x.d = s.doc_id""",
 )
 def inside_bracket(spark, sf_dir):
-    t = F.replace("text", F.lit("."), F.lit("]"))
+    t = "replace(text, '.', ']')"
     found = spans.inside_bracket(t, spans.find(t, [LONG_DIGITS]))
     return table(spark, sf_dir, "documents").select("doc_id", F.inline(found)).select("doc_id", "start", "inside")
 
@@ -322,5 +322,5 @@ def inside_bracket(spark, sf_dir):
     FROM ({spans_sql([Rule('mid', 'ID', '[0-9]{4}')], 'documents')}) JOIN (SELECT doc_id AS d, text FROM documents) ON d = doc_id""",
 )
 def token_boundary(spark, sf_dir):
-    found = spans.to_token_edges(F.col("text"), spans.find(F.col("text"), [Rule("mid", "ID", "[0-9]{4}")]))
+    found = spans.to_token_edges(F.col("text"), spans.find("text", [Rule("mid", "ID", "[0-9]{4}")]))
     return table(spark, sf_dir, "documents").select("doc_id", F.inline(found)).select("doc_id", "start", "grown_start", "grown_end")
