@@ -205,6 +205,44 @@ def test_training_carries_state_through_a_long_document(monkeypatch):
     assert target.tolist() == ids.tolist() and before.tolist() == [0, *ids[:-1]] and first.tolist() == [True] + [False] * 4999
 
 
+def test_language_model_lanes_hold_a_long_text_beside_short_ones():
+    sizes = np.array([300_000] + [3] * 600)
+    starts = np.cumsum(sizes) - sizes
+    ids = np.arange(sizes.sum(), dtype=np.int32) % 50
+    s = language_model.Streams(ids, starts, sizes, 512, 0)
+    assert s.place.nbytes <= 4 * len(ids) and s.running(0) == 512 and s.running(299_999) == 1 and s.running(300_000) == 0
+    seen = np.concatenate([w[w >= 0] for w, _ in (s.window(at) for at in range(0, s.steps, language_model.STEPS))])
+    assert (np.sort(seen) == np.arange(len(ids))).all()
+    lanes, running = s.window(16)
+    assert lanes.shape == (language_model.STEPS, running[0]) and all((row[:n] >= 0).all() and (row[n:] < 0).all() for row, n in zip(lanes, running))
+
+
+def test_language_model_scores_equal_a_plain_loop():
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 40, 7, 23])
+    ids = rng.integers(0, language_model.VOCAB + 1, sizes.sum()).astype(np.int32)
+    lex = language_model.Lexicon(np.arange(5, dtype=np.uint64), np.array([9, 8, 7, 6, 5]), np.arange(5), 35, 5)
+    w = language_model.initial(lex)
+    starts = np.cumsum(sizes) - sizes
+    got = language_model.log_probabilities(w, ids, starts, sizes, 0, lane_count=2)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for a, n in zip(starts, sizes):
+        h, before = np.zeros(language_model.HIDDEN), 0
+        for t in range(a, a + n):
+            g, u = w["embed"][before] @ w["wx"] + w["b"], h @ w["wh"]
+            k = language_model.HIDDEN
+            z, r = sig(g[:k] + u[:k]), sig(g[k : 2 * k] + u[k : 2 * k])
+            new = np.tanh(g[2 * k :] + r * u[2 * k :])
+            h = new + z * (h - new)
+            soft = lambda x: x - np.log(np.exp(x).sum())
+            c = language_model.CLASSES if ids[t] == language_model.REST else ids[t] // language_model.SIZE
+            lp = soft(h @ w["wc"] + w["bc"])[c]
+            if c < language_model.CLASSES:
+                lp += soft(h @ w["wo"][c] + w["bo"][c])[ids[t] % language_model.SIZE]
+            assert abs(lp - got[t]) < 1e-4
+            before = ids[t]
+
+
 def test_language_model_beats_frequencies_on_held_out(spark):
     got = language_model.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     r = got.where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
@@ -645,6 +683,13 @@ def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
         assert len(got) <= len(rows)
 
 
+def test_pipeline_without_labels_keeps_documents(docs, spark):
+    for rows in ([], [(0, 1, 0), (7, 1, 0)]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+        kept = quality.keep_good(docs, quality.train(docs, labels))
+        assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
 def test_pipeline(spark, real):
     import corpus_pipeline
 
@@ -680,4 +725,4 @@ def test_all_are_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert set(registry.QUERIES) | {"pipeline"} <= names and {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert set(registry.QUERIES) | {"pipeline"} <= names and {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 14)}

@@ -206,21 +206,35 @@ def lanes(sizes: np.ndarray, count: int) -> list[list[int]]:
     return sorted(out, key=lambda lane: -int(sizes[lane].sum()))
 
 
-def streams(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, count: int, end_id: int):
-    """Target and input ids, resets and token places by step and lane, and the lanes still running at each step."""
-    dealt = lanes(sizes, count)
-    lengths = np.array([int(sizes[lane].sum()) for lane in dealt])
-    steps = int(lengths.max(initial=0))
-    place = np.full((steps, len(dealt)), -1, np.int32)
-    for i, lane in enumerate(dealt):
-        place[: lengths[i], i] = np.concatenate([np.arange(starts[d], starts[d] + sizes[d]) for d in lane])
-    first = np.zeros(len(ids), bool)
-    first[starts] = True
-    before = np.empty(len(ids), ids.dtype)
-    before[1:] = ids[:-1]
-    before[starts] = end_id
-    running = (lengths[None, :] > np.arange(steps)[:, None]).sum(1)
-    return place, ids, before, first, running
+class Streams:
+    """Documents in lanes: the places of their tokens by step and lane, without a table of steps times lanes.
+
+    Lanes are ragged: their tokens stand one lane after another, so that a long document beside
+    short ones takes no more than its own tokens.
+    """
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, count: int, end_id: int):
+        dealt = lanes(sizes, count)
+        self.lengths = np.array([int(sizes[lane].sum()) for lane in dealt], np.int64)  # the longest first
+        self.steps = int(self.lengths.max(initial=0))
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        self.place = np.concatenate([np.arange(starts[d], starts[d] + sizes[d], dtype=np.int32) for lane in dealt for d in lane] or [np.zeros(0, np.int32)])
+        self.first = np.zeros(len(ids), bool)
+        self.first[starts] = True
+        self.before = np.empty(len(ids), ids.dtype)
+        self.before[1:] = ids[:-1]
+        self.before[starts] = end_id
+
+    def running(self, step: int) -> int:
+        """Lanes that have a token at a step."""
+        return int(np.searchsorted(-self.lengths, -step))
+
+    def window(self, at: int) -> tuple[np.ndarray, list[int]]:
+        """Places of ``STEPS`` steps by lane, -1 where a lane has ended, and how many lanes run at each step."""
+        n, steps = self.running(at), np.arange(at, min(at + STEPS, self.steps))[:, None]
+        inside = steps < self.lengths[:n]
+        place = self.place[np.minimum(self.begin[:n] + steps, len(self.place) - 1)]
+        return np.where(inside, place, -1), inside.sum(1).tolist()
 
 
 def _forward(w: Weights, gates_in: np.ndarray, reset: np.ndarray | None, h: np.ndarray, keep: list | None) -> np.ndarray:
@@ -341,11 +355,12 @@ class Trainer:
         self.v = {k: np.zeros_like(v) for k, v in w.items()}
 
     def learn(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, end_id: int) -> None:
-        place, ids, before, first, running = streams(ids, starts, sizes, LANES, end_id)
-        h = np.zeros((place.shape[1], HIDDEN), np.float32)
-        for at in range(0, len(place), STEPS):
-            some = [place[t, : running[t]] for t in range(at, min(at + STEPS, len(place)))]
-            grads, h = _gradients(self.w, [before[p] for p in some], [ids[p] for p in some], [first[p] for p in some], h)
+        s = Streams(ids, starts, sizes, LANES, end_id)
+        h = np.zeros((len(s.lengths), HIDDEN), np.float32)
+        for at in range(0, s.steps, STEPS):
+            place, running = s.window(at)
+            some = [row[:n] for row, n in zip(place, running, strict=True)]
+            grads, h = _gradients(self.w, [s.before[p] for p in some], [ids[p] for p in some], [s.first[p] for p in some], h)
             self.step += 1
             scale = self.rate * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
             for k, g in grads.items():
@@ -357,22 +372,21 @@ class Trainer:
 
 def log_probabilities(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, end_id: int, lane_count: int = LANES) -> np.ndarray:
     """Natural log-probability of every token, each document from its start with the state carried through."""
-    place, ids, before, first, running = streams(ids, starts, sizes, lane_count, end_id)
+    s = Streams(ids, starts, sizes, lane_count, end_id)
     gates = w["embed"] @ w["wx"] + w["b"]
     out = np.zeros(len(ids))
-    h = np.zeros((place.shape[1], HIDDEN), np.float32)
+    h = np.zeros((len(s.lengths), HIDDEN), np.float32)
     states, places, waiting = [], [], 0
-    for at in range(0, len(place), STEPS):
-        some = place[at : at + STEPS, : running[at]]
-        given, fresh = gates[before[some]], first[some] & (some >= 0)
+    for at in range(0, s.steps, STEPS):
+        some, running = s.window(at)
+        given, fresh = gates[s.before[some]], s.first[some] & (some >= 0)
         any_fresh = fresh.any(1)
-        for t in range(len(some)):
-            n = running[at + t]
+        for t, n in enumerate(running):
             h = _forward(w, given[t, :n], fresh[t, :n] if any_fresh[t] else None, h[:n], None)
             states.append(h)
             places.append(some[t, :n])
             waiting += n
-        if waiting >= 1 << 15 or at + STEPS >= len(place):
+        if waiting >= 1 << 15 or at + STEPS >= s.steps:
             all_p = np.concatenate(places)
             out[all_p] = _outputs(w, np.concatenate(states), ids[all_p], None)[0]
             states, places, waiting = [], [], 0

@@ -226,10 +226,10 @@ def _rank(kind: Column) -> Column:
     return F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs`` its counts, the hash of its base spans, and the list of all spans."""
+def report(docs: DataFrame, names: Sequence[str] = GIVEN_NAMES) -> DataFrame:
+    """For each row of ``docs`` its counts, the hash of its base spans, and the list of all spans; ``names`` is the gazetteer."""
     each = F.struct("start", _rank(F.col("kind")).alias("o"), F.concat_ws(":", "kind", "start", "end").alias("s"))
-    listed = spans(docs).groupBy("k", "th").agg(
+    listed = spans(docs, names).groupBy("k", "th").agg(
         *[F.sum(F.when(F.col("base") & (F.col("kind") == k), 1).otherwise(0)).alias(f"n_{k}") for k in BASE],
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("base"), each))), lambda x: x.s), ",").alias("b"),
         F.array_join(F.transform(F.sort_array(F.collect_list(each)), lambda x: x.s), ",").alias("spans"),
@@ -241,11 +241,11 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, names: Sequence[str] = GIVEN_NAMES) -> DataFrame:
     """``docs`` with each span's text replaced by its kind in angle brackets; of overlapping spans the first stands for all."""
     order = Window.partitionBy("k", "th").orderBy("start", _rank(F.col("kind")))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = spans(docs).withColumn("new", (F.coalesce(reach, F.lit(-1)) <= F.col("start")).cast("int"))
+    fresh = spans(docs, names).withColumn("new", (F.coalesce(reach, F.lit(-1)) <= F.col("start")).cast("int"))
     merged = fresh.withColumn("g", F.sum("new").over(order)).groupBy("k", "th", "g").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", _rank(F.col("kind")))).alias("kind")
     )

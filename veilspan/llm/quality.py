@@ -201,7 +201,9 @@ def score(docs: DataFrame, forest: Forest, cutoff: float = CUTOFF) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, forest: Forest, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all their columns."""
+    """The rows of ``docs`` that the classifier does not reject, with all their columns; all of them where there were no labels to learn from."""
+    if not forest.depth:
+        return docs
     names = docs.columns
     at = names.index("text")
 

@@ -1,4 +1,4 @@
-"""Long repeats of bytes by a logarithmic family of sparse suffix arrays.
+"""Long repeats of bytes by a logarithmic family of indexes of hashed suffix anchors, which stand for suffix arrays.
 
 A suffix is kept where a text has an anchor: of the ``LENGTH`` - ``SEED`` + 1 seeds (strings of
 ``SEED`` bytes) in a window of ``LENGTH`` bytes, the one of least hash, the last of equals. Each
