@@ -62,7 +62,7 @@ def test_rules_find_all_of_the_corpus(spark):
 
     ids = spark.range(100)
     t = F.col("text")
-    made = corpus.cases(ids).withColumn("found", spans.merged(spans.sourced(spans.find(t, FIELD_RULES + DIRECT_RULES)), t)).withColumn("output", spans.splice(t, F.col("found")))
+    made = corpus.cases(ids).withColumn("found", spans.merged("text", FIELD_RULES + DIRECT_RULES)).withColumn("output", spans.splice("text", "found"))
     made = made.cache()
     truth = made.select("doc_id", F.inline("truth"))
     state = evaluate.grade(truth, made.select("doc_id", F.inline("found"))).groupBy(F.col("state").isin("exact", "mislabelled").alias("found")).count().collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import fold, struct
+from ..functions.expr import empty, fold, let, struct
 
 
 def cleanup(text: Column) -> Column:
@@ -95,24 +95,20 @@ def chunks(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", text:
     return each.select(key, "chunk_no", start.alias("start"), F.substr("t", start + 1, F.lit(size)).alias("chunk"))
 
 
-def model_chunks(text: Column, size: int = 700, overlap: int = 80, least: float = 0.55) -> Column:
+def model_chunks(text: str, size: int = 700, overlap: int = 80, least: float = 0.55) -> Column:
     """Windows of a text for a model: an array of (offset, chunk). A window ends after its last line end past ``least`` of it, and the next begins ``overlap`` before that."""
-    from .spans import fold
-
-    n = F.length(text)
-    turns = F.ceil(n / max(1, int(size * least) - overlap)).cast("int") + 1
-    kind = "struct<offset:bigint,chunk:string>"
-
-    def step(at: Column, _: Column) -> tuple[Column, Column]:
-        window = F.substr(text, (at + 1).cast("int"), F.lit(size + 1))
-        back = F.instr(F.reverse(window), "\n")
-        line = at + F.length(window) - back
-        cut = F.when((at + size < n) & (back > 0) & (line > at + int(size * least)), line + 1).otherwise(F.least(at + size, n))
-        following = F.when(cut >= n, F.lit(None)).otherwise(F.when(cut - overlap <= at, cut).otherwise(cut - overlap)).cast("long")
-        out = F.struct(at.cast("long").alias("offset"), F.substr(text, (at + 1).cast("int"), (cut - at).cast("int")).alias("chunk"))
-        return following, F.when(at.isNotNull(), F.array(out)).otherwise(F.array().cast(f"array<{kind}>"))
-
-    return F.when(text.isNotNull(), fold(F.sequence(F.lit(1), turns), F.lit(0).cast("long"), kind, step))
+    kind, n = "struct<offset:bigint,chunk:string>", f"length({text})"
+    turns = f"sequence(1, cast(ceil({n} / {max(1, int(size * least) - overlap)}) as int) + 1)"
+
+    def step(at: str, _: str) -> tuple[str, str]:
+        window = f"substr({text}, cast({at} + 1 as int), {size + 1})"
+        line = f"({at} + length(mw) - mb)"
+        cut = let("mw", window, let("mb", "instr(reverse(mw), '\\n')", f"if({at} + {size} < {n} and mb > 0 and {line} > {at} + {int(size * least)}, {line} + 1, least({at} + {size}, {n}))"))
+        following = let("mc", cut, f"cast(if(mc >= {n}, null, if(mc - {overlap} <= {at}, mc, mc - {overlap})) as bigint)")
+        out = let("mc", cut, struct(offset=f"cast({at} as bigint)", chunk=f"substr({text}, cast({at} + 1 as int), cast(mc - {at} as int))"))
+        return following, f"if({at} is not null, array({out}), {empty(kind)})"
+
+    return F.expr(f"if({text} is null, null, {fold(turns, 'cast(0 as bigint)', kind, step, 'chunk')})")
 
 
 def halves(chunk: Column, edge: int = 80) -> Column:

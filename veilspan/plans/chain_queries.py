@@ -114,3 +114,38 @@ def safe_notes(spark, sf_dir):
 @query("safe_spans", f'{_CHAIN} SELECT doc_id, start, "end", label, source, placeholder FROM final')
 def safe_spans(spark, sf_dir):
     return deidentified(spark, sf_dir).select("doc_id", F.inline_outer("spans")).where("start is not null")
+
+
+# ---- the measuring corpus, run and graded ------------------------------------------------------
+
+_RUN = f"{chain_sql(_CASES)}, cases AS MATERIALIZED (SELECT * FROM docs), truth AS MATERIALIZED ({_TRUTH})"
+_GRADED = """SELECT t.doc_id, t.category, count(f.start) AS touched, arg_min(f.label, (f.start, f."end")) FILTER (f.start <= t.start AND f."end" >= t."end") AS label
+  FROM truth t LEFT JOIN final f ON f.doc_id = t.doc_id AND f.start < t."end" AND t.start < f."end" GROUP BY t.doc_id, t.category, t.key, t.value, t.start, t."end\""""
+
+
+def run(spark, sf_dir):
+    """``(doc_id, text, truth, protected, found, output)``: each case of the corpus with its spans and its safe text, written."""
+    made = cases(spark, sf_dir).withColumn("output", F.col("text"))
+    return settled(chain.deidentify(made, named_vocabulary(spark), text="output", reference=F.lit(_REF).cast("date")).withColumnRenamed("spans", "found"))
+
+
+@query(
+    "run_grade",
+    f"""{_RUN}, graded AS (SELECT *, CASE WHEN touched = 0 THEN 'missed' WHEN label IS NULL THEN 'partial' WHEN label <> category THEN 'mislabelled' ELSE 'exact' END AS state FROM ({_GRADED}))
+    SELECT category, count(*) AS truth, count(*) FILTER (label IS NOT NULL) AS detected, count(*) FILTER (state = 'exact') AS exact, round(count(*) FILTER (label IS NOT NULL) / count(*), 6) AS recall,
+      round(count(*) FILTER (state = 'exact') / nullif(count(*) FILTER (label IS NOT NULL), 0), 6) AS accuracy FROM graded GROUP BY category""",
+)
+def run_grade(spark, sf_dir):
+    made = run(spark, sf_dir)
+    return evaluate.metrics(evaluate.grade(made.select("doc_id", F.inline("truth")), made.select("doc_id", F.inline("found"))))
+
+
+@query(
+    "run_results",
+    f"""{_RUN} SELECT s.doc_id, sha256(s.text) AS sha, CAST(length(s.text) AS BIGINT) AS chars, coalesce(n, 0) AS redactions, coalesce(g, 0) AS protected_hit
+    FROM safe s LEFT JOIN (SELECT doc_id, count(*) AS n FROM final GROUP BY doc_id) f ON f.doc_id = s.doc_id
+    LEFT JOIN (SELECT k.doc_id, count(DISTINCT k.start) AS g FROM ({_KEPT}) k JOIN final f ON f.doc_id = k.doc_id AND f.start < k."end" AND k.start < f."end" GROUP BY k.doc_id) p ON p.doc_id = s.doc_id""",
+)
+def run_results(spark, sf_dir):
+    touched = F.filter("protected", lambda p: F.exists("found", lambda f: (f.start < p.end) & (p.start < f.end)))
+    return run(spark, sf_dir).select("doc_id", F.sha2("output", 256).alias("sha"), F.length("output").cast("long").alias("chars"), F.size("found").cast("long").alias("redactions"), F.size(touched).cast("long").alias("protected_hit"))

@@ -31,7 +31,7 @@ OFFERS = [
     ("NAME", "model", "took ", "Lisinopril", " 10 mg daily"),
     ("NAME", "model", "took ", "Zemopril", " 10 mg daily"),
     ("NAME", "model", "by ", "Xu", " alone"),
-    ("NAME", "model", "Sodium: 13{i} mmol/L per ", "{n}", ""),
+    ("NAME", "model", "BP 128/76 HR 7{i} ", "{n}", ""),
     ("NAME", "model", "sent to ", "{l} Hospice", " then"),
     ("NAME", "model", "wrote ", "some of it", " then"),
     ("DATE", "structured", "in ", "May", " or so"),

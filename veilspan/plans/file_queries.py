@@ -106,7 +106,7 @@ def templated_notes(spark, sf_dir):
     SELECT doc_id, pos AS "offset" FROM c""",
 )
 def model_chunks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.inline(text.model_chunks(F.col("text")))).select("doc_id", "offset")
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(text.model_chunks("text"))).select("doc_id", "offset")
 
 
 @query("chunk_halves", "SELECT doc_id, true AS whole FROM documents WHERE length(text) > 400")
