@@ -166,6 +166,38 @@ def rendered(text: str, spans: str) -> Column:
     return F.expr(fold(spans, "cast(0 as bigint)", kind, step, "shown"))
 
 
+def title_order(rows: DataFrame, title: str, key: str, collation: str = "UNICODE_CI_AI") -> DataFrame:
+    """``(key, place, same)``: each row's place in the order of a collation, ties by key, and how many titles are equal in it.
+
+    For listings of a page or a library: one task orders all rows.
+    """
+    own = F.collate(F.col(title), collation)
+    return rows.select(key, F.row_number().over(Window.orderBy(own, key)).alias("place"), F.count(F.lit(1)).over(Window.partitionBy(own)).alias("same"))
+
+
+def aligned(source: str, spans: str, output: str) -> Column:
+    """What an output that another engine made has in place of each span: an array of (start, end, original, replacement, output_start).
+
+    Both texts are walked with a cursor each: what lies between two spans is looked for in the output
+    from the cursor on, and what stands before it there replaces the span. The last span's replacement
+    reaches to what follows it, or to the end. A fragment that the output does not have leaves the cursor; the replacement is then null.
+    """
+    kind = "struct<start:bigint,end:bigint,original:string,replacement:string,output_start:bigint>"
+    part = lambda x, a, b: f"substr({x}, cast({a} + 1 as int), cast(greatest({b} - {a}, 0) as int))"
+    follows = f"if(i + 1 < size(al), {part(source, 'x.end', 'al[i + 1].start')}, substr({source}, cast(x.end + 1 as int)))"
+    row = struct(start="x.start", end="x.end", original=part(source, "x.start", "x.end"), lead=f"if(i = 0, {part(source, '0', 'x.start')}, '')", tail=follows)
+    items = let("al", spans, f"transform(al, (x, i) -> {row})")
+
+    def step(at: str, x: str) -> tuple[str, str]:
+        begin = let("lf", f"if({x}.lead = '', 0, locate({x}.lead, {output}, cast({at} + 1 as int)))", f"cast(if(lf > 0, lf - 1 + length({x}.lead), {at}) as bigint)")
+        stop = f"case when {x}.tail = '' then length({output}) + 1 else locate({x}.tail, {output}, cast(ab + 1 as int)) end"
+        following = let("ab", begin, let("st", stop, f"cast(if(st > 0, st - 1 + length({x}.tail), ab) as bigint)"))
+        made = struct(start=f"{x}.start", end=f"{x}.end", original=f"{x}.original", replacement=f"if(st > 0, {part(output, 'ab', '(st - 1)')}, null)", output_start="ab")
+        return following, f"array({let('ab', begin, let('st', stop, made))})"
+
+    return F.expr(fold(items, "cast(0 as bigint)", kind, step, "align"))
+
+
 #: Errors of a model that mean its input was too long; other errors are not tried again in halves.
 TOO_LONG = r"(?i)\b(?:sequence|input|token)s?\b.*\b(?:too long|exceeds?|longer than|maximum|limit)\b|out of (?:range|bounds)"
 
