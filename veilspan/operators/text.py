@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import empty, fold, let, struct
+from ..functions.expr import empty, fold, let, literal, struct
 
 
 def cleanup(text: Column) -> Column:
@@ -175,11 +175,14 @@ def title_order(rows: DataFrame, title: str, key: str, collation: str = "UNICODE
     return rows.select(key, F.row_number().over(Window.orderBy(own, key)).alias("place"), F.count(F.lit(1)).over(Window.partitionBy(own)).alias("same"))
 
 
+_LABEL = r"^\[[^\[\]]*\]"
+
+
 def aligned(source: str, spans: str, output: str) -> Column:
     """What an output that another engine made has in place of each span: an array of (start, end, original, replacement, output_start).
 
     Both texts are walked with a cursor each: what lies between two spans is looked for in the output
-    from the cursor on, and what stands before it there replaces the span. The last span's replacement
+    from the cursor on, and what stands before it there replaces the span; a label in brackets is taken whole. The last span's replacement
     reaches to what follows it, or to the end. A fragment that the output does not have leaves the cursor; the replacement is then null.
     """
     kind = "struct<start:bigint,end:bigint,original:string,replacement:string,output_start:bigint>"
@@ -190,7 +193,10 @@ def aligned(source: str, spans: str, output: str) -> Column:
 
     def step(at: str, x: str) -> tuple[str, str]:
         begin = let("lf", f"if({x}.lead = '', 0, locate({x}.lead, {output}, cast({at} + 1 as int)))", f"cast(if(lf > 0, lf - 1 + length({x}.lead), {at}) as bigint)")
-        stop = f"case when {x}.tail = '' then length({output}) + 1 else locate({x}.tail, {output}, cast(ab + 1 as int)) end"
+        # a label in brackets, which may hold what follows the span
+        label = f"length(regexp_extract(substr({output}, cast(ab + 1 as int), 200), {literal(_LABEL)}, 0))"
+        found = f"case when bl > 0 and startswith(substr({output}, cast(ab + bl + 1 as int), length({x}.tail)), {x}.tail) then ab + bl + 1 when {x}.tail = '' then length({output}) + 1 else locate({x}.tail, {output}, cast(ab + 1 as int)) end"
+        stop = let("bl", label, found)
         following = let("ab", begin, let("st", stop, f"cast(if(st > 0, st - 1 + length({x}.tail), ab) as bigint)"))
         made = struct(start=f"{x}.start", end=f"{x}.end", original=f"{x}.original", replacement=f"if(st > 0, {part(output, 'ab', '(st - 1)')}, null)", output_start="ab")
         return following, f"array({let('ab', begin, let('st', stop, made))})"
