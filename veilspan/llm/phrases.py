@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialize, sized, table
 from .rolling import mix
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 #: Bits of the bitmap of frequent phrases that tasks get: 16 MB at most.
 FILTER_BITS = 1 << 27
 LEAST, LONGEST, TOP = 30, 4, 2000
@@ -152,7 +152,7 @@ def shards(batches, limit: int = CHUNK_BYTES) -> Iterator[Shard]:
     """Shards of the rows ``(lang, text)``, texts as bytes."""
     held: dict[str, list[bytes]] = defaultdict(list)
     total = 0
-    for b in batches:
+    for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             raw = text.translate(_TABLE) if len(text) > limit else text
             at = 0
