@@ -45,6 +45,13 @@ FUTURE = r"(?i)\b(?:follow up|scheduled(?: for)?|planned(?: for)?|will|next|retu
 PAST = r"(?i)\b(?:history of|previous(?:ly)?|prior|last|since|surgery(?: in| on)?|back in)(?: on| in)? *$"
 CURRENT = r"(?i)\b(?:seen(?: on)?|today|now|examined(?: on)?|rounds(?: on)?)[: ]*$"
 NEAR = 48
+#: Kinds that say a day, after which a clock may follow.
+DAYS = ("iso", "mdy", "mdy2", "dash", "mon_d_y", "d_mon", "mon_d", "md")
+#: A clock after a day; four digits that could be a year of this century count only after "at".
+CLOCK = r"^(?:,? (?:at |@ ?)(?:[01]?[0-9]|2[0-3]):?[0-5][0-9](?: ?[AaPp][Mm])?\b|,? (?:(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?: ?[AaPp][Mm])?|(?:0[0-9]|1[0-8]|2[1-3])[0-5][0-9])\b)"
+DOSE = r"(?i)^ ?(?:mg|mcg|ml|units?|kcal|cc|/)"
+#: The second end of a range that takes its month from the first.
+UNTIL = r"^( ?(?:-|–|to|through) ?)([0-9]{1,2})(?:st|nd|rd|th)?(?:[ ,.;)\n]|$)"
 
 
 def using(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -66,7 +73,8 @@ def suppressed(kind: Column, value: Column, before: Column, after: Column) -> Co
 
 
 def find(name: str) -> Column:
-    """Dates of a text: an array of (start, end, kind, value, context), by place. ``name`` is a column's name, or SQL."""
+    """Dates of a text: an array of (start, end, kind, value, context, clock), by place; a clock that follows a day
+    belongs to it, and both ends of a range count. ``name`` is a column's name, or SQL."""
     text = F.expr(name)
 
     def add(s: Column) -> Column:
@@ -76,9 +84,25 @@ def find(name: str) -> Column:
             F.substring_index(F.substr(text, (near + 1).cast("int"), (s.start - near).cast("int")), "\n", -1).alias("before"), F.substr(text, (s.end + 1).cast("int"), F.lit(24)).alias("after"),
         )
 
+    def timed_end(d: Column) -> Column:
+        said = F.regexp_extract(d.after, CLOCK, 0)
+        clock = F.when(d.kind.isin(*DAYS) & ~F.substr(d.after, F.length(said) + 1).rlike(DOSE), said).otherwise("")
+        made = lambda c: F.struct(d.start, (d.end + F.length(c)).alias("end"), d.kind, d.value, direction(d.before).alias("context"), F.regexp_extract(c, "[0-9].*$", 0).alias("clock"))
+        return using(clock, made)
+
+    def until(d: Column) -> Column:
+        lead, day = F.regexp_extract(d.after, UNTIL, 1), F.regexp_extract(d.after, UNTIL, 2)
+        start = d.end + F.length(lead)
+        value = F.concat_ws(" ", F.regexp_extract(d.value, "^[A-Za-z]+", 0), day)
+        return F.struct(start.alias("start"), (start + F.length(day)).alias("end"), d.kind, value.alias("value"), direction(d.before).alias("context"), F.lit("").alias("clock"))
+
     each = F.transform(spans.merged(name, RULES), add)
-    good = F.filter(each, lambda d: ~suppressed(d.kind, d.value, d.before, d.after))
-    return F.transform(good, lambda d: F.struct(d.start, d.end, d.kind, d.value, direction(d.before).alias("context")))
+
+    def both(found: Column) -> Column:
+        ranges = F.filter(found, lambda d: (d.kind == "mon_d") & d.after.rlike(UNTIL))
+        return F.sort_array(F.concat(F.transform(found, timed_end), F.transform(ranges, until)))
+
+    return using(F.filter(each, lambda d: ~suppressed(d.kind, d.value, d.before, d.after)), both)
 
 
 def parts(kind: Column, value: Column) -> Column:
@@ -147,18 +171,23 @@ def place(kind: Column, context: Column, date: Column, start: Column) -> Column:
     )
 
 
+def at_clock(label: Column, clock: Column) -> Column:
+    """A hospital day's label with the time of day, if there is one."""
+    return using(label, lambda x: F.when(x.startswith("Hospital Day"), F.concat_ws(" at ", x, timeline.parse_clock(F.trim(clock)))).otherwise(x))
+
+
 def timed(text: str, reference: Column, supplied: Column | None = None) -> Column:
-    """Dates of a text with their day and label: an array of (start, end, kind, value, context, said, date, label)."""
+    """Dates of a text with their day and label: an array of (start, end, kind, value, context, clock, said, date, label)."""
     none = F.lit(None).cast("date")
 
     def dated(d: Column) -> Column:
-        made = lambda p, said: F.struct(d.start, d.end, d.kind, d.value, d.context, said.alias("said"), resolve(d.kind, d.value, d.context, reference, p, said).alias("date"))
+        made = lambda p, said: F.struct(d.start, d.end, d.kind, d.value, d.context, d.clock, said.alias("said"), resolve(d.kind, d.value, d.context, reference, p, said).alias("date"))
         return using(parts(d.kind, d.value), lambda p: using(explicit(p), lambda said: made(p, said)))
 
     def labelled(all_: Column) -> Column:
         return F.transform(
             F.array(anchor(all_, supplied if supplied is not None else none)),
-            lambda a: F.transform(all_, lambda d: d.withField("label", place(d.kind, d.context, d.date, a))),
+            lambda a: F.transform(all_, lambda d: d.withField("label", at_clock(place(d.kind, d.context, d.date, a), d.clock))),
         )[0]
 
     return F.transform(F.array(F.transform(find(text), dated)), labelled)[0]

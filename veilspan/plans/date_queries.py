@@ -22,7 +22,7 @@ def dated_notes(spark, sf_dir):
     body = F.concat(
         F.lit("Seen on "), mon, F.lit(" "), d, F.lit(" and "), s(i % 12 + 1), F.lit("/"), s(i * 7 % 31 + 1), F.lit(", pain 3/10, BP 120/80 mmHg.\nBegan "), s(i % 9 + 1),
         F.lit(" days ago, ill for "), s(i % 5 + 2), F.lit(" weeks later; follow up "), s((i + 1) % 12 + 1), F.lit("/2/2026.\nDOB: 1/"), d, F.lit("/19"), s(i % 50 + 40),
-        F.lit("\nSurgery in "), mon, F.lit(" 2019 on 0"), s(i % 9 + 1), F.lit("-Mar-18; odd 2/30/2026; seen today"),
+        F.lit("\nSurgery in "), mon, F.lit(" 2019 on 0"), s(i % 9 + 1), F.lit("-Mar-18; odd 2/30/2026; seen today, round 5/8 04"), F.lpad(s(i % 60), 2, "0"), F.lit(" and "), mon, F.lit(" 3-5, then 3/4 at "), s(i % 12 + 1), F.lit(":05 pm; 5/9 1200 mg, 5/10 2015"),
     )
     return table(spark, sf_dir, "customer").select(i.alias("doc_id"), F.concat(lead, body).alias("text"))
 
@@ -33,7 +33,7 @@ _NOTES = f"""SELECT i AS doc_id, CASE i % 3 WHEN 0 THEN 'Admission date: ' || {_
   WHEN 1 THEN 'Collected: 2026-' || lpad({_S('i % 12 + 1')}, 2, '0') || '-' || lpad({_S('i % 28 + 1')}, 2, '0') || chr(10) ELSE '' END
   || 'Seen on ' || {_M} || ' ' || {_S('i % 28 + 1')} || ' and ' || {_S('i % 12 + 1')} || '/' || {_S('i * 7 % 31 + 1')} || ', pain 3/10, BP 120/80 mmHg.' || chr(10) || 'Began ' || {_S('i % 9 + 1')}
   || ' days ago, ill for ' || {_S('i % 5 + 2')} || ' weeks later; follow up ' || {_S('(i + 1) % 12 + 1')} || '/2/2026.' || chr(10) || 'DOB: 1/' || {_S('i % 28 + 1')} || '/19' || {_S('i % 50 + 40')} || chr(10)
-  || 'Surgery in ' || {_M} || ' 2019 on 0' || {_S('i % 9 + 1')} || '-Mar-18; odd 2/30/2026; seen today' AS text FROM (SELECT c_custkey AS i FROM customer)"""
+  || 'Surgery in ' || {_M} || ' 2019 on 0' || {_S('i % 9 + 1')} || '-Mar-18; odd 2/30/2026; seen today, round 5/8 04' || lpad({_S('i % 60')}, 2, '0') || ' and ' || {_M} || ' 3-5, then 3/4 at ' || {_S('i % 12 + 1')} || ':05 pm; 5/9 1200 mg, 5/10 2015' AS text FROM (SELECT c_custkey AS i FROM customer)"""
 _RANK = [r.name for r in dates.RULES]
 _Q = lambda p: "'" + p.replace("'", "''") + "'"
 _DIRECTION = "CASE " + " ".join(
@@ -44,13 +44,19 @@ _N = "regexp_extract_all(value, '[0-9]+')"
 _FULL = lambda x: f"CASE WHEN length({x}) = 2 THEN '20' || {x} ELSE {x} END"
 _MPOS = "CAST(list_position([" + ", ".join(f"'{m}'" for m in dates.MONTHS) + "], lower(regexp_extract(value, '[A-Za-z]{3}'))) AS VARCHAR)"
 _NEAREST = lambda ahead: f"""(SELECT arg_min(x, (abs(x - ref), x)) FROM (SELECT TRY_CAST((year(ref) + k) || '-' || m || '-' || d AS DATE) AS x FROM (SELECT unnest([-1, 0, 1]) AS k)) WHERE x IS NOT NULL AND x - ref <= {ahead})"""
+_DAYS = ", ".join(f"'{k}'" for k in dates.DAYS)
+
+
 def dates_sql(notes: str) -> str:
     return f"""
 WITH RECURSIVE notes AS MATERIALIZED ({notes}), merged AS ({merged_sql(spans_sql(dates.RULES, 'notes'), dates.RULES, [])}),
 near AS (SELECT m.doc_id, m."start", m."end", m.label AS kind, substr(text, CAST("start" + 1 AS INTEGER), CAST("end" - "start" AS INTEGER)) AS value,
   string_split(substr(text, CAST(greatest("start" - 48, 0) + 1 AS INTEGER), CAST(least("start", 48) AS INTEGER)), chr(10))[-1] AS before, substr(text, CAST("end" + 1 AS INTEGER), 24) AS after
   FROM merged m JOIN notes n ON n.doc_id = m.doc_id),
-good AS (SELECT *, {_DIRECTION} AS context FROM near WHERE NOT (kind = 'md' AND (regexp_matches(before, {_Q(dates.SCORE)}) OR regexp_matches(after, {_Q(dates.UNIT)}) OR value = '2/2') OR kind = 'ago' AND regexp_matches(before, {_Q(dates.DURATION)}))),
+clear AS MATERIALIZED (SELECT *, {_DIRECTION} AS context, regexp_extract(after, {_Q(dates.CLOCK)}) AS c0 FROM near WHERE NOT (kind = 'md' AND (regexp_matches(before, {_Q(dates.SCORE)}) OR regexp_matches(after, {_Q(dates.UNIT)}) OR value = '2/2') OR kind = 'ago' AND regexp_matches(before, {_Q(dates.DURATION)}))),
+good AS (SELECT doc_id, "start", CAST("end" + length(c) AS BIGINT) AS "end", kind, value, context, trim(regexp_extract(c, '[0-9].*$')) AS clock FROM (SELECT *, CASE WHEN kind IN ({_DAYS}) AND NOT regexp_matches(substr(after, length(c0) + 1), {_Q(dates.DOSE)}) THEN c0 ELSE '' END AS c FROM clear)
+  UNION ALL SELECT doc_id, CAST("end" + length(l) AS BIGINT), CAST("end" + length(l) + length(d) AS BIGINT), kind, regexp_extract(value, '^[A-Za-z]+') || ' ' || d, context, '' FROM (
+    SELECT *, regexp_extract(after, {_Q(dates.UNTIL)}, 1) AS l, regexp_extract(after, {_Q(dates.UNTIL)}, 2) AS d FROM clear WHERE kind = 'mon_d' AND regexp_matches(after, {_Q(dates.UNTIL)}))),
 p AS (SELECT *, DATE '{_REF}' AS ref,
   CASE WHEN kind IN ('iso', 'mon_y') THEN {_N}[1] WHEN kind IN ('mdy', 'mdy2', 'dash') THEN {_FULL(_N + '[3]')} WHEN kind IN ('mon_d_y', 'm_y') THEN {_N}[2] WHEN kind = 'd_mon' THEN {_FULL(_N + '[2]')} END AS y,
   CASE WHEN kind = 'iso' THEN {_N}[2] WHEN kind IN ('mdy', 'mdy2', 'dash', 'md', 'm_y') THEN {_N}[1] WHEN kind IN ('mon_d_y', 'd_mon', 'mon_d', 'mon_y') THEN {_MPOS} END AS m,
@@ -74,16 +80,22 @@ anchors AS (SELECT x.doc_id, coalesce(max(date) {_OWN.format("context = 'source'
 _ANCHORED = anchored_sql(_NOTES)
 
 
+_HOUR = "CAST(CASE WHEN contains(clock, ':') THEN split_part(clock, ':', 1) ELSE lpad(clock, 4, '0')[1:2] END AS INTEGER)"
+_MINUTE = "CASE WHEN contains(clock, ':') THEN regexp_extract(clock, ':([0-9]{2})', 1) ELSE lpad(clock, 4, '0')[3:4] END"
+_CLOCKED = f"""CASE WHEN clock = '' THEN NULL WHEN regexp_matches(clock, '[AaPp][Mm]$') THEN CASE WHEN contains(clock, ':') AND {_HOUR} BETWEEN 1 AND 12 THEN lpad(CAST({_HOUR} % 12 + CASE WHEN regexp_matches(clock, '[Pp][Mm]$') THEN 12 ELSE 0 END AS VARCHAR), 2, '0') || ':' || {_MINUTE} END
+  ELSE lpad(CAST({_HOUR} AS VARCHAR), 2, '0') || ':' || {_MINUTE} END"""
+
+
 def placed_sql(notes: str) -> str:
     """``(doc_id, start, end, context, label)``: each date's label on its text's timeline."""
     each = 'SELECT d.*, d.doc_id || chr(58) || d."start" AS k, anchor, date - anchor + 1 AS n FROM dated d JOIN anchors a ON a.doc_id = d.doc_id'
     return f"""{anchored_sql(notes)}, each AS MATERIALIZED ({each}), lasted AS ({_duration_sql("date", "anchor", "(SELECT * FROM each WHERE date < anchor)", "k")})
     SELECT doc_id, "start", "end", context, CASE WHEN context = 'birth' THEN 'DOB' WHEN date IS NULL THEN 'Historical date' WHEN kind IN ('mon_y', 'm_y') THEN 'Historical: ' || year(date) WHEN anchor IS NULL THEN 'Historical date'
-      WHEN n >= 1 AND context <> 'past' THEN 'Hospital Day ' || n WHEN n >= 1 THEN 'Historical date' ELSE phrase || ' prior to hospital admission' END AS label
+      WHEN n >= 1 AND context <> 'past' THEN concat_ws(' at ', 'Hospital Day ' || n, {_CLOCKED}) WHEN n >= 1 THEN 'Historical date' ELSE phrase || ' prior to hospital admission' END AS label
     FROM each LEFT JOIN lasted USING (k)"""
 
 
-@query("date_spans", f'{_DATES} SELECT doc_id, "start", "end", kind, value, context FROM dated')
+@query("date_spans", f'{_DATES} SELECT doc_id, "start", "end", kind, value, context, clock FROM dated')
 def date_spans(spark, sf_dir):
     return dated_notes(spark, sf_dir).select("doc_id", F.inline(dates.find("text")))
 
@@ -108,11 +120,16 @@ def date_places(spark, sf_dir):
     return dated_notes(spark, sf_dir).select("doc_id", F.inline(dates.timed("text", _DAY()))).select("doc_id", "start", "label")
 
 
-@query("timeline_text", f"""SELECT doc_id, regexp_extract_all(text, 'pain 3/10, BP 120/80')[1] AS kept, true AS named FROM ({_NOTES}) WHERE doc_id % 3 < 2 UNION ALL SELECT doc_id, 'pain 3/10, BP 120/80', false FROM ({_NOTES}) WHERE doc_id % 3 = 2""")
+_SPLICED = f"""WITH docs AS MATERIALIZED ({_NOTES}), placed AS MATERIALIZED ({placed_sql(_NOTES)}), parts AS (
+  SELECT d.doc_id, p."start" AS pos, substr(d.text, CAST(lag(p."end", 1, 0) OVER w + 1 AS INTEGER), CAST(p."start" - lag(p."end", 1, 0) OVER w AS INTEGER)) || '[' || p.label || ']' AS piece FROM placed p JOIN docs d ON d.doc_id = p.doc_id WINDOW w AS (PARTITION BY p.doc_id ORDER BY p."start")
+  UNION ALL SELECT d.doc_id, 1e12, substr(d.text, CAST(max(p."end") + 1 AS INTEGER)) FROM placed p JOIN docs d ON d.doc_id = p.doc_id GROUP BY d.doc_id, d.text)
+SELECT doc_id, regexp_replace(string_agg(piece, '' ORDER BY pos), {_Q(dates.FIELD)}, '\\1Timeline\\2', 'g') AS text FROM parts GROUP BY doc_id"""
+
+
+@query("timeline_text", _SPLICED)
 def timeline_text(spark, sf_dir):
     timed = dated_notes(spark, sf_dir).withColumn("timed", dates.timed("text", _DAY()))
-    done = timed.select("doc_id", dates.renamed_fields(F.expr(spans.splice_expr("text", "timed"))).alias("out"))
-    return done.select("doc_id", F.regexp_extract("out", "pain 3/10, BP 120/80", 0).alias("kept"), F.col("out").startswith("Timeline: [").alias("named"))
+    return timed.select("doc_id", dates.renamed_fields(F.expr(spans.splice_expr("text", "timed"))).alias("text"))
 
 
 @query("legacy_placeholders", "SELECT e.event_id, CASE event_id % 4 WHEN 0 THEN 'x [Historical date] y' WHEN 1 THEN 'x [Hospital Day ' || (event_id % 30) || '] y' WHEN 2 THEN 'x [Hospital Day 7] y' ELSE 'x [DOB] y' END AS text FROM events e")
