@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import literal
+from ..functions.expr import fold, literal, struct
 
 VITALS = r"(?i)\b(?:bp|hr|rr|spo2|temp)[ :]+[0-9]"
 MEDS = r"(?i)\b[0-9.]+ ?(?:mg|mcg|units|ml)\b.*\b(?:daily|bid|tid|qid|prn|qhs|weekly)\b"
@@ -16,12 +16,15 @@ NARRATIVE = r"(?i)^[ \t]*(?:assessment|plan|hpi|history|impression|subjective)\b
 
 
 def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, line_no, start, end, line)``: the lines of each text with code-point offsets."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    each = docs.select(key, F.posexplode(lines).alias("line_no", "line"))
-    order = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("line") + 1).over(order) - 1
-    return each.withColumn("end", end).withColumn("start", F.col("end") - F.length("line")).select(key, "line_no", "start", "end", "line")
+    """``(key, line_no, start, end, line)``: the lines of each text with code-point offsets, counted in the row."""
+
+    def step(s: str, x: str) -> tuple[str, str]:
+        row = struct(line_no=f"{s}.n", start=f"{s}.at", end=f"{s}.at + length({x})", line=x)
+        return struct(n=f"{s}.n + 1", at=f"{s}.at + length({x}) + 1"), f"array({row})"
+
+    split = f"split(coalesce({text}, ''), '\\n', -1)"
+    kind = "struct<line_no:int,start:bigint,end:bigint,line:string>"
+    return docs.select(key, F.inline(F.expr(fold(split, "named_struct('n', 0, 'at', cast(0 as bigint))", kind, step, "line"))))
 
 
 def kind(line: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import settled
@@ -23,9 +23,12 @@ def recall(docs: DataFrame, given: DataFrame, surnames: DataFrame, key: str = "d
     Each dictionary word gives 2, the shape of a full name 2, capitals 1, a title or field before 4.
     The dictionaries ``given(token)`` and ``surnames(token)`` are joined by the lower-cased word.
     """
-    order = Window.partitionBy(key).orderBy("n")
-    t = tokens(docs, key).withColumns({"second": F.lead("token").over(order), "before": F.lower(F.lag("token").over(order))})
-    t = t.where(F.col("token").rlike("^[A-Z]") & F.col("second").rlike("^[A-Z]"))
+    # neighbours are paired in the row, and only capitalised pairs become rows
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z'-]*"), F.lit(0))
+    cased = lambda x: F.coalesce(x.rlike("^[A-Z]"), F.lit(False))
+    near = lambda t, i: F.struct(i.alias("n"), t.alias("token"), F.get("_w", i + 1).alias("second"), F.lower(F.get("_w", i - 1)).alias("before"))
+    pairs = F.filter(F.transform("_w", near), lambda p: cased(p.token) & cased(p.second))
+    t = docs.select(key, words.alias("_w")).select(key, F.inline(pairs))
     mark = lambda d, c: d.select(F.lower("token").alias(c)).distinct().withColumn(f"is_{c}", F.lit(2))
     t = t.withColumns({"g": F.lower("token"), "s": F.lower("second")}).join(mark(given, "g"), "g", "left").join(mark(surnames, "s"), "s", "left")
     full = F.when(F.col("is_g").isNotNull() & F.col("is_s").isNotNull(), 2).otherwise(0)
