@@ -81,22 +81,23 @@ def _typed():
     "stay_anchors",
     f"""WITH g AS (SELECT o_custkey AS id, arg_max(CAST(t AS DATE), (o_orderkey, t)) AS g FROM (SELECT *, {_TYPED} AS t FROM orders) WHERE o_orderkey % 4 = 0 AND o_custkey % 3 > 0 GROUP BY 1),
     d AS (SELECT o_custkey AS id, min(CAST(o_orderdate AS DATE)) AS d FROM orders WHERE o_custkey % 3 < 2 GROUP BY 1)
-    SELECT c_custkey AS id, coalesce(g, d) AS anchor, CASE WHEN g IS NOT NULL THEN 'given' WHEN d IS NOT NULL THEN 'days' ELSE 'missing' END AS source FROM customer c LEFT JOIN g ON g.id = c_custkey LEFT JOIN d ON d.id = c_custkey""",
+    SELECT c_custkey AS id, coalesce(CAST(coalesce(g, d) AS VARCHAR), '') AS anchor, CASE WHEN g IS NOT NULL THEN 'given' WHEN d IS NOT NULL THEN 'days' ELSE 'missing' END AS source FROM customer c LEFT JOIN g ON g.id = c_custkey LEFT JOIN d ON d.id = c_custkey""",
 )
 def stay_anchors(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     given = orders.where("o_custkey % 3 > 0").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("at"), _typed().alias("text"))
     days = orders.where("o_custkey % 3 < 2").select(F.col("o_custkey").alias("id"), F.to_date("o_orderdate").alias("date"))
-    return captures.anchored(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), given, days)
+    found = captures.anchored(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), given, days)
+    return found.withColumn("anchor", F.coalesce(F.col("anchor").cast("string"), F.lit("")))
 
 
 @query(
     "remembered_days",
-    f"""SELECT id, step, last_value(CASE WHEN step % 4 = 0 THEN CAST(t AS DATE) END IGNORE NULLS) OVER (PARTITION BY id ORDER BY step ROWS UNBOUNDED PRECEDING) AS day FROM (SELECT o_custkey AS id, o_orderkey AS step, {_TYPED} AS t FROM orders)""".replace("CAST(t AS DATE)", "TRY_CAST(t AS DATE)"),
+    f"""SELECT id, step, coalesce(CAST(last_value(CASE WHEN step % 4 = 0 THEN CAST(t AS DATE) END IGNORE NULLS) OVER (PARTITION BY id ORDER BY step ROWS UNBOUNDED PRECEDING) AS VARCHAR), '') AS day FROM (SELECT o_custkey AS id, o_orderkey AS step, {_TYPED} AS t FROM orders)""".replace("CAST(t AS DATE)", "TRY_CAST(t AS DATE)"),
 )
 def remembered_days(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("at"), _typed().alias("text"))
-    return captures.remembered(rows).select("id", F.col("at").alias("step"), "day")
+    return captures.remembered(rows).select("id", F.col("at").alias("step"), F.coalesce(F.col("day").cast("string"), F.lit("")).alias("day"))
 
 
 @query("local_days", "SELECT event_id, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE CASE event_id % 3 WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'Asia/Tokyo' ELSE 'UTC' END AS DATE) AS day FROM events")

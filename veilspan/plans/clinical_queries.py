@@ -96,10 +96,10 @@ def guard_table(spark, sf_dir):
     return rows.groupBy("k").agg(F.count(F.lit(1)).alias("spans"), *[F.count_if(F.col("facts")[n]).alias(n) for n in clinical.FACTS])
 
 
-@query("span_verdicts", f"{_FIXTURE} SELECT k, label, source, reason, becomes, count(*) AS spans FROM ({judged_sql('spans_', 'docs', 'vocab')}) GROUP BY ALL")
+@query("span_verdicts", f"{_FIXTURE} SELECT k, label, source, reason, coalesce(becomes, '') AS becomes, count(*) AS spans FROM ({judged_sql('spans_', 'docs', 'vocab')}) GROUP BY ALL")
 def span_verdicts(spark, sf_dir):
     rows = _judged(offers(spark, sf_dir), spark).select("k", F.inline_outer("judged")).where("start is not null")
-    return rows.groupBy("k", "label", "source", F.col("verdict.reason").alias("reason"), F.col("verdict.label").alias("becomes")).agg(F.count(F.lit(1)).alias("spans"))
+    return rows.groupBy("k", "label", "source", F.col("verdict.reason").alias("reason"), F.coalesce("verdict.label", F.lit("")).alias("becomes")).agg(F.count(F.lit(1)).alias("spans"))
 
 
 @query("name_labels", f"{_FIXTURE} SELECT label, becomes AS refined, norm, count(*) AS spans FROM ({judged_sql('spans_', 'docs', 'vocab')}) WHERE contains(label, 'NAME') AND reason = 'keep' GROUP BY ALL")
