@@ -109,6 +109,17 @@ PATTERNS = {
     "short_range": ("span", r"^[0-9]{1,2}[-.][0-9]{1,2}$"),
     "dated_before": ("before", r"(?i)\b(?:on|dated|since|from|until|seen|admitted)[: ]+$"),
 }
+_PLACES = ("LOCATION", "ORGANIZATION", "FACILITY")
+#: Patterns that are looked for only in spans of some labels, as no verdict on others asks for them.
+ONLY = {
+    **dict.fromkeys(
+        "dosed_before dosed_after alone_before alone_after colon_after digits sentences capitals titled stem person_shape aged spoken acted signed credential lower_start stay stay_inside imaged".split(),
+        (*NAME_LABELS, *_PLACES),
+    ),
+    **dict.fromkeys(("no_day", "short_range", "dated_before"), ("DATE",)),
+    **dict.fromkeys(("traced", "addressed", "street_doctor"), ("ADDRESS",)),
+    **dict.fromkeys(("measured", "device"), ("ID",)),
+}
 #: Facts that the vocabulary tells: of the whole span (``p``), its words (``w``), the word before (``b``) and after (``a``).
 _ALL, _ANY, _LAST = "all", "any", "last"
 WORDS = {
@@ -188,13 +199,14 @@ def signals_expr(s: str, table: str) -> str:
     made = {
         "is_name": f"{s}.label in ({', '.join(map(literal, NAME_LABELS))})",
         "model": f"contains(coalesce({s}.source, ''), 'model')",
-        "in_place": f"{s}.label in ('LOCATION', 'ORGANIZATION', 'FACILITY')",
+        "in_place": f"{s}.label in ({', '.join(map(literal, _PLACES))})",
         "many_words": "size(k.w) > 2",
         "young": f"{s}.label = 'AGE' and coalesce(try_cast(regexp_extract({s}.span, '[0-9]{{1,3}}', 0) as int), 0) < 90",
         "tiny": f"length({s}.span) <= 2",
         "zoned": f"{lines.kind_expr(f'{s}.line')} in ('lab', 'vitals', 'meds', 'imaging')",
     }
-    made |= {name: f"{s}.{field} rlike {literal(p)}" for name, (field, p) in PATTERNS.items()}
+    asked = lambda name: f"{s}.label in ({', '.join(map(literal, ONLY[name]))}) and " if name in ONLY else ""
+    made |= {name: f"{asked(name)}{s}.{field} rlike {literal(p)}" for name, (field, p) in PATTERNS.items()}
     for name, (of, how, which) in WORDS.items():
         test = f"x -> {has_expr('x', *which)}"
         made[name] = {_ALL: f"size(k.w) > 0 and forall(k.w, {test})", _ANY: f"exists(k.w, {test})", _LAST: has_expr("coalesce(try_element_at(k.w, -1), 0)", *which)}.get(how) or has_expr(f"k.{of}", *which)

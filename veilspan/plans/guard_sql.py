@@ -55,7 +55,8 @@ def facts_sql(found: str, docs: str, vocab: str) -> str:
         "is_name": f"label IN ({names})", "model": "contains(coalesce(source, ''), 'model')", "in_place": "label IN ('LOCATION', 'ORGANIZATION', 'FACILITY')", "many_words": "len(k_w) > 2",
         "young": "label = 'AGE' AND coalesce(TRY_CAST(regexp_extract(span, '[0-9]{1,3}') AS INTEGER), 0) < 90", "tiny": "length(span) <= 2", "zoned": f"{_kind_sql('line')} IN ('lab', 'vitals', 'meds', 'imaging')",
     }
-    made |= {n: f"regexp_matches({field}, {text(p)})" for n, (field, p) in clinical.PATTERNS.items()}
+    asked = lambda n: f"label IN ({', '.join(map(text, clinical.ONLY[n]))}) AND " if n in clinical.ONLY else ""
+    made |= {n: f"{asked(n)}regexp_matches({field}, {text(p)})" for n, (field, p) in clinical.PATTERNS.items()}
     for n, (of, how, which) in clinical.WORDS.items():
         some = f"len(list_filter(k_w, lambda x: {_HAS('x', which)}))"
         made[n] = {"all": f"len(k_w) > 0 AND {some} = len(k_w)", "any": f"{some} > 0", "last": _HAS("coalesce(k_w[-1], 0)", which)}.get(how) or _HAS(f"k_{of}", which)
