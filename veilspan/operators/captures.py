@@ -25,7 +25,8 @@ ROLES = {
     "medication_order_events": "medication_activity", "consultant_decisions": "consult_note", "problem_plan_updates": "primary_note", "disposition_questions": "primary_note",
     "additional_daily_source": "other_chart_text",
 }
-LIBRARY = "prerounding_workup_library_v1"
+#: The schema that a library names; another family of files has another.
+LIBRARY = "workup_library_v1"
 
 
 def _lookup(pairs: dict[str, str], key: Column) -> Column:
@@ -62,12 +63,12 @@ def migrated(sections: DataFrame) -> DataFrame:
     return sections.where(said).select("id", F.coalesce(_lookup(ROLES, F.col("role")), F.lit(OTHER)).alias("kind"), "label", "text", F.coalesce("updated", "created").alias("captured"), "created", "updated")
 
 
-def libraries(rows: DataFrame) -> DataFrame:
+def libraries(rows: DataFrame, schema: str = LIBRARY) -> DataFrame:
     """``(id, title, version, description, workups, problems)`` of ``rows(schema, id, title, version, description, workups)``, workups being ids; all problems, not the first."""
     id_, title = F.trim(F.coalesce("id", F.lit(""))), F.trim(F.coalesce("title", F.lit("")))
     workups = F.coalesce("workups", F.array().cast("array<string>"))
     wrong = {
-        f"schema must be {LIBRARY}": ~F.coalesce(F.col("schema") == LIBRARY, F.lit(False)), "id is required": id_ == "", "id must be URL-safe": ~id_.rlike("(?i)^[a-z0-9][a-z0-9._-]*$"),
+        f"schema must be {schema}": ~F.coalesce(F.col("schema") == schema, F.lit(False)), "id is required": id_ == "", "id must be URL-safe": ~id_.rlike("(?i)^[a-z0-9][a-z0-9._-]*$"),
         "title is required": title == "", "workups must contain at least one workup": F.size(workups) == 0,
         "workup ids must be unique within a library": F.size(F.array_distinct(workups)) < F.size(workups),
     }
