@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spans import merge
 from .text import TOO_LONG
 
 Span = tuple[int, int, str, float]
@@ -94,7 +95,7 @@ def predict(docs: DataFrame, load: Callable[[], Predictor] | Sequence[Callable[[
 
 
 def combine(structured: DataFrame, model: DataFrame | None, mode: str = "hybrid", allow_fallback: bool = False, key: str = "doc_id") -> DataFrame:
-    """Spans of a mode: structured, model, or hybrid. Without a model the latter two fail unless fallback is allowed."""
+    """Spans of a mode: structured, model, or hybrid, in which both are merged. Without a model the latter two fail unless fallback is allowed."""
     own = structured.select(key, "start", "end", "label")
     if mode == "structured":
         return own
@@ -103,4 +104,7 @@ def combine(structured: DataFrame, model: DataFrame | None, mode: str = "hybrid"
             raise ValueError(f"mode {mode} needs a model")
         return own
     theirs = model.select(key, "start", "end", "label")
-    return theirs if mode == "model" else own.unionByName(theirs)
+    if mode == "model":
+        return theirs
+    both = own.withColumn("source", F.lit("structured")).unionByName(theirs.withColumn("source", F.lit("model")))
+    return merge(both, key=key).select(key, "start", "end", "label")

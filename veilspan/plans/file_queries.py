@@ -109,10 +109,16 @@ def model_chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.inline(text.model_chunks("text"))).select("doc_id", "offset")
 
 
-@query("chunk_halves", "SELECT doc_id, true AS whole FROM documents WHERE length(text) > 400")
+@query(
+    "chunk_halves",
+    """SELECT doc_id, coalesce(CASE WHEN r IS NULL OR m - l <= r - m THEN l END, r, m - 1) + 1 AS "at" FROM (
+      SELECT *, CASE WHEN lf > 80 AND lf < n - 80 AND substr(text, lf + 1, 1) = ' ' THEN lf END AS l, CASE WHEN rt > 80 AND rt < n - 80 AND substr(text, rt + 1, 1) = ' ' THEN rt END AS r FROM (
+        SELECT *, m - instr(reverse(substr(text, 1, m + 1)), ' ') + 1 AS lf, m + instr(substr(text, m + 1), ' ') - 1 AS rt FROM (SELECT doc_id, text, length(text) AS n, length(text) // 2 AS m FROM documents WHERE length(text) > 400)))""",
+)
 def chunk_halves(spark, sf_dir):
     h = text.halves(F.col("text"))
-    return table(spark, sf_dir, "documents").where(F.length("text") > 400).select("doc_id", ((F.concat(h[0], h[1]) == F.col("text")) & (F.length(h[0]) > 0) & (F.length(h[1]) > 0)).alias("whole"))
+    halved = table(spark, sf_dir, "documents").where(F.length("text") > 400).select("doc_id", "text", h.alias("h"))
+    return halved.where(F.concat(F.get("h", F.lit(0)), F.get("h", F.lit(1))) == F.col("text")).select("doc_id", F.length(F.get("h", F.lit(0))).cast("long").alias("at"))
 
 
 @query("token_colours", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '#cc3333' WHEN 1 THEN '#33cc33' ELSE '#3333cc' END AS hex FROM part")

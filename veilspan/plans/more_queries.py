@@ -96,8 +96,11 @@ def model_hook(spark, sf_dir):
 _MODEL_SPANS = spans_sql([Rule("m", "NAME", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b")], f"({NOTES_SQL})")
 
 
-@query("deid_modes", f"""WITH s AS (SELECT count(*) AS n FROM ({_NOTE_SPANS})), m AS (SELECT count(*) AS n FROM ({_MODEL_SPANS}))
-    SELECT 'structured' AS mode, n AS spans FROM s UNION ALL SELECT 'model', n FROM m UNION ALL SELECT 'hybrid', s.n + m.n FROM s, m""")
+_BOTH = f"""SELECT doc_id, start, "end", label, rule, 'structured' AS source FROM ({_NOTE_SPANS}) UNION ALL SELECT doc_id, start, "end", label, rule, 'model' FROM ({_MODEL_SPANS})"""
+
+
+@query("deid_modes", f"""WITH s AS (SELECT count(*) AS n FROM ({_NOTE_SPANS})), m AS (SELECT count(*) AS n FROM ({_MODEL_SPANS})), h AS (SELECT count(*) AS n FROM ({merged_sql(_BOTH, [*_ALL, Rule("m", "NAME", "")], PRIORITY, "source")}))
+    SELECT 'structured' AS mode, n AS spans FROM s UNION ALL SELECT 'model', n FROM m UNION ALL SELECT 'hybrid', n FROM h""")
 def deid_modes(spark, sf_dir):
     corpus = notes(table(spark, sf_dir, "customer")).select("doc_id", "text")
     own, theirs = spans.detect(corpus, _ALL), model.predict(corpus, _capital_pairs)
