@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import rules
 from veilspan.functions.rules import DIRECT_RULES, FIELD_RULES, Rule
 from veilspan.operators import model, spans, text
-from veilspan.sources import vocabularies
+from veilspan.sources import files, vocabularies
 from veilspan.streaming import sections
 
 
@@ -107,3 +107,10 @@ def test_readers_set_bad_lines_apart(spark, tmp_path):
     good, bad = vocabularies.read_xml(spark, str(tmp_path / "v.xml"), "rec", "name string, n int")
     assert [r.name for r in good.collect()] == ["Heart failure"] and bad.count() == 1
     assert sorted(r.term for r in vocabularies.terms_of(good, "clinical").collect()) == ["failure", "heart", "heart failure"]
+
+
+def test_cases_of_json_lines(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"id":"1","text":"Ann slept","annotations":[{"start":0,"end":3,"category":"NAME"}]}\nnot json\n{"id":"2","text":"x","annotations":[{"start":0,"end":9}]}\n')
+    read = files.read_cases(spark, str(tmp_path / "c.json"))
+    assert sorted((r.id or "", r.text or "", r.bad or "") for r in read.collect()) == [("", "", "not json"), ("1", "Ann slept", ""), ("2", "x", "")]
+    assert [tuple(r) for r in files.problems(read.where("id is not null"), 1, 1).collect()] == [("2", "span out of range")]

@@ -32,15 +32,15 @@ def corpus_files(spark, sf_dir):
     case = F.concat(F.lit('{"id":"'), k.cast("string"), F.lit('","text":"'), "p_name", F.lit('","annotations":[{"start":0,"end":'), end, F.lit("}]}"))
     for form, lead, tail in (("array", "[", "]"), ("object", '{"cases":[', "]}")):
         rows = table(spark, sf_dir, "part").where((k % 2 == 0) if form == "array" else (k % 2 == 1))
-        one = rows.agg(F.concat(F.lit(lead), F.concat_ws(",", F.collect_list(case)), F.lit(tail)).alias("value"))  # a file of one corpus
-        one.write.mode("overwrite").text(f"{path}/{form}")
+        parts = rows.groupBy(F.floor(k / 1000)).agg(F.concat(F.lit(lead), F.concat_ws(",", F.collect_list(case)), F.lit(tail)).alias("value"))
+        parts.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/{form}")  # files of at most 1,000 cases
     out = None
     for form in ("array", "object"):
         read = files.read_corpus(spark, f"{path}/{form}")
         bad = files.problems(read, least_cases=1, least_chars=1).where("problem = 'span out of range'")
-        each = read.agg(F.lit(form).alias("form"), F.count(F.lit(1)).alias("cases")).crossJoin(bad.agg(F.count(F.lit(1)).alias("bad")))
+        each = read.select(F.lit(form).alias("form"), F.lit(1).alias("cases"), F.lit(0).alias("bad")).union(bad.select(F.lit(form), F.lit(0), F.lit(1)))
         out = each if out is None else out.union(each)
-    return out
+    return out.groupBy("form").agg(F.sum("cases").alias("cases"), F.sum("bad").alias("bad"))
 
 
 @query("workup_library", "SELECT row_number() OVER (ORDER BY id) AS rank, id, title, items FROM (SELECT 'w' || n_nationkey AS id, n_name AS title, CAST(n_regionkey AS BIGINT) AS items FROM nation)")

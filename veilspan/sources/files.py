@@ -22,7 +22,10 @@ def build_library(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, text, annotations, bad)`` of corpus files: a JSON array of cases, or an object with ``cases``."""
+    """``(id, text, annotations, bad)`` of corpus files: a JSON array of cases, or an object with ``cases``.
+
+    Each file is parsed in one row; :func:`read_cases` reads corpora of any size, a line for each case.
+    """
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.trim("value").alias("value"))
     given = F.when(F.col("value").startswith("{"), F.get_json_object("value", "$.cases")).otherwise(F.col("value"))
     cases = raw.select("path", F.from_json(given, f"array<{_CASE}>").alias("cases"))
@@ -31,6 +34,12 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return each.select("c.id", "c.text", "c.annotations", "bad")
 
 
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, text, annotations, bad)`` of JSON lines, a case each; ``bad`` has a line that is none."""
+    schema = "id string, text string, annotations array<struct<start:bigint,end:bigint,category:string,key:string,text:string>>, bad string"
+    return spark.read.schema(schema).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="bad")
+
+
 def problems(cases: DataFrame, least_cases: int = 100, least_chars: int = 10_000) -> DataFrame:
     """``(id, problem)``: what is wrong with a corpus ``(id, text, annotations)``; an empty table if it is fit.
 
