@@ -8,7 +8,7 @@ from ..functions.rules import DIRECT_RULES, FIELD_RULES, PRIORITY
 from ..operators import chain, evaluate, people
 from ..scratch import settled
 from ..sources.corpus import FIRST, LAST
-from .base import merged_sql, query, spans_sql, table, tailed_sql
+from .base import merged_sql, query, spans_sql, spread, table, tailed_sql
 from .corpus_queries import _CASES, _KEPT, _TRUTH, cases
 from .date_queries import placed_sql
 from .guard_sql import KEPT, NAMED_VOCABULARY, TRIMMED, evidence_sql, judged_sql, named_vocabulary, text
@@ -46,7 +46,7 @@ def notes(spark, sf_dir):
     full = F.concat_ws(" ", first, last)
     for mark, value in (("{n}", full), ("{t}", F.upper(F.concat_ws(", ", last, first))), ("{l}", last), ("{c}", F.upper(full)), ("{i}", (i % 10).cast("string"))):
         body = F.replace(body, F.lit(mark), value)
-    return table(spark, sf_dir, "customer").select(i.alias("doc_id"), body.alias("text"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select(i.alias("doc_id"), body.alias("text"))
 
 
 _LABELS = lambda v: ", ".join(map(text, v))

@@ -8,7 +8,7 @@ from ..functions.rules import DIRECT_RULES, FIELD_RULES, PRIORITY
 from ..operators import evaluate, spans
 from ..scratch import settled
 from ..sources import corpus
-from .base import merged_sql, query, spans_sql, table
+from .base import merged_sql, query, spans_sql, spread, table
 
 _ALL = FIELD_RULES + DIRECT_RULES
 
@@ -82,7 +82,7 @@ _SCORED = f"{_WITH}, found AS MATERIALIZED ({_FOUND}), output AS MATERIALIZED ({
 
 
 def cases(spark, sf_dir):
-    return corpus.cases(table(spark, sf_dir, "supplier"), "s_suppkey")
+    return corpus.cases(spread(table(spark, sf_dir, "supplier").select("s_suppkey")), "s_suppkey")
 
 
 def found(spark, sf_dir):
