@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialize, sized, table
 from .rolling import mix
 
+#: Text of a shard, which sets the memory of a task: over 0.51 GB an executor took 3,023 MB with 16 MB, 2,967 with 6 and 2,304 with 3.
 CHUNK_BYTES = 3 << 20
 #: Bits of the bitmap of frequent phrases that tasks get: 16 MB at most.
 FILTER_BITS = 1 << 27
