@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from veilspan.plans import date_queries
 from veilspan.sources import corpus
 
+SF = "/root/testdata/sf0.001"
+
 
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -15,3 +18,9 @@ def test_corpus_searches_each_value_once(spark):
     row = made.where("doc_id = 1").first()
     assert row.truth == sorted(row.truth) and all(row.text[s.start : s.end] == s.value for s in row.truth + row.protected)
     assert all(sum(s.key == key for s in row.truth) == row.text.count(next(s.value for s in row.truth if s.key == key)) for key, _, _ in corpus.IDENTIFIERS)
+
+
+def test_dated_notes_are_spread_and_dated_once(spark):
+    assert date_queries.dated_notes(spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    searched = lambda q: optimized(q(spark, SF)).count("yesterday|today")
+    assert searched(date_queries.date_anchor) == searched(date_queries.date_values)
