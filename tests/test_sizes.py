@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from veilspan.plans import date_queries
+from veilspan.plans import date_queries, guard_queries, more_queries, span_queries
 from veilspan.sources import corpus
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +24,8 @@ def test_dated_notes_are_spread_and_dated_once(spark):
     assert date_queries.dated_notes(spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     searched = lambda q: optimized(q(spark, SF)).count("yesterday|today")
     assert searched(date_queries.date_anchor) == searched(date_queries.date_values)
+
+
+def test_customers_notes_are_spread(spark):
+    for q in (span_queries.note_rule_spans, guard_queries.label_priority, more_queries.deid_text_length):
+        assert "Repartition 4, true" in optimized(q(spark, SF))

@@ -10,9 +10,8 @@ from ..functions.rules import DIRECT_RULES, FIELD_RULES, Rule
 from ..operators import model, spans, text
 from ..scratch import new_folder
 from ..sources import vocabularies
-from ..sources.notes import notes
 from ..streaming import sections
-from .base import query, spans_sql, table
+from .base import noted, query, spans_sql, table
 from .span_queries import NOTES_SQL
 
 _EMAIL = next(r for r in DIRECT_RULES if r.name == "email")
@@ -76,7 +75,7 @@ _SHIFT = "CAST(start + coalesce(sum(8 - length(value)) OVER (PARTITION BY doc_id
 @query("aligned_rows", f"SELECT doc_id, start, value AS original, '<hidden>' AS replacement, {_SHIFT} AS output_start FROM ({spans_sql([_EMAIL], f'({NOTES_SQL})')}) UNION ALL SELECT doc_id, start, value, '<hidden>', {_SHIFT} FROM ({spans_sql([_EMAIL], 'documents')})")
 def aligned_rows(spark, sf_dir):
     """What an output that the engine did not make has in place of each span."""
-    docs = notes(table(spark, sf_dir, "customer")).select("doc_id", "text").unionByName(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = noted(spark, sf_dir).select("doc_id", "text").unionByName(table(spark, sf_dir, "documents").select("doc_id", "text"))
     made = docs.withColumns({"output": F.regexp_replace("text", _EMAIL.pattern, "<hidden>"), "found": spans.merged("text", [_EMAIL])})
     rows = made.select("doc_id", F.inline_outer(text.aligned("text", "found", "output"))).where("start is not null")
     return rows.select("doc_id", "start", "original", "replacement", "output_start")
@@ -87,14 +86,14 @@ def rule_table(spark, sf_dir):
     """Rules written as JSON lines, read back, and applied."""
     at = new_folder(spark, "rules")
     rule_tables.as_table(spark, FIELD_RULES + DIRECT_RULES).withColumn("ord", F.monotonically_increasing_id()).write.json(at)
-    return spans.detect(notes(table(spark, sf_dir, "customer")), rule_tables.read_rules(spark, at))
+    return spans.detect(noted(spark, sf_dir), rule_tables.read_rules(spark, at))
 
 
 @query("span_function", spans_sql([_EMAIL, FIELD_RULES[0]], f"({NOTES_SQL})"))
 def span_function(spark, sf_dir):
     """Spans by a table function in a lateral join."""
     sql.register_spans(spark, [_EMAIL, FIELD_RULES[0]])
-    return spark.sql("SELECT d.doc_id, s.* FROM {d} d, LATERAL deid_spans(d.text) s", d=notes(table(spark, sf_dir, "customer")))
+    return spark.sql("SELECT d.doc_id, s.* FROM {d} d, LATERAL deid_spans(d.text) s", d=noted(spark, sf_dir))
 
 
 _LINES = "SELECT c_custkey, CASE WHEN c_custkey % 10 = 3 THEN c_custkey || ',too,many,values' WHEN c_custkey % 10 = 7 THEN 'x' || c_custkey || ',' || c_mktsegment ELSE c_custkey || ',' || c_mktsegment END AS line FROM customer"
