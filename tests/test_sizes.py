@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from veilspan.functions.rules import DIRECT_RULES
+from veilspan.operators import lines, spans
 from veilspan.plans import date_queries, guard_queries, more_queries, span_queries
 from veilspan.sources import corpus
 
@@ -29,3 +31,17 @@ def test_dated_notes_are_spread_and_dated_once(spark):
 def test_customers_notes_are_spread(spark):
     for q in (span_queries.note_rule_spans, guard_queries.label_priority, more_queries.deid_text_length):
         assert "Repartition 4, true" in optimized(q(spark, SF))
+
+
+def test_word_boundaries_are_ascii(spark):
+    rows = spark.createDataFrame([(1, "éhr 72"), (2, "xhr 72"), (3, "é123-45-6789 ")], "doc_id long, text string")
+    assert {r.doc_id: r.k for r in rows.select("doc_id", lines.kind(F.col("text")).alias("k")).collect()} == {1: "vitals", 2: "lab", 3: "narrative"}
+    assert [(r.doc_id, r.start) for r in spans.detect(rows, [r for r in DIRECT_RULES if r.name == "ssn"]).collect()] == [(3, 1)]
+
+
+def test_merging_does_not_depend_on_the_order_of_rows(spark):
+    found = spark.createDataFrame([(1, 0, 16, "ID", "pattern", 1), (1, 0, 16, "ID", "model", 2)], "doc_id long, start long, end long, label string, source string, rank int")
+    for down in (False, True):
+        given = found.coalesce(1).sortWithinPartitions(F.desc("rank") if down else "rank")
+        assert [r.source for r in spans.merge(given, order=["rank"]).collect()] == ["pattern+model"]
+    assert {spans.merge(found.coalesce(1).sortWithinPartitions(c)).first().source for c in (F.asc("rank"), F.desc("rank"))} == {"model+pattern"}
