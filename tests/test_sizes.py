@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.rules import DIRECT_RULES
 from veilspan.operators import lines, spans
-from veilspan.plans import date_queries, guard_queries, more_queries, span_queries
+from veilspan.plans import date_queries, guard_queries, more_queries, packet_queries, span_queries
 from veilspan.sources import corpus
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +45,8 @@ def test_merging_does_not_depend_on_the_order_of_rows(spark):
         given = found.coalesce(1).sortWithinPartitions(F.desc("rank") if down else "rank")
         assert [r.source for r in spans.merge(given, order=["rank"]).collect()] == ["pattern+model"]
     assert {spans.merge(found.coalesce(1).sortWithinPartitions(c)).first().source for c in (F.asc("rank"), F.desc("rank"))} == {"model+pattern"}
+
+
+def test_bundles_are_decoded_once(spark):
+    for q in (packet_queries.checklist_codes, packet_queries.return_codes, packet_queries.return_inputs):
+        assert optimized(q(spark, SF)).count("unbase64(") <= 3  # once, and once for each condition on what it holds

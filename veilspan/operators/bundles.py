@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
+from .dates import using
 
 #: Names of the forms; another family of files can be read by passing other names.
 CHECKLIST, RETURN, TRANSFER = "checklist_bundle_v1", "checklist_return_v1", "transfer_file_v1"
@@ -84,28 +85,32 @@ def encode_checklist(label: Column, snapshot: Column, items: Column, titles: Col
 
 def _json(code: Column, lead: str) -> Column:
     """The JSON of a code, or null where it is none."""
-    bare = F.regexp_replace(F.trim(code), f"^#?{lead}=", "")
-    return F.when(bare.rlike("^[A-Za-z0-9_-]+$") & (F.length(bare) % 4 != 1), T.url_decode(bare))
+    return using(F.regexp_replace(F.trim(code), f"^#?{lead}=", ""), lambda bare: F.when(bare.rlike("^[A-Za-z0-9_-]+$") & (F.length(bare) % 4 != 1), T.url_decode(bare)))
 
 
 def decode_return(code: Column) -> Column:
-    """(checklist, answers, created, error) of a returned code."""
-    j = _json(code, "return")
-    short, long = F.get_json_object(j, "$.s") == "pr1", F.get_json_object(j, "$.schema") == RETURN
-    pick = lambda a, b: F.when(short, _text(j, a)).when(long, _text(j, b))
-    good = F.coalesce(short | long, F.lit(False))
-    return F.struct(
-        pick("$.c", "$.checklistId").alias("checklist"), F.when(good, expand_answers(pick("$.a", "$.answers"))).alias("answers"), pick("$.d", "$.createdAt").alias("created"),
-        F.when(~good, "not a returned checklist").alias("error"),
-    )
+    """(checklist, answers, created, error) of a returned code, which is decoded once."""
+
+    def read(j: Column, form: Column) -> Column:
+        pick = lambda a, b: F.when(form == "short", _text(j, a)).when(form == "long", _text(j, b))
+        return F.struct(
+            pick("$.c", "$.checklistId").alias("checklist"), F.when(form.isNotNull(), expand_answers(pick("$.a", "$.answers"))).alias("answers"), pick("$.d", "$.createdAt").alias("created"),
+            F.when(form.isNull(), "not a returned checklist").alias("error"),
+        )
+
+    form = lambda j: F.when(F.get_json_object(j, "$.s") == "pr1", "short").when(F.get_json_object(j, "$.schema") == RETURN, "long")
+    return using(_json(code, "return"), lambda j: using(form(j), lambda f: read(j, f)))
 
 
 def unwrapped(given: Column, kind: str) -> Column:
     """The code in a transfer file's JSON: of the declared kind, or of earlier files that had a bundle only; null for anything else."""
-    j = F.trim(given)
-    old = F.when(F.get_json_object(j, "$.schema").isNull(), F.get_json_object(j, "$.bundle"))
-    new = F.when((F.get_json_object(j, "$.schema") == TRANSFER) & (F.get_json_object(j, "$.type") == kind), F.get_json_object(j, "$.payload"))
-    return F.coalesce(new, old)
+
+    def code(j: Column, schema: Column) -> Column:
+        old = F.when(schema.isNull(), F.get_json_object(j, "$.bundle"))
+        new = F.when((schema == TRANSFER) & (F.get_json_object(j, "$.type") == kind), F.get_json_object(j, "$.payload"))
+        return F.coalesce(new, old)
+
+    return using(F.trim(given), lambda j: using(F.get_json_object(j, "$.schema"), lambda schema: code(j, schema)))
 
 
 def decode_return_input(given: Column) -> Column:
@@ -114,12 +119,15 @@ def decode_return_input(given: Column) -> Column:
 
 
 def decode_checklist(code: Column) -> Column:
-    """(label, snapshot, items, created, error) of a checklist's code."""
-    j = _json(code, "phone")
-    good = F.coalesce(F.get_json_object(j, "$.s") == "pc1", F.lit(False))
-    titles = F.from_json(F.get_json_object(j, "$.c.t"), "array<string>")
-    label = F.coalesce(F.nullif(F.get_json_object(j, "$.p"), F.lit("")), F.lit("Patient"))
-    return F.struct(
-        F.when(good, label).alias("label"), F.when(good, _text(j, "$.c.i")).alias("snapshot"), F.when(good, expand_items(F.get_json_object(j, "$.c.x"), titles)).alias("items"),
-        F.when(good, _text(j, "$.d")).alias("created"), F.when(~good, "not a checklist").alias("error"),
-    )
+    """(label, snapshot, items, created, error) of a checklist's code, which is decoded once, not for each item."""
+
+    def read(j: Column, titles: Column, good: Column) -> Column:
+        label = F.coalesce(F.nullif(F.get_json_object(j, "$.p"), F.lit("")), F.lit("Patient"))
+        return F.struct(
+            F.when(good, label).alias("label"), F.when(good, _text(j, "$.c.i")).alias("snapshot"), F.when(good, expand_items(F.get_json_object(j, "$.c.x"), titles)).alias("items"),
+            F.when(good, _text(j, "$.d")).alias("created"), F.when(~good, "not a checklist").alias("error"),
+        )
+
+    good = lambda j: F.coalesce(F.get_json_object(j, "$.s") == "pc1", F.lit(False))
+    titles = lambda j: F.from_json(F.get_json_object(j, "$.c.t"), "array<string>")
+    return using(_json(code, "phone"), lambda j: using(titles(j), lambda t: using(good(j), lambda g: read(j, t, g))))

@@ -77,7 +77,7 @@ def url_code(text: Column) -> Column:
 
 def url_decode(code: Column) -> Column:
     plain = F.translate(code, "-_", "+/")
-    return F.decode(F.unbase64(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("="))), "UTF-8")
+    return F.decode(F.unbase64(F.rpad(plain, (F.ceil(F.length(code) / 4) * 4).cast("int"), F.lit("="))), "UTF-8")
 
 
 def nth_position(text: Column, literal: str, n: int) -> Column:
