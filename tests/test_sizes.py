@@ -50,3 +50,7 @@ def test_merging_does_not_depend_on_the_order_of_rows(spark):
 def test_bundles_are_decoded_once(spark):
     for q in (packet_queries.checklist_codes, packet_queries.return_codes, packet_queries.return_inputs):
         assert optimized(q(spark, SF)).count("unbase64(") <= 3  # once, and once for each condition on what it holds
+
+
+def test_grading_stays_in_the_row(spark):
+    assert "Join" not in optimized(span_queries.case_scores(spark, SF))

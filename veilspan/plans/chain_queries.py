@@ -136,8 +136,7 @@ def run(spark, sf_dir):
       round(count(*) FILTER (state = 'exact') / nullif(count(*) FILTER (label IS NOT NULL), 0), 6) AS accuracy FROM graded GROUP BY category""",
 )
 def run_grade(spark, sf_dir):
-    made = run(spark, sf_dir)
-    return evaluate.metrics(evaluate.grade(made.select("doc_id", F.inline("truth")), made.select("doc_id", F.inline("found"))))
+    return evaluate.metrics(run(spark, sf_dir).select(F.inline(evaluate.grade_row(F.col("truth"), F.col("found")))))
 
 
 @query(
