@@ -53,4 +53,4 @@ def test_bundles_are_decoded_once(spark):
 
 
 def test_grading_stays_in_the_row(spark):
-    assert "Join" not in optimized(span_queries.case_scores(spark, SF))
+    assert "Join" not in optimized(guard_queries.case_scores(spark, SF))
