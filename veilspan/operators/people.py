@@ -6,6 +6,7 @@ are null or blank parse to empty parts. All that looks at a text works in its ro
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,14 +22,14 @@ _AGED = r",? (?:who )?(?:is|was)? ?(?:an? )?[0-9]{1,3}(?:[- ]years?[- ]old|[ -]?
 _RELATIVE = "mother|father|sister|brother|daughter|son|wife|husband|partner|neighbor"
 #: Names by what stands before and after them.
 CONTEXT_RULES = [
-    Rule(name, label, rf"({before})({value})({after})", field=True, tail=True)
-    for name, label, before, value, after in (
-        ("honorific_age", "PATIENT NAME", r"\b", rf"(?:Mr|Mrs|Ms|Miss)\.? {_PART}(?: {_PART})?", _AGED),
-        ("name_age", "PATIENT NAME", r"\b", _FULL, _AGED),
-        ("summary", "PATIENT NAME", r"\b(?:Summary|Impression|Subjective|History|HPI):[ \t]+", rf"(?:(?:Mr|Mrs|Ms)\.? )?{_FULL}", r" [a-z]+s\b"),
-        ("provider_verb", "PROVIDER NAME", r"\b(?i:referred to|follow[- ]?up with|appointment with|discussed with|seen by|signed by|read by|per) ", rf"(?:Dr|Doctor)\.? {_PART}(?: {_PART})?", r""),
-        ("contact_verb", "CONTACT NAME", r"\b(?i:spoke with|spoke to|called|phoned|updated|met with) ", _FULL, r"\b"),
-        ("relative", "CONTACT NAME", rf"\b(?i:{_RELATIVE}) \(?", rf"{_PART}(?: {_PART})?", r"\b"),
+    Rule(name, label, rf"({before})({value})({after})", field=True, tail=True, words=words)
+    for name, label, before, value, after, words in (
+        ("honorific_age", "PATIENT NAME", r"\b", rf"(?:Mr|Mrs|Ms|Miss)\.? {_PART}(?: {_PART})?", _AGED, ("mr", "ms", "miss")),
+        ("name_age", "PATIENT NAME", r"\b", _FULL, _AGED, ("year", "yo", "y/o")),
+        ("summary", "PATIENT NAME", r"\b(?:Summary|Impression|Subjective|History|HPI):[ \t]+", rf"(?:(?:Mr|Mrs|Ms)\.? )?{_FULL}", r" [a-z]+s\b", ("summary:", "impression:", "subjective:", "history:", "hpi:")),
+        ("provider_verb", "PROVIDER NAME", r"\b(?i:referred to|follow[- ]?up with|appointment with|discussed with|seen by|signed by|read by|per) ", rf"(?:Dr|Doctor)\.? {_PART}(?: {_PART})?", r"", ("dr", "doctor")),
+        ("contact_verb", "CONTACT NAME", r"\b(?i:spoke with|spoke to|called|phoned|updated|met with) ", _FULL, r"\b", ("spoke ", "called ", "phoned ", "updated ", "met with ")),
+        ("relative", "CONTACT NAME", rf"\b(?i:{_RELATIVE}) \(?", rf"{_PART}(?: {_PART})?", r"\b", tuple(_RELATIVE.split("|"))),
     )
 ]
 
@@ -76,6 +77,8 @@ def parsed(name: Column) -> Column:
 
 #: Words of a text with their places; capitals decide what joins.
 WORD = Rule("word", "WORD", r"[A-Za-z][A-Za-z'-]*")
+#: Those of them that begin with a capital: a word starts at the first letter of a stretch of letters, quotes and dashes.
+CAPITAL = Rule("capital", "WORD", r"((?=['A-Z-])(?<![A-Za-z'-])['-]*)([A-Z][A-Za-z'-]*)", True)
 LONGEST = 4
 _RUN = "struct<start:bigint,end:bigint,tokens:array<string>,comma:boolean>"
 
@@ -84,7 +87,7 @@ def runs_expr(text: str) -> str:
     """Runs of capitalised words that blanks or one comma join, of at most four: an array of (start, end, tokens, comma), by place."""
 
     def step(run: str, w: str) -> tuple[str, str]:
-        gap = f"substr({text}, cast({run}.end + 1 as int), cast(greatest({w}.start - {run}.end, 0) as int))"
+        gap = f"if({w}.start - {run}.end <= 4, substr({text}, cast({run}.end + 1 as int), cast(greatest({w}.start - {run}.end, 0) as int)), null)"
         blank, comma = literal(r"^(?:[ \t]+|\.[ \t]+)$"), literal(r"^,[ \t]+$")
         near = f"{run}.end is not null and {w}.start - {run}.end <= 4 and size({run}.tokens) < {LONGEST}"
         joins = f"coalesce({near} and (rg rlike {blank} or (rg rlike {comma} and not {run}.comma)), false)"
@@ -92,7 +95,7 @@ def runs_expr(text: str) -> str:
         alone = struct(start=f"{w}.start", end=f"{w}.end", tokens=f"array({w}.value)", comma="false")
         return let("rg", gap, f"if({joins}, {longer}, {alone})"), let("rg", gap, f"if(not {joins} and {run}.end is not null, array({run}), {empty(_RUN)})")
 
-    words = f"filter({spans.find_expr(text, [WORD])}, w -> w.value rlike '^[A-Z]')"
+    words = spans.find_expr(text, [CAPITAL])
     far = let("rl", "element_at(rw, -1)", "named_struct('rule', '', 'label', '', 'severity', '', 'start', rl.end + 99, 'end', rl.end + 100, 'value', '')")  # puts out the last run
     items = let("rw", words, f"if(size(rw) > 0, concat(rw, array({far})), rw)")
     return fold(items, f"cast(null as {_RUN})", _RUN, step, "run")
@@ -126,18 +129,22 @@ def evidence_expr(text: str, table: str, least_known: int = 0) -> str:
         "possessive": f"ec.after rlike {literal(_POSSESSIVE)}",
         "lone": "size(ew) = 1 and size(en) = 0",
     }
-    facts = struct(**own, **{n: f"ef.{n}" for n in clinical.FACTS})
-    names = [*own, *clinical.FACTS]
+    asked = {w for e in (*GROUNDS.values(), *(e for _, e in POINTS)) for w in re.findall(r"[a-z_]+", e)}
+    wanted = [n for n in clinical.FACTS if n in asked and n != "zoned"]
+    facts = struct(**own, **{n: f"ef.{n}" for n in wanted})
+    names = [*own, *wanted]
     for n, expression in GROUNDS.items():
         facts = let("eo", facts, struct(**{m: f"eo.{m}" for m in names}, **{n: clinical.named_in(expression, "eo", "")}))
         names.append(n)
     medical = f"if(eg.titled_or_labelled, 0, size(filter(ew, k -> {vocabulary.has_expr('k', 'clinical')})) * {PER_CLINICAL})"
-    points = " + ".join([f"size(en) * {PER_NAME}", medical, *(f"if({clinical.named_in(e, 'eg', '')}, {n}, 0)" for n, e in POINTS)])
+    zoned = clinical.plain_expr("ec", "zoned")  # dear, so asked for last
+    late = lambda e: f"{clinical.named_in(e.removeprefix('zoned AND '), 'eg', '')} AND {zoned}" if e.startswith("zoned AND ") else clinical.named_in(e, "eg", "")
+    points = " + ".join([f"size(en) * {PER_NAME}", medical, *(f"if({late(e)}, {n}, 0)" for n, e in POINTS)])
     scored = let("eg", facts, struct(start="ec.start", end="ec.end", name="array_join(ec.tokens, ' ')", known="size(en)", score=points))
     looked = f"transform({runs_expr(text)}, r -> {struct(start='r.start', end='r.end', tokens='r.tokens', comma='r.comma', bits='transform(r.tokens, w -> ' + let('lw', 'lower(w)', vocabulary.kinds_expr(table, 'lw')) + ')')})"
     if least_known:
         looked = f"filter({looked}, r -> size({known.replace('ew', 'r.bits')}) >= {least_known})"
-    body = let("ew", "ec.bits", let("en", known, let("ef", clinical.signals_expr("ec", table), scored)))
+    body = let("ew", "ec.bits", let("en", known, let("ef", clinical.signals_expr("ec", table, wanted), scored)))
     keep = {"start": "er.start", "end": "er.end", "tokens": "er.tokens", "comma": "er.comma", "bits": "er.bits", "label": "'NAME'", "source": "'dictionary'"}
     return f"transform({looked}, er -> {let('ec', clinical.context_expr(text, 'er', keep), body)})"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import clinical, people
 from ..operators.vocabulary import looked_up
 from ..sources.corpus import FIRST, LAST
-from .base import query, spans_sql, table, tailed_sql
+from .base import query, spans_sql, spread, table, tailed_sql
 from .guard_sql import NAMED_VOCABULARY, evidence_sql, named_vocabulary
 
 _STORIES = [
@@ -31,7 +31,7 @@ def stories(spark, sf_dir):
     text = pick(_STORIES, i)
     for mark, value in (("{n}", n), ("{m}", m), ("{c}", c)):
         text = F.replace(text, F.lit(mark), value)
-    return table(spark, sf_dir, "customer").select(i.alias("doc_id"), text.alias("text"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select(i.alias("doc_id"), text.alias("text"))
 
 
 CONTEXT_SQL = lambda source: tailed_sql(people.CONTEXT_RULES, source)
