@@ -58,3 +58,7 @@ def test_guards_asked_late_decide_as_all_facts_do(spark):
 def test_stories_are_spread(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition 4, true" in plan(people_queries.name_evidence(spark, SF))
+
+
+def test_a_task_has_a_bounded_number_of_rows(spark):
+    assert base.spread(spark.read.parquet(f"{SF}/customer.parquet"), most=10).rdd.getNumPartitions() == 15
