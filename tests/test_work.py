@@ -55,6 +55,13 @@ def test_guards_asked_late_decide_as_all_facts_do(spark):
         assert both.where("a <> b").collect() == [] and both.selectExpr("sum(size(b)) as n").first().n > 40
 
 
+def test_a_judged_span_is_not_judged_again(spark):
+    one = "named_struct('start', cast(0 as bigint), 'end', cast(8 as bigint), 'label', 'NAME', 'source', 'alias')"
+    docs = spark.createDataFrame([("Ann Lee1 Bob Fox2",)], "text string")
+    said = vocabulary.looked_up(docs, named_vocabulary(spark), "j", lambda v: chain._judged("text", f"array({one}, named_struct('start', cast(9 as bigint), 'end', cast(16 as bigint), 'label', 'PHONE', 'source', 'alias'))", f"array(named_struct('s', {one}, 'becomes', 'REMEMBERED'))", v)).first().j
+    assert [(r.s.start, r.becomes) for r in said] == [(0, "REMEMBERED"), (9, "PHONE")]
+
+
 def test_stories_are_spread(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition 4, true" in plan(people_queries.name_evidence(spark, SF))

@@ -70,7 +70,8 @@ def positions(text: str, value: str, label: str) -> str:
         end = f"{at} + {x}.gap + length({value})"
         return end, f"if({x}.free, array({_span(f'{at} + {x}.gap', end, label, literal('alias'))}), {empty(_SPAN)})"
 
-    return let("gaps", rf"split({text}, concat('\\Q', {value}, '\\E'), -1)", fold(items, "cast(0 as bigint)", _SPAN, step, "pos"))
+    gaps = rf"if(contains({text}, {value}), split({text}, concat('\\Q', {value}, '\\E'), -1), array({text}))"
+    return let("gaps", gaps, fold(items, "cast(0 as bigint)", _SPAN, step, "pos"))
 
 
 def forms(value: str, label: str, table: str) -> str:
@@ -100,16 +101,34 @@ def last_word(x: str) -> str:
     return f"substring_index({x}, ' ', -1)"
 
 
+def _judged(text: str, found: str, before: str, table: str) -> str:
+    """(s, becomes) of each span, becomes being its label after the guards, null if it goes. Spans that ``before`` holds are not judged again."""
+    old = f"transform({before}, j -> {struct(s='j.s', new='false', becomes='j.becomes')})"
+    new = f"transform({found}, s -> {struct(s='s', new='true', becomes='cast(null as string)')})"
+    last = f"transform(jl, (x, i) -> {struct(s='x.s', new='x.new', last='if(i > 0, jl[i - 1], null)')})"
+    becomes = f"if(not y.last.new and y.last.s = y.s, y.last.becomes, {clinical.becomes_expr(text, 'y.s', table)})"
+    each = f"transform(filter({last}, y -> y.new), y -> {struct(s='y.s', becomes=becomes)})"
+    return let("jl", f"sort_array(concat({old}, {new}))", each)
+
+
 def grown(text: str, seeds: str, pairs: str, table: str, passes: int = PASSES) -> str:
-    """The spans that the passes leave, disjoint and in order: an array of (start, end, label, source)."""
+    """The spans that the passes leave, disjoint and in order: an array of (start, end, label, source).
+
+    What a pass finds follows from the names that it starts with, so the passes end where these stay the
+    same; a span that the last pass merged to is not judged anew.
+    """
     value = f"substr({text}, cast(s.start + 1 as int), cast(s.end - s.start as int))"
-    names = f"array_distinct(flatten(transform(filter(st.spans, s -> s.label in {_in(clinical.NAME_LABELS)}), s -> {let('nv', value, forms('nv', 's.label', table))})))"
+    persons = f"array_distinct(transform(filter(st.spans, s -> s.label in {_in(clinical.NAME_LABELS)}), s -> {struct(value=value, label='s.label')}))"
+    names = f"array_distinct(flatten(transform({persons}, p -> {forms('p.value', 'p.label', table)})))"
     all_ = f"concat({seeds}, flatten(transform(nn, a -> {positions(text, 'a.form', 'a.label')})), {promoted(pairs, 'nn')})"
     merged = spans.merged_expr(ordered(all_), text)
     slim = f"transform({merged}, s -> {_span('s.start', 's.end', 's.label', 's.source')})"
-    after = let("nn", names, let("nm", slim, clinical.kept_expr(text, "nm", table)))
-    step = f"if(st.still, st, {let('nx', after, struct(spans='nx', still='nx = st.spans'))})"
-    return f"aggregate(sequence(1, {passes}), {struct(spans=empty(_SPAN), still='false')}, (st, n) -> {step}, st -> st.spans)"
+    stay = f"transform(filter(nj, j -> j.becomes is not null), j -> {_span('j.s.start', 'j.s.end', 'j.becomes', 'j.s.source')})"
+    after = let("nj", _judged(text, slim, "st.judged", table), struct(spans=stay, names="nn", judged="nj", still="false"))
+    same = struct(spans="st.spans", names="st.names", judged="st.judged", still="true")
+    step = f"if(st.still, st, {let('nn', names, f'if(coalesce(nn = st.names, false), {same}, {after})')})"
+    start = struct(spans=empty(_SPAN), names=f"cast(null as array<{_ALIAS}>)", judged=empty(f"struct<s:{_SPAN},becomes:string>"), still="false")
+    return f"aggregate(sequence(1, {passes}), {start}, (st, n) -> {step}, st -> st.spans)"
 
 
 def deidentify(
