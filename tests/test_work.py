@@ -5,9 +5,10 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from veilspan.functions.rules import DIRECT_RULES, FIELD_RULES, RESIDUAL_RULES, ascii_bounds
-from veilspan.operators import chain, clinical, people, spans, vocabulary
-from veilspan.plans import base, clinical_queries, corpus_queries, people_queries
+from veilspan.functions.expr import cut, fold, let, plain
+from veilspan.functions.rules import DIRECT_RULES, FIELD_RULES, RESIDUAL_RULES, Rule, ascii_bounds, in_lines, sought
+from veilspan.operators import chain, clinical, dates, people, spans, vocabulary
+from veilspan.plans import base, chain_queries, clinical_queries, corpus_queries, people_queries
 from veilspan.plans.guard_sql import named_vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +70,47 @@ def test_stories_are_spread(spark):
 
 def test_a_task_has_a_bounded_number_of_rows(spark):
     assert base.spread(spark.read.parquet(f"{SF}/customer.parquet"), most=10).rdd.getNumPartitions() == 15
+
+
+LINES = ["Patient: Ann Lee\rName: Bo Fox DOB: 1/2/1990\r\n\n Room: 12B\nMRN: AB1234 MRN = CD5678", "(202) 555-0142 202.555.0143 a202-555-0144\n+1 (202) 555-0145", "Provider  __ : Dr. Ann Lee é\n\u2028Fax: 202-555-0142", "one\u0001 SN-K123 and SN-K456\u0001\nSeen by Dr. Bo Fox", "x\nx\nx SN-A1\n\nSN-B2"]
+
+
+def test_lines_and_signs_that_rules_need_leave_no_match_out(spark):
+    every = [*ALL, *dates.RULES]
+    bare = [replace(r, words=(), needs="", shape="", before=False) for r in every]
+    docs = texts(spark).select("text").unionByName(spark.createDataFrame([(t,) for t in LINES], "text string"))
+    both = docs.select("text", spans.find("text", every).alias("a"), spans.find("text", bare).alias("b")).persist()
+    assert both.where("a <> b").collect() == []
+    assert both.where("exists(a, x -> substr(text, int(x.start + 1), int(x.end - x.start)) <> x.value)").collect() == []
+    phones = both.where("text like '(202)%'").selectExpr("filter(a, x -> x.rule = 'us_phone').value as v").first().v
+    assert phones == ["(202) 555-0142", "202.555.0143", "+1 (202) 555-0145"]
+
+
+def test_what_a_search_looks_at_first_is_what_a_match_begins_with():
+    assert sought(r"a|[b-d]\d") == r"(?=[abcd])(?:a|[b-d]\d)" and sought(r"(?i)x?y") == r"(?=[XYxy])(?i)x?y" and sought(r"(?:a|(?:b)?)\.") == r"(?=[\.ab])(?:a|(?:b)?)\."
+    for kept in (r"[^a]b", r".a", r"a*", r"(?=a)b", r"\s+a", r"(?i)a|b", r"é", r"\Qa\E"):
+        assert sought(kept) == kept
+    assert in_lines(r"(?im)(^[ \t]*a)([^\n|]+)") and in_lines(r"https?://[^\s)]+")
+    assert not any(map(in_lines, (r"a\s+b", r"[^a]+", r"^a", r"a$", r"(?s)a.b", r"a\nb", r"(?<=a)b", r"\W", "a\nb")))
+
+
+def test_a_rule_over_several_lines_is_searched_in_the_whole_text(spark):
+    rule = Rule("two", "ID", r"id:\s+[0-9]+", words=("id:",))
+    assert [(r.start, r.end) for r in spans.detect(spark.createDataFrame([(1, "an\nid:\n12 id: 3")], "doc_id int, text string"), [rule]).collect()] == [(3, 9), (10, 15)]
+
+
+def test_folds_of_all_lengths_and_cuts_of_all_texts(spark):
+    sums = fold("v", "cast(0 as bigint)", "bigint", lambda s, x: (f"{s} + {x}", f"if({x} % 3 = 0, array({s} + {x}), cast(array() as array<bigint>))"), "sum")
+    for n in (0, 1, 15, 16, 17, 255, 256, 257, 1000):
+        got = spark.range(1).select(F.expr(let("v", f"if({n} > 0, sequence(1L, {n}L), cast(array() as array<bigint>))", sums))).first()[0]
+        assert got == [k * (k + 1) // 2 for k in range(1, n + 1) if k % 3 == 0], n
+    given = spark.createDataFrame([("abcdef",), ("abéçef",), ("",), (None,)], "t string").withColumn("p", F.expr(plain("t")))
+    assert [tuple(r) for r in given.select(F.expr(cut("t", "2", "3", "p")), F.col("p").isNull()).collect()] == [("cde", False), ("éçe", True), ("", False), (None, True)]
+
+
+def test_a_run_writes_only_what_its_query_reads(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(chain_queries, "settled", lambda df: seen.append(df.columns) or df)
+    chain_queries.run_grade(spark, SF)
+    chain_queries.run_results(spark, SF)
+    assert seen == [["truth", "found"], ["doc_id", "protected", "found", "output"]]

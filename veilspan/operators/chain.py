@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import empty, fold, let, literal, struct
+from ..functions.expr import cut, empty, fold, let, literal, plain, struct
 from ..functions.rules import DIRECT_RULES, FIELD_RULES, Rule
 from . import clinical, dates, people, spans
 from .vocabulary import LIMIT, has_expr, kinds_expr, looked_up
@@ -101,30 +101,30 @@ def last_word(x: str) -> str:
     return f"substring_index({x}, ' ', -1)"
 
 
-def _judged(text: str, found: str, before: str, table: str) -> str:
+def _judged(text: str, found: str, before: str, table: str, bare: str | None = None) -> str:
     """(s, becomes) of each span, becomes being its label after the guards, null if it goes. Spans that ``before`` holds are not judged again."""
     old = f"transform({before}, j -> {struct(s='j.s', new='false', becomes='j.becomes')})"
     new = f"transform({found}, s -> {struct(s='s', new='true', becomes='cast(null as string)')})"
     last = f"transform(jl, (x, i) -> {struct(s='x.s', new='x.new', last='if(i > 0, jl[i - 1], null)')})"
-    becomes = f"if(not y.last.new and y.last.s = y.s, y.last.becomes, {clinical.becomes_expr(text, 'y.s', table)})"
+    becomes = f"if(not y.last.new and y.last.s = y.s, y.last.becomes, {clinical.becomes_expr(text, 'y.s', table, bare)})"
     each = f"transform(filter({last}, y -> y.new), y -> {struct(s='y.s', becomes=becomes)})"
     return let("jl", f"sort_array(concat({old}, {new}))", each)
 
 
-def grown(text: str, seeds: str, pairs: str, table: str, passes: int = PASSES) -> str:
+def grown(text: str, seeds: str, pairs: str, table: str, passes: int = PASSES, bare: str | None = None) -> str:
     """The spans that the passes leave, disjoint and in order: an array of (start, end, label, source).
 
     What a pass finds follows from the names that it starts with, so the passes end where these stay the
     same; a span that the last pass merged to is not judged anew.
     """
-    value = f"substr({text}, cast(s.start + 1 as int), cast(s.end - s.start as int))"
+    value = cut(text, "s.start", "s.end - s.start", bare)
     persons = f"array_distinct(transform(filter(st.spans, s -> s.label in {_in(clinical.NAME_LABELS)}), s -> {struct(value=value, label='s.label')}))"
     names = f"array_distinct(flatten(transform({persons}, p -> {forms('p.value', 'p.label', table)})))"
     all_ = f"concat({seeds}, flatten(transform(nn, a -> {positions(text, 'a.form', 'a.label')})), {promoted(pairs, 'nn')})"
     merged = spans.merged_expr(ordered(all_), text)
     slim = f"transform({merged}, s -> {_span('s.start', 's.end', 's.label', 's.source')})"
     stay = f"transform(filter(nj, j -> j.becomes is not null), j -> {_span('j.s.start', 'j.s.end', 'j.becomes', 'j.s.source')})"
-    after = let("nj", _judged(text, slim, "st.judged", table), struct(spans=stay, names="nn", judged="nj", still="false"))
+    after = let("nj", _judged(text, slim, "st.judged", table, bare), struct(spans=stay, names="nn", judged="nj", still="false"))
     same = struct(spans="st.spans", names="st.names", judged="st.judged", still="true")
     step = f"if(st.still, st, {let('nn', names, f'if(coalesce(nn = st.names, false), {same}, {after})')})"
     start = struct(spans=empty(_SPAN), names=f"cast(null as array<{_ALIAS}>)", judged=empty(f"struct<s:{_SPAN},becomes:string>"), still="false")
@@ -147,21 +147,21 @@ def deidentify(
     rules = FIELD_RULES + DIRECT_RULES if rules is None else rules
     own = docs.columns
     reference = F.current_date() if reference is None else reference
-    plain = lambda found, label="s.label", source="structured": f"transform({found}, s -> {_span('s.start', 's.end', label, literal(source))})"
-    columns = {"_pairs": spans.find(text, [PAIR]), "_dates": dates.timed(text, reference, admitted)}
+    unruled = lambda found, label="s.label", source="structured": f"transform({found}, s -> {_span('s.start', 's.end', label, literal(source))})"
+    columns = {"_pairs": spans.find(text, [PAIR]), "_dates": dates.timed(text, reference, admitted, "_bare")}
     seeds = []
     if mode != "model":
-        columns["_ruled"] = F.expr(f"concat({ruled(spans.find_expr(text, rules))}, {plain(spans.find_expr(text, people.CONTEXT_RULES))})")
-        seeds += ["_ruled", plain("_dates", "if(s.context = 'birth', 'DOB', 'DATE')"), plain("_recalled", "'NAME'")]
+        columns["_ruled"] = F.expr(f"concat({ruled(spans.find_expr(text, rules))}, {unruled(spans.find_expr(text, people.CONTEXT_RULES))})")
+        seeds += ["_ruled", unruled("_dates", "if(s.context = 'birth', 'DOB', 'DATE')"), unruled("_recalled", "'NAME'")]
     if model is not None and mode != "structured":
-        seeds.append(plain(f"coalesce({model}, {empty('struct<start:bigint,end:bigint,label:string>')})", source="model"))
-    found = docs.withColumns(columns)
+        seeds.append(unruled(f"coalesce({model}, {empty('struct<start:bigint,end:bigint,label:string>')})", source="model"))
+    found = docs.withColumn("_bare", F.expr(plain(text))).withColumns(columns)
     if mode != "model":  # a step of its own: the analyser goes no deeper into one expression
-        recalled = lambda voc: f"filter({people.evidence_expr(text, voc, 1)}, s -> s.score >= {people.LEAST})"
+        recalled = lambda voc: let("bare", "_bare", f"filter({people.evidence_expr(text, voc, 1, 'bare')}, s -> s.score >= {people.LEAST})")
         found = looked_up(found, vocabulary, "_recalled", recalled, limit)
-    kept = looked_up(found, vocabulary, "spans", lambda voc: let("pairs", "_pairs", let("seeds", f"concat({', '.join(seeds)})", grown(text, "seeds", "pairs", voc, passes))), limit)
+    kept = looked_up(found, vocabulary, "spans", lambda voc: let("pairs", "_pairs", let("seeds", f"concat({', '.join(seeds)})", let("bare", "_bare", grown(text, "seeds", "pairs", voc, passes, "bare")))), limit)
     place = "get(filter(_dates, d -> d.start = s.start and d.end = s.end), 0).label"
     shown = f"transform(spans, s -> {struct(start='s.start', end='s.end', label='s.label', source='s.source', placeholder=f'if(s.label in {_in(('DATE', 'DOB'))}, coalesce({place}, s.label), s.label)')})"
     kept = kept.withColumn("spans", F.expr(f"if({text} is null, null, {shown})"))
-    safe = spans.splice_expr(text, f"transform(spans, s -> {struct(start='s.start', end='s.end', label='s.placeholder')})")
+    safe = let("bare", "_bare", spans.splice_expr(text, f"transform(spans, s -> {struct(start='s.start', end='s.end', label='s.placeholder')})", "bare"))
     return kept.withColumn(text, dates.renamed_fields(F.expr(f"if({text} is null, null, {safe})"))).select(*own, "spans")

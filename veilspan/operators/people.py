@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import empty, fold, let, literal, struct
+from ..functions.expr import cut, empty, fold, let, literal, struct
 from ..functions.rules import Rule
 from . import clinical, spans, vocabulary
 
@@ -80,25 +80,27 @@ WORD = Rule("word", "WORD", r"[A-Za-z][A-Za-z'-]*")
 #: Those of them that begin with a capital: a word starts at the first letter of a stretch of letters, quotes and dashes.
 CAPITAL = Rule("capital", "WORD", r"((?=['A-Z-])(?<![A-Za-z'-])['-]*)([A-Z][A-Za-z'-]*)", True)
 LONGEST = 4
-_RUN = "struct<start:bigint,end:bigint,tokens:array<string>,comma:boolean>"
+#: A run of the ``n`` words up to the one of number ``upto``.
+_RUN = "struct<start:bigint,end:bigint,upto:int,n:int,comma:boolean>"
 
 
-def runs_expr(text: str) -> str:
+def runs_expr(text: str, bare: str | None = None) -> str:
     """Runs of capitalised words that blanks or one comma join, of at most four: an array of (start, end, tokens, comma), by place."""
 
     def step(run: str, w: str) -> tuple[str, str]:
-        gap = f"if({w}.start - {run}.end <= 4, substr({text}, cast({run}.end + 1 as int), cast(greatest({w}.start - {run}.end, 0) as int)), null)"
+        gap = f"if({w}.start - {run}.end <= 4, {cut(text, f'{run}.end', f'greatest({w}.start - {run}.end, 0)', bare)}, null)"
         blank, comma = literal(r"^(?:[ \t]+|\.[ \t]+)$"), literal(r"^,[ \t]+$")
-        near = f"{run}.end is not null and {w}.start - {run}.end <= 4 and size({run}.tokens) < {LONGEST}"
+        near = f"{run}.end is not null and {w}.start - {run}.end <= 4 and {run}.n < {LONGEST}"
         joins = f"coalesce({near} and (rg rlike {blank} or (rg rlike {comma} and not {run}.comma)), false)"
-        longer = struct(start=f"{run}.start", end=f"{w}.end", tokens=f"concat({run}.tokens, array({w}.value))", comma=f"({run}.comma or contains(rg, ','))")
-        alone = struct(start=f"{w}.start", end=f"{w}.end", tokens=f"array({w}.value)", comma="false")
+        longer = struct(start=f"{run}.start", end=f"{w}.end", upto=f"{run}.upto + 1", n=f"{run}.n + 1", comma=f"({run}.comma or contains(rg, ','))")
+        alone = struct(start=f"{w}.start", end=f"{w}.end", upto=f"coalesce({run}.upto, 0) + 1", n="1", comma="false")
         return let("rg", gap, f"if({joins}, {longer}, {alone})"), let("rg", gap, f"if(not {joins} and {run}.end is not null, array({run}), {empty(_RUN)})")
 
     words = spans.find_expr(text, [CAPITAL])
     far = let("rl", "element_at(rw, -1)", "named_struct('rule', '', 'label', '', 'severity', '', 'start', rl.end + 99, 'end', rl.end + 100, 'value', '')")  # puts out the last run
-    items = let("rw", words, f"if(size(rw) > 0, concat(rw, array({far})), rw)")
-    return fold(items, f"cast(null as {_RUN})", _RUN, step, "run")
+    runs = fold(f"if(size(rw) > 0, concat(rw, array({far})), rw)", f"cast(null as {_RUN})", _RUN, step, "run")
+    tokens = "transform(slice(rw, r.upto - r.n + 1, r.n), w -> w.value)"
+    return let("rw", words, f"transform({runs}, r -> {struct(start='r.start', end='r.end', tokens=tokens, comma='r.comma')})")
 
 
 #: Points of evidence (fixed values), and what they are given for, in the facts of :mod:`clinical` and those of :func:`evidence_expr`.
@@ -118,7 +120,7 @@ GROUNDS = {
 }
 
 
-def evidence_expr(text: str, table: str, least_known: int = 0) -> str:
+def evidence_expr(text: str, table: str, least_known: int = 0, bare: str | None = None) -> str:
     """Runs of :func:`runs_expr` with ``least_known`` known names or more, as (start, end, name, known, score): how many words a compiled vocabulary has as names only, and
     the points that it and the words around give."""
     known = f"filter(ew, k -> {vocabulary.has_expr('k', 'given', 'surname')} and not {vocabulary.has_expr('k', 'common')})"
@@ -141,12 +143,12 @@ def evidence_expr(text: str, table: str, least_known: int = 0) -> str:
     late = lambda e: f"{clinical.named_in(e.removeprefix('zoned AND '), 'eg', '')} AND {zoned}" if e.startswith("zoned AND ") else clinical.named_in(e, "eg", "")
     points = " + ".join([f"size(en) * {PER_NAME}", medical, *(f"if({late(e)}, {n}, 0)" for n, e in POINTS)])
     scored = let("eg", facts, struct(start="ec.start", end="ec.end", name="array_join(ec.tokens, ' ')", known="size(en)", score=points))
-    looked = f"transform({runs_expr(text)}, r -> {struct(start='r.start', end='r.end', tokens='r.tokens', comma='r.comma', bits='transform(r.tokens, w -> ' + let('lw', 'lower(w)', vocabulary.kinds_expr(table, 'lw')) + ')')})"
+    looked = f"transform({runs_expr(text, bare)}, r -> {struct(start='r.start', end='r.end', tokens='r.tokens', comma='r.comma', bits='transform(r.tokens, w -> ' + let('lw', 'lower(w)', vocabulary.kinds_expr(table, 'lw')) + ')')})"
     if least_known:
         looked = f"filter({looked}, r -> size({known.replace('ew', 'r.bits')}) >= {least_known})"
     body = let("ew", "ec.bits", let("en", known, let("ef", clinical.signals_expr("ec", table, wanted), scored)))
     keep = {"start": "er.start", "end": "er.end", "tokens": "er.tokens", "comma": "er.comma", "bits": "er.bits", "label": "'NAME'", "source": "'dictionary'"}
-    return f"transform({looked}, er -> {let('ec', clinical.context_expr(text, 'er', keep), body)})"
+    return f"transform({looked}, er -> {let('ec', clinical.context_expr(text, 'er', keep, bare=bare), body)})"
 
 
 # ---- what is left over ------------------------------------------------------------------------

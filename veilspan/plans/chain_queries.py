@@ -123,10 +123,10 @@ _GRADED = """SELECT t.doc_id, t.category, count(f.start) AS touched, arg_min(f.l
   FROM truth t LEFT JOIN final f ON f.doc_id = t.doc_id AND f.start < t."end" AND t.start < f."end" GROUP BY t.doc_id, t.category, t.key, t.value, t.start, t."end\""""
 
 
-def run(spark, sf_dir):
-    """``(doc_id, text, truth, protected, found, output)``: each case of the corpus with its spans and its safe text, written."""
+def run(spark, sf_dir, *columns):
+    """Columns of ``(doc_id, text, truth, protected, found, output)``: each case of the corpus with its spans and its safe text, written."""
     made = cases(spark, sf_dir).withColumn("output", F.col("text"))
-    return settled(chain.deidentify(made, named_vocabulary(spark), text="output", reference=F.lit(_REF).cast("date")).withColumnRenamed("spans", "found"))
+    return settled(chain.deidentify(made, named_vocabulary(spark), text="output", reference=F.lit(_REF).cast("date")).withColumnRenamed("spans", "found").select(*columns))
 
 
 @query(
@@ -136,7 +136,7 @@ def run(spark, sf_dir):
       round(count(*) FILTER (state = 'exact') / nullif(count(*) FILTER (label IS NOT NULL), 0), 6) AS accuracy FROM graded GROUP BY category""",
 )
 def run_grade(spark, sf_dir):
-    return evaluate.metrics(run(spark, sf_dir).select(F.inline(evaluate.grade_row(F.col("truth"), F.col("found")))))
+    return evaluate.metrics(run(spark, sf_dir, "truth", "found").select(F.inline(evaluate.grade_row(F.col("truth"), F.col("found")))))
 
 
 @query(
@@ -147,4 +147,4 @@ def run_grade(spark, sf_dir):
 )
 def run_results(spark, sf_dir):
     touched = F.filter("protected", lambda p: F.exists("found", lambda f: (f.start < p.end) & (p.start < f.end)))
-    return run(spark, sf_dir).select("doc_id", F.sha2("output", 256).alias("sha"), F.length("output").cast("long").alias("chars"), F.size("found").cast("long").alias("redactions"), F.size(touched).cast("long").alias("protected_hit"))
+    return run(spark, sf_dir, "doc_id", "protected", "found", "output").select("doc_id", F.sha2("output", 256).alias("sha"), F.length("output").cast("long").alias("chars"), F.size("found").cast("long").alias("redactions"), F.size(touched).cast("long").alias("protected_hit"))
